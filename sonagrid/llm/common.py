@@ -81,3 +81,8 @@ def publish(uri: str, data_writer) -> int:
         size = out.tell()
     store.move(attempt, path)
     return size
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once a row, however often use names it; also inside lambdas of use."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text, written
+from .common import let, table, whole_text, written
 from .components import connected_components
 
 SLICE = 256
@@ -161,8 +161,13 @@ def shingle_set(text: Column, width: int) -> Column:
     """Hashes of a text's distinct shingles, as the fingerprint takes them; an empty array where there is no word."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = F.filter(F.split(F.translate(text, upper, lower), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    shingles = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - (width - 1))), lambda i: F.xxhash64(F.slice(ws, i, width)))
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(shingles(words)))
+
+    def shingles(ws: Column) -> Column:
+        side_by_side = F.arrays_zip(*(F.slice(ws, i + 1, F.size(ws)) for i in range(width)))
+        full = F.slice(side_by_side, 1, F.greatest(F.lit(1), F.size(ws) - (width - 1)))
+        return F.array_distinct(F.transform(full, lambda x: F.xxhash64(x)))
+
+    return let(words, shingles)
 
 
 def verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
