@@ -6,13 +6,14 @@ from .line_dedup import op4_line_dedup
 from .media import op1_media
 from .mixing import op8_mixing
 from .multiset_hash import op9_multiset_hash
+from .pieces import op2_pieces
 from .simhash import op5_simhash
 from .token_counts import op10_token_counts
 from .token_shards import op3_token_shards
 from .toxicity import op7_toxicity
 from .warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_token_shards, op4_line_dedup, op5_simhash, op6_warc, op7_toxicity, op8_mixing, op9_multiset_hash, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_pieces, op3_token_shards, op4_line_dedup, op5_simhash, op6_warc, op7_toxicity, op8_mixing, op9_multiset_hash, op10_token_counts)}
 
 #: DuckDB SQL for the queries that it can express.
 ORACLE_SQL: dict[str, str] = {}
