@@ -60,7 +60,7 @@ def false_negatives(detections: DataFrame, rois: DataFrame, restrict_to_scanned:
     files = rois.select("soundscape_file", "species").distinct()
     templates = detections.join(files, ["soundscape_file", "species"], "left_semi")
     columns = [c for c in TEMPLATE_COLUMNS if c in detections.columns]
-    per_template = templates.groupBy("species", "template_file").agg(*(F.min(c).alias(c) for c in columns if c != "template_file"))
+    per_template = templates.groupBy("species", "template_file").agg(F.count("*").alias("__n"), *(F.min(c).alias(c) for c in columns if c != "template_file")).drop("__n")
     hits = overlaps(detections, rois).select("species", "template_file", "roi_id").distinct()
     missed = rois.join(per_template, "species").join(hits, ["species", "template_file", "roi_id"], "left_anti")
     return missed.join(detections.select("soundscape_file").distinct(), "soundscape_file", "left_semi") if restrict_to_scanned else missed
