@@ -8,7 +8,7 @@ their states. A clause's weight for each kind of mark is that of its heaviest hi
 don't add up; a document's features are sums over clauses on a logarithmic scale, weighed by a logistic model.
 
 Learning uses a bounded sample of labelled rows (max_train_rows; the default is a documented parameter), spread over all
-by a hash of their ids, without near copies (equal minimum over hashed word pairs). Words and stems count by documents;
+by a hash of their ids, without near copies (equal least and greatest hash of a word pair). Words and stems count by documents;
 an entry's weight is the lower bound of its log odds. The logistic weights are fitted on one half of the sample with
 the lexicon of the other half, and drawn towards defaults, which stand alone where labels lack a class.
 
@@ -121,7 +121,7 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray:
     if not any((c := of(w)) and c[0] in HIT for w in set(WORD.findall(text))):
         return x
     for clause in CLAUSE.split(text):
-        state, best, last = START, {}, None
+        state, hits = START, []
         for word in WORD.findall(clause):
             found = of(word)
             if found is None:
@@ -129,10 +129,12 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray:
             symbol, weight = found
             state, mark = GRAMMAR[state, symbol]
             if symbol in HIT:
-                last = (symbol, mark, weight)
-                best[symbol, mark] = max(best.get((symbol, mark), 0.0), weight)
-            elif mark == "late" and last and last[1] == "plain":
-                best[last[0], "target"] = max(best.get((last[0], "target"), 0.0), last[2])
+                hits.append([symbol, mark, weight])
+            elif mark == "late" and hits and hits[-1][1] == "plain":
+                hits[-1][1] = "target"
+        best: dict[tuple[str, str], float] = {}
+        for symbol, mark, weight in hits:
+            best[symbol, mark] = max(best.get((symbol, mark), 0.0), weight)
         for kind, weight in best.items():
             x[KINDS.index(kind)] += weight
     return np.log1p(x)
@@ -176,7 +178,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train_rows: int, id_co
     # the sample's size is bounded by max_train_rows, so it may be broadcast; documents are read without a shuffle
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(known), "id")
     pairs = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.xxhash64(a, b))
-    near = rows.withColumn("near", F.array_min(let(F.split(F.lower("text"), r"[^\p{L}]+"), pairs)))
+    hashes = let(F.split(F.lower("text"), r"[^\p{L}]+"), pairs)
+    near = rows.withColumn("near", let(hashes, lambda h: F.xxhash64(F.array_min(h), F.array_max(h))))
     own = near.groupBy("near", "y").agg(F.min("id").alias("id"))
     return near.join(F.broadcast(own), ["near", "y", "id"]).select((F.col("y") > 0).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int").alias("half"), "text")
 
@@ -189,8 +192,11 @@ def held_out(id_col: str = "doc_id"):
 def entry_counts(rows: DataFrame) -> DataFrame:
     """(entry, t0, f0, t1, f1): toxic and clean documents of each half that have a word, or a stem (with a star)."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
-    stems = lambda ws: [F.transform(F.filter(ws, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
-    entries = let(words, lambda ws: F.array_distinct(F.concat(ws, *stems(ws))))
+
+    def stems(ws, k: int):
+        return F.transform(F.filter(ws, lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+    entries = let(words, lambda ws: F.array_distinct(F.concat(ws, *(stems(ws, k) for k in STEMS))))
     each = rows.select("y", "half", F.explode(entries).alias("entry"))
     sums = [F.sum(((F.col("y") == y) & (F.col("half") == h)).cast("long")).alias(f"{n}{h}") for h in (0, 1) for n, y in (("t", 1), ("f", 0))]
     return each.groupBy("entry").agg(*sums)
