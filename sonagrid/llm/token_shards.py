@@ -93,7 +93,9 @@ class PerfectHash:
         slot = self.slots(keys, repeats)
         ok = slot >= 0
         ok[ok] = self.fingerprints[slot[ok]] == self.fingerprint(keys[ok], repeats[ok])
-        return np.where(ok, self.offsets[slot], -1), np.where(ok, self.lengths[slot], -1)
+        offset, length = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
+        offset[ok], length[ok] = self.offsets[slot[ok]], self.lengths[slot[ok]]
+        return offset, length
 
     def dump(self, extra: dict[str, np.ndarray]) -> bytes:
         out = io.BytesIO()

@@ -1,0 +1,492 @@
+"""Each training-data operator against brute force, exact round trips, and its edge cases."""
+
+import base64
+import hashlib
+import itertools
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sonagrid.llm import encoding, line_dedup, media, mixing, multiset_hash, pieces, simhash, token_counts, token_shards, toxicity, warc
+from sonagrid.llm.common import new_path
+from sonagrid.llm.components import connected_components
+
+BPE, SP = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+LONG = "word " * 60_000 + "end"
+#: Nulls, empties, repeats, ties, white space, other scripts, special strings, a very long text; a column of a clashing name.
+ROWS = [
+    (1, None), (2, ""), (3, "a b c"), (3, "a b c"), (4, " lead  two\n\n\ttab \n"), (5, "Ünïcode ☃ 漢字 \U0001f600"), (None, "no id here at all"), (6, "<|endoftext|> mid<|endoftext|>x"),
+    (7, LONG), (8, "\n"), (9, "don't it's 12,345.67 x²  "), (10, "\x01odd\x1cmark"), (11, "a b c"),
+]
+SCHEMA = "doc_id long, text string, score string, n_tokens string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, "s", "n") for r in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def expected(f):
+    return sorted((f(i, t or "") for i, t in ROWS), key=repr)
+
+
+# ---- encoding, counts, shards ----
+
+def test_encoder_equals_library():
+    t = Tokenizer.from_file(BPE)
+    texts = [t or "" for _, t in ROWS] + ["a\nb", "a \nb", "a\n b", "x" * 5000, "", " ", "\n\n", "  a", "a  ", "I'll we've", "a<|endoftext|> <|endoftext|>b", "A.\nB c\nD"]
+    whole = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    enc = encoding.UnitEncoder(BPE, max_units=50)
+    assert enc.by_units
+    assert enc.encode(texts) == whole and enc.encode(texts) == whole
+
+
+def test_count_tokens_and_cache(spark, docs, empty):
+    t, cache = Tokenizer.from_file(BPE), new_path(spark, "cache")
+    n = lambda s: len(t.encode(s, add_special_tokens=False).ids)
+    got = by_id(token_counts.count_tokens(docs, cache, BPE), "doc_id", "n_bytes", "n_tokens", "over_limit")
+    assert got == expected(lambda i, s: (i, len(s.encode()), n(s), n(s) > 512))
+    stored = spark.read.parquet(cache).count()
+    assert stored == len({s or "" for _, s in ROWS})
+    # a second run finds every count; planted counts prove that the cache is read
+    planted = spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 1000)
+    other = new_path(spark, "cache")
+    planted.write.parquet(other)
+    again = by_id(token_counts.count_tokens(docs, other, BPE), "doc_id", "n_tokens")
+    assert again == expected(lambda i, s: (i, n(s) + 1000)) and spark.read.parquet(other).count() == stored
+    assert token_counts.count_tokens(empty, new_path(spark, "cache"), BPE).count() == 0
+
+
+def test_perfect_hash():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 5000))
+    zero = np.zeros(len(keys), np.int64)
+    h = token_shards.PerfectHash.build(keys, zero, np.arange(len(keys)), np.arange(len(keys)) + 7)
+    assert sorted(h.slots(keys, zero).tolist()) == list(range(len(keys)))
+    back, _ = token_shards.PerfectHash.load(h.dump({}))
+    offsets, lengths = back.find(keys, zero)
+    assert (offsets == np.arange(len(keys))).all() and (lengths == offsets + 7).all()
+    foreign = rng.integers(-(1 << 62), 1 << 62, 20000)
+    assert (back.find(foreign, np.zeros(20000, np.int64))[0] >= 0).mean() < 1e-3
+    none = token_shards.PerfectHash.build(keys[:0], zero[:0], keys[:0], keys[:0])
+    assert (none.find(keys[:3], zero[:3])[0] == -1).all()
+
+
+@pytest.mark.parametrize("n_shards", [1, 5])
+def test_shards(spark, docs, empty, n_shards):
+    t, folder = Tokenizer.from_file(BPE), new_path(spark, "shards")
+    manifest = token_shards.write_shards(docs, folder, BPE, 2, n_shards)
+    rows = sorted(((i, s or "") for i, s in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want, start = [], 0
+    for i, s in rows:
+        ids = [*t.encode(s, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert by_id(token_shards.read_shards(manifest, folder), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
+    folder = new_path(spark, "shards")
+    assert token_shards.read_shards(token_shards.write_shards(empty, folder, BPE, 2), folder).count() == 0
+
+
+# ---- media ----
+
+def test_image_round_trips():
+    rng = np.random.default_rng(2)
+    for h, w in ((1, 1), (3, 5), (8, 9), (20, 13)):
+        rgb, one = rng.integers(0, 256, (h, w, 3), np.uint8), rng.integers(0, 256, (h, w), np.uint8)
+        assert (media.decode_image(media.write_netpbm(rgb)) == rgb).all() and (media.decode_image(media.write_netpbm(one)) == one).all()
+        assert (media.decode_image(media.write_bmp(rgb)) == rgb).all()
+    assert media.decode_image(b"P2 # note\n2 1\n255\n7 9 ").tolist() == [[7, 9]]
+    assert media.decode_image(b"P1\n3 1\n101").tolist() == [[0, 255, 0]]
+    assert media.decode_image(b"P4\n3 1\n\xa0").tolist() == [[0, 255, 0]]
+    assert media.decode_image(b"P5\n1 1\n65535\n\x01\x02").tolist() == [[258]]
+    assert [media.decode_image(x) for x in (None, b"", b"GIF", b"P6\n9 9\n255\n..", b"BM123", b"P6\n")] == [None] * 6
+
+
+def test_area_resize_against_loops():
+    rng = np.random.default_rng(3)
+    for (h, w), (H, W) in itertools.product([(7, 5), (3, 11), (16, 16)], [(4, 3), (9, 8), (1, 1)]):
+        x = rng.random((h, w))
+        out = media.area_resize(x, H, W)
+        for i, j in itertools.product(range(H), range(W)):
+            ys = [max(0, min((i + 1) * h / H, y + 1) - max(i * h / H, y)) for y in range(h)]
+            xs = [max(0, min((j + 1) * w / W, k + 1) - max(j * w / W, k)) for k in range(w)]
+            assert out[i, j] == pytest.approx((np.outer(ys, xs) * x).sum() * H * W / (h * w))
+
+
+def test_media_query_contract(spark, docs, empty):
+    stored = media.texts_to_media(docs)
+    out = media.media_features(stored)
+
+    def want(i, s):
+        p = s.encode() + b" " * (max(192, -(-len(s.encode()) // 192) * 192) - len(s.encode()))
+        return i, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])
+
+    assert by_id(out, "doc_id", "payload_bytes", "payload_sha256", "tail_crc32") == expected(want)
+    assert np.load(__import__("io").BytesIO(out.first()["tile"])).shape == (8, 8, 3)
+    assert media.media_features(media.texts_to_media(empty)).count() == 0
+    assert media.media_features(spark.createDataFrame([(1, None), (2, bytearray(b"zz"))], "doc_id long, media binary")).filter("feature is null").count() == 2
+
+
+# ---- multiset hash ----
+
+def test_multiset_hash_is_homomorphic(spark):
+    rows = [("ab", "x y z\nq r"), ("ba", "q r\nx y z"), ("a", "x y z"), ("b", "q r"), ("other", "x y z\nq s"), ("twice", "q r\nq r"), ("none", ""), ("null", None), ("space", "  \n")]
+    f = {r["k"]: r for r in multiset_hash.fingerprint_of(spark.createDataFrame(rows, "k string, text string"), ["k"]).collect()}
+    assert len({f[k]["fingerprint"] for k in ("ab", "ba")}) == 1 and len({r["fingerprint"] for r in f.values()}) == 7
+    df = spark.createDataFrame([(f["ab"]["equal"], f["a"]["equal"], f["b"]["equal"], f["ab"]["signs"], f["a"]["signs"], f["b"]["signs"])], "eab array<long>, ea array<long>, eb array<long>, sab array<long>, sa array<long>, sb array<long>")
+    same = lambda x, y, z, s: F.transform(multiset_hash.combine(F.col(x), F.col(y), s), lambda v: F.pmod(v, F.lit(1 << 32))) == F.transform(F.col(z), lambda v: F.pmod(v, F.lit(1 << 32)))
+    assert df.filter(same("ea", "eb", "eab", 1) & same("sa", "sb", "sab", 1) & same("eab", "eb", "ea", -1) & same("sab", "sb", "sa", -1)).count() == 1
+
+
+def test_next_documents_and_edits(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(40)] + [(5, "again"), (None, "nobody"), (41, None), (42, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["edited_sha256"]): r for r in multiset_hash.op9_multiset_hash(spark, str(tmp_path)).collect()}
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert len(got) == len(ordered)
+    for (i, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        k = len(t) // 3
+        edited = t[: len(t) - k] + n[:k]
+        r = got[i, hashlib.sha256(edited.encode()).hexdigest()]
+        assert r["n_chars"] == len(t) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert (edited == t) <= (r["fingerprint"] == r["edited_fingerprint"])
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert multiset_hash.op9_multiset_hash(spark, f"{tmp_path}/none").count() == 0
+
+
+# ---- WARC ----
+
+def test_warc(spark, tmp_path):
+    rows = [(1, "http://a/x", "same"), (2, "http://b", "same"), (7, "http://c", "same"), (3, "http://d", None), (4, "http://e", ""), (5, None, "ü\r\n\r\nWARC/1.1\r\n"), (6, "http://f", "z" * 3_000_000), (None, "http://g", "g"), (None, "http://h", "same")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, sha1 string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    best = {}
+    for i, _, h in rows:
+        best[h or ""] = max(best.get(h or "", -1), -1 if i is None else i)
+    want = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        own = (-1 if i is None else i) == best[h or ""]
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if own else "revisit", None if own else best[h or ""]))
+    assert by_id(warc.op6_warc(spark, str(tmp_path)), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
+    folder = new_path(spark, "warc")
+    captures = warc.assemble(warc.scan_warc(warc.write_warc(warc.classify(df, min_bytes=5), folder), folder)).collect()
+    assert Counter(r["response"]["record_type"] for r in captures) == {"response": 9}
+    assert sorted(bytes(r["response"]["payload"]) for r in captures) == sorted((h or "").encode() for _, _, h in rows)
+    assert all(r["request"]["record_id"] and r["metadata"]["record_id"] for r in captures)
+    df.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert warc.op6_warc(spark, f"{tmp_path}/none").count() == 0
+
+
+# ---- line dedup ----
+
+def brute_line_dedup(rows, similarity=0.8, rounds=2):
+    import re
+
+    lines = [(i, p, re.sub(r"[^ ]*[0-9][^ ]*", "<*>", " ".join(re.split(r"[\x20\x09-\x0d]+", ln.strip(" \t\x0b\x0c\r"))))) for i, t in enumerate(t or "" for _, t in rows) for p, ln in enumerate(t.split("\n"))]
+    n = lambda m: len(m.split(" ")) if m else 0
+    lines = [x for x in lines if n(x[2]) >= 3]
+    leaf = lambda m: (n(m), tuple(m.split(" ")[:3]))
+    left, template = {}, {}
+    for m in {m for *_, m in lines if n(m) >= 8}:
+        left.setdefault(leaf(m), set()).add(m)
+    left = {k: v for k, v in left.items() if len(v) > 1}
+    for r in range(rounds):
+        for k, ms in left.items():
+            if not ms:
+                continue
+            model = [max((c, t) for t, c in Counter(m.split(" ")[j] for m in ms).items())[1] for j in range(k[0])]
+            found = {m for m in ms if sum(a == b for a, b in zip(m.split(" "), model, strict=True)) >= similarity * k[0]}
+            template |= {m: (r, k) for m in found}
+            left[k] = ms - found
+    docs = {}
+    for i, _, m in lines:
+        docs.setdefault(template.get(m, m), set()).add(i)
+    order = lambda i: (rows[i][0] is not None, rows[i][0] or 0)
+    drop = set()
+    for i, p, m in lines:
+        k = template.get(m, m)
+        if len(docs[k]) >= (2 if n(m) >= 8 else 5) and i != min(docs[k], key=order):
+            drop.add((i, p))
+    return [(r[0], None if r[1] is None else "\n".join(ln for p, ln in enumerate(r[1].split("\n")) if (i, p) not in drop)) for i, r in enumerate(rows)]
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    boiler = " ".join(words[:10])
+    rows = []
+    for i in range(60):
+        lines = [" ".join(rng.choice(words, rng.integers(1, 14))) for _ in range(rng.integers(0, 5))]
+        lines += [boiler.replace("wi", rng.choice(words))] * (i % 3 == 0) + [f"{boiler} at {i} o'clock"] * (i % 4 == 0) + ["short line here"] * (i % 5 == 0) + ["tiny two"] * (i % 2)
+        rows.append((i, "\n".join(lines)))
+    rows += [(60, None), (61, ""), (62, "\n\n  \n"), (None, f"{boiler} at 99 o'clock\nown words of this one text only")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, leaf string, n int")
+    got = by_id(line_dedup.without_recurring_lines(df), "doc_id", "text")
+    assert got == sorted(brute_line_dedup(rows), key=repr)
+    assert got != sorted(rows, key=repr)
+
+
+def test_line_dedup_repeats_and_empty(spark, empty):
+    line = "one two three four five six seven eight nine"
+    rows = [(1, line), (1, line), (2, line + "\nkept"), (3, f"{line}\n{line}")]
+    df = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+    assert by_id(line_dedup.without_recurring_lines(df), "doc_id", "text") == [(1, line), (1, line), (2, "kept"), (3, "")]
+    out = line_dedup.without_recurring_lines(empty)
+    assert out.columns == empty.columns and out.count() == 0
+
+
+# ---- SimHash ----
+
+def brute_fingerprint(text):
+    import re
+
+    import xxhash
+
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] * bool(w)
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_near_duplicates_contract(spark, docs, empty):
+    prints = {i: brute_fingerprint(t or "") for i, t in enumerate(t for _, t in ROWS)}
+    got = by_id(simhash.near_duplicates(docs), "doc_id", "fingerprint")
+    assert got == sorted(((ROWS[k][0], f"{v:016x}") for k, v in prints.items()), key=repr)
+    comp = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert comp[1, "0" * 16] == comp[2, "0" * 16] == comp[8, "0" * 16] == 1
+    assert {comp[i, f"{brute_fingerprint('a b c'):016x}"] for i in (3, 11)} == {3}
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("small_group", [2, 64])
+def test_links_give_exact_components(spark, small_group):
+    rng = np.random.default_rng(6)
+    values = set()
+    for _ in range(12):
+        centre = int(rng.integers(0, 1 << 63)) << 1
+        for _ in range(60):
+            v = centre
+            for b in rng.integers(0, 64, rng.integers(0, 4)):
+                v ^= 1 << int(b)
+            values.add(v - (1 << 64) if v >> 63 else v)
+    values = sorted(values)
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    vertices = df.select("v", F.array(F.col("v").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("v", 32)).alias("segs"))
+    root = {r["v"]: r["root"] for r in connected_components(simhash.links(vertices, 2, 32, 2, small_group)).collect()}
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(values, 2):
+        if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert {v: root.get(v, v) for v in values} == {v: find(v) for v in values}
+
+
+def test_components_of_long_paths(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 400), (400, 450)], "a long, b long")
+    got = dict(map(tuple, connected_components(edges).collect()))
+    assert got == {**{i: 0 for i in range(1, 201)}, 500: 400, 450: 400}
+
+
+def test_one_of_each_group(spark, empty):
+    rng = np.random.default_rng(7)
+    make = lambda n: rng.choice([f"t{i}" for i in range(4000)], n).tolist()
+    rows, groups = [], {}
+    for g in range(30):
+        base = make(150)
+        for c in range(3 if g % 2 else 1):
+            w = list(base)
+            if c:
+                w[int(rng.integers(10, 140))] = f"edit{g}{c}"
+            rows.append((len(rows), " ".join(w)))
+            groups.setdefault(g, []).append(rows[-1][0])
+    rows += [(900, rows[0][1]), (0, rows[0][1]), (901, None), (902, ""), (903, "two words"), (904, "two words"), (None, "without id"), (905, "without id")]
+    df = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+    kept = [r[0] for r in by_id(simhash.one_of_each_group(df), "doc_id")]
+    assert Counter(kept) == Counter([*(min(v) for v in groups.values()), None, 901, 903])
+    out = simhash.one_of_each_group(empty)
+    assert out.columns == empty.columns and out.count() == 0
+
+
+# ---- toxicity ----
+
+def toxic_tables(spark, n=600):
+    rng = np.random.default_rng(8)
+    plain = [f"{a}{b}" for a in ("ba", "ko", "mi", "te", "ru", "sa") for b in ("len", "dor", "nim", "pat", "gos", "var", "tul", "fek")]
+    docs, labels = [], []
+    for i in range(n):
+        words = rng.choice(plain, 60).tolist()
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(2):
+                words[int(rng.integers(60))] = rng.choice(["moron", "worthless"]) if i % 2 else "zarq" + rng.choice(["a", "ol", "ist", "en", "ur", "if"])
+        docs.append((i, " ".join(words) + "."))
+        if i % 3:
+            labels.append((i, 1, int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), docs
+
+
+def test_toxicity_learns_words_and_stems(spark):
+    docs, labels, rows = toxic_tables(spark)
+    model = toxicity.train(docs, labels)
+    assert any(s.startswith("zar") for s in model.lexicon.stems)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, score_col="score").collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all((got[i] >= 0.5) == (i % 5 == 0) for i in held)
+    kept = toxicity.drop_toxic(docs.withColumn("__extra", F.lit(1)), model)
+    assert kept.columns == ["doc_id", "text", "__extra"] and kept.count() == sum(1 for i, _ in rows if i % 5)
+
+
+def test_toxicity_grammar():
+    lexicon = toxicity.Lexicon(toxicity.seed_lexicon())
+    kind = lambda t: [toxicity.KINDS[i] for i in np.flatnonzero(toxicity.features(t, lexicon))]
+    assert kind("what an idiot.") == [("insult", "plain")]
+    assert kind("You are an IDIOT") == kind("an idiot you are") == [("insult", "target")]
+    assert kind("this is not stupid") == [("insult", "negation")]
+    assert kind("she said he is not an idiot") == [("insult", "report")]
+    assert kind("we will hurt you") == [("threat", "target")]
+    assert kind("he said so. what an idiot") == [("insult", "plain")]
+    assert kind("") == kind("nothing here") == []
+    one, two = (toxicity.features(t, lexicon).sum() for t in ("idiot idiot idiot", "idiot. idiot. idiot"))
+    assert one < two
+
+
+def test_toxicity_edges(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, none)
+    assert (model.weights == toxicity.DEFAULT).all()
+    odd = spark.createDataFrame([(3, 1, None), (3, 1, 1), (99, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    toxicity.train(docs, odd)
+    toxicity.train(empty, odd)
+    out = toxicity.score(docs, model, score_col="score")
+    assert out.count() == len(ROWS) and out.schema["score"].dataType.simpleString() == "double"
+    assert out.filter("score < 0 or score > 1 or score is null").count() == 0
+    assert toxicity.score(empty, model).count() == 0
+    assert by_id(docs.select("doc_id", toxicity.held_out().alias("h")).filter("doc_id is not null"), "doc_id", "h") == sorted(((i, zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in ROWS if i is not None), key=repr)
+
+
+# ---- mixing ----
+
+def quality_rows(n=400):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(n):
+        words = [f"{rng.choice(list('abcdefgh'))}{rng.choice(list('aeiou'))}nd" for _ in range(int(rng.integers(20, 80)))]
+        rows.append((i, "!! ".join(words).upper() + " ###" if i % 4 == 0 else " ".join(words).capitalize() + "."))
+    return rows
+
+
+def test_mixing_meets_targets(spark):
+    rows = quality_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i, _ in rows if i % 2 == 0 or i % 3 == 0], "doc_id long, quality int, toxic int")
+    out = mixing.mix(docs, mixing.domain_labels(labels), {"low": 0.1, "high": 0.9}).collect()
+    assert all((r["p"][0] > 0.5) == (r["id"] % 4 == 0) for r in out) and all(r["rate"] >= 0 for r in out)
+    t, p, rate = (np.array([r[c] for r in out], float) for c in ("n_tokens", "p", "rate"))
+    assert [r["n_tokens"] for r in sorted(out, key=lambda r: r["id"])] == [len(s.split()) for _, s in rows]
+    total = (t * rate)[:, None] * p
+    assert np.allclose(total.sum(axis=0) / total.sum(), [0.1, 0.9], atol=2e-3)
+    # the same problem by plain projected gradient in double precision
+    r = np.ones(len(t))
+    budget = 1.02 * (t * p[:, 1]).sum() / t.sum() / 0.9
+    target = np.array([0.1, 0.9]) * budget
+    inverse = np.linalg.inv(np.einsum("i,ij,ik->jk", t, p, p) / t.sum() + 1e-6 * np.eye(2))
+    for _ in range(200):
+        residual = (t * r) @ p / t.sum() - target
+        r = np.maximum(0, r - p @ (inverse @ residual) - 1e-3 * (r - 1))
+    assert np.abs(r - rate).max() < 2e-2
+    kept = mixing.thinned(docs, mixing.domain_labels(labels), weights={"low": 0.1, "high": 0.9})
+    ids = {x[0] for x in kept.select("doc_id").collect()}
+    assert all(i in ids for i, _ in rows if i % 4) and len(ids) < len(rows)
+
+
+def test_mixing_edges(spark, docs, empty):
+    labels = spark.createDataFrame([(3, None, 0), (4, 1, 0), (5, 0, 1), (5, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = mixing.mix(docs, mixing.domain_labels(labels)).collect()
+    assert len(out) == len(ROWS) and all(np.isfinite(r["rate"]) and r["rate"] >= 0 for r in out)
+    assert mixing.mix(docs, mixing.domain_labels(labels.limit(0))).count() == len(ROWS)
+    assert mixing.mix(empty, mixing.domain_labels(labels)).count() == 0
+    kept = mixing.thinned(docs, mixing.domain_labels(labels))
+    assert kept.columns == docs.columns and kept.count() <= len(ROWS)
+
+
+# ---- pieces ----
+
+def every_segmentation(text, vocab):
+    s, out = pieces.SPACE + text.replace(" ", pieces.SPACE), {}
+
+    def go(i, ids, lp):
+        if i == len(s):
+            out[tuple(ids)] = lp
+        for j in range(i + 1, min(len(s), i + vocab.longest) + 1):
+            if hit := vocab.weight.get(s[i:j]):
+                go(j, [*ids, hit[1]], lp + np.log(hit[0]))
+
+    go(0, [], 0.0)
+    z = np.logaddexp.reduce(list(out.values()))
+    return {k: v - z for k, v in out.items()}
+
+
+def test_samples_follow_the_distribution():
+    vocab, n = pieces.Vocabulary(SP, 1.0), 6000
+    exact = every_segmentation("ab cat", vocab)
+    p = {k: np.exp(v) for k, v in exact.items()}
+    got = pieces.sample_batch(["ab cat"] * n, np.arange(n).astype(np.uint64) * np.uint64(7919), vocab, 3)
+    first, second = (Counter(tuple(x[j][0].tolist()) for x in got) for j in (0, 1))
+    later = {b: sum(p[a] * p[b] / (1 - p[a]) for a in p if a != b) for b in p}
+    for k in p:
+        assert abs(first[k] / n - p[k]) < 4.5 * np.sqrt(p[k] / n) + 1e-3
+        assert abs(second[k] / n - later[k]) < 4.5 * np.sqrt(later[k] / n) + 1e-3
+    for x in got[:500]:
+        assert len({tuple(s[0].tolist()) for s in x}) == 3 and x[0][2] >= x[1][2] >= x[2][2]
+        assert all(abs(s[1] - exact[tuple(s[0].tolist())]) < 1e-9 for s in x)
+    # inclusion scores: 1/score is an unbiased count of a likely segmentation
+    top = max(p, key=p.get)
+    assert abs(sum(1 / s[3] for x in got for s in x if tuple(s[0].tolist()) == top) / n - 1) < 0.1
+
+
+def test_few_segmentations_and_long_units():
+    vocab = pieces.Vocabulary(SP, 1.0)
+    none, one, snow = pieces.sample_batch(["", "a", "☃"], np.array([1, 2, 3], np.uint64), vocab, 4)
+    assert [(s[0].tolist(), s[3]) for s in none] == [([], 1.0)]
+    assert {tuple(s[0].tolist()) for s in one} == set(every_segmentation("a", vocab)) and all(s[3] == 1.0 for s in one)
+    assert all(pieces.decode(s[0], vocab) == "☃" for s in snow)
+    long = "ab" * 3000
+    for s in pieces.sample_batch([long], np.array([5], np.uint64), vocab, 2)[0]:
+        assert np.isfinite(s[1]) and pieces.decode(s[0], vocab) == long
+
+
+def test_segmentations_of_rows(spark, docs, empty):
+    out = pieces.sampled_segmentations(docs, SP, k=2).collect()
+    assert all(r["round_trip"] for r in out)
+    assert all(r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in out)
+    by_key = {}
+    for r in out:
+        by_key.setdefault((r["doc_id"], r["sample"]), set()).add(r["ids_crc32"])
+    assert len(by_key[3, 0]) == 1  # repeated rows
+    assert by_key[3, 0] != by_key[11, 0] or by_key[3, 1] != by_key[11, 1]  # other keys, other draws
+    again = pieces.sampled_segmentations(docs.repartition(3), SP, k=2)
+    assert by_id(again, "doc_id", "sample", "ids_crc32") == sorted(((r["doc_id"], r["sample"], r["ids_crc32"]) for r in out), key=repr)
+    assert pieces.sampled_segmentations(empty, SP).count() == 0
+
+
