@@ -89,3 +89,15 @@ def unnested(scores: DataFrame) -> DataFrame:
     rest = [c for c in scores.columns if c != "score_vec"]
     out = scores.select(*rest, F.posexplode("score_vec").alias("i", "v"))
     return out.select(*rest, (F.col("i") + 1).alias("frame_idx"), "v.time_vec", F.col("v.score_vec").alias("score"))
+
+
+def series_spectrograms(recordings: DataFrame, wl: int, ovlp: float) -> DataFrame:
+    """(file, frame_idx, time_vec, amp) of recordings (file, rate, samples) that are columns already."""
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                t, _, amp = signal.spectrogram(np.asarray(r.samples, float), int(r.rate), wl, ovlp)
+                yield pd.DataFrame({"file": r.file, "frame_idx": np.arange(1, len(t) + 1), "time_vec": t, "amp": list(amp)})
+
+    return recordings.select("file", "rate", "samples").mapInPandas(run, "file string, frame_idx int, time_vec double, amp array<double>")

@@ -168,6 +168,14 @@ def _kernel(spark, d, method):
     return matching.match_scores(frames, pairs, method)
 
 
+@query()
+def spectrogram(spark, d):
+    rows = F.sort_array(F.collect_list(F.struct("frame_idx", "amp")))
+    recordings = st.frames(spark, d).groupBy("file").agg(F.flatten(F.transform(rows, lambda x: x["amp"])).alias("samples")).withColumn("rate", F.lit(8000))
+    out = matching.series_spectrograms(recordings, 256, 50.0)
+    return out.select("file", "frame_idx", "time_vec", F.transform("amp", lambda v: F.round(v, 6)).alias("amp"))
+
+
 @query(f"WITH {_CELLS} SELECT file, frame_idx, time_vec, round(score, 6) AS score FROM padded")
 def correlation_matching(spark, d):
     return _kernel(spark, d, "cor").select("file", "frame_idx", "time_vec", F.round("score", 6).alias("score"))
