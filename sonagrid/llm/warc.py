@@ -173,7 +173,10 @@ def scan_warc(manifest: DataFrame, folder: str, with_payload: bool = True) -> Da
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row a capture: its response or revisit, with the request and metadata that are concurrent to it."""
+    """One nested row a capture: its response or revisit, with the request and metadata that are concurrent to it.
+
+    Give it records that are a table by themselves (written): each kind is a pass over them.
+    """
     responses = records.filter(F.col("record_type").isin("response", "revisit")).select(
         F.col("record_id").alias("capture_id"), F.struct("record_id", "record_type", "target_uri", "payload_digest", "stored_digest", "payload_bytes", "payload").alias("response"))
     requests = records.filter(F.col("record_type") == "request").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target_uri").alias("request"))
@@ -185,7 +188,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, read back, assembled into captures; what each record says of its payload."""
     folder = new_path(spark, "warc")
     manifest = write_warc(classify(table(spark, sf_dir, "pages")), folder)
-    captures = written(assemble(scan_warc(manifest, folder, with_payload=False)).select(
+    # written once: the archives are parsed once, and the joins know the records' true size (a manifest's is tiny)
+    records = written(scan_warc(manifest, folder, with_payload=False), "warc-records")
+    captures = written(assemble(records).select(
         F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.stored_digest").alias("stored_digest"),
         F.col("response.payload_bytes").alias("stored_bytes"), F.col("response.record_type").alias("record_type"),
