@@ -235,7 +235,7 @@ def test_line_dedup_against_brute_force(spark):
         lines += [boiler.replace("wi", rng.choice(words))] * (i % 3 == 0) + [f"{boiler} at {i} o'clock"] * (i % 4 == 0) + ["short line here"] * (i % 5 == 0) + ["tiny two"] * (i % 2)
         rows.append((i, "\n".join(lines)))
     rows += [(60, None), (61, ""), (62, "\n\n  \n"), (None, f"{boiler} at 99 o'clock\nown words of this one text only")]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, leaf string, n int")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, drops string, n int")
     got = by_id(line_dedup.without_recurring_lines(df), "doc_id", "text")
     assert got == sorted(brute_line_dedup(rows), key=repr)
     assert got != sorted(rows, key=repr)
