@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as fm
 from ..functions import names
 from ..operators import diagnostics as dg
-from ..operators import grid, matching, peaks, review, rois, validation
+from ..operators import grid, matching, peaks, review, rois, validation, views
 from . import standins as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,6 +242,18 @@ def topn_per_pair(spark, d):
     return _peaks(spark, d, top_n=10).select("pair_id", "peak_index", "peak_quant", "detection_top_n")
 
 
+@query(f"WITH {_PEAKS} SELECT pair_id, frame_idx, time_vec, score, coalesce(sign(after - score) - sign(score - before) < 0, false) AND score >= top AND frame_idx - 10 > 0 AND frame_idx + 10 < n AS detection FROM steps WHERE time_vec BETWEEN 5 AND 40 AND score BETWEEN 0.1 AND 50")
+def score_view(spark, d):
+    return views.score_view(st.scores(spark, d), ["pair_id"], 10, (5.0, 40.0), (0.1, 50.0))
+
+
+@query(f"""WITH {st.FRAMES}, c AS (SELECT file, time_vec AS time, (unnest(range(0, 64)) * 0.125)::DOUBLE AS freq, unnest(amp)::DOUBLE * 100 - 40 AS a FROM frames WHERE time_vec BETWEEN 5 AND 20)
+  SELECT file, time, freq, round(least(greatest(a, -60.0::DOUBLE), -20.0::DOUBLE), 6) AS level FROM c WHERE freq BETWEEN 1 AND 4""")
+def spectro_view(spark, d):
+    frames = st.frames(spark, d).withColumn("amp", F.transform("amp", lambda v: v.cast("double") * 100 - 40))
+    return views.spectro_view(frames, 16000, 128, (5.0, 20.0), (1.0, 4.0), (-60.0, -20.0)).select("file", "time", "freq", F.round("level", 6).alias("level"))
+
+
 @query(f"WITH {st.FRAMES}, c AS (SELECT file, frame_idx, unnest(range(1, 65)) AS bin, abs(unnest(amp)::DOUBLE) AS a FROM frames), t AS (SELECT file, frame_idx, arg_max(bin, a) AS bin FROM c WHERE bin BETWEEN 8 AND 39 GROUP BY 1, 2) SELECT file, round(avg(bin), 6) AS dominant FROM t GROUP BY 1")
 def dominant_frequency(spark, d):
     c = st.frames(spark, d).select("file", "frame_idx", F.posexplode("amp").alias("i", "a")).filter(F.col("i").between(7, 38))
