@@ -63,7 +63,11 @@ def spread(h: np.ndarray, word: int) -> np.ndarray:
 
 
 def simhash_bits(text: str, width: int, words: int = 1, distinct: bool = False, seed: int = 42) -> np.ndarray:
-    """The fingerprint's bits, lowest first: 1 where over half of the shingles' hashes have it."""
+    """The fingerprint's bits, lowest first: 1 where over half of the shingles' hashes have it.
+
+    Of distinct shingles, a bit that exactly half have is that of the least hash; were it 0, texts of few shingles would
+    have mostly zeros, and share segments by chance.
+    """
     blocks = shingle_hashes(text, width, seed)
     if distinct:
         blocks = [np.unique(np.concatenate([*blocks, np.zeros(0, np.uint64)]))]
@@ -74,6 +78,10 @@ def simhash_bits(text: str, width: int, words: int = 1, distinct: bool = False,
             for w in range(words):
                 part = spread(h[at : at + BLOCK], w)
                 ones[64 * w : 64 * w + 64] += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if distinct and n and n % 2 == 0:
+        least = np.array([blocks[0][0]], np.uint64)  # np.unique sorts
+        own = np.concatenate([np.unpackbits(spread(least, w).astype("<u8").view(np.uint8), bitorder="little") for w in range(words)])
+        return np.where(2 * ones == n, own == 1, 2 * ones > n)
     return 2 * ones > n
 
 
