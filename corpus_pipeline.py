@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.llm.common import table, whole_text, written
+from sonagrid.llm.common import bounded_batches, table, whole_text, written
 from sonagrid.llm.line_dedup import without_recurring_lines
 from sonagrid.llm.mixing import domain_labels, thinned
 from sonagrid.llm.pieces import sampled_segmentations
@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each document."""
-    return sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+    return sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, cached_edges=2_000_000).drop("ids")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("pieces", pieces)]
@@ -51,6 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
