@@ -4,7 +4,7 @@ A fingerprint is cut into so few segments that of two linked fingerprints at lea
 most. Each segment is indexed under all its one-wildcard variants (the segment with one bit left out): segments that
 differ by one bit or not at all share a variant. Fingerprints that share one are joined by equality and verified.
 
-Groups: equal fingerprints are merged first. Sharers of a variant are paired while they are `small_group` at most, so
+Groups: equal fingerprints (for wide ones: equal sets of distinct shingles) are merged first. Sharers of a variant are paired while they are `small_group` at most, so
 pairs stay in proportion to the rows. Larger groups go another way: for fingerprints of 64 bits and two bits apart, each
 member is hashed to its own value and its 64 one-bit neighbours; two fingerprints share one of these 65 values exactly
 if they differ by two bits at most, so linking each to the smallest sharer gives the exact components without pairs.
@@ -17,6 +17,7 @@ repeated rows are equal fingerprints; a null id is ignored in the smallest id of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,11 +63,16 @@ def spread(h: np.ndarray, word: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def set_digest(hashes: np.ndarray) -> bytes:
+    """16 bytes that tell sets of shingle hashes apart; the hashes are distinct and sorted."""
+    return hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest()
+
+
 def simhash_bits(text: str, width: int, words: int = 1, distinct: bool = False, seed: int = 42) -> np.ndarray:
     """The fingerprint's bits, lowest first: 1 where over half of the shingles' hashes have it.
 
-    Of distinct shingles, a bit that exactly half have is that of the least hash; were it 0, texts of few shingles would
-    have mostly zeros, and share segments by chance.
+    Of distinct shingles, a bit that exactly half have is that of a hash of the whole set; were it 0, texts of few shingles
+    would have mostly zeros, and share segments by chance, and were it one shingle's, the others would not count.
     """
     blocks = shingle_hashes(text, width, seed)
     if distinct:
@@ -79,14 +85,17 @@ def simhash_bits(text: str, width: int, words: int = 1, distinct: bool = False,
                 part = spread(h[at : at + BLOCK], w)
                 ones[64 * w : 64 * w + 64] += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     if distinct and n and n % 2 == 0:
-        least = np.array([blocks[0][0]], np.uint64)  # np.unique sorts
-        own = np.concatenate([np.unpackbits(spread(least, w).astype("<u8").view(np.uint8), bitorder="little") for w in range(words)])
+        whole = np.frombuffer(set_digest(blocks[0])[:8], "<u8").astype(np.uint64)
+        own = np.concatenate([np.unpackbits(spread(whole, w).astype("<u8").view(np.uint8), bitorder="little") for w in range(words)])
         return np.where(2 * ones == n, own == 1, 2 * ones > n)
     return 2 * ones > n
 
 
 def segment_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1, segments: int = 2, distinct: bool = False) -> DataFrame:
-    """(id, segs): fingerprints of 64 * words bits cut into equal segments, lowest bits first."""
+    """(id, segs, digest): fingerprints of 64 * words bits cut into equal segments, lowest bits first.
+
+    digest tells the sets of distinct shingles apart; null unless distinct.
+    """
     bits = 64 * words // segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +106,12 @@ def segment_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 found = [(simhash_bits(t, width, words, distinct).reshape(segments, bits) * power).sum(axis=1) for t in batch.column(1).to_pylist()]
                 flat = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
                 segs = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, segments, dtype=np.int32), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0), segs.cast(pa.list_(pa.field("element", pa.int64())))], names=[id_col, "segs"])
+                digests = [set_digest(np.unique(np.concatenate([*shingle_hashes(t, width, 42), np.zeros(0, np.uint64)]))) if distinct else None for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), segs.cast(pa.list_(pa.field("element", pa.int64()))), pa.array(digests, pa.binary())], names=[id_col, "segs", "digest"])
 
     if 64 * words % segments or bits > 40:
         raise ValueError("segments must divide the fingerprint, into 40 bits at most")
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, segs array<bigint>"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, segs array<bigint>, digest binary"
     return docs.select(F.col(id_col), whole_text(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -111,7 +121,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def links(vertices: DataFrame, segments: int, bits: int, max_distance: int, small_group: int = 64) -> DataFrame:
-    """(a, b) edges over vertices (v, segs) with distinct segs; for 2 segments of 32 bits, v is the fingerprint."""
+    """(a, b) edges over vertices (v, segs) with distinct v; for 2 segments of 32 bits, v is the fingerprint."""
     wild = F.expr(f"cast(w % {bits} as int)")
     value = F.col("segs")[F.expr(f"cast(w div {bits} as int)")]
     bit = F.expr("shiftright(value, wild)").bitwiseAND(F.lit(1))
@@ -196,7 +206,7 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
     own = docs.withColumn("__sha", F.unhex(F.sha2(text, 256)))
     rows = own.select(F.struct(F.col(id_col).alias("id"), F.col("__sha").alias("sha")).alias("k"), text.alias("text"))
     found = written(segment_fingerprints(rows, "k", "text", **WIDE), "simhash-wide")
-    classes = written(found.groupBy("segs").agg(F.min("k").alias("k")).withColumn("v", F.monotonically_increasing_id()), "simhash-classes")
+    classes = written(found.groupBy("digest").agg(F.min("k").alias("k"), F.first("segs").alias("segs")).withColumn("v", F.monotonically_increasing_id()), "simhash-classes")
     edges = links(classes.select("v", "segs"), WIDE["segments"], bits, bits_for(similarity, 64 * WIDE["words"]))
     texts = rows.join(classes.select("k", "v"), "k").select("v", "text")
     roots = connected_components(verified(edges, texts, WIDE["width"], similarity))

@@ -328,6 +328,18 @@ def test_one_of_each_group(spark, empty):
     assert out.columns == empty.columns and out.count() == 0
 
 
+def test_texts_of_two_shingles_are_verified(spark):
+    import random
+
+    words = [f"u{i}" for i in range(300)]
+    rows, r = [], random.Random(11)
+    for g in range(40):
+        first = r.sample(words, 5)
+        rows += [(3 * g, " ".join(first)), (3 * g + 1, " ".join([*first, f"x{g}"])), (3 * g + 2, " ".join([*first, f"y{g}"]))]
+    df = spark.createDataFrame([(*x, "", "") for x in rows], SCHEMA)  # similar by a half and a third
+    assert [x[0] for x in by_id(simhash.one_of_each_group(df), "doc_id")] == sorted((i for i, _ in rows), key=lambda i: repr((i,)))
+
+
 # ---- toxicity ----
 
 def toxic_tables(spark, n=600):
