@@ -1,15 +1,16 @@
-"""SimHash near-duplicates, linked through deletion-variant signatures.
+"""SimHash near-duplicates, linked through deletion-variant signatures; and near-duplicates by Jaccard similarity.
 
 A fingerprint is cut into so few segments that of two linked fingerprints at least one segment differs by one bit at
 most. Each segment is indexed under all its one-wildcard variants (the segment with one bit left out): segments that
 differ by one bit or not at all share a variant. Fingerprints that share one are joined by equality and verified.
 
-Groups: equal fingerprints (for wide ones: equal sets of distinct shingles) are merged first. Sharers of a variant are paired while they are `small_group` at most, so
-pairs stay in proportion to the rows. Larger groups go another way: for fingerprints of 64 bits and two bits apart, each
-member is hashed to its own value and its 64 one-bit neighbours; two fingerprints share one of these 65 values exactly
-if they differ by two bits at most, so linking each to the smallest sharer gives the exact components without pairs.
-For wide fingerprints, which only nominate candidates, members are compared with two leaders of each variant that they
-share; candidates are then verified by the Jaccard similarity of their whole shingle sets.
+Groups: equal fingerprints are merged first. Sharers of a variant are paired while they are `small_group` at most, so
+pairs stay in proportion to the rows. Larger groups go another way: each member is hashed to its own value and its 64
+one-bit neighbours; two fingerprints share one of these 65 values exactly if they differ by two bits at most, so linking
+each to the smallest sharer gives the exact components without pairs.
+
+The pipeline's near-duplicates need no fingerprint: texts with equal sets of distinct shingles are merged, sets that share
+a shingle of their prefixes are candidates, and whole sets verify them. That finds every pair of the wanted similarity.
 
 Edge cases: a null text is the empty one; texts without words have the fingerprint zero and are linked with each other;
 repeated rows are equal fingerprints; a null id is ignored in the smallest id of a component unless all are null.
@@ -68,50 +69,32 @@ def set_digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-def simhash_bits(text: str, width: int, words: int = 1, distinct: bool = False, seed: int = 42) -> np.ndarray:
-    """The fingerprint's bits, lowest first: 1 where over half of the shingles' hashes have it.
-
-    Of distinct shingles, a bit that exactly half have is that of a hash of the whole set; were it 0, texts of few shingles
-    would have mostly zeros, and share segments by chance, and were it one shingle's, the others would not count.
-    """
-    blocks = shingle_hashes(text, width, seed)
-    if distinct:
-        blocks = [np.unique(np.concatenate([*blocks, np.zeros(0, np.uint64)]))]
-    ones, n = np.zeros(64 * words, np.int64), 0
-    for h in blocks:
+def simhash_bits(text: str, width: int, seed: int = 42) -> np.ndarray:
+    """The fingerprint's 64 bits, lowest first: 1 where over half of the shingles' hashes have it."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, width, seed):
         n += len(h)
-        for at in range(0, len(h), BLOCK):
-            for w in range(words):
-                part = spread(h[at : at + BLOCK], w)
-                ones[64 * w : 64 * w + 64] += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    if distinct and n and n % 2 == 0:
-        whole = np.frombuffer(set_digest(blocks[0])[:8], "<u8").astype(np.uint64)
-        own = np.concatenate([np.unpackbits(spread(whole, w).astype("<u8").view(np.uint8), bitorder="little") for w in range(words)])
-        return np.where(2 * ones == n, own == 1, 2 * ones > n)
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return 2 * ones > n
 
 
-def segment_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1, segments: int = 2, distinct: bool = False) -> DataFrame:
-    """(id, segs, digest): fingerprints of 64 * words bits cut into equal segments, lowest bits first.
-
-    digest tells the sets of distinct shingles apart; null unless distinct.
-    """
-    bits = 64 * words // segments
+def segment_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, segments: int = 2) -> DataFrame:
+    """(id, segs): fingerprints of 64 bits cut into equal segments, lowest bits first."""
+    bits = 64 // segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = np.left_shift(np.int64(1), np.arange(bits))
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                found = [(simhash_bits(t, width, words, distinct).reshape(segments, bits) * power).sum(axis=1) for t in batch.column(1).to_pylist()]
+                found = [(simhash_bits(t, width).reshape(segments, bits) * power).sum(axis=1) for t in batch.column(1).to_pylist()]
                 flat = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
                 segs = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, segments, dtype=np.int32), flat)
-                digests = [set_digest(np.unique(np.concatenate([*shingle_hashes(t, width, 42), np.zeros(0, np.uint64)]))) if distinct else None for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), segs.cast(pa.list_(pa.field("element", pa.int64()))), pa.array(digests, pa.binary())], names=[id_col, "segs", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), segs.cast(pa.list_(pa.field("element", pa.int64())))], names=[id_col, "segs"])
 
-    if 64 * words % segments or bits > 40:
+    if 64 % segments or bits > 40:
         raise ValueError("segments must divide the fingerprint, into 40 bits at most")
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, segs array<bigint>, digest binary"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, segs array<bigint>"
     return docs.select(F.col(id_col), whole_text(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -122,6 +105,8 @@ def distance(a: Column, b: Column) -> Column:
 
 def links(vertices: DataFrame, segments: int, bits: int, max_distance: int, small_group: int = 64) -> DataFrame:
     """(a, b) edges over vertices (v, segs) with distinct v; for 2 segments of 32 bits, v is the fingerprint."""
+    if (segments, bits, max_distance) != (2, 32, 2):
+        raise ValueError("exact for two segments of 32 bits and two differing bits only")
     wild = F.expr(f"cast(w % {bits} as int)")
     value = F.col("segs")[F.expr(f"cast(w div {bits} as int)")]
     bit = F.expr("shiftright(value, wild)").bitwiseAND(F.lit(1))
@@ -137,16 +122,8 @@ def links(vertices: DataFrame, segments: int, bits: int, max_distance: int, smal
     once = (F.col("x.bit") != F.col("y.bit")) | (F.shiftright("x.key", 40) % bits == 0)
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & once).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
     many = members.filter(F.col("n") > small_group)
-    exact = segments == 2 and bits == 32 and max_distance == 2
-    if not exact:
-        rank = F.xxhash64("v", "key")
-        leaders = many.groupBy("key").agg(F.min_by("v", rank).alias("l1"), F.max_by("v", rank).alias("l2"))
-        led = many.select("key", "v").join(leaders, "key").select("v", F.explode(F.array("l1", "l2")).alias("l")).filter("v <> l")
-        pairs = pairs.union(led.select(F.least("v", "l").alias("a"), F.greatest("v", "l").alias("b")))
     sides = [vertices.select(F.col("v").alias(c), F.col("segs").alias(f"segs_{c}")) for c in "ab"]
     close = pairs.distinct().join(sides[0], "a").join(sides[1], "b").filter(distance(F.col("segs_a"), F.col("segs_b")) <= max_distance).select("a", "b")
-    if not exact:
-        return close
     near = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     balls = many.select("v").distinct().select("v", F.explode(F.concat(F.array("v"), near)).alias("hub"))
     least = balls.groupBy("hub").agg(F.min("v").alias("m"), F.count("*").alias("n")).filter("n > 1")
@@ -165,14 +142,95 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(named, "v").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("v"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's fingerprints: 5-word shingles, 192 bits in 8 segments of 24.
-WIDE = {"width": 5, "words": 3, "segments": 8, "distinct": True}
+#: Shingles of so many words make the pipeline's near-duplicates.
+WIDTH = 5
+#: Of documents in the sample that finds common shingles, one in so many; and so many common shingles are told to tasks.
+SAMPLED, COMMON = 16, 200_000
+#: Groups of a prefix shingle up to this size are paired; in larger ones, while the pairs left are more than PAIRS_A_ROW for
+#: each of their rows, members meet leaders first, for LEADER_ROUNDS at most; then all pairs left follow.
+SMALL_GROUP, PAIRS_A_ROW, LEADER_ROUNDS = 64, 8, 8
+#: Distinct words whose hashes a worker keeps.
+KEPT_WORDS = 1_000_000
+
+
+class _WordHashes(dict):
+    """XXH64 of words, kept."""
 
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
-def bits_for(similarity: float, bits: int, spread_sd: float = 2.0) -> int:
-    """Differing bits of candidates for that Jaccard similarity: the expected number and so many s.d. more."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + spread_sd * (bits * p * (1 - p)) ** 0.5)
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def distinct_shingles(text: str, width: int, hashes: dict) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles, mixed from their words' hashes; of all words together if they are fewer."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    width = min(width, len(h))
+    if not width:
+        return h
+    mixed = np.full(len(h) - width + 1, width, np.uint64)
+    for i in range(width):
+        mixed = spread(mixed ^ h[i : len(h) - width + 1 + i], i + 1)
+    return np.unique(mixed)
+
+
+def common_shingles(rows: DataFrame, width: int, small_group: int = SMALL_GROUP, sampled: int = SAMPLED, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and sampled counts of shingles that many texts of (k, text) have; the most common ones, `most` at most.
+
+    They only set the order in which prefixes are taken, so what the sample misses costs pairs, not results.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for whole in batches:
+            for text in whole.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(text, width, hashes).view(np.int64))], names=["h"])
+
+    chosen = rows.filter(F.pmod(F.xxhash64("k"), F.lit(sampled)) == 0).select("text")
+    counted = written(chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, small_group // sampled)), "common-shingles")
+    sizes = sorted(((r["n"], r["rows"]) for r in counted.groupBy("n").agg(F.count("*").alias("rows")).collect()), reverse=True)
+    total, cut = 0, None
+    for n, many in sizes:
+        total += many
+        if total > most:
+            break
+        cut = n
+    found = [] if cut is None else counted.filter(F.col("n") >= cut).collect()
+    h, n = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(rows: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(k, digest, size, keys): a text's number of distinct shingles, and as keys the first ones in an order of all shingles.
+
+    The order is by the sampled count, then by hash. Of a set of n, the first n - ceil(similarity * n) + 1 are taken; two
+    sets of that Jaccard similarity then have one of these in common, whatever the order.
+    """
+    hs, ns = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                digests, sizes, keys = [], [], []
+                for text in batch.column(1).to_pylist():
+                    s = distinct_shingles(text, width, hashes)
+                    digests.append(set_digest(s))
+                    sizes.append(len(s))
+                    taken = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
+                    if len(hs):
+                        place = np.minimum(np.searchsorted(hs, s), len(hs) - 1)
+                        s = s[np.argsort(np.where(hs[place] == s, ns[place], 0), kind="stable")]
+                    keys.append(s[:taken].view(np.int64))
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate([*keys, np.zeros(0, np.int64)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists.cast(pa.list_(pa.field("element", pa.int64())))], names=["k", "digest", "size", "keys"])
+
+    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, digest binary, size long, keys array<bigint>")
 
 
 def shingle_set(text: Column, width: int) -> Column:
@@ -199,17 +257,56 @@ def verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float)
     return edges.join(x, "a").join(y, "b").filter((total == 0) | (common >= similarity * total)).select("a", "b")
 
 
+def similar_components(classes: DataFrame, texts: DataFrame, width: int, similarity: float, small_group: int = SMALL_GROUP) -> DataFrame:
+    """(v, root) of the graph of all pairs with that Jaccard similarity, for vertices (v, size, keys) and texts (v, text).
+
+    Sharers of a key are candidates. Keys with the same sharers are one group. Of large groups, members meet leaders first;
+    the pairs that follow are all those whose components still differ, so none that could join two components is left out.
+    """
+    keyed = classes.select("v", "size", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("s1"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("s2")).filter("n > 1")
+    groups = shared.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
+    members = written(keyed.join(groups, "key"), "prefix-groups")
+    alike = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
+    ordered = (F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
+    few, many = members.filter(F.col("n") <= small_group).alias("x"), members.filter(F.col("n") > small_group)
+    pairs = few.join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & alike).select(*ordered)
+    edges = written(verified(pairs.distinct(), texts, width, similarity), "similar")
+    roots = connected_components(edges)
+    if many.isEmpty():
+        return roots
+    for i in range(LEADER_ROUNDS + 1):
+        placed = written(many.join(roots, "v", "left").select("key", "v", "size", "n", F.coalesce("root", "v").alias("root")), "placed")
+        parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("parts"))
+        mixed = parts.filter("parts > 1")
+        rest, rows = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+        if not rows:
+            break
+        x = placed.join(mixed.select("key"), "key", "left_semi").alias("x")
+        last = i == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows
+        if last:
+            other, once = x.alias("y"), F.col("x.v") < F.col("y.v")
+        else:
+            rank = F.xxhash64("v", "key", F.lit(i))
+            led = x.groupBy("key").agg(F.min_by(F.struct("v", "size", "root"), rank).alias("l"), F.max_by(F.struct("v", "size", "root"), rank).alias("m"))
+            other, once = led.select("key", F.inline(F.array("l", "m"))).alias("y"), F.lit(True)
+        pairs = x.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & alike).select(*ordered)
+        edges = edges.union(written(verified(pairs.distinct(), texts, width, similarity), "similar"))
+        roots = connected_components(edges)
+        if last:
+            break
+    return roots
+
+
 def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row of the smallest id stays, the text breaks ties."""
-    bits = 64 * WIDE["words"] // WIDE["segments"]
     text = whole_text(text_col)
     own = docs.withColumn("__sha", F.unhex(F.sha2(text, 256)))
     rows = own.select(F.struct(F.col(id_col).alias("id"), F.col("__sha").alias("sha")).alias("k"), text.alias("text"))
-    found = written(segment_fingerprints(rows, "k", "text", **WIDE), "simhash-wide")
-    classes = written(found.groupBy("digest").agg(F.min("k").alias("k"), F.first("segs").alias("segs")).withColumn("v", F.monotonically_increasing_id()), "simhash-classes")
-    edges = links(classes.select("v", "segs"), WIDE["segments"], bits, bits_for(similarity, 64 * WIDE["words"]))
+    found = written(prefixes(rows, WIDTH, similarity, common_shingles(rows, WIDTH)), "prefixes")
+    classes = written(found.groupBy("digest").agg(F.min("k").alias("k"), F.first("size").alias("size"), F.first("keys").alias("keys")).withColumn("v", F.monotonically_increasing_id()).drop("digest"), "shingle-classes")
     texts = rows.join(classes.select("k", "v"), "k").select("v", "text")
-    roots = connected_components(verified(edges, texts, WIDE["width"], similarity))
+    roots = similar_components(classes, texts, WIDTH, similarity)
     rooted = classes.join(roots, "v", "left").select("k", F.coalesce("root", "v").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("k").alias("k"))
     repeated = found.groupBy("k").agg(F.count("*").alias("__rows"))  # rows that agree in id and text

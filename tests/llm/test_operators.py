@@ -340,6 +340,41 @@ def test_texts_of_two_shingles_are_verified(spark):
     assert [x[0] for x in by_id(simhash.one_of_each_group(df), "doc_id")] == sorted((i for i, _ in rows), key=lambda i: repr((i,)))
 
 
+@pytest.mark.parametrize("rounds", [0, 8])
+def test_crowded_groups_keep_every_link(spark, monkeypatch, rounds):
+    """Several hundred different edits of two texts, drifting away from them, and copies near the limit, against all pairs."""
+    monkeypatch.setattr(simhash, "LEADER_ROUNDS", rounds)
+    rng = np.random.default_rng(12)
+    rows = []
+    for f in range(2):
+        base = [f"f{f}w{i}" for i in range(60)]
+        for c in range(170):
+            w = list(base)
+            for p in rng.choice(np.arange(c % 7, 60, 7), rng.integers(0, 4), replace=False):  # edits apart add up to less than 0.8
+                w[p] = f"e{rng.integers(0, 3)}"
+            rows.append((len(rows), " ".join(w)))
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(54)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[: 41 + g % 4], *(f"g{g}x{i}" for i in range(13 - 4 * (g % 4)))]))]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        common = len(sets[a] & sets[b])
+        if common and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+    want = {i for i in range(len(rows)) if find(i) == i}
+    assert {r["doc_id"] for r in simhash.one_of_each_group(df).collect()} == want
+    assert 90 < len(want) < len(rows) - 200
+
+
 # ---- toxicity ----
 
 def toxic_tables(spark, n=600):
