@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; documents that lose every line go."""
-    lines = without_recurring_lines(docs, n_dropped="__dropped")
+    lines = without_recurring_lines(docs, n_dropped="__dropped", cluster=True)
     return lines.filter((F.col("__dropped") == 0) | (whole_text() != "")).select(*docs.columns)
 
 

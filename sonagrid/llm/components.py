@@ -7,10 +7,16 @@ lineage. The number of rounds grows with the logarithm of the longest path.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path
+from .common import drop_path, new_path, written
+
+#: Groups of a shared key up to this size are paired; in larger ones, while the pairs left are more than PAIRS_A_ROW for
+#: each of their rows, members meet leaders first, for LEADER_ROUNDS at most; then all pairs left follow.
+SMALL_GROUP, PAIRS_A_ROW, LEADER_ROUNDS = 64, 8, 8
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,3 +49,43 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before:
             return current.select(F.col("a").alias("v"), F.col("b").alias("root"))
         before = state
+
+
+def similar_components(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, small_group: int = SMALL_GROUP) -> DataFrame:
+    """(v, root) of the graph of all pairs that share a key and pass: keyed has (v, size, key), verify takes edges and keeps those that hold.
+
+    No pair holds of which one size is less than similarity times the other. Sharers of a key are candidates. Keys with the same sharers are one group. Of large groups, members meet leaders first;
+    the pairs that follow are all those whose components still differ, so none that could join two components is left out.
+    """
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("s1"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("s2")).filter("n > 1")
+    groups = shared.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
+    members = written(keyed.join(groups, "key"), "prefix-groups")
+    alike = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
+    ordered = (F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
+    few, many = members.filter(F.col("n") <= small_group).alias("x"), members.filter(F.col("n") > small_group)
+    pairs = few.join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & alike).select(*ordered)
+    edges = written(verify(pairs.distinct()), "similar")
+    roots = connected_components(edges)
+    if many.isEmpty():
+        return roots
+    for i in range(LEADER_ROUNDS + 1):
+        placed = written(many.join(roots, "v", "left").select("key", "v", "size", "n", F.coalesce("root", "v").alias("root")), "placed")
+        parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("parts"))
+        mixed = parts.filter("parts > 1")
+        rest, rows = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+        if not rows:
+            break
+        x = placed.join(mixed.select("key"), "key", "left_semi").alias("x")
+        last = i == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows
+        if last:
+            other, once = x.alias("y"), F.col("x.v") < F.col("y.v")
+        else:
+            rank = F.xxhash64("v", "key", F.lit(i))
+            led = x.groupBy("key").agg(F.min_by(F.struct("v", "size", "root"), rank).alias("l"), F.max_by(F.struct("v", "size", "root"), rank).alias("m"))
+            other, once = led.select("key", F.inline(F.array("l", "m"))).alias("y"), F.lit(True)
+        pairs = x.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & alike).select(*ordered)
+        edges = edges.union(written(verify(pairs.distinct()), "similar"))
+        roots = connected_components(edges)
+        if last:
+            break
+    return roots

@@ -4,7 +4,9 @@ Each line is cut into tokens, tokens with digits become a variable field. A tree
 their number of tokens, then by the leading tokens. Lines in a leaf whose tokens agree for the most part are one
 template: a leaf's template holds at each place the token that most of its lines have, and a line belongs to it if it
 has at least `similarity` of these tokens; the places that differ are generalised to variable fields. Lines that
-don't belong to it go to the leaf's next template, for `rounds` rounds; after them each line is its own template.
+don't belong to it go to the leaf's next template, for `rounds` rounds; after them each line is its own template. With
+`cluster`, the lines that are left, and shorter ones, are linked within their leaf where two have that share of equal
+tokens, however many templates this makes of a leaf; linked lines are one template.
 
 A template that lines of at least two documents share (short lines: `short_docs` documents; very short lines never
 count) is recurring. Its lines stay in the document of the smallest id, and are dropped from all others.
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, table, whole_text, written
+from .components import similar_components
 
 DEPTH = 3
 FIELD = "<*>"
@@ -62,20 +65,50 @@ def leaf_templates(lines: DataFrame, similarity: float) -> DataFrame:
     return lines.join(model, "leaf").filter(matched >= similarity * F.size("tokens")).select("leaf", "h1", "h2")
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 3, long_tokens: int = 8, short_docs: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+def _differing(n: Column, similarity: float) -> Column:
+    """In how many of n places two lines of that similarity may differ."""
+    return n - F.ceil(similarity * n - 1e-9)
+
+
+def leaf_clusters(lines: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, h1, h2, template): the lines (leaf, h1, h2, tokens) that are linked with others of their leaf.
+
+    Two lines that differ in d places at most agree in one of d + 1 runs of places at least, which are the keys.
+    """
+    own = written(lines.withColumn("v", F.monotonically_increasing_id()), "cluster-lines")
+    n = F.size("tokens")
+    runs = _differing(n, similarity) + 1
+    at = lambda i: (DEPTH + F.floor(i * (n - DEPTH) / runs)).cast("int")
+    keys = F.transform(F.sequence(F.lit(0).cast("long"), runs - 1), lambda i: F.xxhash64("leaf", i, F.slice("tokens", at(i) + 1, at(i + 1) - at(i))))
+    keyed = own.filter(runs > 1).select("v", n.alias("size"), F.explode(keys).alias("key"))
+
+    def verify(edges: DataFrame) -> DataFrame:
+        x, y = (own.select(F.col("v").alias(c), F.col("leaf").alias(f"l{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
+        matched = F.aggregate(F.zip_with("ta", "tb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
+        return edges.join(x, "a").join(y, "b").filter((F.col("la") == F.col("lb")) & (matched >= similarity * F.size("ta") - 1e-9)).select("a", "b")
+
+    roots = similar_components(keyed, verify, similarity)
+    members = roots.union(roots.select("root", "root").distinct()).toDF("v", "root")
+    return own.join(members, "v").select("leaf", "h1", "h2", F.xxhash64(F.lit("cluster"), "root").alias("template"))
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 3, long_tokens: int = 8, short_docs: int = 5, similarity: float = 0.8, rounds: int = 2, cluster: bool = False) -> DataFrame:
     """(id, rh, drops): for each document with lines to drop their places; rh is the hash of its text."""
     cut = exploded(docs, id_col, text_col)
     lines = written(cut.drop("masked"), "lines").filter(F.col("n") >= min_tokens)
     long = F.col("n") >= long_tokens
-    leaves = written(lines.filter(long).groupBy("leaf").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).filter("a <> b").select("leaf"), "leaves")
-    inside = cut.join(_small(leaves), "leaf", "left_semi").filter(long)
-    left = written(inside.groupBy("leaf", "h1", "h2").agg(F.first("masked").alias("masked")).select("leaf", "h1", "h2", F.split("masked", " ").alias("tokens")), "leaf-lines")
-    general = None
+    wide = long | ((F.col("n") >= min_tokens) & (_differing(F.col("n"), similarity) > 0)) if cluster else long
+    leaves = written(lines.filter(wide).groupBy("leaf").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).filter("a <> b").select("leaf"), "leaves")
+    inside = cut.join(_small(leaves), "leaf", "left_semi").filter(wide)
+    every = written(inside.groupBy("leaf", "h1", "h2").agg(F.first("masked").alias("masked")).select("leaf", "h1", "h2", F.split("masked", " ").alias("tokens")), "leaf-lines")
+    left, general = every.filter(F.size("tokens") >= long_tokens), None
     for i in range(rounds):
         found = written(leaf_templates(left, similarity).withColumn("template", F.xxhash64(F.lit(i), "leaf")), "templates")
         general = found if general is None else general.union(found)
         if i + 1 < rounds:
             left = left.join(found, ["leaf", "h1", "h2"], "left_anti")
+    if cluster:
+        general = general.union(written(leaf_clusters(every.join(general, ["leaf", "h1", "h2"], "left_anti"), similarity), "clusters"))
     key = F.when(F.col("template").isNotNull(), F.struct(F.col("template").alias("t"), F.lit(0).alias("u"), F.lit(True).alias("general"))).otherwise(F.struct(F.col("h1").alias("t"), F.col("h2").alias("u"), F.lit(False).alias("general")))
     placed = lines.join(_small(general.select("h1", "h2", "template")), ["h1", "h2"], "left").select("id", "rh", "pos", "n", key.alias("k"))
     per_doc = placed.groupBy("k", "id", "rh").agg(F.max("n").alias("n"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, table, whole_text, written
-from .components import connected_components
+from .components import SMALL_GROUP, connected_components, similar_components
 
 SLICE = 256
 #: Shingles whose bits are counted at once.
@@ -146,9 +146,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDTH = 5
 #: Of documents in the sample that finds common shingles, one in so many; and so many common shingles are told to tasks.
 SAMPLED, COMMON = 16, 200_000
-#: Groups of a prefix shingle up to this size are paired; in larger ones, while the pairs left are more than PAIRS_A_ROW for
-#: each of their rows, members meet leaders first, for LEADER_ROUNDS at most; then all pairs left follow.
-SMALL_GROUP, PAIRS_A_ROW, LEADER_ROUNDS = 64, 8, 8
 #: Distinct words whose hashes a worker keeps.
 KEPT_WORDS = 1_000_000
 
@@ -257,47 +254,6 @@ def verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float)
     return edges.join(x, "a").join(y, "b").filter((total == 0) | (common >= similarity * total)).select("a", "b")
 
 
-def similar_components(classes: DataFrame, texts: DataFrame, width: int, similarity: float, small_group: int = SMALL_GROUP) -> DataFrame:
-    """(v, root) of the graph of all pairs with that Jaccard similarity, for vertices (v, size, keys) and texts (v, text).
-
-    Sharers of a key are candidates. Keys with the same sharers are one group. Of large groups, members meet leaders first;
-    the pairs that follow are all those whose components still differ, so none that could join two components is left out.
-    """
-    keyed = classes.select("v", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("s1"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("s2")).filter("n > 1")
-    groups = shared.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
-    members = written(keyed.join(groups, "key"), "prefix-groups")
-    alike = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
-    ordered = (F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
-    few, many = members.filter(F.col("n") <= small_group).alias("x"), members.filter(F.col("n") > small_group)
-    pairs = few.join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & alike).select(*ordered)
-    edges = written(verified(pairs.distinct(), texts, width, similarity), "similar")
-    roots = connected_components(edges)
-    if many.isEmpty():
-        return roots
-    for i in range(LEADER_ROUNDS + 1):
-        placed = written(many.join(roots, "v", "left").select("key", "v", "size", "n", F.coalesce("root", "v").alias("root")), "placed")
-        parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("parts"))
-        mixed = parts.filter("parts > 1")
-        rest, rows = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-        if not rows:
-            break
-        x = placed.join(mixed.select("key"), "key", "left_semi").alias("x")
-        last = i == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows
-        if last:
-            other, once = x.alias("y"), F.col("x.v") < F.col("y.v")
-        else:
-            rank = F.xxhash64("v", "key", F.lit(i))
-            led = x.groupBy("key").agg(F.min_by(F.struct("v", "size", "root"), rank).alias("l"), F.max_by(F.struct("v", "size", "root"), rank).alias("m"))
-            other, once = led.select("key", F.inline(F.array("l", "m"))).alias("y"), F.lit(True)
-        pairs = x.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & alike).select(*ordered)
-        edges = edges.union(written(verified(pairs.distinct(), texts, width, similarity), "similar"))
-        roots = connected_components(edges)
-        if last:
-            break
-    return roots
-
-
 def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row of the smallest id stays, the text breaks ties."""
     text = whole_text(text_col)
@@ -306,7 +262,8 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
     found = written(prefixes(rows, WIDTH, similarity, common_shingles(rows, WIDTH)), "prefixes")
     classes = written(found.groupBy("digest").agg(F.min("k").alias("k"), F.first("size").alias("size"), F.first("keys").alias("keys")).withColumn("v", F.monotonically_increasing_id()).drop("digest"), "shingle-classes")
     texts = rows.join(classes.select("k", "v"), "k").select("v", "text")
-    roots = similar_components(classes, texts, WIDTH, similarity)
+    keyed = classes.select("v", "size", F.explode("keys").alias("key"))
+    roots = similar_components(keyed, lambda edges: verified(edges, texts, WIDTH, similarity), similarity)
     rooted = classes.join(roots, "v", "left").select("k", F.coalesce("root", "v").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("k").alias("k"))
     repeated = found.groupBy("k").agg(F.count("*").alias("__rows"))  # rows that agree in id and text

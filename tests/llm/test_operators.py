@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sonagrid.llm import encoding, line_dedup, media, mixing, multiset_hash, pieces, simhash, token_counts, token_shards, toxicity, warc
 from sonagrid.llm.common import new_path
 from sonagrid.llm.components import connected_components
@@ -250,6 +251,21 @@ def test_line_dedup_repeats_and_empty(spark, empty):
     assert out.columns == empty.columns and out.count() == 0
 
 
+def test_line_dedup_of_many_families_in_a_leaf(spark):
+    """Ten families of long lines and ten of short ones, each in one leaf and with a name as variable field."""
+    names = [f"{a}{b}" for a in ("an", "be", "co") for b in ("ra", "li", "mo")]
+    rows, want = [], []
+    for d, name in enumerate(names):
+        long = [" ".join(["dear", "reader", "of", *(f"f{chr(97 + f)}{chr(97 + j)}" for j in range(f % 4)), name, *(f"f{chr(97 + f)}{chr(97 + j)}" for j in range(f % 4, 8))]) for f in range(10)]
+        short = [f"see also page {chr(97 + f)}x {chr(97 + f)}y {name}" for f in range(10)]
+        own = [f"dear reader of {' '.join(f'o{chr(97 + d)}{chr(97 + j)}' for j in range(9))}", f"see also page {name} {name}z end"]
+        rows.append((d, "\n".join([*long, *own, *short])))
+        want.append((d, rows[0][1] if d == 0 else "\n".join(own)))
+    df = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+    assert by_id(line_dedup.without_recurring_lines(df, cluster=True), "doc_id", "text") == sorted(want, key=repr)
+    assert by_id(corpus_pipeline.line_dedup(spark, df, ""), "doc_id", "text") == sorted(want, key=repr)
+
+
 # ---- SimHash ----
 
 def brute_fingerprint(text):
@@ -343,7 +359,7 @@ def test_texts_of_two_shingles_are_verified(spark):
 @pytest.mark.parametrize("rounds", [0, 8])
 def test_crowded_groups_keep_every_link(spark, monkeypatch, rounds):
     """Several hundred different edits of two texts, drifting away from them, and copies near the limit, against all pairs."""
-    monkeypatch.setattr(simhash, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr("sonagrid.llm.components.LEADER_ROUNDS", rounds)
     rng = np.random.default_rng(12)
     rows = []
     for f in range(2):
