@@ -39,8 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of each document."""
-    return sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, cached_edges=2_000_000).drop("ids")
+    """Two distinct sampled segmentations of each document, with their ids."""
+    return sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), cached_edges=2_000_000)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("pieces", pieces)]

@@ -481,7 +481,7 @@ def sampled_segmentations(docs: DataFrame, model_file: str, k: int = 2, alpha: f
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of every text of documents, checked by decoding."""
+    """Two distinct sampled segmentations of every text of documents with their ids, checked by decoding."""
     import public_tokenizers
 
-    return sampled_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+    return sampled_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -55,6 +55,27 @@ def test_stages_in_order(spark, tmp_path):
         before = after
 
 
+@pytest.mark.parametrize("name", ["op2_pieces", "pieces"])
+def test_pieces_return_their_ids(spark, name):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+
+    from sonagrid.llm.pieces import SPACE, decode, vocabulary
+
+    vocab = vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    docs = table(spark, DIR, "documents")
+    out = QUERIES[name](spark, DIR) if name in QUERIES else corpus_pipeline.pieces(spark, docs, DIR)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.limit(20).collect()}
+    rows = [r for r in out.collect() if r["doc_id"] in texts]
+    assert rows
+    for r in rows:
+        ids = np.array(r["ids"], np.int64)
+        assert len(ids) == r["n_pieces"] and zlib.crc32(ids.astype("<u4").tobytes()) == r["ids_crc32"]
+        assert decode(ids, vocab) == texts[r["doc_id"]].replace(SPACE, " ")
+
+
 def test_run_gives_rows(spark):
     assert corpus_pipeline.run(spark, DIR).count() > 0
     assert len(corpus_pipeline.STAGES) == 5
