@@ -3,20 +3,23 @@
 Each step links vertices to the smallest vertex of their neighbourhood, found by an aggregate with partial sums; no
 vertex's neighbours are gathered in one place. Each round's edges are written to the shared folder, which ends their
 lineage. The number of rounds grows with the logarithm of the longest path.
+
+Edge cases: an empty edge table gives an empty result; edges from a vertex to itself and repeated edges change nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_path, new_path, written
 
-#: Groups of a shared key up to this size are paired; in larger ones, while the pairs left are more than PAIRS_A_ROW for
-#: each of their rows, members meet leaders first, for LEADER_ROUNDS at most; then all pairs left follow.
-SMALL_GROUP, PAIRS_A_ROW, LEADER_ROUNDS = 64, 8, 8
+#: Groups of a shared key up to this size are paired at once. In larger ones members meet two leaders, then, if more than
+#: PAIRS_A_ROW pairs of different components are left for each row, one leader from each of LEADERS hashed parts of the
+#: group; then all pairs that are left follow, dealt to SALTS tasks a group.
+SMALL_GROUP, PAIRS_A_ROW, LEADERS, SALTS = 64, 8, 16, 16
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,53 +42,71 @@ def connected_components(edges: DataFrame) -> DataFrame:
     path = ""
     current = edges.select("a", "b").filter("a <> b")
     while True:
-        new = new_path(spark, "components")
-        _small_star(_large_star(current)).write.parquet(new)
+        new, seen = new_path(spark, "components"), Observation()
+        stepped = _small_star(_large_star(current))
+        stepped.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).write.parquet(new)
         current = spark.read.schema("a long, b long").parquet(new)
         if path:
             drop_path(spark, path)
         path = new
-        state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if state == before:
+        state = (seen.get["n"], seen.get["h"])
+        if state == before or not state[0]:
             return current.select(F.col("a").alias("v"), F.col("b").alias("root"))
         before = state
 
 
-def similar_components(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, small_group: int = SMALL_GROUP) -> DataFrame:
-    """(v, root) of the graph of all pairs that share a key and pass: keyed has (v, size, key), verify takes edges and keeps those that hold.
+def key_groups(keyed: DataFrame) -> DataFrame:
+    """(key, n, ...) of keyed (v, size, key): the rows of keys that several share, a written table.
 
-    No pair holds of which one size is less than similarity times the other. Sharers of a key are candidates. Keys with the same sharers are one group. Of large groups, members meet leaders first;
-    the pairs that follow are all those whose components still differ, so none that could join two components is left out.
+    Of keys with the same sharers (by their number and two hash sums) one stays.
     """
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("s1"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("s2")).filter("n > 1")
     groups = shared.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
-    members = written(keyed.join(groups, "key"), "prefix-groups")
+    return written(keyed.join(groups, "key"), "key-groups")
+
+
+def similar_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, candidates: DataFrame | None = None, small_group: int = SMALL_GROUP) -> DataFrame:
+    """(v, root) of the graph of all pairs that share a key, or are candidates (a, b), and pass.
+
+    members: key_groups. verify takes pairs (a, b) and keeps those that hold; none holds of which one size is less than
+    similarity times the other. In large groups members meet leaders first; the pairs that follow are all those whose
+    components still differ, so none that could join two components is left out.
+    """
     alike = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
     ordered = (F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
+    same = F.col("x.key") == F.col("y.key")
     few, many = members.filter(F.col("n") <= small_group).alias("x"), members.filter(F.col("n") > small_group)
-    pairs = few.join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & alike).select(*ordered)
-    edges = written(verify(pairs.distinct()), "similar")
-    roots = connected_components(edges)
+
+    def met(rows: DataFrame, leaders: int, different: bool) -> DataFrame:
+        """The pairs of rows with their groups' leaders."""
+        part = F.pmod(F.xxhash64("v", "key"), F.lit(leaders))
+        led = rows.groupBy("key", part.alias("part")).agg(F.min_by(F.struct(*(c for c in rows.columns if c != "key")), F.xxhash64("v", F.lit("leader"))).alias("l"))
+        apart = (F.col("x.root") != F.col("y.root")) if different else (F.col("x.v") != F.col("y.v"))
+        return rows.alias("x").join(led.select("key", "l.*").alias("y"), same & apart & alike).select(*ordered)
+
+    pairs = few.join(few.alias("y"), same & (F.col("x.v") < F.col("y.v")) & alike).select(*ordered).union(met(many, 2, False))
+    if candidates is not None:
+        pairs = pairs.union(candidates.select("a", "b"))
+    roots = connected_components(written(verify(pairs.distinct()), "similar"))
     if many.isEmpty():
         return roots
-    for i in range(LEADER_ROUNDS + 1):
-        placed = written(many.join(roots, "v", "left").select("key", "v", "size", "n", F.coalesce("root", "v").alias("root")), "placed")
+    for last in (False, True):
+        placed = written(many.join(roots, "v", "left").select("key", "v", "size", F.coalesce("root", "v").alias("root")), "placed")
         parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("parts"))
-        mixed = parts.filter("parts > 1")
+        mixed = written(parts.filter("parts > 1"), "mixed")
         rest, rows = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
         if not rows:
-            break
-        x = placed.join(mixed.select("key"), "key", "left_semi").alias("x")
-        last = i == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows
-        if last:
-            other, once = x.alias("y"), F.col("x.v") < F.col("y.v")
+            return roots
+        last = last or rest <= PAIRS_A_ROW * rows
+        x = placed.join(mixed.select("key"), "key", "left_semi")
+        if last:  # both sides carry a salt, so that one group's pairs are made in several tasks
+            salted = x.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).alias("x")
+            other = x.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("y")
+            pairs = salted.join(other, same & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.v") < F.col("y.v")) & alike).select(*ordered)
         else:
-            rank = F.xxhash64("v", "key", F.lit(i))
-            led = x.groupBy("key").agg(F.min_by(F.struct("v", "size", "root"), rank).alias("l"), F.max_by(F.struct("v", "size", "root"), rank).alias("m"))
-            other, once = led.select("key", F.inline(F.array("l", "m"))).alias("y"), F.lit(True)
-        pairs = x.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & alike).select(*ordered)
-        edges = edges.union(written(verify(pairs.distinct()), "similar"))
-        roots = connected_components(edges)
+            pairs = met(x, LEADERS, True)
+        new = written(verify(pairs.distinct()), "similar")
+        roots = connected_components(new.union(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))))
         if last:
             break
     return roots

@@ -9,11 +9,16 @@ pairs stay in proportion to the rows. Larger groups go another way: each member
 one-bit neighbours; two fingerprints share one of these 65 values exactly if they differ by two bits at most, so linking
 each to the smallest sharer gives the exact components without pairs.
 
-The pipeline's near-duplicates need no fingerprint: texts with equal sets of distinct shingles are merged, sets that share
-a shingle of their prefixes are candidates, and whole sets verify them. That finds every pair of the wanted similarity.
+Near-duplicates by Jaccard similarity (5-word shingles, 0.8 or more: the pipeline's stage) take the same variants of the
+distinct shingles' fingerprints as candidates. A pair of similarity 0.8 differs in about 10 of 64 bits, beyond what
+variants reach, so texts that share a shingle of their prefixes are candidates too, which misses no pair. Whole sets of
+shingles verify all candidates; texts with equal sets are one class.
 
 Edge cases: a null text is the empty one; texts without words have the fingerprint zero and are linked with each other;
-repeated rows are equal fingerprints; a null id is ignored in the smallest id of a component unless all are null.
+repeated rows are equal fingerprints, of near-duplicates one stays; a null id is ignored in the smallest id of a
+component unless all are null, and is the smallest id of a group of near-duplicates; ties in the id go to the least hash
+of the text; an empty table gives an empty result; very long texts are hashed in blocks of shingles; other columns are
+kept as they are by one_of_each_group, whatever their names, and not read by near_duplicates.
 """
 
 from __future__ import annotations
@@ -26,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, whole_text, written
-from .components import SMALL_GROUP, connected_components, similar_components
+from .common import fresh, let, named, table, whole_text, written
+from .components import SMALL_GROUP, connected_components, key_groups, similar_components
 
 SLICE = 256
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
+#: The bits of each byte's value, lowest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(float)
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> Iterator[np.ndarray]:
@@ -69,12 +76,18 @@ def set_digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest()
 
 
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, lowest first: the values of each byte are counted, then their bits."""
+    at = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + (np.arange(8, dtype=np.intp) << 8)
+    return (np.bincount(at.ravel(), minlength=2048).reshape(8, 256) @ BITS).ravel()
+
+
 def simhash_bits(text: str, width: int, seed: int = 42) -> np.ndarray:
     """The fingerprint's 64 bits, lowest first: 1 where over half of the shingles' hashes have it."""
-    ones, n = np.zeros(64, np.int64), 0
+    ones, n = np.zeros(64), 0
     for h in shingle_hashes(text, width, seed):
         n += len(h)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += ones_of(h)
     return 2 * ones > n
 
 
@@ -103,27 +116,39 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
 
 
-def links(vertices: DataFrame, segments: int, bits: int, max_distance: int, small_group: int = 64) -> DataFrame:
-    """(a, b) edges over vertices (v, segs) with distinct v; for 2 segments of 32 bits, v is the fingerprint."""
-    if (segments, bits, max_distance) != (2, 32, 2):
-        raise ValueError("exact for two segments of 32 bits and two differing bits only")
+def variants(vertices: DataFrame, segments: int = 2, bits: int = 32) -> DataFrame:
+    """(v, key, bit, n) of vertices (v, segs): the one-wildcard variants that n > 1 fingerprints share, a written table.
+
+    key: segment, wildcard and the segment without that bit, which is in `bit`. The fingerprints are dealt evenly first,
+    as each makes `segments * bits` rows.
+    """
     wild = F.expr(f"cast(w % {bits} as int)")
     value = F.col("segs")[F.expr(f"cast(w div {bits} as int)")]
     bit = F.expr("shiftright(value, wild)").bitwiseAND(F.lit(1))
-    rows = vertices.select("v", "segs", F.explode(F.sequence(F.lit(0), F.lit(segments * bits - 1))).alias("w"))
+    dealt = vertices.select("v", "segs").repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    rows = dealt.select("v", F.explode(F.sequence(F.lit(0), F.lit(segments * bits - 1))).alias("w"), "segs")
     rows = rows.select("v", "w", wild.alias("wild"), value.alias("value")).withColumn("bit", bit)
     masked = F.col("value") - F.expr("shiftleft(bit, wild)")
     keyed = rows.select("v", (F.shiftleft(F.col("w").cast("long"), 40) + masked).alias("key"), F.col("bit").cast("byte").alias("bit"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(keyed.join(shared, "key"), "variants")
+    return written(keyed.join(shared, "key"), "variants")
 
-    # a variant of a segment without difference is shared under every wildcard; it pairs under the first only
-    few = members.filter(F.col("n") <= small_group)
+
+def paired(members: DataFrame, bits: int = 32) -> DataFrame:
+    """(a, b), a < b: the pairs that share a variant; a variant of a segment without difference pairs under the first wildcard only."""
     once = (F.col("x.bit") != F.col("y.bit")) | (F.shiftright("x.key", 40) % bits == 0)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & once).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+    pairs = members.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & once)
+    return pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
+
+
+def links(vertices: DataFrame, segments: int, bits: int, max_distance: int, small_group: int = 64) -> DataFrame:
+    """(a, b) edges over vertices (v, segs) with distinct v; for 2 segments of 32 bits, v is the fingerprint."""
+    if (segments, bits, max_distance) != (2, 32, 2):
+        raise ValueError("exact for two segments of 32 bits and two differing bits only")
+    members = variants(vertices, segments, bits)
     many = members.filter(F.col("n") > small_group)
     sides = [vertices.select(F.col("v").alias(c), F.col("segs").alias(f"segs_{c}")) for c in "ab"]
-    close = pairs.distinct().join(sides[0], "a").join(sides[1], "b").filter(distance(F.col("segs_a"), F.col("segs_b")) <= max_distance).select("a", "b")
+    close = paired(members.filter(F.col("n") <= small_group), bits).join(sides[0], "a").join(sides[1], "b").filter(distance(F.col("segs_a"), F.col("segs_b")) <= max_distance).select("a", "b")
     near = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     balls = many.select("v").distinct().select("v", F.explode(F.concat(F.array("v"), near)).alias("hub"))
     least = balls.groupBy("hub").agg(F.min("v").alias("m"), F.count("*").alias("n")).filter("n > 1")
@@ -144,8 +169,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Shingles of so many words make the pipeline's near-duplicates.
 WIDTH = 5
-#: Of documents in the sample that finds common shingles, one in so many; and so many common shingles are told to tasks.
-SAMPLED, COMMON = 16, 200_000
+#: Of documents in the sample that finds common shingles, one in so many; of shingles, one that so many of the sample have
+#: is common, and so many common ones are told to tasks at most.
+SAMPLED, OFTEN, COMMON = 16, 2, 200_000
 #: Distinct words whose hashes a worker keeps.
 KEPT_WORDS = 1_000_000
 
@@ -175,7 +201,7 @@ def distinct_shingles(text: str, width: int, hashes: dict) -> np.ndarray:
     return np.unique(mixed)
 
 
-def common_shingles(rows: DataFrame, width: int, small_group: int = SMALL_GROUP, sampled: int = SAMPLED, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(rows: DataFrame, width: int, sampled: int = SAMPLED, often: int = OFTEN, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and sampled counts of shingles that many texts of (k, text) have; the most common ones, `most` at most.
 
     They only set the order in which prefixes are taken, so what the sample misses costs pairs, not results.
@@ -187,7 +213,7 @@ def common_shingles(rows: DataFrame, width: int, small_group: int = SMALL_GROUP,
                 yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(text, width, hashes).view(np.int64))], names=["h"])
 
     chosen = rows.filter(F.pmod(F.xxhash64("k"), F.lit(sampled)) == 0).select("text")
-    counted = written(chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, small_group // sampled)), "common-shingles")
+    counted = written(chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= often), "common-shingles")
     sizes = sorted(((r["n"], r["rows"]) for r in counted.groupBy("n").agg(F.count("*").alias("rows")).collect()), reverse=True)
     total, cut = 0, None
     for n, many in sizes:
@@ -201,33 +227,37 @@ def common_shingles(rows: DataFrame, width: int, small_group: int = SMALL_GROUP,
     return h[order], n[order]
 
 
-def prefixes(rows: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(k, digest, size, keys): a text's number of distinct shingles, and as keys the first ones in an order of all shingles.
+def described(rows: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(k, digest, size, segs, keys): a text's number of distinct shingles, their fingerprint, and the first ones in an order of all.
 
     The order is by the sampled count, then by hash. Of a set of n, the first n - ceil(similarity * n) + 1 are taken; two
     sets of that Jaccard similarity then have one of these in common, whatever the order.
     """
     hs, ns = common
+    power = np.left_shift(np.int64(1), np.arange(32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                digests, sizes, keys = [], [], []
+                digests, sizes, segs, keys = [], [], [], []
                 for text in batch.column(1).to_pylist():
                     s = distinct_shingles(text, width, hashes)
                     digests.append(set_digest(s))
                     sizes.append(len(s))
+                    segs.append(((2 * ones_of(s) > len(s)).reshape(2, 32) * power).sum(axis=1))
                     taken = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
                     if len(hs):
                         place = np.minimum(np.searchsorted(hs, s), len(hs) - 1)
-                        s = s[np.argsort(np.where(hs[place] == s, ns[place], 0), kind="stable")]
+                        often = np.flatnonzero(hs[place] == s)
+                        rare = np.delete(s, often)
+                        s = rare[:taken] if len(rare) >= taken else np.concatenate([rare, s[often][np.argsort(ns[place[often]], kind="stable")]])
                     keys.append(s[:taken].view(np.int64))
-                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate([*keys, np.zeros(0, np.int64)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists.cast(pa.list_(pa.field("element", pa.int64())))], names=["k", "digest", "size", "keys"])
+                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate([*x, np.zeros(0, np.int64)])).cast(pa.list_(pa.field("element", pa.int64()))) for x in (segs, keys)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists], names=["k", "digest", "size", "segs", "keys"])
 
-    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, digest binary, size long, keys array<bigint>")
+    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, digest binary, size long, segs array<bigint>, keys array<bigint>")
 
 
 def shingle_set(text: Column, width: int) -> Column:
@@ -243,35 +273,50 @@ def shingle_set(text: Column, width: int) -> Column:
     return let(words, shingles)
 
 
-def verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts (v, text) have that Jaccard similarity of shingles. Only texts with edges are cut."""
-    edges = written(edges, "candidates")
-    named = edges.select(F.col("a").alias("v")).union(edges.select(F.col("b").alias("v"))).distinct()
-    sets = written(texts.join(named, "v", "left_semi").select("v", shingle_set(F.col("text"), width).alias("s")), "shingle-sets")
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose sets (v, s) have that Jaccard similarity."""
     x, y = (sets.select(F.col("v").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     total = F.size("sa") + F.size("sb") - common
     return edges.join(x, "a").join(y, "b").filter((total == 0) | (common >= similarity * total)).select("a", "b")
 
 
+def near_components(classes: DataFrame, texts: DataFrame, similarity: float, width: int = WIDTH, small_group: int = SMALL_GROUP) -> DataFrame:
+    """(v, root) of classes (v, size, segs, keys) that are linked by that similarity; texts: (v, text).
+
+    Candidates are sharers of a variant of their fingerprints (in crowded variants, with two leaders) and of a prefix
+    key. Only the candidates' sets of shingles are made, once.
+    """
+    shared = variants(classes)
+    crowd = shared.filter(F.col("n") > small_group)
+    led = crowd.groupBy("key").agg(F.array(F.min_by("v", F.xxhash64("v")), F.max_by("v", F.xxhash64("v"))).alias("l"))
+    stars = crowd.join(led.select("key", F.explode("l").alias("m")), "key").filter("v <> m").select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b"))
+    candidates = written(paired(shared.filter(F.col("n") <= small_group)).union(stars.distinct()), "variant-pairs")
+    members = key_groups(classes.select("v", "size", F.explode("keys").alias("key")))
+    of = members.select("v").union(candidates.select("a")).union(candidates.select("b")).distinct()
+    sets = written(texts.join(of, "v", "left_semi").select("v", shingle_set(F.col("text"), width).alias("s")), "shingle-sets")
+    return similar_components(members, lambda edges: verified(edges, sets, similarity), similarity, candidates, small_group)
+
+
 def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row of the smallest id stays, the text breaks ties."""
-    text = whole_text(text_col)
-    own = docs.withColumn("__sha", F.unhex(F.sha2(text, 256)))
-    rows = own.select(F.struct(F.col(id_col).alias("id"), F.col("__sha").alias("sha")).alias("k"), text.alias("text"))
-    found = written(prefixes(rows, WIDTH, similarity, common_shingles(rows, WIDTH)), "prefixes")
-    classes = written(found.groupBy("digest").agg(F.min("k").alias("k"), F.first("size").alias("size"), F.first("keys").alias("keys")).withColumn("v", F.monotonically_increasing_id()).drop("digest"), "shingle-classes")
-    texts = rows.join(classes.select("k", "v"), "k").select("v", "text")
-    keyed = classes.select("v", "size", F.explode("keys").alias("key"))
-    roots = similar_components(keyed, lambda edges: verified(edges, texts, WIDTH, similarity), similarity)
-    rooted = classes.join(roots, "v", "left").select("k", F.coalesce("root", "v").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("k").alias("k"))
-    repeated = found.groupBy("k").agg(F.count("*").alias("__rows"))  # rows that agree in id and text
-    kept = kept.join(repeated, "k").select(F.col("k.sha").alias("__kept_sha"), F.col("k.id").alias("__kept_id"), "__rows")
-    chosen = own.join(kept, (F.col("__sha") == F.col("__kept_sha")) & F.col(id_col).eqNullSafe(F.col("__kept_id")))
-    chosen = chosen.select(*docs.columns, "__rows")
-    once = chosen.filter("__rows = 1").drop("__rows")
-    return once.union(chosen.filter("__rows > 1").drop("__rows").dropDuplicates([id_col, text_col]))
+    text, (sha, drop_id, drop_sha, again) = whole_text(text_col), fresh(docs, "sha", "drop_id", "drop_sha", "again")
+    own = docs.withColumn(sha, F.unhex(F.sha2(text, 256)))
+    rows = own.select(F.struct(named(id_col).alias("id"), F.col(sha).alias("sha")).alias("k"), text.alias("text"))
+    found = written(described(rows, WIDTH, similarity, common_shingles(rows, WIDTH)), "shingles")
+    classes = found.groupBy("digest").agg(F.min("k").alias("k"), *(F.first(c).alias(c) for c in ("size", "segs", "keys")))
+    classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "shingle-classes")
+    roots = near_components(classes, rows.join(classes.select("k", "v"), "k").select("v", "text"), similarity)
+    rooted = classes.join(roots, "v", "left").select("digest", "k", F.coalesce("root", "v").alias("root"))
+    kept = rooted.join(rooted.groupBy("root").agg(F.min("k").alias("kept")), "root").select("digest", "kept")
+    # what is told of rows is what goes, and which rows that stay are there several times: few rows of many
+    per_row = found.groupBy("k", "digest").agg(F.count("*").alias("n")).join(kept, "digest").withColumn("again", F.col("k") == F.col("kept")).filter("not again or n > 1")
+    marks = written(per_row.select(F.col("k.id").alias(drop_id), F.col("k.sha").alias(drop_sha), F.col("again").alias(again)), "marks")
+    marked = own.join(marks, (F.col(sha) == F.col(drop_sha)) & named(id_col).eqNullSafe(F.col(drop_id)), "left")
+    once = marked.filter(F.col(again).isNull()).select(*map(named, docs.columns))
+    if marks.filter(F.col(again)).isEmpty():
+        return once
+    return once.union(marked.filter(F.col(again)).dropDuplicates([drop_id, drop_sha]).select(*map(named, docs.columns)))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,6 +344,32 @@ def test_one_of_each_group(spark, empty):
     assert out.columns == empty.columns and out.count() == 0
 
 
+def test_recall_by_similarity(spark):
+    """Every pair of 0.8 or more is found, in bins of similarity, and no pair below."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for g in range(160):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(60, 200)))]
+        other = list(base)
+        for p in rng.choice(len(base), int(rng.integers(1, 6)), replace=False):
+            other[p] = f"g{g}e{p}"
+        cut = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        x, y = cut(base), cut(other)
+        want[g] = len(x & y) / len(x | y)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    kept = {r["doc_id"] for r in simhash.one_of_each_group(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).collect()}
+    bins = Counter(int(j * 20 + 1e-9) / 20 for j in want.values())
+    assert all(bins[b] >= 5 for b in (0.75, 0.8, 0.85, 0.9))
+    assert all((2 * g + 1 in kept) == (j < 0.8) and 2 * g in kept for g, j in want.items())
+
+
+def test_near_duplicates_beside_clashing_columns(spark):
+    names = "sha, drop_id, drop_sha, again, v, k, root, digest, SIZE, keys, a, b, n"
+    df = spark.createDataFrame([(1, "one two three four five six", *"x" * 13), (2, "one two three four five six", *"y" * 13), (3, None, *"z" * 13)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in [*names.split(", ")]))
+    out = simhash.one_of_each_group(df)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == [(1, "one two three four five six", *"x" * 13), (3, None, *"z" * 13)]
+
+
 def test_texts_of_two_shingles_are_verified(spark):
     import random
 
@@ -356,10 +382,10 @@ def test_texts_of_two_shingles_are_verified(spark):
     assert [x[0] for x in by_id(simhash.one_of_each_group(df), "doc_id")] == sorted((i for i, _ in rows), key=lambda i: repr((i,)))
 
 
-@pytest.mark.parametrize("rounds", [0, 8])
-def test_crowded_groups_keep_every_link(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("pairs_a_row", [0, 8, 10**9])
+def test_crowded_groups_keep_every_link(spark, monkeypatch, pairs_a_row):
     """Several hundred different edits of two texts, drifting away from them, and copies near the limit, against all pairs."""
-    monkeypatch.setattr("sonagrid.llm.components.LEADER_ROUNDS", rounds)
+    monkeypatch.setattr("sonagrid.llm.components.PAIRS_A_ROW", pairs_a_row)
     rng = np.random.default_rng(12)
     rows = []
     for f in range(2):
