@@ -19,7 +19,7 @@ from .common import drop_path, new_path, written
 #: Groups of a shared key up to this size are paired at once. In larger ones members meet two leaders, then, if more than
 #: PAIRS_A_ROW pairs of different components are left for each row, one leader from each of LEADERS hashed parts of the
 #: group; then all pairs that are left follow, dealt to SALTS tasks a group.
-SMALL_GROUP, PAIRS_A_ROW, LEADERS, SALTS = 64, 8, 16, 16
+SMALL_GROUP, PAIRS_A_ROW, LEADERS, SALTS = 64, 64, 16, 16
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -1,21 +1,22 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 Each line is cut into tokens, tokens with digits become a variable field. A tree of fixed depth sorts lines: first by
-their number of tokens, then by the leading tokens. Lines in a leaf whose tokens agree for the most part are one
-template: a leaf's template holds at each place the token that most of its lines have, and a line belongs to it if it
-has at least `similarity` of these tokens; the places that differ are generalised to variable fields. Lines that
-don't belong to it go to the leaf's next template, for `rounds` rounds; after them each line is its own template. With
-`cluster`, the lines that are left, and shorter ones, are linked within their leaf where two have that share of equal
-tokens, however many templates this makes of a leaf; linked lines are one template.
+their number of tokens, then by the leading tokens. Inside a leaf two lines that agree in `similarity` of their tokens
+are linked, and linked lines are one template: the places where its lines differ are generalised to variable fields
+(`generalised`). A leaf holds as many templates as its lines make. Lines of fewer than 5 tokens leave no place to differ
+at 0.8; they are templates by their masked text.
 
 A template that lines of at least two documents share (short lines: `short_docs` documents; very short lines never
 count) is recurring. Its lines stay in the document of the smallest id, and are dropped from all others.
 
 Everything is counted with partial sums: neither a line that a third of all documents share nor a full leaf is gathered
-in one task. Line texts are shuffled only for lines in leaves with different lines.
+in one task. Line texts are shuffled only for lines in leaves with different lines. Templates with a thousandth of all
+lines or more (a thousand of them at most) are broadcast, so that the join by template has no hot key.
 
 Edge cases: a null or empty text has no line and stays; lines of white space stay; null ids come first; rows that agree
-in id and text are one document and are edited alike; a document of which every line is dropped has the empty text.
+in id and text are one document and are edited alike; a document of which every line is dropped has the empty text; an
+empty table gives an empty result; very long texts are cut in their own row, and very long lines are lines like others;
+other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, whole_text, written
-from .components import similar_components
+from .common import fresh, let, named, table, whole_text, written
+from .components import key_groups, similar_components
 
 DEPTH = 3
 FIELD = "<*>"
@@ -32,6 +33,8 @@ FIELD = "<*>"
 
 #: Up to so many rows (24 bytes each) of leaves or templates are sent to all executors; beyond, they are joined by shuffles.
 SMALL_ROWS = 1_000_000
+#: A template with this share of all lines, and so many at least, is joined by broadcast: 1 / HOT_SHARE of them at most.
+HOT_SHARE, HOT_LINES = 0.001, 1_000
 
 
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,7 +43,7 @@ def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     h1 and h2 tell masked lines apart; leaf is the hash of the tree's path: the number of tokens and the leading ones.
     """
     text = whole_text(text_col)
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("rh"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = docs.select(named(id_col).alias("id"), F.xxhash64(text).alias("rh"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     uneven = F.col("line").rlike(r"[\x09-\x0D]|  |^ | $")
     lines = lines.withColumn("clean", F.when(uneven, F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))).otherwise(F.col("line")))
     lines = lines.withColumn("masked", F.when(F.col("clean").rlike("[0-9]"), F.regexp_replace("clean", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("clean")))
@@ -56,26 +59,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
-def leaf_templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, h1, h2, template): the lines (leaf, h1, h2, tokens) that belong to their leaf's template."""
-    votes = lines.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("leaf", "place").agg(F.max(F.struct("votes", "token")).alias("top"))
-    model = chosen.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "top.token"))).alias("model"))  # as long as a line
-    matched = F.aggregate(F.zip_with("tokens", F.col("model.token"), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    return lines.join(model, "leaf").filter(matched >= similarity * F.size("tokens")).select("leaf", "h1", "h2")
-
-
 def _differing(n: Column, similarity: float) -> Column:
     """In how many of n places two lines of that similarity may differ."""
     return n - F.ceil(similarity * n - 1e-9)
 
 
-def leaf_clusters(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, h1, h2, template): the lines (leaf, h1, h2, tokens) that are linked with others of their leaf.
+def leaf_templates(lines: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, h1, h2, tokens, template): the lines (leaf, h1, h2, tokens) that are linked with others of their leaf.
 
     Two lines that differ in d places at most agree in one of d + 1 runs of places at least, which are the keys.
     """
-    own = written(lines.withColumn("v", F.monotonically_increasing_id()), "cluster-lines")
+    own = written(lines.withColumn("v", F.monotonically_increasing_id()), "leaf-lines")
     n = F.size("tokens")
     runs = _differing(n, similarity) + 1
     at = lambda i: (DEPTH + F.floor(i * (n - DEPTH) / runs)).cast("int")
@@ -87,51 +81,63 @@ def leaf_clusters(lines: DataFrame, similarity: float) -> DataFrame:
         matched = F.aggregate(F.zip_with("ta", "tb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
         return edges.join(x, "a").join(y, "b").filter((F.col("la") == F.col("lb")) & (matched >= similarity * F.size("ta") - 1e-9)).select("a", "b")
 
-    roots = similar_components(keyed, verify, similarity)
+    roots = similar_components(key_groups(keyed), verify, similarity)
     members = roots.union(roots.select("root", "root").distinct()).toDF("v", "root")
-    return own.join(members, "v").select("leaf", "h1", "h2", F.xxhash64(F.lit("cluster"), "root").alias("template"))
+    return own.join(members, "v").select("leaf", "h1", "h2", "tokens", F.xxhash64(F.lit("template"), "root").alias("template"))
+
+
+def generalised(lines: DataFrame) -> DataFrame:
+    """(template, text) of lines (template, tokens): the tokens that all lines have, a variable field where they differ."""
+    places = lines.select("template", F.posexplode("tokens").alias("place", "token")).groupBy("template", "place").agg(F.min("token").alias("a"), F.max("token").alias("b"))
+    token = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(FIELD)
+    ordered = F.sort_array(F.collect_list(F.struct("place", token.alias("token"))))  # as long as a line
+    return places.groupBy("template").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), " ").alias("text"))
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 3, long_tokens: int = 8, short_docs: int = 5, similarity: float = 0.8, rounds: int = 2, cluster: bool = False) -> DataFrame:
-    """(id, rh, drops): for each document with lines to drop their places; rh is the hash of its text."""
-    cut = exploded(docs, id_col, text_col)
-    lines = written(cut.drop("masked"), "lines").filter(F.col("n") >= min_tokens)
-    long = F.col("n") >= long_tokens
-    wide = long | ((F.col("n") >= min_tokens) & (_differing(F.col("n"), similarity) > 0)) if cluster else long
-    leaves = written(lines.filter(wide).groupBy("leaf").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).filter("a <> b").select("leaf"), "leaves")
+def line_templates(cut: DataFrame, lines: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """leaf_templates of all lines: cut has their masked texts, lines the rest."""
+    wide = _differing(F.col("n"), similarity) > 0
+    ends = [f(F.struct("h1", "h2")).alias(c) for f, c in ((F.min, "a"), (F.max, "b"))]
+    leaves = written(lines.filter(wide).groupBy("leaf").agg(*ends).filter("a <> b").select("leaf"), "leaves")
     inside = cut.join(_small(leaves), "leaf", "left_semi").filter(wide)
-    every = written(inside.groupBy("leaf", "h1", "h2").agg(F.first("masked").alias("masked")).select("leaf", "h1", "h2", F.split("masked", " ").alias("tokens")), "leaf-lines")
-    left, general = every.filter(F.size("tokens") >= long_tokens), None
-    for i in range(rounds):
-        found = written(leaf_templates(left, similarity).withColumn("template", F.xxhash64(F.lit(i), "leaf")), "templates")
-        general = found if general is None else general.union(found)
-        if i + 1 < rounds:
-            left = left.join(found, ["leaf", "h1", "h2"], "left_anti")
-    if cluster:
-        general = general.union(written(leaf_clusters(every.join(general, ["leaf", "h1", "h2"], "left_anti"), similarity), "clusters"))
-    key = F.when(F.col("template").isNotNull(), F.struct(F.col("template").alias("t"), F.lit(0).alias("u"), F.lit(True).alias("general"))).otherwise(F.struct(F.col("h1").alias("t"), F.col("h2").alias("u"), F.lit(False).alias("general")))
-    placed = lines.join(_small(general.select("h1", "h2", "template")), ["h1", "h2"], "left").select("id", "rh", "pos", "n", key.alias("k"))
-    per_doc = placed.groupBy("k", "id", "rh").agg(F.max("n").alias("n"))
-    counted = per_doc.groupBy("k").agg(F.count("*").alias("docs"), F.min(F.struct("id", "rh")).alias("first"), F.max("n").alias("n"))
-    recurring = counted.filter(F.when(F.col("n") >= long_tokens, F.col("docs") >= 2).otherwise(F.col("docs") >= short_docs)).select("k", "first")
-    dropped = placed.join(recurring, "k").filter(~F.struct("id", "rh").eqNullSafe(F.col("first")))
-    return dropped.groupBy("id", "rh").agg(F.collect_set("pos").alias("drops"))
+    distinct = inside.groupBy("leaf", "h1", "h2").agg(F.first("masked").alias("masked")).select("leaf", "h1", "h2", F.split("masked", " ").alias("tokens"))
+    return written(leaf_templates(distinct, similarity), "templates")
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 3, long_tokens: int = 8, short_docs: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, rh, drops): for each document with lines to drop their places; rh is the hash of its text. A written table."""
+    cut = exploded(docs, id_col, text_col).filter(F.col("n") >= min_tokens)
+    lines = written(cut.drop("masked"), "lines")
+    general = _small(line_templates(cut, lines, similarity).select("h1", "h2", "template"))
+    t, u = F.coalesce("template", "h1").alias("t"), F.when(F.col("template").isNull(), F.col("h2")).otherwise(0).alias("u")
+    placed = lines.join(general, ["h1", "h2"], "left").select("id", "rh", "pos", "n", t, u)
+    per_doc = placed.groupBy("t", "u", "id", "rh").agg(F.max("n").alias("n"))
+    counted = per_doc.groupBy("t", "u").agg(F.count("*").alias("docs"), F.min(F.struct("id", "rh")).alias("first"), F.max("n").alias("n"))
+    enough = F.when(F.col("n") >= long_tokens, F.col("docs") >= 2).otherwise(F.col("docs") >= short_docs)
+    recurring = written(counted.filter(enough).select("t", "u", "docs", "first"), "recurring-templates")
+    hot = F.col("docs") >= max(HOT_LINES, int(HOT_SHARE * lines.count()))
+    told = placed.join(F.broadcast(recurring.filter(hot).select("t", "u", F.struct("first").alias("hot"))), ["t", "u"], "left")
+    often = told.filter("hot is not null").select("id", "rh", "pos", F.col("hot.first").alias("first"))
+    seldom = told.filter("hot is null").join(recurring.filter(~hot), ["t", "u"]).select("id", "rh", "pos", "first")
+    dropped = often.union(seldom).filter(~F.struct("id", "rh").eqNullSafe(F.col("first")))
+    return written(dropped.groupBy("id", "rh").agg(F.collect_set("pos").alias("drops")), "drops")
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str | None = None, n_dropped: str | None = None, **parameters) -> DataFrame:
     """docs with the lines left; with n_lines and n_dropped, columns of these names count lines before and dropped."""
-    drops = recurring_lines(docs, id_col, text_col, **parameters).select(F.col("id").alias("__id"), F.col("rh").alias("__rh"), F.col("drops").alias("__drops"))
-    own = docs.withColumn("__hash", F.xxhash64(whole_text(text_col)))
-    joined = own.join(drops, (F.col("__hash") == F.col("__rh")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    own_hash, own_id, rh, gone = fresh(docs, "hash", "own_id", "rh", "drops")
+    drops = recurring_lines(docs, id_col, text_col, **parameters).select(F.col("id").alias(own_id), F.col("rh").alias(rh), F.col("drops").alias(gone))
+    own = docs.withColumn(own_hash, F.xxhash64(whole_text(text_col)))
+    joined = own.join(drops, (F.col(own_hash) == F.col(rh)) & named(id_col).eqNullSafe(F.col(own_id)), "left")
     places = lambda ls: F.transform(ls, lambda x, i: i)
-    kept = let(F.split(F.col(text_col), "\n"), lambda ls: F.array_join(F.transform(F.array_except(places(ls), F.col("__drops")), lambda i: F.get(ls, i)), "\n"))
-    text = F.when(F.col("__drops").isNull(), F.col(text_col)).otherwise(kept)
+    kept = let(F.split(named(text_col), "\n"), lambda ls: F.array_join(F.transform(F.array_except(places(ls), F.col(gone)), lambda i: F.get(ls, i)), "\n"))
+    text = F.when(F.col(gone).isNull(), named(text_col)).otherwise(kept)
     more = []
     if n_lines:
         more.append(F.size(F.split(whole_text(text_col), "\n")).alias(n_lines))
     if n_dropped:
-        more.append(F.coalesce(F.size("__drops"), F.lit(0)).alias(n_dropped))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), *more)
+        more.append(F.coalesce(F.size(gone), F.lit(0)).alias(n_dropped))
+    return joined.select(*(text.alias(c) if c == text_col else named(c) for c in docs.columns), *more)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,28 +17,22 @@ QUERIES = {f.__name__: f for f in (op1_media, op2_pieces, op3_token_shards, op4_
 
 _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha1(h), 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '')"
 
-_TOP = """votes{r} AS (SELECT leaf, place, token, count(*) AS votes FROM tok{r} GROUP BY ALL),
-top{r} AS (SELECT leaf, place, token AS top FROM (SELECT *, row_number() OVER (PARTITION BY leaf, place ORDER BY votes DESC, token DESC) AS rn FROM votes{r}) WHERE rn = 1),
-found{r} AS (SELECT leaf, masked FROM tok{r} JOIN top{r} USING (leaf, place) GROUP BY 1, 2 HAVING sum((token = top)::INTEGER) >= 0.8::DOUBLE * count(*))"""
-
 #: DuckDB SQL for the queries that it can express. The others need trained models, tokenizers, images, or hashes that
 #: DuckDB lacks; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), m AS (SELECT h, max(page_id) AS kept FROM p GROUP BY 1)
 SELECT page_id, strlen(h) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> kept THEN kept END AS refers_to, url FROM p JOIN m USING (h)""",
-    "op4_line_dedup": f"""WITH cut AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+    "op4_line_dedup": r"""WITH RECURSIVE cut AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
 masks AS (SELECT doc_id, pos, line, regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM cut),
 counted AS (SELECT *, CASE WHEN masked = '' THEN 0 ELSE length(masked) - length(replace(masked, ' ', '')) + 1 END AS n FROM masks),
 lines AS (SELECT *, n || '|' || array_to_string(string_split(masked, ' ')[1:3], ' ') AS leaf FROM counted),
-several AS (SELECT leaf FROM lines WHERE n >= 8 GROUP BY 1 HAVING count(DISTINCT masked) > 1),
-pool AS (SELECT DISTINCT leaf, masked FROM lines WHERE n >= 8 AND leaf IN (SELECT leaf FROM several)),
-tok1 AS (SELECT leaf, masked, unnest(string_split(masked, ' ')) AS token, generate_subscripts(string_split(masked, ' '), 1) AS place FROM pool),
-{_TOP.format(r=1)},
-tok2 AS (SELECT * FROM tok1 WHERE (leaf, masked) NOT IN (SELECT (leaf, masked) FROM found1)),
-{_TOP.format(r=2)},
-placed AS (SELECT lines.*, CASE WHEN f1.leaf IS NOT NULL THEN '1|' || lines.leaf WHEN f2.leaf IS NOT NULL THEN '2|' || lines.leaf ELSE '0|' || lines.masked END AS k
-  FROM lines LEFT JOIN found1 f1 USING (leaf, masked) LEFT JOIN found2 f2 USING (leaf, masked)),
+several AS (SELECT leaf FROM lines WHERE n >= 5 GROUP BY 1 HAVING count(DISTINCT masked) > 1),
+pool AS (SELECT DISTINCT leaf, masked, string_split(masked, ' ') AS tokens FROM lines WHERE n >= 5 AND leaf IN (SELECT leaf FROM several)),
+links AS (SELECT a.masked AS a, b.masked AS b FROM pool a JOIN pool b USING (leaf) WHERE a.masked <> b.masked AND list_sum(list_transform(list_zip(a.tokens, b.tokens), lambda z: (z[1] = z[2])::INTEGER)) >= 0.8::DOUBLE * len(a.tokens) - 1e-9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+templates AS (SELECT a AS masked, min(b) AS template FROM reach GROUP BY 1),
+placed AS (SELECT lines.*, CASE WHEN template IS NOT NULL THEN '1|' || template ELSE '0|' || masked END AS k FROM lines LEFT JOIN templates USING (masked)),
 seen AS (SELECT k, count(DISTINCT doc_id) AS docs, min(doc_id) AS first, max(n) AS n FROM placed WHERE n >= 3 GROUP BY 1),
 marked AS (SELECT placed.*, coalesce(placed.n >= 3 AND seen.docs >= CASE WHEN seen.n >= 8 THEN 2 ELSE 5 END AND placed.doc_id <> seen.first, false) AS gone FROM placed LEFT JOIN seen USING (k))
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, t.n_lines, t.n_dropped FROM documents d JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text,

@@ -195,38 +195,33 @@ def test_warc(spark, tmp_path):
 
 # ---- line dedup ----
 
-def brute_line_dedup(rows, similarity=0.8, rounds=2):
+def brute_line_dedup(rows, similarity=0.8):
     import re
 
     lines = [(i, p, re.sub(r"[^ ]*[0-9][^ ]*", "<*>", " ".join(re.split(r"[\x20\x09-\x0d]+", ln.strip(" \t\x0b\x0c\r"))))) for i, t in enumerate(t or "" for _, t in rows) for p, ln in enumerate(t.split("\n"))]
     n = lambda m: len(m.split(" ")) if m else 0
     lines = [x for x in lines if n(x[2]) >= 3]
     leaf = lambda m: (n(m), tuple(m.split(" ")[:3]))
-    left, template = {}, {}
-    for m in {m for *_, m in lines if n(m) >= 8}:
-        left.setdefault(leaf(m), set()).add(m)
-    left = {k: v for k, v in left.items() if len(v) > 1}
-    for r in range(rounds):
-        for k, ms in left.items():
-            if not ms:
-                continue
-            model = [max((c, t) for t, c in Counter(m.split(" ")[j] for m in ms).items())[1] for j in range(k[0])]
-            found = {m for m in ms if sum(a == b for a, b in zip(m.split(" "), model, strict=True)) >= similarity * k[0]}
-            template |= {m: (r, k) for m in found}
-            left[k] = ms - found
+    template = {m: m for *_, m in lines}
+    for a, b in itertools.combinations(list(template), 2):
+        if leaf(a) == leaf(b) and sum(x == y for x, y in zip(a.split(" "), b.split(" "), strict=True)) >= similarity * n(a) - 1e-9:
+            old, new = template[a], template[b]
+            template = {m: new if t == old else t for m, t in template.items()}
     docs = {}
     for i, _, m in lines:
-        docs.setdefault(template.get(m, m), set()).add(i)
+        docs.setdefault(template[m], set()).add(i)
     order = lambda i: (rows[i][0] is not None, rows[i][0] or 0)
     drop = set()
     for i, p, m in lines:
-        k = template.get(m, m)
+        k = template[m]
         if len(docs[k]) >= (2 if n(m) >= 8 else 5) and i != min(docs[k], key=order):
             drop.add((i, p))
     return [(r[0], None if r[1] is None else "\n".join(ln for p, ln in enumerate(r[1].split("\n")) if (i, p) not in drop)) for i, r in enumerate(rows)]
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("hot_lines", [1000, 10])
+def test_line_dedup_against_brute_force(spark, monkeypatch, hot_lines):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot_lines)
     rng = np.random.default_rng(4)
     words = [f"w{chr(97 + i)}" for i in range(12)]
     boiler = " ".join(words[:10])
@@ -236,12 +231,20 @@ def test_line_dedup_against_brute_force(spark):
         lines += [boiler.replace("wi", rng.choice(words))] * (i % 3 == 0) + [f"{boiler} at {i} o'clock"] * (i % 4 == 0) + ["short line here"] * (i % 5 == 0) + ["tiny two"] * (i % 2)
         rows.append((i, "\n".join(lines)))
     rows += [(60, None), (61, ""), (62, "\n\n  \n"), (None, f"{boiler} at 99 o'clock\nown words of this one text only")]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, drops string, n int")
+    rows.append((70, "an own very long text of words " + " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(20_000))))
+    df = spark.createDataFrame([(*r, "x", 1, "y", "z") for r in rows], "doc_id long, text string, drops string, n int, hash string, RH string")
     got = by_id(line_dedup.without_recurring_lines(df), "doc_id", "text")
     assert got == sorted(brute_line_dedup(rows), key=repr)
     assert got != sorted(rows, key=repr)
 
 
+def test_generalised_templates(spark):
+    rows = [(1, "the job of ann ended with no error"), (2, "the job of bob ended with no error"), (3, "the job of ann 17 ended well"), (4, "another line that stands all alone here")]
+    cut = line_dedup.exploded(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    found = line_dedup.generalised(line_dedup.line_templates(cut, cut.drop("masked")))
+    assert [r["text"] for r in found.collect()] == ["the job of <*> ended with no error"]
+
+
 def test_line_dedup_repeats_and_empty(spark, empty):
     line = "one two three four five six seven eight nine"
     rows = [(1, line), (1, line), (2, line + "\nkept"), (3, f"{line}\n{line}")]
@@ -262,7 +265,7 @@ def test_line_dedup_of_many_families_in_a_leaf(spark):
         rows.append((d, "\n".join([*long, *own, *short])))
         want.append((d, rows[0][1] if d == 0 else "\n".join(own)))
     df = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
-    assert by_id(line_dedup.without_recurring_lines(df, cluster=True), "doc_id", "text") == sorted(want, key=repr)
+    assert by_id(line_dedup.without_recurring_lines(df), "doc_id", "text") == sorted(want, key=repr)
     assert by_id(corpus_pipeline.line_dedup(spark, df, ""), "doc_id", "text") == sorted(want, key=repr)
 
 
