@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.llm.common import bounded_batches, table, whole_text, written
+from sonagrid.llm.common import bounded_batches, fresh, table, whole_text, written
 from sonagrid.llm.line_dedup import without_recurring_lines
 from sonagrid.llm.mixing import domain_labels, thinned
 from sonagrid.llm.pieces import sampled_segmentations
@@ -24,8 +24,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; documents that lose every line go."""
-    lines = without_recurring_lines(docs, n_dropped="__dropped", cluster=True)
-    return lines.filter((F.col("__dropped") == 0) | (whole_text() != "")).select(*docs.columns)
+    dropped = fresh(docs, "dropped")[0]
+    lines = without_recurring_lines(docs, n_dropped=dropped)
+    return lines.filter((F.col(dropped) == 0) | (whole_text() != "")).drop(dropped)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
