@@ -49,6 +49,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key with this share of all rows, and so many at least, is joined by broadcast: 1 / HOT_SHARE keys at most.
+HOT_SHARE, HOT_ROWS = 0.001, 1_000
+
+
+def join_hot(rows: DataFrame, other: DataFrame, keys: list[str], n: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with other's columns by keys, an inner join without hot keys.
+
+    other has distinct keys and in column n how many of all `total` rows have each. The few keys that many rows have
+    are broadcast; their number is bounded by HOT_SHARE. The rest is joined as Spark likes.
+    """
+    hot = F.col(n) >= max(hot_rows, int(HOT_SHARE * total))
+    told = rows.join(F.broadcast(other.filter(hot).select(*keys, F.struct(*(c for c in other.columns if c not in (*keys, n))).alias("hot_row"))), keys, "left")
+    often = told.filter("hot_row is not null").select(*rows.columns, "hot_row.*")
+    seldom = told.filter("hot_row is null").drop("hot_row").join(other.filter(~hot).drop(n), keys)
+    return often.union(seldom.select(*often.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,16 +112,26 @@ def open_store(uri: str):
 def publish(uri: str, data_writer) -> int:
     """Writes a file under an attempt's own name and moves it into place; returns its size.
 
-    data_writer(stream) writes the content. A task that runs again, or twice at once, replaces the file by the same
-    content, so a lost executor leaves no half-written file under the final name.
+    data_writer(stream) writes the content. A file that is in place already, by an attempt of the same task, is whole
+    and stays: so no store needs to move onto an existing name, and a lost executor leaves no half-written file there.
     """
+    from pyarrow.fs import FileType
+
     store, path = open_store(uri)
+    there = lambda: store.get_file_info(path).type != FileType.NotFound
     store.create_dir(path.rpartition("/")[0], recursive=True)
     attempt = f"{path.rpartition('/')[0]}/.{path.rpartition('/')[2]}.{uuid.uuid4().hex}"
     with store.open_output_stream(attempt, compression=None) as out:
         data_writer(out)
         size = out.tell()
-    store.move(attempt, path)
+    try:
+        if not there():
+            store.move(attempt, path)
+            return size
+    except OSError:
+        if not there():
+            raise
+    store.delete_file(attempt)
     return size
 
 

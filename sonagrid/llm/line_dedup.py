@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, let, named, table, whole_text, written
+from .common import fresh, join_hot, let, named, table, whole_text, written
 from .components import key_groups, similar_components
 
 DEPTH = 3
@@ -33,8 +33,8 @@ FIELD = "<*>"
 
 #: Up to so many rows (24 bytes each) of leaves or templates are sent to all executors; beyond, they are joined by shuffles.
 SMALL_ROWS = 1_000_000
-#: A template with this share of all lines, and so many at least, is joined by broadcast: 1 / HOT_SHARE of them at most.
-HOT_SHARE, HOT_LINES = 0.001, 1_000
+#: A template that so many documents have may be joined by broadcast.
+HOT_LINES = 1_000
 
 
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,11 +115,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = per_doc.groupBy("t", "u").agg(F.count("*").alias("docs"), F.min(F.struct("id", "rh")).alias("first"), F.max("n").alias("n"))
     enough = F.when(F.col("n") >= long_tokens, F.col("docs") >= 2).otherwise(F.col("docs") >= short_docs)
     recurring = written(counted.filter(enough).select("t", "u", "docs", "first"), "recurring-templates")
-    hot = F.col("docs") >= max(HOT_LINES, int(HOT_SHARE * lines.count()))
-    told = placed.join(F.broadcast(recurring.filter(hot).select("t", "u", F.struct("first").alias("hot"))), ["t", "u"], "left")
-    often = told.filter("hot is not null").select("id", "rh", "pos", F.col("hot.first").alias("first"))
-    seldom = told.filter("hot is null").join(recurring.filter(~hot), ["t", "u"]).select("id", "rh", "pos", "first")
-    dropped = often.union(seldom).filter(~F.struct("id", "rh").eqNullSafe(F.col("first")))
+    told = join_hot(placed, recurring, ["t", "u"], "docs", lines.count(), HOT_LINES)
+    dropped = told.filter(~F.struct("id", "rh").eqNullSafe(F.col("first")))
     return written(dropped.groupBy("id", "rh").agg(F.collect_set("pos").alias("drops")), "drops")
 
 

@@ -1,15 +1,19 @@
 """WARC archives: writing captures, reading records, and assembling transactions.
 
 Each page becomes three records: a request, a response (or a revisit, where a payload is stored elsewhere already) and
-a metadata record. Request and metadata name the response in WARC-Concurrent-To. Tasks write one compressed archive
+a metadata record. Request and metadata name the response in WARC-Concurrent-To, a revisit names the response that holds
+its payload in WARC-Refers-To. Ids of records are hashed from what they capture. Tasks write one compressed archive
 each into the shared folder, one gzip member a record, and read archives as streams, a record at a time.
 
-Which of the pages with equal payloads keeps it is found by an aggregate over digests; only then the payloads are
-joined, so a payload that a third of all pages share is never gathered in one task.
+Which of the pages with equal payloads keeps it is found by an aggregate over digests. Payloads are never shuffled by
+digest: the decisions about repeated digests, rows of some bytes, are joined to the pages by page, and a digest or a
+response that many pages share is joined by broadcast.
 
 Edge cases: a null page is the empty payload; rows that agree in id, address and payload are all responses of their
-own; null ids count as smallest; a record without its partners keeps nulls for them; an empty table gives an empty
-archive set.
+own, with a number of repetition in their ids; null ids count as smallest, an empty address is a null one; a record without its
+partners keeps nulls for them; an archive that is damaged or breaks off gives the records before the damage and one
+record of type `damaged`; archives that aren't compressed are read too; very long payloads are held one at a time; an
+empty table gives an empty archive set; columns besides id, address and payload are not read, so names can't clash.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, open_store, publish, table, whole_text, written
+from .common import join_hot, named, new_path, open_store, publish, table, whole_text, written
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK = 1 << 20
@@ -49,8 +53,14 @@ def record(kind: str, record_id: str, body: bytes, **fields: str | None) -> byte
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """Blocks of the content of joined gzip members."""
-    z, data = zlib.decompressobj(31), b""
+    """Blocks of the content of joined gzip members, or of a stream that isn't compressed."""
+    data = stream.read(BLOCK)
+    if data[:2] != b"\x1f\x8b":
+        while data:
+            yield data
+            data = stream.read(BLOCK)
+        return
+    z = zlib.decompressobj(31)
     while data or (data := stream.read(BLOCK)):
         out = z.decompress(data, BLOCK)
         if out:
@@ -62,12 +72,15 @@ def inflated(stream) -> Iterator[bytes]:
 
 
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, body) of each record; memory holds one record and a block."""
+    """(header fields in lower case, body) of each record; memory holds one record and a block. ValueError where it is damaged."""
     blocks, buffer = inflated(stream), bytearray()
 
     def need(n: int) -> bool:
         while len(buffer) < n:
-            block = next(blocks, None)
+            try:
+                block = next(blocks, None)
+            except zlib.error as e:
+                raise ValueError("a member is damaged") from e
             if block is None:
                 return False
             buffer.extend(block)
@@ -81,28 +94,46 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
                 if buffer.strip():
                     raise ValueError("the archive ends inside a header")
                 return
-        fields = {}
-        for line in bytes(buffer[:end]).decode("utf-8", "surrogatepass").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        size = int(fields["content-length"])
-        if not need(end + 4 + size + 4):
+        first, *lines = bytes(buffer[:end]).decode("utf-8", "replace").split("\r\n")
+        fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+        size = fields.get("content-length", "")
+        if not first.startswith("WARC/") or not size.isdecimal() or "warc-type" not in fields:
+            raise ValueError("a record's header is damaged")
+        if not need(end + 4 + int(size) + 4):
             raise ValueError("the archive ends inside a record")
-        body = bytes(buffer[end + 4 : end + 4 + size])
-        del buffer[: end + 4 + size + 4]
+        body = bytes(buffer[end + 4 : end + 4 + int(size)])
+        del buffer[: end + 4 + int(size) + 4]
         yield fields, body
 
 
 # ---- writing ----
 
 def classify(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, sha1, refers_to): refers_to is null for a response, else its response's id."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(whole_text(payload_col), "UTF-8").alias("payload"))
+    """(page_id, url, payload, sha1, copy, kept): kept is null for a response, else its response's page_id and url.
+
+    copy numbers rows that agree in all of page_id, url and payload.
+    """
+    payload = F.encode(whole_text(payload_col), "UTF-8")
+    rows = pages.select(named(id_col).alias("page_id"), F.coalesce(named(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    largest = rows.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("kept"))
-    joined = rows.join(largest, "sha1")
-    own = F.struct("page_id", "url").eqNullSafe(F.col("kept")) | (F.octet_length("payload") < min_bytes)
-    return joined.select("page_id", "url", "payload", "sha1", (~own).alias("revisit"), F.when(~own, F.col("kept.url")).alias("kept_url"))
+    page = ["page_id", "url", "sha1"]
+    seen = written(rows.select(*page, (F.octet_length("payload") < min_bytes).alias("small")), "digests")
+    shared = seen.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    told = join_hot(seen, written(shared, "shared-digests"), ["sha1"], "n", seen.count())
+    told = told.groupBy(*page).agg(F.count("*").alias("n"), F.first("kept").alias("kept"), F.first("small").alias("small"))
+    own = F.struct("page_id", "url").eqNullSafe(F.col("kept")) | F.col("small")
+    marks = written(told.select(*(F.col(c).alias(f"m_{c}") for c in page), F.when(~own, F.col("kept")).alias("kept"), "n").filter("kept is not null or n > 1"), "marks")
+    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in page]
+    marked = rows.join(marks, same[0] & same[1] & same[2], "left")
+    once = marked.filter("n is null or n = 1").select("page_id", "url", "payload", "sha1", F.lit(0).alias("copy"), "kept")
+    if marks.filter("n > 1").isEmpty():
+        return once
+    several = marked.filter("n > 1").dropDuplicates(page)
+    return once.union(several.select("page_id", "url", "payload", "sha1", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"), "kept"))
+
+
+def record_id(kind: str, sha1: str, page_id, url: str, copy: int = 0) -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {sha1} {page_id} {copy} {url}')}"
 
 
 def write_warc(captures: DataFrame, folder: str) -> DataFrame:
@@ -116,35 +147,54 @@ def write_warc(captures: DataFrame, folder: str) -> DataFrame:
             nonlocal count
             for batch in batches:
                 for row in (r for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist()):
-                    request, response, metadata = (f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{folder}/{name}/{count + i}')}" for i in range(3))
-                    url = row["url"] or ""
+                    url, kept = row["url"], row["kept"]
+                    request, response, metadata = (record_id(kind, row["sha1"], row["page_id"], url, row["copy"]) for kind in ("request", "response", "metadata"))
                     host, _, path = re.sub(r"^\w+://", "", url).partition("/")
                     digest = "sha1:" + b32(bytes.fromhex(row["sha1"]))
-                    out.write(record("request", request, f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode("utf-8", "surrogatepass"), WARC_Target_URI=url, WARC_Concurrent_To=f"<{response}>", Content_Type="application/http;msgtype=request"))
+                    out.write(record("request", request, f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode("utf-8", "surrogatepass"), WARC_Target_URI=url or None, WARC_Concurrent_To=f"<{response}>", Content_Type="application/http;msgtype=request"))
                     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html;charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(row["payload"])
-                    more = {"WARC_Refers_To_Target_URI": row["kept_url"], "WARC_Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"} if row["revisit"] else {}
-                    out.write(record("revisit" if row["revisit"] else "response", response, http + (b"" if row["revisit"] else row["payload"]), WARC_Target_URI=url, WARC_Payload_Digest=digest, Content_Type="application/http;msgtype=response", **more))
+                    more = {"WARC_Refers_To": f"<{record_id('response', row['sha1'], kept['page_id'], kept['url'])}>", "WARC_Refers_To_Target_URI": kept["url"], "WARC_Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"} if kept else {}
+                    out.write(record("revisit" if kept else "response", response, http + (b"" if kept else row["payload"]), WARC_Target_URI=url or None, WARC_Payload_Digest=digest, Content_Type="application/http;msgtype=response", **more))
                     fields = "" if row["page_id"] is None else f"page-id: {row['page_id']}\r\n"
-                    out.write(record("metadata", metadata, fields.encode(), WARC_Target_URI=url, WARC_Concurrent_To=f"<{response}>", Content_Type="application/warc-fields"))
+                    out.write(record("metadata", metadata, fields.encode(), WARC_Target_URI=url or None, WARC_Concurrent_To=f"<{response}>", Content_Type="application/warc-fields"))
                     count += 3
 
         publish(f"{folder}/{name}", records)
         yield pa.RecordBatch.from_pydict({"file": pa.array([name]), "n_records": pa.array([count], pa.int64())})
 
-    rows = captures.select("page_id", "url", "payload", "sha1", "revisit", "kept_url")
+    rows = captures.select("page_id", "url", "payload", "sha1", "copy", "kept")
     return written(rows.mapInArrow(write, "file string, n_records long"), "warc-manifest")
 
 
 # ---- reading ----
 
-RECORD_SCHEMA = "record_id string, record_type string, concurrent_to string, target_uri string, payload_digest string, stored_digest string, payload_bytes long, fields string, payload binary"
+RECORD_SCHEMA = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, stored_digest string, payload_bytes long, fields string, payload binary"
 
 
 def scan_warc(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of the archives. Payloads are hashed as they are read; they are returned only on demand."""
     n = max(1, manifest.count())
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-    types = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.binary()]
+    types = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.binary()]
+    inner = lambda f, name: f.get(name, "").strip("<>") or None
+
+    def row(f: dict[str, str], body: bytes) -> tuple:
+        kind = f["warc-type"]
+        http = kind in ("response", "revisit")
+        payload = body.partition(b"\r\n\r\n")[2] if kind == "response" else None
+        return (
+            inner(f, "warc-record-id"), kind, inner(f, "warc-concurrent-to"), inner(f, "warc-refers-to"), f.get("warc-target-uri"),
+            f.get("warc-payload-digest", "").removeprefix("sha1:") or None if http else None,
+            None if payload is None else b32(hashlib.sha1(payload).digest()), None if payload is None else len(payload),
+            body.decode("utf-8", "replace") if kind == "metadata" else None, payload if with_payload else None,
+        )
+
+    def rows_of(stream) -> Iterator[tuple]:
+        try:
+            for f, body in read_records(stream):
+                yield row(f, body)
+        except ValueError:
+            yield (None, "damaged", *[None] * 8)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,17 +202,9 @@ def scan_warc(manifest: DataFrame, folder: str, with_payload: bool = True) -> Da
                 store, path = open_store(f"{folder}/{name}")
                 rows, held = [], 0
                 with store.open_input_stream(path, compression=None) as stream:
-                    for f, body in read_records(stream):
-                        kind = f["warc-type"]
-                        http = kind in ("response", "revisit")
-                        payload = body.partition(b"\r\n\r\n")[2] if kind == "response" else None
-                        rows.append((
-                            f["warc-record-id"].strip("<>"), kind, f.get("warc-concurrent-to", "").strip("<>") or None, f.get("warc-target-uri"),
-                            f.get("warc-payload-digest", "").removeprefix("sha1:") or None if http else None,
-                            None if payload is None else b32(hashlib.sha1(payload).digest()), None if payload is None else len(payload),
-                            body.decode() if kind == "metadata" else None, payload if with_payload else None,
-                        ))
-                        held += len(payload or b"") * with_payload + 500
+                    for r in rows_of(stream):
+                        rows.append(r)
+                        held += len(r[-1] or b"") + 500
                         if held > BLOCK * 4:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                             rows, held = [], 0
@@ -178,7 +220,7 @@ def assemble(records: DataFrame) -> DataFrame:
     Give it records that are a table by themselves (written): each kind is a pass over them.
     """
     responses = records.filter(F.col("record_type").isin("response", "revisit")).select(
-        F.col("record_id").alias("capture_id"), F.struct("record_id", "record_type", "target_uri", "payload_digest", "stored_digest", "payload_bytes", "payload").alias("response"))
+        F.col("record_id").alias("capture_id"), F.struct("record_id", "record_type", "refers_to", "target_uri", "payload_digest", "stored_digest", "payload_bytes", "payload").alias("response"))
     requests = records.filter(F.col("record_type") == "request").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target_uri").alias("request"))
     metadata = records.filter(F.col("record_type") == "metadata").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "fields").alias("metadata"))
     return responses.join(requests, "capture_id", "left").join(metadata, "capture_id", "left")
@@ -191,15 +233,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # written once: the archives are parsed once, and the joins know the records' true size (a manifest's is tiny)
     records = written(scan_warc(manifest, folder, with_payload=False), "warc-records")
     captures = written(assemble(records).select(
-        F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"),
-        F.col("response.payload_digest").alias("payload_digest"), F.col("response.stored_digest").alias("stored_digest"),
-        F.col("response.payload_bytes").alias("stored_bytes"), F.col("response.record_type").alias("record_type"),
-        F.col("request.target_uri").alias("url"),
+        "capture_id", F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"), F.col("request.target_uri").alias("url"),
+        *(F.col(f"response.{c}").alias(c) for c in ("record_type", "refers_to", "payload_digest", "stored_digest", "payload_bytes")),
     ), "captures")
-    kept = captures.filter("record_type = 'response'").groupBy(F.col("stored_digest").alias("payload_digest")).agg(F.max("page_id").alias("kept_id"), F.max("stored_bytes").alias("kept_bytes"))
-    revisit = F.col("record_type") == "revisit"
-    return captures.join(kept, "payload_digest", "left").select(
-        "page_id", F.when(revisit, F.col("kept_bytes")).otherwise(F.col("stored_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("payload_digest")).otherwise(F.col("stored_digest")).alias("payload_digest"),
-        "record_type", F.when(revisit, F.col("kept_id")).alias("refers_to"), "url",
-    )
+    responses, revisits = captures.filter("record_type = 'response'"), captures.filter("record_type = 'revisit'")
+    # what a revisit says of its payload is held against the response that its archive names
+    named_ids = revisits.groupBy(F.col("refers_to").alias("capture_id")).agg(F.count("*").alias("n"))
+    kept = responses.join(named_ids, "capture_id").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("kept_id"), F.col("payload_bytes").alias("kept_bytes"), "n")
+    found = join_hot(revisits.drop("payload_bytes"), written(kept, "referred"), ["refers_to"], "n", captures.count())
+    return responses.select("page_id", "payload_bytes", F.col("stored_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "url").union(
+        found.select("page_id", F.col("kept_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("kept_id").alias("refers_to"), "url"))
