@@ -8,7 +8,8 @@ The default normaliser leaves a text as it is: the tokenizer tells every two dif
 given where several spellings are to share one count.
 
 Edge cases: a null text is the empty text with zero tokens; repeated rows each get their count; an empty table gives
-an empty result; columns besides id and text are not read.
+an empty result; very long texts are encoded whole, one at a time beyond the batch; columns besides id and text are not
+read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, whole_text
+from .common import join_hot, named, new_path, table, whole_text, written
 from .encoding import encoder
 
 SLICE = 256
@@ -59,14 +60,17 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_file: str, limit: i
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_file)
     content = normalise(whole_text(text_col))
-    keyed = docs.select(F.col(id_col), whole_text(text_col).alias("text"), content.alias("content")).withColumn("content_digest", F.unhex(F.sha2("content", 256)))
+    keyed = docs.select(named(id_col).alias(id_col), whole_text(text_col).alias("text"), content.alias("content")).withColumn("content_digest", F.unhex(F.sha2("content", 256)))
     distinct = keyed.groupBy("content_digest").agg(F.first("content").alias("content"))
     misses = distinct.join(cached_counts(spark, cache_path, version), "content_digest", "left_anti")
     new = encode_counts(misses, tokenizer_file).withColumn("tokenizer_digest", F.lit(version))
     new.select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache_path)
-    counts = cached_counts(spark, cache_path, version)
-    rows = keyed.select(F.col(id_col), F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
-    return rows.join(counts, "content_digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # digests are hashed once more, as rows of a few bytes: those of copies join without a hot key
+    rows = written(keyed.select(named(id_col).alias("id"), F.octet_length("text").cast("long").alias("n_bytes"), "content_digest"), "digests")
+    copies = rows.groupBy("content_digest").agg(F.count("*").alias("n"))
+    counts = written(cached_counts(spark, cache_path, version).join(copies, "content_digest"), "counts")
+    counted = join_hot(rows, counts, ["content_digest"], "n", rows.count())
+    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
