@@ -5,10 +5,13 @@ shared folder: `<shard>.ids`, the ids as little-endian unsigned integers of 16 o
 other, and `<shard>.mph`, an index. The index is a cascade of bit arrays: a key that is alone at its place in a level
 gets that place, the others go on to the next level, and the rank of the place among all set bits is a number from 0
 to n - 1. At that number stand the key's 32-bit fingerprint, which tells foreign keys apart, and its offset and length
-in the shard. A lookup reads a fixed expected number of bits, one slot, and the document's own ids.
+in the shard. A lookup reads a fixed expected number of bits, one slot, and the document's own ids. The manifest has
+each shard's least and greatest key, so `lookup` opens the shards of its keys only, and of these what the keys need.
 
 Edge cases: a null text is the empty one, only the end id is written; repeated keys are told apart by their number of
-repetition and keep the order of their texts; a null key comes first; an empty table gives an empty result.
+repetition and keep the order of their texts; a null key comes first and can be looked up; a key without document is one
+row of nulls; an empty table gives an empty result; very long texts are encoded whole, one at a time beyond a batch;
+columns besides key and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, open_store, publish, table, whole_text, written
+from .common import named, new_path, open_store, publish, table, whole_text, written
 from .encoding import encoder
 
 SLICE = 256
@@ -41,73 +44,114 @@ def mix(keys: np.ndarray, repeats: np.ndarray, seed: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+#: A word of a level's bits with the number of set bits before it, and what stands in a key's slot.
+WORD = np.dtype([("bits", "<u8"), ("rank", "<u8")])
+SLOT = np.dtype([("fingerprint", "<u4"), ("offset", "<u8"), ("length", "<u8")])
+
+
 class PerfectHash:
-    """A minimal perfect hash of distinct (key, repetition) pairs, with stored fingerprints and values."""
-
-    def __init__(self, levels: list[np.ndarray], fingerprints: np.ndarray, offsets: np.ndarray, lengths: np.ndarray):
-        self.levels, self.fingerprints, self.offsets, self.lengths = levels, fingerprints, offsets, lengths
-        self.ranks = []  # set bits before each 64-bit word
-        before = 0
-        for bits in levels:
-            counts = np.bitwise_count(bits).astype(np.int64)
-            self.ranks.append(before + np.concatenate([[0], np.cumsum(counts)])[:-1])
-            before += int(counts.sum())
+    """A minimal perfect hash of distinct (key, repetition) pairs, with stored fingerprints and values.
+
+    As bytes: the numbers of keys, of null keys and of levels, each level's number of words; then the levels' words, the
+    slots, and the keys in order, nulls first. So a lookup needs a word a level and one slot, wherever they are.
+    """
+
+    def __init__(self, levels: list[np.ndarray], slots: np.ndarray, keys: np.ndarray, n_null: int = 0):
+        self.levels, self.slots_, self.keys, self.n_null = levels, slots, keys, n_null
+        self.sizes = [len(x) for x in levels]
 
     @classmethod
-    def build(cls, keys: np.ndarray, repeats: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> PerfectHash:
-        levels = []
+    def build(cls, keys: np.ndarray, repeats: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, n_null: int = 0) -> PerfectHash:
+        levels, before = [], 0
         left = np.arange(len(keys))
         while len(left):
             words = max(1, int(np.ceil(GAMMA * len(left) / 64)))
             at = (mix(keys[left], repeats[left], len(levels)) % np.uint64(words * 64)).astype(np.int64)
             alone = np.bincount(at, minlength=words * 64) == 1
-            levels.append(np.packbits(alone, bitorder="little").view("<u8"))
+            level = np.zeros(words, WORD)
+            level["bits"] = np.packbits(alone, bitorder="little").view("<u8")
+            counts = np.bitwise_count(level["bits"]).astype(np.int64)
+            level["rank"] = before + np.cumsum(counts) - counts
+            before += int(counts.sum())
+            levels.append(level)
             left = left[~alone[at]]
             if len(levels) > 200:
                 raise ValueError("the keys aren't distinct")
-        self = cls(levels, np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<i8"))
+        self = cls(levels, np.zeros(len(keys), SLOT), keys, n_null)
         slot = self.slots(keys, repeats)
-        self.fingerprints[slot] = cls.fingerprint(keys, repeats)
-        self.offsets[slot], self.lengths[slot] = offsets, lengths
+        for name, values in (("fingerprint", cls.fingerprint(keys, repeats)), ("offset", offsets), ("length", lengths)):
+            self.slots_[name][slot] = values
         return self
 
     @staticmethod
     def fingerprint(keys: np.ndarray, repeats: np.ndarray) -> np.ndarray:
         return (mix(keys, repeats, 1_000_003) >> np.uint64(32)).astype("<u4")
 
+    def words(self, level: int, at: np.ndarray) -> np.ndarray:
+        return self.levels[level][at]
+
+    def stored(self, slots: np.ndarray) -> np.ndarray:
+        return self.slots_[slots]
+
     def slots(self, keys: np.ndarray, repeats: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where no level holds it."""
         out = np.full(len(keys), -1, dtype=np.int64)
         left = np.arange(len(keys))
-        for level, (bits, ranks) in enumerate(zip(self.levels, self.ranks, strict=True)):
-            at = (mix(keys[left], repeats[left], level) % np.uint64(len(bits) * 64)).astype(np.int64)
-            word, bit = bits[at >> 6], (at & 63).astype(np.uint64)
-            hit = (word >> bit) & np.uint64(1) == 1
-            below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
-            out[left[hit]] = (ranks[at >> 6] + below)[hit]
+        for level, size in enumerate(self.sizes):
+            at = (mix(keys[left], repeats[left], level) % np.uint64(size * 64)).astype(np.int64)
+            word, bit = self.words(level, at >> 6), (at & 63).astype(np.uint64)
+            hit = (word["bits"] >> bit) & np.uint64(1) == 1
+            below = np.bitwise_count(word["bits"] & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
+            out[left[hit]] = (word["rank"].astype(np.int64) + below)[hit]
             left = left[~hit]
+            if not len(left):
+                break
         return out
 
     def find(self, keys: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offset and length of each key; -1 and -1 for a key whose fingerprint isn't the stored one."""
         slot = self.slots(keys, repeats)
-        ok = slot >= 0
-        ok[ok] = self.fingerprints[slot[ok]] == self.fingerprint(keys[ok], repeats[ok])
         offset, length = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
-        offset[ok], length[ok] = self.offsets[slot[ok]], self.lengths[slot[ok]]
+        there = np.flatnonzero(slot >= 0)
+        found = self.stored(slot[there])
+        ok = found["fingerprint"] == self.fingerprint(keys[there], repeats[there])
+        offset[there[ok]], length[there[ok]] = found["offset"][ok], found["length"][ok]
         return offset, length
 
-    def dump(self, extra: dict[str, np.ndarray]) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, sizes=np.array([len(x) for x in self.levels], "<i8"), bits=np.concatenate([*self.levels, np.zeros(0, "<u8")]), fingerprints=self.fingerprints, offsets=self.offsets, lengths=self.lengths, **extra)
-        return out.getvalue()
+    def dump(self) -> bytes:
+        head = np.array([len(self.keys), self.n_null, len(self.levels), *self.sizes], "<i8")
+        return b"".join(x.tobytes() for x in (head, *self.levels, self.slots_, self.keys.astype("<i8")))
 
     @classmethod
-    def load(cls, data: bytes) -> tuple[PerfectHash, dict[str, np.ndarray]]:
-        z = np.load(io.BytesIO(data), allow_pickle=False)
-        cuts = np.cumsum(z["sizes"])[:-1]
-        levels = np.split(z["bits"], cuts) if len(z["sizes"]) else []
-        return cls(levels, z["fingerprints"], z["offsets"], z["lengths"]), {k: z[k] for k in z.files}
+    def load(cls, data: bytes) -> PerfectHash:
+        n, n_null, n_levels = np.frombuffer(data, "<i8", 3).tolist()
+        at, levels = 24 + 8 * n_levels, []
+        for size in np.frombuffer(data, "<i8", n_levels, 24).tolist():
+            levels.append(np.frombuffer(data, WORD, size, at))
+            at += size * WORD.itemsize
+        return cls(levels, np.frombuffer(data, SLOT, n, at), np.frombuffer(data, "<i8", n, at + n * SLOT.itemsize), n_null)
+
+
+class StoredHash(PerfectHash):
+    """The same in an open file: of it the head is read, and for a lookup the words and slots that it needs."""
+
+    def __init__(self, file):
+        self.file, self.n_reads = file, 0
+        n, self.n_null, n_levels = np.frombuffer(self._read(0, 24), "<i8").tolist()
+        self.sizes = np.frombuffer(self._read(24, 8 * n_levels), "<i8").tolist()
+        ends = 24 + 8 * n_levels + np.cumsum([0, *self.sizes]) * WORD.itemsize
+        self.level_at, self.slots_at = ends[:-1].tolist(), int(ends[-1])
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        self.n_reads += 1
+        return self.file.read(size)
+
+    def words(self, level: int, at: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join(self._read(self.level_at[level] + i * WORD.itemsize, WORD.itemsize) for i in at.tolist()), WORD)
+
+    def stored(self, slots: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join(self._read(self.slots_at + i * SLOT.itemsize, SLOT.itemsize) for i in slots.tolist()), SLOT)
 
 
 def repeats_of(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
@@ -120,7 +164,7 @@ def repeats_of(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards; returns the manifest (shard, n_docs, n_ids, width), a written table."""
+    """Writes the shards; returns the manifest (shard, n_docs, n_null, least, greatest, n_ids, width), a written table."""
     spark = docs.sparkSession
     n = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -145,12 +189,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int,
         key, length = np.concatenate([*keys, np.zeros((0, 2), np.int64)]), np.concatenate([*lengths, np.zeros(0, np.int64)])
         null, key = key[:, 0].astype(bool), key[:, 1]
         repeats = repeats_of(key, null) + null * (1 << 40)
-        index = PerfectHash.build(key, repeats, np.cumsum(length) - length, length)
-        publish(f"{folder}/{shard:08d}.mph", lambda out: out.write(index.dump({"keys": key, "null": null})))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(key)], pa.int64()), "n_ids": pa.array([int(length.sum())], pa.int64()), "width": pa.array([np.dtype(dtype).itemsize], pa.int32())})
+        index = PerfectHash.build(key, repeats, np.cumsum(length) - length, length, int(null.sum()))
+        publish(f"{folder}/{shard:08d}.mph", lambda out: out.write(index.dump()))
+        ends = key[~null][[0, -1]].tolist() if not null.all() else [None, None]
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(key)], pa.int64()), "n_null": pa.array([index.n_null], pa.int64()), "least": pa.array(ends[:1], pa.int64()), "greatest": pa.array(ends[1:], pa.int64()), "n_ids": pa.array([int(length.sum())], pa.int64()), "width": pa.array([np.dtype(dtype).itemsize], pa.int32())})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), whole_text(text_col).alias("text")).repartitionByRange(n, "key").sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-    return written(rows.mapInArrow(write, "shard int, n_docs long, n_ids long, width int"), "manifest")
+    rows = docs.select(named(id_col).cast("long").alias("key"), whole_text(text_col).alias("text")).repartitionByRange(n, "key").sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    return written(rows.mapInArrow(write, "shard int, n_docs long, n_null long, least long, greatest long, n_ids long, width int"), "manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -178,8 +223,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 store, path = open_store(f"{folder}/{row['shard']:08d}")
                 with store.open_input_stream(path + ".mph", compression=None) as f:
-                    index, extra = PerfectHash.load(f.read())
-                keys, null = extra["keys"], extra["null"]
+                    index = PerfectHash.load(f.read())
+                keys, null = index.keys, np.arange(len(index.keys)) < index.n_null
                 repeats = repeats_of(keys, null) + null * (1 << 40)
                 with store.open_input_file(path + ".ids") as payload:
                     for at in range(0, len(keys), 4096):
@@ -196,6 +241,50 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+#: Shards whose bounds may be told to every task (16 bytes each).
+TOLD_SHARDS = 1_000_000
+
+
+def lookup(keys: DataFrame, manifest: DataFrame, folder: str, key_col: str = "key") -> DataFrame:
+    """(key, copy, ids) of the distinct keys: a row for each document of a key, copy numbers them; null ids if there is none."""
+    told = manifest.filter("n_docs > 0").select("shard", "n_null", "least", "greatest", "width").orderBy("shard")
+    if manifest.count() > TOLD_SHARDS:
+        raise ValueError("too many shards to tell every task their bounds; look up in parts of the manifest")
+    shards = told.collect()  # a row a shard, bounded above
+    filled = [r for r in shards if r["greatest"] is not None]
+    greatest, of = np.array([r["greatest"] for r in filled], np.int64), np.array([r["shard"] for r in filled], np.int32)
+    least = np.array([r["least"] for r in filled], np.int64)
+    width, with_null = {r["shard"]: r["width"] for r in shards}, next((r["shard"] for r in shards if r["n_null"]), None)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            null = np.asarray(batch.column(0).is_null())
+            key = batch.column(0).fill_null(0).to_numpy()
+            at = np.searchsorted(greatest, key)
+            ok = at < len(greatest)
+            ok[ok] = least[at[ok]] <= key[ok]
+            shard = [with_null if n else int(of[i]) if k else None for n, i, k in zip(null.tolist(), at.tolist(), ok.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard, pa.int32())], names=["key", "shard"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, index, payload = None, None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = []
+                if row["shard"] is not None:
+                    if row["shard"] != opened:
+                        store, path = open_store(f"{folder}/{row['shard']:08d}")
+                        opened, index, payload = row["shard"], StoredHash(store.open_input_file(path + ".mph")), store.open_input_file(path + ".ids")
+                    key, repeat = np.array([row["key"] or 0], np.int64), (row["key"] is None) * (1 << 40)
+                    while (one := next(fetch(index, payload, width[opened], key, np.array([repeat + len(found)])))) is not None:
+                        found.append(one[1])
+                n = max(1, len(found))
+                yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * n, pa.int64()), pa.array(range(n) if found else [None], pa.int32()), pa.array(found or [None], pa.list_(pa.field("element", pa.int64())))], names=["key", "copy", "ids"])
+
+    placed = keys.select(named(key_col).cast("long").alias("key")).distinct().mapInArrow(place, "key long, shard int")
+    return placed.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(read, "key long, copy int, ids array<bigint>")
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as ids with the end id 2, written to shards and read back through their indexes."""
     import public_tokenizers
