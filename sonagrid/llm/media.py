@@ -3,14 +3,17 @@
 Images stay binary columns of tables. Each image is decoded, resized and hashed inside one Arrow batch of a task, so
 memory is bounded by the batch and nothing is shuffled.
 
-Edge cases: a null text counts as the empty one (one row of spaces); bytes that are no image give null features;
-repeated rows give repeated results; columns besides those named are not touched.
+Edge cases: a null text counts as the empty one (one row of spaces); bytes that are no image, or a damaged one, give
+null features; samples of other depths are scaled to 8 or 16 bits; repeated rows give repeated results; very long texts
+are images of many rows, one at a time in memory beside their batch; an empty table gives an empty result; columns
+besides id and content are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import math
 import re
 import struct
 import zlib
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text, written
+from .common import named, table, whole_text, written
 
 #: Pixels in a row of an image that carries a payload: 64 RGB pixels are 192 bytes, a multiple of four as BMP needs.
 WIDTH = 64
@@ -52,8 +55,16 @@ def write_bmp(pixels: np.ndarray) -> bytes:
 _token = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])*([^\s#]+)")
 
 
+def _scaled(samples: np.ndarray, top: int) -> np.ndarray:
+    """Samples from 0 to top as 0 to 255 in 8 bits, or 0 to 65535 in 16 where top is over 255."""
+    if not 0 < top < 1 << 16 or samples.min(initial=0) < 0 or samples.max(initial=0) > top:
+        raise ValueError("samples beyond their maximum")
+    full = 65535 if top > 255 else 255
+    return samples.astype(np.uint16 if top > 255 else np.uint8) if top == full else ((samples.astype(np.int64) * full + top // 2) // top).astype(np.uint16 if top > 255 else np.uint8)
+
+
 def read_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as uint8 or uint16 samples: (h, w), or (h, w, 3) for colour. A set bit of a bitmap is black, 0."""
+    """P1 to P6 as samples of 8 or 16 bits: (h, w), or (h, w, 3) for colour. A set bit of a bitmap is black, 0."""
     kind, at, head = int(data[1:2]), 2, []
     for _ in range(2 if kind in (1, 4) else 3):
         m = _token.match(data, at)
@@ -63,10 +74,12 @@ def read_netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     w, h, top = (*head, 1)[:3] if kind in (1, 4) else head
     shape = (h, w, 3) if kind in (3, 6) else (h, w)
-    n = int(np.prod(shape))
+    n = math.prod(shape)
+    if min(shape) < 1 or n > 8 * len(data):
+        raise ValueError("the samples are cut off")
     if kind in (2, 3):
         text = re.sub(rb"#[^\r\n]*", b"", data[at:])
-        return np.array(text.split()[:n], dtype=np.uint16 if top > 255 else np.uint8).reshape(shape)
+        return _scaled(np.array([int(x) for x in text.split()[:n]], np.int64).reshape(shape), top)
     if kind == 1:
         bits = re.sub(rb"#[^\r\n]*|\s", b"", data[at:])[:n]
         return np.where(np.frombuffer(bits, np.uint8) == 49, 0, 255).astype(np.uint8).reshape(shape)
@@ -74,22 +87,34 @@ def read_netpbm(data: bytes) -> np.ndarray:
     if kind == 4:
         packed = np.frombuffer(data, np.uint8, h * -(-w // 8), at).reshape(h, -1)
         return np.where(np.unpackbits(packed, axis=1)[:, :w] == 1, 0, 255).astype(np.uint8)
-    return np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at).reshape(shape)
+    return _scaled(np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at).reshape(shape), top)
 
 
 def read_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8 (palette), 24 or 32 bits a pixel as (h, w, 3) RGB samples."""
-    start, head, w, h, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if packing not in (0, 3) or bits not in (8, 24, 32):
+    """Uncompressed BMP of 8 (palette), 16, 24 or 32 bits a pixel, also with masks of bits, as (h, w, 3) RGB samples."""
+    start, head = struct.unpack_from("<II", data, 10)
+    if head == 12:
+        w, h, _, bits = struct.unpack_from("<HHHH", data, 18)
+        packing, entry = 0, 3
+    else:
+        w, h, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
+        entry = 4
+    if bits not in (8, 16, 24, 32) or packing not in ((0, 3) if bits in (16, 32) else (0,)) or w < 1 or not h:
         raise ValueError("this kind of BMP isn't read")
     row = -(-w * bits // 32) * 4
-    body = np.frombuffer(data, np.uint8, abs(h) * row, start).reshape(abs(h), row)
+    body = np.frombuffer(data, np.uint8, abs(h) * row, start).reshape(abs(h), row)[:, : w * bits // 8]
     if bits == 8:
-        colours = (start - 14 - head) // 4
-        palette = np.frombuffer(data, np.uint8, colours * 4, 14 + head).reshape(colours, 4)
-        pixels = palette[body[:, :w]][:, :, 2::-1]
+        colours = (start - 14 - head) // entry
+        palette = np.frombuffer(data, np.uint8, colours * entry, 14 + head).reshape(colours, entry)
+        pixels = palette[body][:, :, 2::-1]
+    elif bits == 24:
+        pixels = body.reshape(abs(h), w, 3)[:, :, ::-1]
     else:
-        pixels = body[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1]
+        masks = struct.unpack_from("<III", data, 54) if packing == 3 else (0x7C00, 0x3E0, 0x1F) if bits == 16 else (0xFF0000, 0xFF00, 0xFF)
+        if not all(masks):
+            raise ValueError("a colour has no bits")
+        words = np.ascontiguousarray(body).view(f"<u{bits // 8}").astype(np.int64)
+        pixels = np.stack([(words & m) // (m & -m) * 255 // (m // (m & -m)) for m in masks], axis=2).astype(np.uint8)
     return pixels[::-1] if h > 0 else pixels
 
 
@@ -100,7 +125,7 @@ def decode_image(data: bytes | None) -> np.ndarray | None:
             return read_bmp(data)
         if data and re.match(rb"P[1-6]\s", data):
             return read_netpbm(data)
-    except (ValueError, struct.error, IndexError):
+    except (ValueError, struct.error, IndexError, OverflowError):
         pass
     return None
 
@@ -142,7 +167,7 @@ def difference_hash(pixels: np.ndarray) -> str:
 def npy_tile(pixels: np.ndarray, edge: int = TILE) -> bytes:
     """An edge by edge tile as a NPY file of 8-bit samples."""
     out = io.BytesIO()
-    np.save(out, np.rint(area_resize(pixels, edge, edge)).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.rint(area_resize(pixels, edge, edge) / (257 if pixels.dtype.itemsize > 1 else 1)).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -171,7 +196,7 @@ def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
     schema = f"`{id_col}` {id_type.simpleString()}, n_bytes long, media binary"
-    return docs.select(F.col(id_col), whole_text(text_col).alias("text")).mapInArrow(store, schema)
+    return docs.select(named(id_col).alias(id_col), whole_text(text_col).alias("text")).mapInArrow(store, schema)
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -195,7 +220,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], names=[id_col, *(n for n, _ in fields)])
 
     schema = f"`{id_col}` {id_type.simpleString()}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
-    return media.select(F.col(id_col), F.col(media_col).alias("media")).mapInArrow(features, schema)
+    return media.select(named(id_col).alias(id_col), named(media_col).alias("media")).mapInArrow(features, schema)
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
