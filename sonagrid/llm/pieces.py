@@ -17,7 +17,8 @@ it is computed. Steps of all documents of a batch are drawn together with NumPy.
 
 Edge cases: a null or empty text has one segmentation, without pieces; a text with fewer than k segmentations gives
 all of them, with inclusion 1; the character U+2581 is read as a space, as the library does; equal keys with equal texts
-have equal samples; an empty table gives an empty result; columns besides id and text are not read.
+have equal samples; an empty table gives an empty result; very long texts, and long texts without a space, are sampled
+whole in a batch of their own; columns besides id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -289,6 +290,15 @@ def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def unit_seeds(seeds: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """A seed for each unit of a document, so that steps in a unit can be counted from 0 however long it is."""
+    with np.errstate(over="ignore"):
+        z = seeds + (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+        z ^= z >> np.uint64(32)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        return z ^ (z >> np.uint64(29))
+
+
 def truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     """Gumbel variables with these log masses, given that they are below the bound."""
     with np.errstate(over="ignore", invalid="ignore"):
@@ -307,10 +317,6 @@ class Path:
     taken: dict[int, list[int]]  # edges of a step that other paths have taken
 
 
-#: Counters of one unit's steps in a path; a longer unit goes on into the next unit's numbers, which only ties draws.
-STEPS = 1 << 12
-
-
 def _descend(lat: Lattices, places: np.ndarray, seeds: np.ndarray, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The edges drawn from each place to its unit's end, unit after unit, and how many each unit has."""
     rounds: list[tuple[np.ndarray, np.ndarray]] = []
@@ -354,9 +360,9 @@ def sample_batch(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int,
     token_at = np.concatenate([[0], np.cumsum(size)])
     start = lat.start[unit_of]
     number_in_doc = np.arange(len(unit_of)) - np.repeat(token_at[:-1], size)
-    base = (number_in_doc * STEPS).astype(np.uint64)
+    unit_seed = unit_seeds(np.repeat(seeds, size), number_in_doc)
 
-    edges, n = _descend(lat, start, np.repeat(seeds, size), base)
+    edges, n = _descend(lat, start, unit_seed, np.zeros(len(start), np.uint64))
     end_of = np.concatenate([[0], np.cumsum(n)])
     paths: list[list[Path]] = []
     unit_ends: list[list[np.ndarray]] = []  # of each path: the steps before each unit
@@ -402,10 +408,9 @@ def sample_batch(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int,
             a, b = token_at[d] + t + 1, token_at[d + 1]
             places = ([follow] if follow >= 0 else []) + [start[a:b]]
             places = np.concatenate([np.atleast_1d(x) for x in places]).astype(np.int64)
-            own_counter = np.concatenate([np.array([t * STEPS + i], np.uint64)] * (follow >= 0) + [base[a:b]]) + np.uint64((number + 1) << 42)
             at.append(places)
-            counter.append(own_counter)
-            seed.append(np.broadcast_to(seeds[d], len(places)))
+            counter.append(np.full(len(places), (number + 1) << 42, np.uint64))
+            seed.append(unit_seed[a - (follow >= 0) : b])
             span.append(len(places))
             heads.append((e, value, t, follow >= 0))
         drawn, n = _descend(lat, np.concatenate(at), np.concatenate(seed), np.concatenate(counter).astype(np.uint64))
