@@ -3,15 +3,16 @@
 A classifier fitted on the labelled table gives each document the posteriors of its domains. It is a Gaussian
 discriminant over a fixed set of text statistics: the class moments are one grouped aggregate over labelled rows, and
 scoring is arithmetic on columns. Document rates are then fitted: nonnegative numbers r whose expected token totals,
-the sums of r * tokens * posterior over all documents, match the targets of the domains in least squares, with a small
-pull to rate 1. Each step of the projected gradient is one pass that sums the totals of the present rates; the
+the sums of r * tokens * posterior over all documents, match the targets of the domains in least squares, starting from
+rate 1. Each step of the projected gradient is one pass that sums the totals of the present rates; the
 residuals, one number a domain, are all that reaches the driver, where the inverse of the domains' moment matrix scales
 them (least squares in that metric, so a few steps suffice). A document's rate is a fold of its posteriors over the
-steps so far, so no rates are stored between steps.
+steps so far, so no rates are stored between steps. The result says how near the targets it came.
 
 Edge cases: a null or empty text has no tokens and keeps its rate; a class without labelled rows gets posterior 0, and
 a target for it can't be met; without any labels all posteriors are equal; null labels are no labels; of several
-labels of an id the highest domain counts; an empty table gives an empty result.
+labels of an id the highest domain counts; rows that agree in id and text have one rate and one draw; very long texts
+are rows like others; an empty table gives an empty result; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text, written
+from .common import fresh, named, table, whole_text, written
 
 #: The domains that the labelled table tells apart: text of low and of high quality.
 DOMAINS = ("low", "high")
@@ -35,8 +36,8 @@ FLOOR = 0.02
 
 
 def tokens(text: Column) -> Column:
-    """Words, counted by the white space between them."""
-    return F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+"))).cast("long")
+    """Words: runs of characters that aren't white space, as they begin."""
+    return F.regexp_count(text, F.lit(r"(?:^|\s)(?=\S)")).cast("long")
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -53,7 +54,7 @@ def statistics(text: Column) -> dict[str, Column]:
 def features_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rh, n_tokens, s): a document's statistics, rh the hash of its text."""
     text = whole_text(text_col)
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("rh"), tokens(text).alias("n_tokens"), F.array(*(c.cast("double") for c in statistics(text).values())).alias("s"))
+    return docs.select(named(id_col).alias("id"), F.xxhash64(text).alias("rh"), tokens(text).alias("n_tokens"), F.array(*(c.cast("double") for c in statistics(text).values())).alias("s"))
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -85,41 +86,50 @@ def posteriors(features: DataFrame, labels: DataFrame) -> DataFrame:
     return raised.withColumn("p", F.transform("e", lambda x: x / total_e)).drop("logs", "e")
 
 
-def fitted_rates(members: DataFrame, targets: list[float], steps: int = 15, ridge: float = 1e-3, enough: float = 1e-7) -> DataFrame:
-    """members (n_tokens, p, ...) with rate. targets: the tokens that each domain is to have, as shares of all tokens."""
+def fitted_rates(members: DataFrame, targets: list[float], steps: int = 30, enough: float = 1e-7) -> DataFrame:
+    """members (n_tokens, p, ...) with rate, residual and converged. targets: the tokens that each domain is to have, as shares of all tokens.
+
+    residual: the largest difference from a target; converged: it is at most `enough`. Targets that no nonnegative rates
+    meet, such as those of a domain without documents, end as near as the steps come, not converged.
+    """
     k = range(len(targets))
-    sums = members.agg(F.sum("n_tokens").alias("all"), *(F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in k for j in k)).first()
-    total = float(sums["all"] or 0)
-    if not total:
-        return members.withColumn("rate", F.lit(1.0))
-    scale = np.linalg.inv(np.array([[sums[f"g{i}_{j}"] / total for j in k] for i in k]) + 1e-6 * np.eye(len(targets)))
 
     def rates(slopes: list[list[float]]) -> Column:
         """The fold over the steps so far: from 1, each against its slope and never below 0."""
         rate = F.lit(1.0)
         if not slopes:
             return rate
-        history = F.array(*(F.array(*(F.lit(float(x)) for x in d)) for d in slopes))
+        history = F.lit(slopes).cast("array<array<double>>")
 
         def step(r: Column, d: Column) -> Column:
             slope = F.aggregate(F.zip_with(F.col("p"), d, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-            return F.greatest(F.lit(0.0), r - slope - ridge * (r - 1.0))
+            return F.greatest(F.lit(0.0), r - slope)
 
         return F.aggregate(history, rate, step)
 
     slopes: list[list[float]] = []
-    for _ in range(steps):
+    best: tuple[float, int] = (math.inf, 0)
+    for _ in range(steps + 1):
         now = members.select("n_tokens", "p", rates(slopes).alias("rate"))
-        got = now.agg(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col("p")[i]) for i in k)).first()
-        residual = np.array(got, dtype=float) / total - np.array(targets)
-        if np.abs(residual).max() < enough:
+        share = lambda i: F.col("n_tokens") * F.col("p")[i]
+        moment = [F.sum(F.when(F.col("rate") > 0, share(i) * F.col("p")[j])) for i in k for j in k]
+        got = now.agg(F.sum("n_tokens"), *(F.sum(share(i) * F.col("rate")) for i in k), *moment).first()
+        total = float(got[0] or 0)
+        if not total:
+            best = (0.0 if not any(targets) else math.inf, 0)
+            break
+        residual = np.array(got[1 : 1 + len(targets)], dtype=float) / total - np.array(targets)
+        best = min(best, (float(np.abs(residual).max()), len(slopes)))
+        if best[0] <= enough:
             break
-        slopes.append((scale @ residual).tolist())
-    return members.withColumn("rate", rates(slopes))
+        # rates at 0 don't move, so the moments of the others scale the step
+        free = np.array([x or 0.0 for x in got[1 + len(targets) :]], dtype=float).reshape(len(targets), -1) / total
+        slopes.append((np.linalg.inv(free + 1e-9 * np.eye(len(targets))) @ residual).tolist())
+    return members.withColumns({"rate": rates(slopes[: best[1]]), "residual": F.lit(best[0]), "converged": F.lit(best[0] <= enough)})
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = TARGETS, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rh, n_tokens, p, rate) of each document.
+    """(id, rh, n_tokens, p, rate, residual, converged) of each document.
 
     budget: the tokens wanted as a share of those there; by default such that the domain of the largest weight has
     the mean rate ANCHOR_RATE.
@@ -140,14 +150,16 @@ def draw(rate: Column, *key: str) -> Column:
 
 def thinned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """docs thinned to the mixture: each row stays with its rate as probability, at rates over 1 always."""
-    rates = mix(docs, labels, id_col=id_col, text_col=text_col, **parameters).select(F.col("id").alias("__id"), F.col("rh").alias("__rh"), "rate").dropDuplicates(["__id", "__rh"])
-    stay = rates.filter(draw(F.col("rate"), "__id", "__rh")).select("__id", "__rh")
-    own = docs.withColumn("__hash", F.xxhash64(whole_text(text_col)))
-    return own.join(stay, (F.col("__hash") == F.col("__rh")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").drop("__hash")
+    own_hash, own_id, rh = fresh(docs, "hash", "own_id", "rh")
+    rates = mix(docs, labels, id_col=id_col, text_col=text_col, **parameters)
+    # what is told of rows is which go: a small table, where the mixture leaves most
+    gone = written(rates.filter(~draw(F.col("rate"), "id", "rh")).select(F.col("id").alias(own_id), F.col("rh").alias(rh)).distinct(), "thinned")
+    own = docs.withColumn(own_hash, F.xxhash64(whole_text(text_col)))
+    return own.join(gone, (F.col(own_hash) == F.col(rh)) & named(id_col).eqNullSafe(F.col(own_id)), "left_anti").drop(own_hash)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, posteriors, rate and draw."""
     rates = mix(table(spark, sf_dir, "documents"), domain_labels(table(spark, sf_dir, "labels")))
     p = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return rates.select(F.col("id").alias("doc_id"), "n_tokens", *p, "rate", draw(F.col("rate"), "id", "rh").alias("kept"))
+    return rates.select(F.col("id").alias("doc_id"), "n_tokens", *p, "rate", draw(F.col("rate"), "id", "rh").alias("kept"), "residual", "converged")
