@@ -11,7 +11,9 @@ word pairs they share, and its cosine is the likeness of two fingerprints.
 
 Edge cases: a null text is the empty one; the empty text has the zero vector, two zero vectors are alike (1) and a zero
 vector and another are not (0); repeated rows have equal fingerprints. The next document of a repeated id is another row
-of that id while there is one, in the order of the texts.
+of that id while there is one, in the order of the texts. Very long texts are paragraphs and word pairs like others,
+summed as they are cut; an empty table gives an empty result; only key and text columns are read, so that others can't
+clash.
 """
 
 from __future__ import annotations
@@ -102,12 +104,19 @@ def with_next(docs: DataFrame, n_ranges: int) -> DataFrame:
     """Adds pos, next_pos and next_text to (doc_id, text): the next row by descending id, after the last the first.
 
     Rows are dealt to ranges of the id, found from its distribution, and ordered inside each range; a range's last row
-    takes the first text of the following range. No task holds more than a range. Null ids come last.
+    takes the first text of the following range. No task holds more than its ranges: several small ones, so that tasks
+    are even. A row finds its range in two steps, among every m-th bound and then among m. Null ids come last.
     """
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n_ranges for i in range(1, n_ranges)], 10_000)).first()[0] or []
     bounds = sorted(set(bounds))
-    edges = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
-    above = F.size(F.filter(edges, lambda b: b >= F.col("doc_id")))
+    m = max(1, round(len(bounds) ** 0.5))
+    parts = [bounds[i : i + m] for i in range(0, len(bounds), m)]
+    above = F.lit(0)
+    if parts:  # the bounds below the first one that isn't, counted by whole parts and inside one
+        below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("doc_id")))
+        part = below(F.lit([p[-1] for p in parts]).cast("array<bigint>"))
+        inner = F.get(F.lit([[*p, *[p[-1]] * (m - len(p))] for p in parts]).cast("array<array<bigint>>"), part)
+        above = len(bounds) - F.coalesce(part * m + below(inner), F.lit(len(bounds)))
     ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(above).cast("long"))
     inside = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").asc())
     led = ranged.select("*", F.lead("text").over(inside).alias("led"), F.lead(F.lit(True)).over(inside).alias("inner"), F.row_number().over(inside).cast("long").alias("n"))
@@ -129,7 +138,7 @@ def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text of documents and of its edited text, and how alike they and the next document are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
     third = "cast(floor(length(text) / 3) as int)"
-    pairs = with_next(docs, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))).select(
+    pairs = with_next(docs, 8 * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))).select(
         "doc_id", "pos", "next_pos", "text", F.length("text").cast("long").alias("n_chars"),
         F.expr(f"concat(substr(text, 1, length(text) - {third}), substr(next_text, 1, {third}))").alias("edited"),
     )
