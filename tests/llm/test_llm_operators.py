@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import io
 import itertools
+import struct
 import zlib
 from collections import Counter
 
@@ -78,7 +80,10 @@ def test_perfect_hash():
     zero = np.zeros(len(keys), np.int64)
     h = token_shards.PerfectHash.build(keys, zero, np.arange(len(keys)), np.arange(len(keys)) + 7)
     assert sorted(h.slots(keys, zero).tolist()) == list(range(len(keys)))
-    back, _ = token_shards.PerfectHash.load(h.dump({}))
+    back = token_shards.PerfectHash.load(h.dump())
+    stored = token_shards.StoredHash(io.BytesIO(h.dump()))
+    assert [x.tolist() for x in stored.find(keys[:500], zero[:500])] == [x.tolist() for x in back.find(keys[:500], zero[:500])]
+    assert stored.n_reads < 2 + 500 * 4  # about 1.7 words and one slot a key
     offsets, lengths = back.find(keys, zero)
     assert (offsets == np.arange(len(keys))).all() and (lengths == offsets + 7).all()
     foreign = rng.integers(-(1 << 62), 1 << 62, 20000)
@@ -98,6 +103,13 @@ def test_shards(spark, docs, empty, n_shards):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert by_id(token_shards.read_shards(manifest, folder), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
+    asked = [i for i, _ in rows[::2]] + [-77, 10**12, None, rows[0][0], rows[-1][0]]
+    found = token_shards.lookup(spark.createDataFrame([(k, "x") for k in asked], "key long, shard string"), manifest, folder).collect()
+    by_key = {}
+    for i, s in rows:
+        by_key.setdefault(i, []).append([*t.encode(s, add_special_tokens=False).ids, 2])
+    assert {(r["key"], r["copy"]): r["ids"] for r in found} == {x: y for k in asked for x, y in ([((k, c), ids) for c, ids in enumerate(by_key[k])] if k in by_key else [((k, None), None)])}
+    assert len(found) == sum(len(by_key.get(k, [0])) for k in set(asked))
     folder = new_path(spark, "shards")
     assert token_shards.read_shards(token_shards.write_shards(empty, folder, BPE, 2), folder).count() == 0
 
@@ -117,6 +129,20 @@ def test_image_round_trips():
     assert [media.decode_image(x) for x in (None, b"", b"GIF", b"P6\n9 9\n255\n..", b"BM123", b"P6\n")] == [None] * 6
 
 
+def test_depths_and_damaged_images(spark):
+    level = lambda data: media.decode_image(data).tolist()
+    assert level(b"P2 2 1 15\n0 15") == level(b"P5 2 1 15\n\x00\x0f") == level(b"P2 2 1 255\n0 255") == [[0, 255]]
+    assert level(b"P5 1 1 1000\n" + struct.pack(">H", 500)) == [[32768]] and media.npy_tile(media.decode_image(b"P5 1 1 65535\n\xff\xff"))[-1] == 255
+    core = b"BM" + struct.pack("<IHHIIHHHH", 0, 0, 0, 26, 12, 2, 1, 1, 24) + bytes([3, 2, 1, 6, 5, 4, 0, 0])
+    assert level(core) == [[[1, 2, 3], [4, 5, 6]]]
+    fields = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 0, 0, 0, 66, 40, 1, -1, 1, 16, 3, 0, 0, 0, 0, 0) + struct.pack("<III", 0xF800, 0x07E0, 0x001F) + struct.pack("<HH", 0xF800 | 0x1F, 0)
+    assert level(fields) == [[[255, 0, 255]]]
+    bad = [b"P2 2 1 255 / 300 1", b"P2 2 1 255\n300 1", b"P5 2 1 15\n\x00\x10", b"P5 99999999999 99999999999 255\n", b"P5 2 2 0\n0000", b"P6 2 2 255\nx", b"P3 1 1 255\n1 2", b"BM", core[:20], core[:30], fields[:60], b"BM" + bytes(60), b"P4 9 9\n", b"", b"P7 x", b"\xff\xd8"]
+    assert [media.decode_image(x) for x in [*bad, None]] == [None] * (len(bad) + 1)
+    out = media.media_features(spark.createDataFrame([(i, x, "p") for i, x in enumerate([*bad, core])], "doc_id int, media binary, tile string")).collect()
+    assert [r["feature"] is None for r in sorted(out)] == [True] * len(bad) + [False]
+
+
 def test_area_resize_against_loops():
     rng = np.random.default_rng(3)
     for (h, w), (H, W) in itertools.product([(7, 5), (3, 11), (16, 16)], [(4, 3), (9, 8), (1, 1)]):
@@ -153,6 +179,43 @@ def test_multiset_hash_is_homomorphic(spark):
     assert df.filter(same("ea", "eb", "eab", 1) & same("sa", "sb", "sab", 1) & same("eab", "eb", "ea", -1) & same("sab", "sb", "sa", -1)).count() == 1
 
 
+def brute_multiset_hash(text):
+    """(equal, signs) by loops; XXH64 of several columns takes the hash before as seed."""
+    import xxhash
+
+    h = lambda *parts: __import__("functools").reduce(lambda seed, p: xxhash.xxh64_intdigest(p.encode(), seed), parts, 42)
+    equal, signs = [0] * 4, [0] * 64
+    for p in (p for p in (text or "").split("\n") if p):
+        for lane in range(2):
+            x = h(f"lane{lane}", p)
+            equal[2 * lane] += x & (2**32 - 1)
+            equal[2 * lane + 1] += x >> 32
+        words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", p) if w]
+        for a, b in zip(words, [*words[1:], ""], strict=True):
+            x = h(a, b)
+            signs = [s + (1 if x >> i & 1 else -1) for i, s in enumerate(signs)]
+    return [e % 2**32 for e in equal], signs
+
+
+def test_multiset_hash_against_brute_force(spark, docs):
+    keyed = docs.withColumn("row", F.monotonically_increasing_id())
+    texts = {r["row"]: r["text"] for r in keyed.collect()}
+    got = multiset_hash.fingerprint_of(keyed, ["row"]).collect()
+    assert len(got) == len(texts)
+    brute = {k: brute_multiset_hash(t) for k, t in texts.items()}
+    for r in got:
+        equal, signs = brute[r["row"]]
+        assert (list(r["equal"]), list(r["signs"])) == (equal, signs)
+        assert r["fingerprint"] == "".join(f"{x % 2**32:08x}" for x in (*equal, *signs))
+    pairs = list(itertools.product(sorted(brute), repeat=2))
+    df = spark.createDataFrame([(a, b, brute[a][1], brute[b][1]) for a, b in pairs], "a long, b long, x array<long>, y array<long>")
+    for r in df.select("a", "b", multiset_hash.likeness(F.col("x"), F.col("y")).alias("like")).collect():
+        x, y = (np.array(brute[r[c]][1], float) for c in "ab")
+        n = np.sqrt((x @ x) * (y @ y))
+        want = (1.0 if not x.any() and not y.any() else 0.0) if n == 0 else min(1.0, max(0.0, x @ y / n))
+        assert abs(r["like"] - want) < 1e-9
+
+
 def test_next_documents_and_edits(spark, tmp_path):
     rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(40)] + [(5, "again"), (None, "nobody"), (41, None), (42, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -193,6 +256,30 @@ def test_warc(spark, tmp_path):
     assert warc.op6_warc(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_warc_revisits_name_their_response(spark):
+    rows = [(1, "http://a", "same")] * 3 + [(2, "http://b", "same")] * 2 + [(3, None, "own"), (4, "http://d", "other")] + [(i, "http://h", "hot") for i in range(10, 40)]
+    folder = new_path(spark, "warc")
+    captures = {r["capture_id"]: r for r in warc.assemble(warc.scan_warc(warc.write_warc(warc.classify(spark.createDataFrame(rows, "page_id long, url string, html string")), folder), folder)).collect()}
+    page = lambda r: int(r["metadata"]["fields"].split(": ")[1])
+    assert Counter(page(r) for r in captures.values()) == Counter(i for i, *_ in rows)
+    assert Counter(page(r) for r in captures.values() if r["response"]["record_type"] == "response") == {2: 2, 3: 1, 4: 1, 39: 1}
+    for r in captures.values():
+        if r["response"]["record_type"] == "revisit":
+            kept = captures[r["response"]["refers_to"]]
+            assert kept["response"]["stored_digest"] == r["response"]["payload_digest"] and page(kept) == (2 if page(r) == 1 else 39)
+
+
+def test_damaged_archives(spark, tmp_path):
+    good = [warc.record("response", f"urn:{i}", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * i) for i in range(1, 4)]
+    raw = b"".join(zlib.decompress(g, 31) for g in good)
+    files = {"whole": b"".join(good), "plain": raw, "cut": b"".join(good)[:-20], "flipped": good[0] + good[1][:30] + b"\0\0\0\0" + good[1][34:], "no_length": raw.replace(b"Content-Length: 21", b"Content-Size: 21"), "nothing": b"", "junk": b"junk\r\n\r\n"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    records = warc.scan_warc(spark.createDataFrame([(n,) for n in files], "file string"), f"file://{tmp_path}").collect()
+    got = Counter((r["record_type"], r["payload_bytes"]) for r in records)
+    assert got == {("response", 1): 5, ("response", 2): 3, ("response", 3): 2, ("damaged", None): 4}
+
+
 # ---- line dedup ----
 
 def brute_line_dedup(rows, similarity=0.8):
@@ -512,6 +599,19 @@ def test_mixing_meets_targets(spark):
     assert all(i in ids for i, _ in rows if i % 4) and len(ids) < len(rows)
 
 
+def test_mixing_counts_words_and_tells_of_convergence(spark):
+    texts = ["\nhello", "a\n", "\t", "", " a b ", "a\n\n b\tc", "x" * 50_000, " y" * 50_000]
+    got = spark.createDataFrame(enumerate(texts), "i int, t string").orderBy("i").select(mixing.tokens(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in got] == [len(t.split()) for t in texts]
+    rng = np.random.default_rng(8)
+    members = spark.createDataFrame([(int(n), [float(p), float(1 - p)]) for n, p in zip(rng.integers(0, 300, 400), rng.random(400), strict=True)], "n_tokens long, p array<double>")
+    for targets, reached in (([0.05, 0.95], True), ([0.3, 0.3], True), ([0.0, 0.9], False)):
+        out = mixing.fitted_rates(members, targets).collect()
+        total = sum(r["n_tokens"] for r in out)
+        miss = max(abs(sum(r["n_tokens"] * r["rate"] * r["p"][i] for r in out) / total - t) for i, t in enumerate(targets))
+        assert all(r["rate"] >= 0 and r["converged"] == reached and abs(r["residual"] - miss) < 1e-9 for r in out)
+
+
 def test_mixing_edges(spark, docs, empty):
     labels = spark.createDataFrame([(3, None, 0), (4, 1, 0), (5, 0, 1), (5, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     out = mixing.mix(docs, mixing.domain_labels(labels)).collect()
