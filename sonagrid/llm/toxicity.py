@@ -1,19 +1,25 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon transducer maps words to weighted class symbols: insults and threats (fixed seeds, and words and word stems
-learned from labelled rows), targets, negations, reported speech. Small transducers, each with its own state, read the
-symbols of a clause and mark a hit: negation and reported speech mark hits that follow in the clause, a target marks
-hits after it and, through a pending state, the hit before it. They are composed into one table over the product of
-their states. A clause's weight for each kind of mark is that of its heaviest hit, so isolated repeats inside a clause
-don't add up; a document's features are sums over clauses on a logarithmic scale, weighed by a logistic model.
+A lexicon transducer maps words to weighted symbols: insults and threats (fixed seeds, and words and word stems learned
+from labelled rows), targets, negations, reported speech, and the words that patterns are made of. Two pattern
+transducers read the symbols of a clause and emit weighted hits: INSULT for an insult, more for one said of a target
+("you are such a ..."), and for fixed idioms; THREAT for a threat verb, more after a will to act, and for a target that a
+consequence is promised to. Three further transducers read the same symbols and the hits, and mark them: negation and
+reported speech mark hits that follow in the clause, a target marks hits after it and, through a pending state, the hit
+before it. All five are composed into one table over the product of their states. A clause's weight for each kind of
+mark is that of its heaviest hit, so isolated repeats inside a clause don't add up; a document's features are sums over
+clauses on a logarithmic scale, weighed by a logistic model.
 
 Learning uses a bounded sample of labelled rows (max_train_rows; the default is a documented parameter), spread over all
 by a hash of their ids, without near copies (equal least and greatest hash of a word pair). Words and stems count by documents;
-an entry's weight is the lower bound of its log odds. The logistic weights are fitted on one half of the sample with
-the lexicon of the other half, and drawn towards defaults, which stand alone where labels lack a class.
+an entry's weight is the lower bound of its log odds. A learned word is a threat if most toxic documents that have it
+have it after a will to act, else an insult. The logistic weights are fitted on one half of the sample with the lexicon
+of the other half, and drawn towards defaults, which stand alone where labels lack a class.
 
 Edge cases: a null or empty text has no clause and scores as such; rows without label are scored like others; a null
-label is no label; of several labels of an id the highest counts; a null id counts as the empty string for the fold.
+label is no label; of several labels of an id the highest counts; a null id counts as the empty string for the fold;
+repeated rows have equal scores; very long texts are read whole, a clause at a time; an empty table gives an empty
+result; other columns stay as they are, whatever their names, but for one called as the score, which it replaces.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let, table, whole_text, written
+from .common import fresh, let, named, table, whole_text, written
 
 SLICE = 256
 SEEDS = {
@@ -38,7 +44,14 @@ SEEDS = {
     "target": "you your yours yourself he she they them him her du dich dir euch ihr tu toi vous lui usted ustedes ellos ella",
     "negation": "not never neither nor cannot n't nicht kein keine nie jamais aucun nunca tampoco",
     "report": "said says say claimed claims wrote quoted reported sagte schrieb dit écrit dijo escribió",
+    "copula": "are is am were bist seid sind eres es son êtes est",
+    "intent": "will would gonna going shall want werde werden wollen vais veux allons voy vamos quiero",
+    "consequence": "regret suffer bleed bereuen leiden sterben regretter souffrir sufrir morir",
+    "opener": "shut drop halt ferme cierra",
+    "closer": "up dead maul gueule boca",
 }
+#: Symbols without which a clause has no hit.
+TRIGGERS = ("insult", "threat", "consequence", "closer")
 STEMS = (4, 5, 6)
 #: The marks that a hit can carry, in the order of the features.
 MARKS = ("plain", "target", "negation", "report")
@@ -53,36 +66,52 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 
 @dataclass(frozen=True)
 class Transducer:
-    """States are numbers from 0, the start; arcs[(state, symbol)] = (next state, mark or None)."""
+    """States are numbers from 0, the start; arcs[(state, symbol)] = (next state, output or None)."""
 
     n_states: int
-    arcs: dict[tuple[int, str], tuple[int, str | None]]
+    arcs: dict[tuple[int, str], tuple]
 
-    def step(self, state: int, symbol: str) -> tuple[int, str | None]:
+    def step(self, state: int, symbol: str) -> tuple:
         return self.arcs.get((state, symbol), (state, None))
 
 
 HIT = ("insult", "threat")
+#: State 1: a target came. 2: it is said to be something. 3: an idiom began. An insult's factor grows on the way.
+INSULT = Transducer(4, {
+    **{(q, "target"): (1, None) for q in range(4)}, (1, "copula"): (2, None), **{(q, "opener"): (3, None) for q in range(4)},
+    **{(q, "insult"): (q, ("insult", factor)) for q, factor in enumerate((1.0, 1.2, 1.5, 1.0))}, (3, "closer"): (0, ("insult", 1.0)),
+})
+#: State 1: a will to act. 2: a target came. 3: a target, then what will come to it. A bare verb weighs half.
+THREAT = Transducer(4, {
+    (0, "intent"): (1, None), (2, "intent"): (3, None), **{(q, "target"): (q | 2 if q != 1 else 1, None) for q in range(4)},
+    **{(q, "threat"): (q, ("threat", factor)) for q, factor in enumerate((0.5, 1.0, 0.5, 1.0))}, (3, "consequence"): (3, ("threat", 1.5)),
+})
 #: Once read, a negation or a report marks every hit in the rest of the clause.
-NEGATION = Transducer(2, {(0, "negation"): (1, None), **{(1, h): (1, "negation") for h in HIT}})
-REPORT = Transducer(2, {(0, "report"): (1, None), **{(1, h): (1, "report") for h in HIT}})
+NEGATION = Transducer(2, {(0, "negation"): (1, None), (1, "hit"): (1, "negation")})
+REPORT = Transducer(2, {(0, "report"): (1, None), (1, "hit"): (1, "report")})
 #: State 1: a target came before. State 2: a hit waits for one; the target after it marks it belatedly.
-TARGET = Transducer(3, {(0, "target"): (1, None), **{(1, h): (1, "target") for h in HIT}, **{(0, h): (2, None) for h in HIT}, (2, "target"): (1, "late")})
+TARGET = Transducer(3, {(0, "target"): (1, None), (1, "hit"): (1, "target"), (0, "hit"): (2, None), (2, "target"): (1, "late")})
 
 
-def compose(*machines: Transducer) -> dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], str | None]]:
-    """One table over the product of the states. The first machine that marks a hit decides its mark."""
-    out = {}
-    for states in product(*(range(m.n_states) for m in machines)):
+def compose(patterns: tuple[Transducer, ...], marks: tuple[Transducer, ...]) -> dict[tuple[tuple[int, ...], str], tuple]:
+    """One table over the product of the states: (next states, hit or None, its mark).
+
+    The patterns' output is the marks' input: they read "hit" where a pattern emits one (the first that does), else the
+    symbol. The first machine that marks decides the mark.
+    """
+    out, n = {}, len(patterns)
+    for states in product(*(range(m.n_states) for m in (*patterns, *marks))):
         for symbol in SEEDS:
-            steps = [m.step(s, symbol) for m, s in zip(machines, states, strict=True)]
-            mark = next((mark for _, mark in steps if mark), "plain" if symbol in HIT else None)
-            out[states, symbol] = tuple(s for s, _ in steps), mark
+            found = [m.step(q, symbol) for m, q in zip(patterns, states[:n], strict=True)]
+            hit = next((x for _, x in found if x), None)
+            marked = [m.step(q, "hit" if hit else symbol) for m, q in zip(marks, states[n:], strict=True)]
+            mark = next((x for _, x in marked if x), "plain" if hit else None)
+            out[states, symbol] = tuple(q for q, _ in (*found, *marked)), hit, mark
     return out
 
 
-GRAMMAR = compose(REPORT, NEGATION, TARGET)
-START = (0, 0, 0)
+GRAMMAR = compose((INSULT, THREAT), (REPORT, NEGATION, TARGET))
+START = (0, 0, 0, 0, 0)
 
 
 @dataclass
@@ -110,7 +139,7 @@ class Lexicon:
 
 
 def seed_lexicon() -> dict[str, tuple[str, float]]:
-    return {w: (kind, 2.0 if kind in HIT else 0.0) for kind, words in SEEDS.items() for w in words.split()}
+    return {w: (kind, 2.0 if kind in TRIGGERS else 0.0) for kind, words in SEEDS.items() for w in words.split()}
 
 
 def features(text: str, lexicon: Lexicon) -> np.ndarray:
@@ -118,7 +147,7 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray:
     x = np.zeros(len(KINDS))
     text = text.lower()
     of = lexicon.of
-    if not any((c := of(w)) and c[0] in HIT for w in set(WORD.findall(text))):
+    if not any((c := of(w)) and c[0] in TRIGGERS for w in set(WORD.findall(text))):
         return x
     for clause in CLAUSE.split(text):
         state, hits = START, []
@@ -127,9 +156,9 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray:
             if found is None:
                 continue
             symbol, weight = found
-            state, mark = GRAMMAR[state, symbol]
-            if symbol in HIT:
-                hits.append([symbol, mark, weight])
+            state, hit, mark = GRAMMAR[state, symbol]
+            if hit:
+                hits.append([hit[0], mark, weight * hit[1]])
             elif mark == "late" and hits and hits[-1][1] == "plain":
                 hits[-1][1] = "target"
         best: dict[tuple[str, str], float] = {}
@@ -171,12 +200,12 @@ def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 0.5) -> np.ndarray:
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train_rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(y, half, text): a bounded sample of labelled rows outside the held-out fold, without near copies."""
-    known = labels.filter(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    known = labels.filter(named(label_col).isNotNull() & ~held_out(id_col)).groupBy(named(id_col).alias("id")).agg(F.max(named(label_col)).alias("y"))
     n = known.count()
     share = min(1.0, max_train_rows / max(n, 1))
     known = known.filter(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # the sample's size is bounded by max_train_rows, so it may be broadcast; documents are read without a shuffle
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(known), "id")
+    rows = docs.select(named(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(known), "id")
     pairs = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.xxhash64(a, b))
     hashes = let(F.split(F.lower("text"), r"[^\p{L}]+"), pairs)
     near = rows.withColumn("near", let(hashes, lambda h: F.xxhash64(F.array_min(h), F.array_max(h))))
@@ -186,20 +215,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train_rows: int, id_co
 
 def held_out(id_col: str = "doc_id"):
     """Whether crc32 of the id's text leaves 0 modulo 5."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def entry_counts(rows: DataFrame) -> DataFrame:
-    """(entry, t0, f0, t1, f1): toxic and clean documents of each half that have a word, or a stem (with a star)."""
+    """(entry, t0, f0, t1, f1, after): toxic and clean documents of each half that have a word, or a stem (with a star).
+
+    after: the toxic documents that have the word after a will to act in its clause.
+    """
+    will = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})(?:" + "|".join(SEEDS["intent"].split()) + r")(?!\p{L})([^.!?;:\n]*)"), F.lit(1))
+    after = F.array_distinct(F.flatten(F.transform(will, lambda c: F.split(c, r"[^\p{L}]+"))))
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
 
     def stems(ws, k: int):
         return F.transform(F.filter(ws, lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
 
     entries = let(words, lambda ws: F.array_distinct(F.concat(ws, *(stems(ws, k) for k in STEMS))))
-    each = rows.select("y", "half", F.explode(entries).alias("entry"))
+    each = rows.select("y", "half", after.alias("after"), entries.alias("entries"))
+    each = each.select("y", "half", F.explode(F.transform("entries", lambda e: F.struct(e.alias("entry"), F.array_contains("after", e).alias("late")))).alias("x")).select("y", "half", "x.*")
     sums = [F.sum(((F.col("y") == y) & (F.col("half") == h)).cast("long")).alias(f"{n}{h}") for h in (0, 1) for n, y in (("t", 1), ("f", 0))]
-    return each.groupBy("entry").agg(*sums)
+    return each.groupBy("entry").agg(*sums, F.count_if(F.col("late") & (F.col("y") == 1)).alias("after"))
 
 
 def lexicon_of(counts: list, n_toxic: float, n_clean: float, halves: tuple[int, ...]) -> Lexicon:
@@ -217,12 +252,12 @@ def lexicon_of(counts: list, n_toxic: float, n_clean: float, halves: tuple[int,
             if words[entry][0] in HIT and t + f >= 5:
                 words[entry] = (words[entry][0], float(np.clip(odds, 0.0, 8.0)))
         elif t >= 3 and f <= 0.05 * t and bound > 2:
-            words[entry] = ("insult", float(bound))
+            words[entry] = ("threat" if 2 * row["after"] > row["t0"] + row["t1"] else "insult", float(bound))
     return Lexicon(words, stems)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 30_000, max_lexicon: int = 20_000, **columns: str) -> Model:
-    """The model of a bounded sample; what the driver gets of it is bounded by the two parameters."""
+def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 30_000, **columns: str) -> Model:
+    """The model of a sample bounded by max_train_rows; the driver gets the entries that it makes likely."""
     rows = written(training_rows(docs, labels, max_train_rows, **columns), "toxic-sample")
     sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
     toxic, clean = ([sizes.get((y, h), 0) for h in (0, 1)] for y in (1, 0))
@@ -231,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 30_000, max_
     t, f = F.col("t0") + F.col("t1"), F.col("f0") + F.col("f1")
     seeds = F.col("entry").isin(*seed_lexicon())
     likely = entry_counts(rows).filter(((t >= 3) & (f <= 0.05 * t)) | seeds)
-    counts = likely.orderBy((F.log(t + 0.5) - F.log(f + 0.5)).desc(), "entry").limit(max_lexicon).collect()
+    counts = likely.collect()
     half = lexicon_of(counts, toxic[0], clean[0], (0,))
     fitted = rows.filter("half = 1").mapInArrow(_feature_rows(half), "y int, x array<double>").collect()  # numbers of the bounded sample
     x = np.array([r["x"] for r in fitted]).reshape(-1, len(KINDS))
@@ -252,7 +287,7 @@ def _feature_rows(lexicon: Lexicon):
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
     """docs with their score from 0 to 1 as score_col; a column of that name is replaced."""
-    kept = [f for f in docs.schema.fields if f.name != score_col]
+    kept = [f for f in docs.schema.fields if f.name.lower() != score_col.lower()]
     schema = T.StructType([*kept, T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,13 +297,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 x = np.array([features(t or "", model.lexicon) for t in batch.column(text_col).to_pylist()]).reshape(-1, len(KINDS))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, score_col])
 
-    return docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, schema)
+    return docs.select(*(named(f.name) for f in kept)).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs without the rows that score at least the threshold."""
-    scored = score(docs, model, text_col, "__toxicity")
-    return scored.filter(F.col("__toxicity") < threshold).select(*docs.columns)
+    score_col = fresh(docs, "toxicity")[0]
+    return score(docs, model, text_col, score_col).filter(F.col(score_col) < threshold).drop(score_col)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
