@@ -550,6 +550,77 @@ def test_toxicity_grammar():
     assert one < two
 
 
+def rule_features(text, lexicon):
+    """The grammar as rules that look back over a clause, without machines."""
+    total = Counter()
+    for clause in __import__("re").split(r"[.!?;:\n]+", text.lower()):
+        found = [x for w in __import__("re").findall(r"[^\W\d_]+", clause) if (x := lexicon.of(w))]
+        kinds, hits = [k for k, _ in found], []
+
+        def posture(k, kinds=kinds):  # what an insult at k is said of
+            while k:
+                k -= 1
+                if kinds[k] == "target":
+                    return "target"
+                if kinds[k] == "opener" or (kinds[k] == "closer" and posture(k) == "opener"):
+                    return kinds[k]
+                if kinds[k] == "copula" and posture(k) in ("target", "said"):
+                    return "said"
+            return "none"
+
+        for k, (kind, weight) in enumerate(found):
+            before = kinds[:k]
+            hit = None
+            if kind == "insult":
+                hit = ("insult", weight * {"target": 1.2, "said": 1.5}.get(posture(k), 1.0))
+            elif kind == "closer" and posture(k) == "opener":
+                hit = ("insult", weight)
+            elif kind == "threat":
+                hit = ("threat", weight * (1.0 if "intent" in before else 0.5))
+            elif kind == "consequence" and "target" in before and "intent" in before[before.index("target") :] and before.index("target") < before.index("intent"):
+                hit = ("threat", weight * 1.5)
+            if hit:
+                hits.append([*hit, next((m for m in ("report", "negation", "target") if m in before), "plain")])
+            if kind == "target" and "target" not in before and hits and hits[-1][2] == "plain":
+                hits[-1][2] = "target"
+        best = {}
+        for kind, weight, mark in hits:
+            best[kind, mark] = max(best.get((kind, mark), 0.0), weight)
+        total.update(best)
+    return np.log1p([total[k] for k in toxicity.KINDS])
+
+
+def test_toxicity_grammar_against_rules():
+    lexicon = toxicity.Lexicon(toxicity.seed_lexicon() | {"blorg": ("insult", 3.5), "zapp": ("threat", 2.5)})
+    rng = np.random.default_rng(6)
+    pools = [w.split() for w in toxicity.SEEDS.values()] + [["tree", "walks", "blue"], ["blorg", "zapp"], [".", "\n"]]
+    weights = np.array([2, 2, 3, 1, 1, 2, 2, 2, 2, 2, 4, 1, 2], float)
+    seen = np.zeros(len(toxicity.KINDS))
+    for _ in range(3000):
+        text = " ".join(str(rng.choice(pools[i])) for i in rng.choice(len(pools), rng.integers(1, 12), p=weights / weights.sum()))
+        got = toxicity.features(text, lexicon)
+        assert np.allclose(got, rule_features(text, lexicon)), text
+        seen += got > 0
+    assert (seen > 50).all()
+
+
+def test_toxicity_learns_threats(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abdeilmnorstu"), 6))
+    docs, labels = [], []
+    for i in range(400):
+        w = [word() for _ in range(12)]
+        if i % 4 == 0:
+            w[4:4] = ["we", "will", "frobnik", "you"] if i % 8 else ["such", "a", "grumbol"]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert (model.lexicon.of("frobnik")[0], model.lexicon.of("grumbol")[0]) == ("threat", "insult")
+    out = toxicity.score(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, toxicity string"), model, score_col="Toxicity")
+    assert out.columns == ["doc_id", "text", "Toxicity"]
+    assert all((r["Toxicity"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in out.collect())
+
+
 def test_toxicity_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, none)
