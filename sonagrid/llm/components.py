@@ -60,6 +60,7 @@ def key_groups(keyed: DataFrame) -> DataFrame:
 
     Of keys with the same sharers (by their number and two hash sums) one stays.
     """
+    keyed = keyed.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # once for the counts and the join
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("s1"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("s2")).filter("n > 1")
     groups = shared.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
     return written(keyed.join(groups, "key"), "key-groups")

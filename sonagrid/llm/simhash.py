@@ -11,8 +11,9 @@ each to the smallest sharer gives the exact components without pairs.
 
 Near-duplicates by Jaccard similarity (5-word shingles, 0.8 or more: the pipeline's stage) take the same variants of the
 distinct shingles' fingerprints as candidates. A pair of similarity 0.8 differs in about 10 of 64 bits, beyond what
-variants reach, so texts that share a shingle of their prefixes are candidates too, which misses no pair. Whole sets of
-shingles verify all candidates; texts with equal sets are one class.
+variants reach, so texts that share a shingle of their prefixes are candidates too, which misses no pair. Candidates
+are sieved by a bound (parity bitmaps of their sets differ in no more bits than the sets in shingles), and whole sets of
+shingles verify the rest; texts with equal sets are one class.
 
 Edge cases: a null text is the empty one; texts without words have the fingerprint zero and are linked with each other;
 repeated rows are equal fingerprints, of near-duplicates one stays; a null id is ignored in the smallest id of a
@@ -172,6 +173,8 @@ WIDTH = 5
 #: Of documents in the sample that finds common shingles, one in so many; of shingles, one that so many of the sample have
 #: is common, and so many common ones are told to tasks at most.
 SAMPLED, OFTEN, COMMON = 16, 2, 200_000
+#: Bits of a set's parity bitmap.
+PARITY = 512
 #: Distinct words whose hashes a worker keeps.
 KEPT_WORDS = 1_000_000
 
@@ -228,7 +231,7 @@ def common_shingles(rows: DataFrame, width: int, sampled: int = SAMPLED, often:
 
 
 def described(rows: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(k, digest, size, segs, keys): a text's number of distinct shingles, their fingerprint, and the first ones in an order of all.
+    """(k, digest, size, segs, parity, keys): a text's number of distinct shingles, their fingerprint and parity bitmap, the first ones in an order.
 
     The order is by the sampled count, then by hash. Of a set of n, the first n - ceil(similarity * n) + 1 are taken; two
     sets of that Jaccard similarity then have one of these in common, whatever the order.
@@ -241,12 +244,14 @@ def described(rows: DataFrame, width: int, similarity: float, common: tuple[np.n
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                digests, sizes, segs, keys = [], [], [], []
+                digests, sizes, segs, parity, keys = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     s = distinct_shingles(text, width, hashes)
                     digests.append(set_digest(s))
                     sizes.append(len(s))
                     segs.append(((2 * ones_of(s) > len(s)).reshape(2, 32) * power).sum(axis=1))
+                    odd = np.bincount((s >> np.uint64(40)).astype(np.intp) % PARITY, minlength=PARITY).astype(np.uint8) & 1
+                    parity.append(np.packbits(odd).view(np.int64))
                     taken = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
                     if len(hs):
                         place = np.minimum(np.searchsorted(hs, s), len(hs) - 1)
@@ -254,10 +259,10 @@ def described(rows: DataFrame, width: int, similarity: float, common: tuple[np.n
                         rare = np.delete(s, often)
                         s = rare[:taken] if len(rare) >= taken else np.concatenate([rare, s[often][np.argsort(ns[place[often]], kind="stable")]])
                     keys.append(s[:taken].view(np.int64))
-                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate([*x, np.zeros(0, np.int64)])).cast(pa.list_(pa.field("element", pa.int64()))) for x in (segs, keys)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists], names=["k", "digest", "size", "segs", "keys"])
+                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate([*x, np.zeros(0, np.int64)])).cast(pa.list_(pa.field("element", pa.int64()))) for x in (segs, parity, keys)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists], names=["k", "digest", "size", "segs", "parity", "keys"])
 
-    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, digest binary, size long, segs array<bigint>, keys array<bigint>")
+    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, digest binary, size long, segs array<bigint>, parity array<bigint>, keys array<bigint>")
 
 
 def shingle_set(text: Column, width: int) -> Column:
@@ -281,21 +286,34 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return edges.join(x, "a").join(y, "b").filter((total == 0) | (common >= similarity * total)).select("a", "b")
 
 
-def near_components(classes: DataFrame, texts: DataFrame, similarity: float, width: int = WIDTH, small_group: int = SMALL_GROUP) -> DataFrame:
-    """(v, root) of classes (v, size, segs, keys) that are linked by that similarity; texts: (v, text).
+def sieved(edges: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose sets can have that Jaccard similarity, by their sizes and parity bitmaps."""
+    x, y = (classes.select(F.col("v").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in "ab")
+    most = (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return edges.join(x, "a").join(y, "b").filter(distance(F.col("pa"), F.col("pb")) <= most).select("a", "b")
+
+
+def near_components(classes: DataFrame, rows: DataFrame, similarity: float, width: int = WIDTH, small_group: int = SMALL_GROUP) -> DataFrame:
+    """(v, root) of classes (v, k, size, segs, parity, keys) that are linked by that similarity; rows: (k, text).
 
     Candidates are sharers of a variant of their fingerprints (in crowded variants, with two leaders) and of a prefix
-    key. Only the candidates' sets of shingles are made, once.
+    key. Only texts of candidates that pass the sieve are cut into shingles again.
     """
     shared = variants(classes)
     crowd = shared.filter(F.col("n") > small_group)
     led = crowd.groupBy("key").agg(F.array(F.min_by("v", F.xxhash64("v")), F.max_by("v", F.xxhash64("v"))).alias("l"))
     stars = crowd.join(led.select("key", F.explode("l").alias("m")), "key").filter("v <> m").select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b"))
-    candidates = written(paired(shared.filter(F.col("n") <= small_group)).union(stars.distinct()), "variant-pairs")
-    members = key_groups(classes.select("v", "size", F.explode("keys").alias("key")))
-    of = members.select("v").union(candidates.select("a")).union(candidates.select("b")).distinct()
-    sets = written(texts.join(of, "v", "left_semi").select("v", shingle_set(F.col("text"), width).alias("s")), "shingle-sets")
-    return similar_components(members, lambda edges: verified(edges, sets, similarity), similarity, candidates, small_group)
+    candidates = paired(shared.filter(F.col("n") <= small_group)).union(stars.distinct())
+    members = key_groups(classes.select("v", F.col("size").cast("int").alias("size"), F.explode("keys").alias("key")))
+
+    def verify(edges: DataFrame) -> DataFrame:
+        left = written(sieved(edges, classes, similarity), "sieved-pairs")
+        of = left.select(F.col("a").alias("v")).union(left.select(F.col("b").alias("v"))).distinct()
+        wanted = written(classes.join(of, "v").select("v", "k"), "wanted")  # its size tells Spark whether texts need a shuffle
+        sets = written(rows.join(wanted, "k").dropDuplicates(["v"]).select("v", shingle_set(F.col("text"), width).alias("s")), "shingle-sets")
+        return verified(left, sets, similarity)
+
+    return similar_components(members, verify, similarity, candidates, small_group)
 
 
 def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,9 +322,9 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
     own = docs.withColumn(sha, F.unhex(F.sha2(text, 256)))
     rows = own.select(F.struct(named(id_col).alias("id"), F.col(sha).alias("sha")).alias("k"), text.alias("text"))
     found = written(described(rows, WIDTH, similarity, common_shingles(rows, WIDTH)), "shingles")
-    classes = found.groupBy("digest").agg(F.min("k").alias("k"), *(F.first(c).alias(c) for c in ("size", "segs", "keys")))
+    classes = found.groupBy("digest").agg(F.min("k").alias("k"), *(F.first(c).alias(c) for c in ("size", "segs", "parity", "keys")))
     classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "shingle-classes")
-    roots = near_components(classes, rows.join(classes.select("k", "v"), "k").select("v", "text"), similarity)
+    roots = near_components(classes, rows, similarity)
     rooted = classes.join(roots, "v", "left").select("digest", "k", F.coalesce("root", "v").alias("root"))
     kept = rooted.join(rooted.groupBy("root").agg(F.min("k").alias("kept")), "root").select("digest", "kept")
     # what is told of rows is what goes, and which rows that stay are there several times: few rows of many
