@@ -48,8 +48,8 @@ def sliding_pearson(x: np.ndarray, template: np.ndarray) -> np.ndarray:
     return np.where((vx > 1e-12 * np.maximum(n * sxx, 1e-300)) & (vy > 0), np.clip(r, -1, 1), np.nan)
 
 
-def sliding_dtw(x: np.ndarray, template: np.ndarray) -> np.ndarray:
-    """1 - d / max d, d the warping distance (L1 cost, steps of weight 1) of the template from each complete window."""
+def warping_distances(x: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """The warping distance (L1 cost, steps of weight 1) of the template from each complete window of x."""
     sw = len(template)
     w = len(x) - sw + 1
     if w <= 0:
@@ -63,8 +63,27 @@ def sliding_dtw(x: np.ndarray, template: np.ndarray) -> np.ndarray:
             before = above[max(j - 1, 0) : j + 1] + row[-1:]
             row.append(here + np.minimum.reduce(before) if before else here)
         above = row
-    d = above[-1]
-    return 1 - d / d.max() if d.max() > 0 else np.ones(w)
+    return above[-1]
+
+
+def sliding_dtw(x: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """1 - d / max d, d the warping distances."""
+    d = warping_distances(x, template)
+    return 1 - d / d.max() if len(d) and d.max() > 0 else np.ones(len(d))
+
+
+def block_scores(amp: np.ndarray, first: int, own_first: int, n_own: int, template: np.ndarray, method: str) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of a block's own frames, and whether each has a window. amp has the frames from `first` on, others' too.
+
+    The score of the window that begins at frame s stands at s + sw // 2 - 1. For dtw the distance, not yet scaled.
+    """
+    sw = len(template)
+    found = (sliding_pearson if method == "cor" else warping_distances)(amp, template)
+    at = np.arange(own_first, own_first + n_own) - (sw // 2 - 1) - first
+    window = (at >= 0) & (at < len(found))
+    scores = np.full(n_own, np.nan)
+    scores[window] = found[at[window]]
+    return scores, window
 
 
 def aligned(scores: np.ndarray, n_frames: int, sw: int) -> np.ndarray:

@@ -83,11 +83,19 @@ def pr_auc(curve: DataFrame) -> DataFrame:
 def logistic_fit(validated: DataFrame, steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
     """(template_name, intercept, slope, status) of the logistic regression of TP on the score.
 
-    Newton's steps for all templates together: each is one grouped sum; two numbers a template reach the driver.
+    Newton's steps for all templates together: each is one grouped sum; two numbers a template reach the driver, and
+    go back as a table that Spark broadcasts while it is small.
     """
     spark = validated.sparkSession
     rows = validated.filter(F.col("validation").isin("TP", "FP") & F.col("peak_score").isNotNull()).select(KEY, F.col("peak_score").alias("x"), (F.col("validation") == "TP").cast("double").alias("y"))
     rows = rows.groupBy(KEY, "x").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("t")).cache()
+    try:
+        return _newton(spark, rows, steps, tolerance)
+    finally:
+        rows.unpersist()
+
+
+def _newton(spark, rows: DataFrame, steps: int, tolerance: float) -> DataFrame:
     schema = f"{KEY} string, b0 double, b1 double"
     names = [r[0] for r in rows.select(KEY).distinct().collect()]
     fit = {name: np.zeros(2) for name in names}
@@ -97,7 +105,7 @@ def logistic_fit(validated: DataFrame, steps: int = 25, tolerance: float = 1e-10
         if not left:
             break
         p = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("x"))))
-        parts = rows.join(F.broadcast(spark.createDataFrame(left, schema)), KEY).withColumn("p", p).withColumn("w", F.col("n") * F.col("p") * (1 - F.col("p")))
+        parts = rows.join(spark.createDataFrame(left, schema), KEY).withColumn("p", p).withColumn("w", F.col("n") * F.col("p") * (1 - F.col("p")))
         residual = F.col("t") - F.col("n") * F.col("p")
         sums = parts.groupBy(KEY).agg(F.sum(residual).alias("g0"), F.sum(residual * F.col("x")).alias("g1"), F.sum("w").alias("h00"), F.sum(F.col("w") * F.col("x")).alias("h01"), F.sum(F.col("w") * F.col("x") ** 2).alias("h11"))
         for r in sums.collect():
@@ -109,7 +117,6 @@ def logistic_fit(validated: DataFrame, steps: int = 25, tolerance: float = 1e-10
             fit[r[KEY]] = fit[r[KEY]] + step
             if np.abs(step).max() < tolerance * (1 + np.abs(fit[r[KEY]]).max()):
                 status[r[KEY]] = "ok"
-    rows.unpersist()
     return spark.createDataFrame([(n, float(fit[n][0]), float(fit[n][1]), status[n]) for n in names], f"{KEY} string, intercept double, slope double, status string")
 
 

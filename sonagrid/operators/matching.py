@@ -1,8 +1,9 @@
 """Scoring templates against recordings.
 
-Frames (file, frame_idx, time_vec, amp) come from spectrograms that are made once a recording and window setting, not
-once a pair. A recording's frames go to one task and are scored there against each template of its grid in NumPy;
-the DataFrame form of the correlation shares its results and serves where Python isn't wanted.
+A spectrogram is made once a recording and window setting, not once a pair, and cut into blocks of frames with as many
+frames of their neighbours as the longest template needs. A task scores a block against each template of its grid in
+NumPy, so a long recording is many tasks. What depends on a whole series, its lowest score or longest distance, follows
+as a window over the pair. The DataFrame form of the correlation shares its results and serves where Python isn't wanted.
 """
 
 from __future__ import annotations
@@ -14,31 +15,95 @@ from pyspark.sql import functions as F
 
 from ..functions import signal
 
-SCORE_SCHEMA = "file string, template_id string, frame_idx int, time_vec double, score double, score_sliding_window int"
+RAW_SCHEMA = "file string, template_id string, frame_idx int, time_vec double, score double, has_window boolean, score_sliding_window int"
+#: Frames of a block.
+BLOCK = 4096
+#: Bytes of templates that one pass sends to all executors; more templates take more passes.
+TOLD_BYTES = 128 << 20
 
 
-def match_scores(frames: DataFrame, pairs: DataFrame, method: str = "cor") -> DataFrame:
-    """(file, template_id, frame_idx, time_vec, score, score_sliding_window), a score for each frame.
+def _raw(file: str, found: list[tuple], first: int, times: np.ndarray) -> pd.DataFrame:
+    """Rows of RAW_SCHEMA for a block's own frames; found: (template_id, scores, has a window, sw) of each template."""
+    n, m = len(times), len(found)
+    names = [pd.Series(np.repeat(np.array(x, dtype=object), n * m // len(x)), dtype=object) for x in ([file], [t for t, *_ in found])]
+    return pd.DataFrame({
+        "file": names[0], "template_id": names[1], "frame_idx": np.tile(np.arange(first, first + n), m), "time_vec": np.tile(times, m),
+        "score": np.concatenate([x for _, x, _, _ in found]), "has_window": np.concatenate([x for _, _, x, _ in found]), "score_sliding_window": np.repeat([sw for *_, sw in found], n),
+    })
 
-    pairs: (file, template_id, frames array<array<double>>, lo, hi), a row for each pair of the grid: the template's
-    frames of the bins lo to hi (1-based). A task holds one recording and the templates that the grid pairs with it.
+
+def finished(raw: DataFrame, method: str) -> DataFrame:
+    """(file, template_id, frame_idx, time_vec, score, score_sliding_window) of block scores, by their pairs' series.
+
+    Distances become 1 - d / the longest. Frames without a score get the series' lowest (0 without any); a series
+    without a window has no rows.
     """
+    pair = Window.partitionBy("file", "template_id")
+    score = F.col("score")
+    if method == "dtw":
+        top = F.max("score").over(pair)
+        score = F.when(score.isNotNull(), F.when(top > 0, 1 - score / top).otherwise(1.0))
+    out = raw.withColumn("some", F.max("has_window").over(pair)).withColumn("score", score).filter("some")
+    low = F.coalesce(F.min("score").over(pair), F.lit(0.0))
+    return out.withColumn("score", F.coalesce("score", low)).select("file", "template_id", "frame_idx", "time_vec", "score", "score_sliding_window")
+
+
+def _check(method: str, sw: int) -> None:
     if method not in ("cor", "dtw"):
         raise ValueError("method is cor or dtw")
-    kernel = signal.sliding_pearson if method == "cor" else signal.sliding_dtw
+    if sw < 2:
+        raise ValueError("a template needs two frames at least")
+
+
+def match_scores(frames: DataFrame, pairs: DataFrame, method: str = "cor", block: int = BLOCK) -> DataFrame:
+    """(file, template_id, frame_idx, time_vec, score, score_sliding_window), a score for each frame.
 
-    def score(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    pairs: (file, template_id, frames array<array<double>>, lo, hi), a row for each pair of the grid: the template's
+    frames of the bins lo to hi (1-based). A task holds a block of a recording and the templates that the grid pairs with it.
+    """
+    shortest, reach = pairs.agg(F.min(F.size("frames")), F.max(F.size("frames"))).first()
+    _check(method, 2 if shortest is None else shortest)
+    n, reach = max(block, 2 * (reach or 2)), reach or 2
+    at = F.col("frame_idx") - 1
+    near = F.sequence(F.greatest(F.lit(0), F.floor((at - reach) / n)), F.floor((at + reach) / n))
+    dealt = frames.select("file", "frame_idx", "time_vec", "amp", F.explode(near).alias("block"))
+    last = frames.groupBy("file").agg(F.max("frame_idx").alias("last"))
+    asked = pairs.join(last, "file").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / n))).alias("block"), "template_id", "frames", "lo", "hi")
+
+    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("frame_idx")
-        amp = np.array(left["amp"].tolist(), dtype=float)
+        idx = left["frame_idx"].to_numpy()
+        own = (idx - 1) // n == key[1]
         out = []
-        for t in right.itertuples():
-            model = np.array([list(r) for r in t.frames], dtype=float)
-            found = kernel(amp[:, t.lo - 1 : t.hi], model)
-            if len(found):
-                out.append(pd.DataFrame({"file": left["file"], "template_id": t.template_id, "frame_idx": left["frame_idx"], "time_vec": left["time_vec"], "score": signal.aligned(found, len(left), len(model)), "score_sliding_window": len(model)}))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in SCORE_SCHEMA.split(", ")})
-
-    return frames.groupBy("file").cogroup(pairs.groupBy("file")).applyInPandas(score, SCORE_SCHEMA)
+        if own.any():
+            amp, times, first = np.stack(left["amp"].to_numpy()).astype(float), left["time_vec"].to_numpy()[own], int(idx[own][0])
+            for t in right.itertuples():
+                model = np.stack(t.frames).astype(float)
+                out.append((t.template_id, *signal.block_scores(amp[:, t.lo - 1 : t.hi], int(idx[0]), first, len(times), model, method), len(model)))
+        return _raw(key[0], out, first, times) if out else _raw("", [("", np.zeros(0), np.zeros(0, bool), 0)], 1, np.zeros(0))
+
+    return finished(dealt.groupBy("file", "block").cogroup(asked.groupBy("file", "block")).applyInPandas(score, RAW_SCHEMA), method)
+
+
+def score_blocks(blocks: DataFrame, templates: dict[str, tuple[np.ndarray, int, int]], method: str) -> DataFrame:
+    """Block scores of blocks (file, template_ids, first, own_first, times, n_bins, amp) with templates {id: (frames, lo, hi)}.
+
+    amp: the frames' bins as the bytes of 64-bit floats. The templates are sent to the executors once.
+    """
+    _check(method, min((len(m) for m, _, _ in templates.values()), default=2))
+    told = blocks.sparkSession.sparkContext.broadcast(templates)
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                amp = np.frombuffer(r.amp).reshape(-1, r.n_bins)
+                for name in r.template_ids:
+                    if name in told.value:
+                        model, lo, hi = told.value[name]
+                        scores, window = signal.block_scores(amp[:, lo - 1 : hi], r.first, r.own_first, len(r.times), model, method)
+                        yield _raw(r.file, [(name, scores, window, len(model))], r.own_first, np.asarray(r.times))
+
+    return blocks.mapInPandas(run, RAW_SCHEMA)
 
 
 def sliding_correlation(frames: DataFrame, template: list[list[float]], lo: int, hi: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = ["frame_idx", "time_vec", "score"]
+#: Widths are below half of it.
+UNIT = 1 << 24
 
 
 def check_parameters(min_score=None, min_quant=None, top_n=None, buffer_size="template") -> None:
@@ -25,32 +27,41 @@ def peak_candidates(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.withColumn("fall", down - up).filter("fall < 0").drop("fall")
 
 
-def marked(scores: DataFrame, keys: list[str], sw: int, buffer: int | None = None) -> DataFrame:
-    """scores with candidate, dominant, inside, start, end and quantile of each frame, in one sort of each series.
+def marked(scores: DataFrame, keys: list[str], sw: int | str, buffer: int | None = None) -> DataFrame:
+    """scores with candidate, dominant, inside, start, end and quantile of each frame.
 
-    dominant: no score within `buffer` frames (by default sw; 0 counts as 1) is higher, so equals stay.
-    inside: more than sw frames from either end. quantile: the share of scores that aren't higher, 3 decimals.
+    sw: the templates' frames, a number or a column that has one value a pair. dominant: no score within `buffer`
+    frames (by default sw; 0 counts as 1) is higher, so equals stay. inside: more than sw frames from either end.
+    quantile: the share of scores that aren't higher, 3 decimals.
+
+    Frames of a width that differs by pair are ranges over the frame's number in units of that width, UNIT to a width.
     """
-    b, h = max(1, sw if buffer is None else buffer), sw // 2
-    w = Window.partitionBy(*keys).orderBy("frame_idx")
+    width = F.col(sw) if isinstance(sw, str) else F.lit(sw)
+    b, h = F.greatest(F.lit(1), width if buffer is None else F.lit(buffer)), F.greatest(F.lit(1), F.floor(width / 2))
+    own = Window.partitionBy(*keys)
+    by = lambda n: own.orderBy(F.call_function("div", F.col("frame_idx").cast("long") * UNIT, n.cast("long")))
+    w, near, half = own.orderBy("frame_idx"), by(b), by(h)
+    n = F.count("*").over(own)
     up, down = F.signum(F.col("score") - F.lag("score").over(w)), F.signum(F.lead("score").over(w) - F.col("score"))
+    left, right = F.floor(width / 2) < F.col("frame_idx"), F.col("frame_idx") + F.floor(width / 2) <= n
     return scores.select(
         "*", F.coalesce(down - up < 0, F.lit(False)).alias("candidate"),
-        (F.col("score") >= F.max("score").over(w.rowsBetween(-b, b))).alias("dominant"),
-        ((F.col("frame_idx") - sw > 0) & (F.col("frame_idx") + sw < F.count("*").over(Window.partitionBy(*keys)))).alias("inside"),
-        F.lag("time_vec", h).over(w).alias("detection_start"), F.lead("time_vec", h).over(w).alias("detection_end"),
-        F.round(F.cume_dist().over(Window.partitionBy(*keys).orderBy("score")), 3).alias("peak_quant"),
+        (F.col("score") >= F.max("score").over(near.rangeBetween(-UNIT, UNIT))).alias("dominant"),
+        ((F.col("frame_idx") - width > 0) & (F.col("frame_idx") + width < n)).alias("inside"),
+        F.when(left, F.when(width < 2, F.col("time_vec")).otherwise(F.min("time_vec").over(half.rangeBetween(-UNIT, 0)))).alias("detection_start"),
+        F.when(right, F.when(width < 2, F.col("time_vec")).otherwise(F.max("time_vec").over(half.rangeBetween(0, UNIT)))).alias("detection_end"),
+        F.round(F.cume_dist().over(own.orderBy("score")), 3).alias("peak_quant"),
     )
 
 
-def score_peaks(scores: DataFrame, keys: list[str], sw: int, buffer_size: int | str = "template", min_score: float | None = None, min_quant: float | None = None, top_n: int | None = None, rename: bool = True) -> DataFrame:
+def score_peaks(scores: DataFrame, keys: list[str], sw: int | str, buffer_size: int | str = "template", min_score: float | None = None, min_quant: float | None = None, top_n: int | None = None) -> DataFrame:
     """Detections of each pair: dominant candidates inside the series, filtered, the best top_n by quantile.
 
-    A limit is noted in its column. top_n has no effect on a pair with fewer detections. For templates of several
-    lengths call it for each length, as scores of one length share a frame width.
+    sw: the templates' frames, a number or the column that has them. A limit is noted in its column. top_n has no effect
+    on a pair with fewer detections.
     """
     check_parameters(min_score, min_quant, top_n, buffer_size)
-    buffer = sw if buffer_size == "template" else buffer_size
+    buffer = None if buffer_size == "template" else buffer_size
     found = marked(scores, keys, sw, buffer).filter("candidate and dominant and inside")
     if min_score is not None:
         found = found.filter(F.col("score") >= min_score)
@@ -58,8 +69,9 @@ def score_peaks(scores: DataFrame, keys: list[str], sw: int, buffer_size: int |
         found = found.filter(F.col("peak_quant") >= min_quant)
     found = best_per_pair(found, keys, top_n)
     extra = [c for c in scores.columns if c not in (*keys, *SERIES)]
+    noted = F.lit(buffer) if buffer is not None else F.col(sw) if isinstance(sw, str) else F.lit(sw)
     return found.select(
-        *keys, *extra, "detection_start", "detection_end", F.lit(buffer).alias("detection_buffer"),
+        *keys, *extra, "detection_start", "detection_end", noted.cast("int").alias("detection_buffer"),
         F.lit(min_score).cast("double").alias("detection_min_score"), F.lit(min_quant).cast("double").alias("detection_min_quant"),
         "detection_top_n", F.col("frame_idx").cast("int").alias("peak_index"), F.col("score").alias("peak_score"), "peak_quant",
     )

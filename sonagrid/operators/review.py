@@ -35,6 +35,18 @@ def ordered(df: DataFrame, *keys: tuple[str, bool], seed: int | None = None) ->
     return df.orderBy(*(F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in keys), "detection_id")
 
 
+def _orders() -> dict[str, tuple[tuple[str, bool], ...]]:
+    """The review orders by name: none, each key, and both keys in either place, each up or down."""
+    keys = {"file": "soundscape_file", "score": "peak_score"}
+    one = {f"{k}_{way}": ((c, way == "asc"),) for k, c in keys.items() for way in ("asc", "desc")}
+    two = {f"{a}_{b}": (*one[a], *one[b]) for a in one for b in one if a.split("_")[0] != b.split("_")[0]}
+    return {"original": (), **one, **two}
+
+
+#: Besides these there is a random order, by `ordered` with a seed.
+ORDERS = _orders()
+
+
 def validation_pivot(df: DataFrame, kinds: tuple[str, ...] = ("TP", "FP", "UN", "NV")) -> DataFrame:
     """A row a template with the count of each kind; null where there is none."""
     return df.groupBy("template_name").pivot("validation", list(kinds)).count()
@@ -57,7 +69,9 @@ def rows_patch(df: DataFrame, new: DataFrame, key: str, columns: list[str], empt
 
 
 def _merged(df: DataFrame, new: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
-    packed = new.select(F.col(key), F.struct(*values).alias("__new"))
+    # a key that is there twice leaves open which row counts: an error of the run, found where the join has the rows anyway
+    once = F.when(F.count("*") > 1, F.raise_error(F.lit(f"{key} isn't unique in the new rows")).cast("void")).otherwise(F.lit(None))
+    packed = new.groupBy(key).agg(F.any_value(F.struct(*values)).alias("__new"), once.alias("__once"))
     return df.join(packed, key, "left").select(*(values[c].alias(c) if c in values else F.col(c) for c in df.columns))
 
 
@@ -84,10 +98,33 @@ def neighbours(df: DataFrame, keys: list[str], order: str, name: str) -> DataFra
     return df.withColumn("previous", F.coalesce(F.lag(name).over(w), F.col(name))).withColumn("next", F.coalesce(F.lead(name).over(w), F.col(name)))
 
 
+#: A hash's leading bits number the buckets in which rows are counted, so the driver gets as many numbers at most.
+BUCKET_BITS = 14
+
+
+def _bucket(rank: Column) -> Column:
+    return F.shiftright(rank, 64 - BUCKET_BITS)
+
+
+def _lowest(df: DataFrame, rank: Column, key: str, n: int) -> DataFrame:
+    """The n rows that come first by (rank, key). Rows are counted by bucket; only the bucket of the cut is ordered."""
+    ranked = df.withColumn("rank_of_row", rank).withColumn("bucket_of_row", _bucket(F.col("rank_of_row")))
+    total, cut, rest = 0, None, 0
+    for r in sorted(ranked.groupBy("bucket_of_row").count().collect()):
+        if total + r["count"] >= n:
+            cut, rest = r["bucket_of_row"], n - total
+            break
+        total += r["count"]
+    if cut is None:
+        return df
+    last = ranked.filter(F.col("bucket_of_row") == cut).orderBy("rank_of_row", key).limit(rest)
+    return ranked.filter(F.col("bucket_of_row") < cut).union(last).select(*df.columns)
+
+
 def balanced(df: DataFrame, method: str, label: str = "validation", key: str = "detection_id", seed: int = 1) -> DataFrame:
     """Equal numbers of both classes: 'down' samples the larger, 'up' repeats the smaller, 'none' leaves them.
 
-    Rows are taken in the order of a hash of their key; only the cut in that order is found from counts.
+    Rows are taken in the order of a hash of their key, which tells rows apart.
     """
     if method == "none":
         return df
@@ -97,35 +134,44 @@ def balanced(df: DataFrame, method: str, label: str = "validation", key: str = "
     low, high = min(counts, key=counts.get), max(counts, key=counts.get)
     rank = F.xxhash64(F.lit(seed), key)
     if method == "down":
-        extra, n = df.filter(F.col(label) == high), counts[low]
-        kept = extra.join(extra.select(key).orderBy(rank, key).limit(n), key, "left_semi")
-        return df.filter(F.col(label) == low).union(kept.select(*df.columns))
+        return df.filter(F.col(label) == low).union(_lowest(df.filter(F.col(label) == high), rank, key, counts[low]))
     if method == "up":
         whole, rest = divmod(counts[high], counts[low])
         small = df.filter(F.col(label) == low)
-        once_more = small.select(key).orderBy(rank, key).limit(rest).withColumn("__more", F.lit(1))
-        copies = small.join(once_more, key, "left").withColumn("__i", F.explode(F.sequence(F.lit(1), whole + F.coalesce("__more", F.lit(0)))))
-        return df.filter(F.col(label) == high).union(copies.select(*df.columns))
+        copies = small.withColumn("copy_of_row", F.explode(F.sequence(F.lit(1), F.lit(whole)))).select(*df.columns)
+        return df.filter(F.col(label) == high).union(copies).union(_lowest(small, rank, key, rest) if rest else small.limit(0))
     raise ValueError("method is none, up or down")
 
 
-def rose(df: DataFrame, label: str = "validation", score: str = "peak_score", n: int | None = None, seed: int = 1, n_parts: int = 8) -> DataFrame:
-    """(label, score) by smoothed bootstrap: each class in equal numbers, around drawn scores with Silverman's width.
+def rose(df: DataFrame, label: str = "validation", score: str = "peak_score", n: int | None = None, seed: int = 1, key: str = "detection_id") -> DataFrame:
+    """(label, score) by smoothed bootstrap: each class in equal numbers, drawn rows with normal noise of Silverman's width.
 
-    The drawn rows are split into parts with their own seeds; scores are drawn by their quantiles.
+    A row has a place in its class by the order of a hash: that of its bucket, which counts tell, and that inside it.
+    Draws are numbers of places, and meet their rows by a join.
     """
-    stats = {r[label]: r for r in df.groupBy(label).agg(F.count("*").alias("n"), F.stddev(score).alias("sd"), F.percentile_approx(score, [i / 200 for i in range(201)], 10_000).alias("q")).collect()}
+    rows = df.filter(F.col(score).isNotNull()).withColumn("rank", F.xxhash64(F.lit(seed), key)).select(F.col(label).alias("label"), F.col(score).alias("score"), key, "rank", _bucket(F.col("rank")).alias("bucket"))
+    stats = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.stddev("score").alias("sd")).collect()}
     if len(stats) != 2 or min(r["n"] for r in stats.values()) < 2:
         raise ValueError("ROSE needs two classes of two rows at least")
     total = n or sum(r["n"] for r in stats.values())
-    parts = df.sparkSession.createDataFrame([(name, i, total // 2 // n_parts + (i < total // 2 % n_parts)) for name in sorted(stats) for i in range(n_parts)], "label string, part int, n long").repartition(2 * n_parts)
-    shape = {name: (np.array(r["q"], float), (r["sd"] or 0.0) * (4 / (3 * r["n"])) ** 0.2) for name, r in stats.items()}
+    by_class: dict[str, list] = {name: [] for name in sorted(stats)}
+    for r in sorted(rows.groupBy("label", "bucket").count().collect()):
+        by_class[r["label"]].append((r["bucket"], r["count"]))
+    buckets = {name: (np.array([b for b, _ in x], np.int64), np.cumsum([0, *(c for _, c in x)])) for name, x in by_class.items()}
+    width = {name: float((r["sd"] or 0.0) * (4 / (3 * r["n"])) ** 0.2) for name, r in stats.items()}
 
     def draw(batches):
         for pdf in batches:
-            for r in pdf.itertuples():
-                q, h = shape[r.label]
-                rng = np.random.default_rng([seed, r.part, sum(map(ord, r.label))])
-                yield pd.DataFrame({label: r.label, score: np.interp(rng.random(r.n), np.linspace(0, 1, len(q)), q) + h * rng.standard_normal(r.n)})
-
-    return parts.mapInPandas(draw, f"{label} string, {score} double")
+            # numbers are hashed from the draw's own, so a draw is the same in every task
+            z = [pd.util.hash_array(pdf["id"].to_numpy() * 3 + i + (seed << 40)).astype(float) / 2**64 for i in range(3)]
+            names = np.array(list(buckets))[pdf["id"].to_numpy() % 2]
+            noise = np.sqrt(-2 * np.log(np.maximum(z[1], 1e-300))) * np.cos(2 * np.pi * z[2])
+            for name, (ids, starts) in buckets.items():
+                own = names == name
+                place = np.minimum((z[0][own] * starts[-1]).astype(np.int64), starts[-1] - 1)
+                at = np.searchsorted(starts, place, side="right") - 1
+                yield pd.DataFrame({"label": name, "bucket": ids[at], "place": place - starts[at] + 1, "noise": noise[own] * width[name]})
+
+    draws = df.sparkSession.range(total // 2 * 2).mapInPandas(draw, "label string, bucket long, place long, noise double")
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("label", "bucket").orderBy("rank", key)).cast("long"))
+    return draws.join(placed, ["label", "bucket", "place"]).select(F.col("label").alias(label), (F.col("score") + F.col("noise")).alias(score))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..schemas import NULL_TOKENS, ROIS
+from ..schemas import DETECTIONS, NULL_TOKENS, ROIS
 
 
 def coerced(df: DataFrame) -> DataFrame:
@@ -25,8 +25,16 @@ def roi_cut_names(rois: DataFrame, extension: str = ".wav") -> DataFrame:
     return rois.withColumn("cut_name", name)
 
 
+def require(df: DataFrame, columns: list[str]) -> None:
+    """ValueError with the columns that df lacks."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError("the table lacks the columns " + ", ".join(missing))
+
+
 def detections_to_rois(detections: DataFrame, username: str, timestamp: str, filter_tp: bool = False) -> DataFrame:
-    """Detections as ROIs; the label of each row is its own template's."""
+    """Detections as ROIs; the label of each row is its own template's. All columns of detections are needed."""
+    require(detections, [*DETECTIONS.names, *(["validation"] if filter_tp else [])])
     if filter_tp:
         detections = detections.filter(F.col("validation") == "TP")
     c = lambda n: F.col(n) if n in detections.columns else F.lit(None)
@@ -75,11 +83,21 @@ def no_signal_rows(soundscapes: DataFrame, rois: DataFrame, user: str, timestamp
     return free.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ROIS.fields))
 
 
+#: The reviewer's columns, and the decimals of those that are rounded.
+REVIEW_COLUMNS = ("template_name", "soundscape_file", "detection_id", "detection_start", "detection_end", "template_min_freq", "template_max_freq", "peak_score", "validation_user", "validation_time", "validation", "validation_note")
+REVIEW_DIGITS = {"detection_start": 3, "detection_end": 3, "peak_score": 3, "template_min_freq": 1, "template_max_freq": 1}
+ROI_COLUMNS = ("roi_label", "roi_start", "roi_end", "roi_min_freq", "roi_max_freq", "roi_type", "roi_label_confidence", "roi_is_complete", "roi_comment")
+
+
 def review_view(validated: DataFrame) -> DataFrame:
-    """The columns a reviewer sees: times and scores with 3 decimals, frequencies with 1."""
-    digits = {"template_min_freq": 1, "template_max_freq": 1, **dict.fromkeys(("detection_start", "detection_end", "peak_score", "peak_quant"), 3)}
-    shown = ["detection_id", "soundscape_file", "template_name", *digits, "validation"]
-    return validated.select(*(F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in shown if c in validated.columns))
+    """The columns a reviewer sees: times and scores with 3 decimals, frequencies with 1; those that aren't there are null."""
+    c = lambda n: F.col(n) if n in validated.columns else F.lit(None).cast("string")
+    return validated.select(*((F.round(c(n), REVIEW_DIGITS[n]) if n in REVIEW_DIGITS else c(n)).alias(n) for n in REVIEW_COLUMNS))
+
+
+def roi_view(rois: DataFrame) -> DataFrame:
+    """The columns of a ROI table that an annotator sees."""
+    return rois.select(*((F.col(n) if n in rois.columns else F.lit(None).cast(ROIS[n].dataType)).alias(n) for n in ROI_COLUMNS))
 
 
 def roi_ruler(rois: DataFrame) -> DataFrame:
@@ -102,5 +120,8 @@ def delete_rows(rois: DataFrame, chosen: DataFrame) -> DataFrame:
     return rois.join(chosen.select("roi_id").distinct(), "roi_id", "left_anti")
 
 
-def first_per(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("__n = 1").drop("__n")
+def first_per(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key, by an order that leaves no ties: an aggregate, no group is gathered."""
+    rest = [c for c in df.columns if c != key]
+    least = F.min_by(F.struct(*rest), F.struct(*order)).alias("first_row")
+    return df.groupBy(key).agg(least).select(key, "first_row.*").select(*df.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import metrics as fm
 from ..functions import names
 from ..operators import diagnostics as dg
-from ..operators import grid, matching, peaks, review, rois, validation, views
+from ..operators import acoustics, grid, matching, peaks, review, rois, validation, views
+from ..schemas import DETECTIONS
 from . import standins as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,17 +64,29 @@ def roi_schema_coerce(spark, d):
 @query(f"""WITH {st.REVIEWED} SELECT detection_id, soundscape_file, species AS roi_label, detection_start AS roi_start, detection_end AS roi_end, 'detection' AS roi_type, CASE WHEN validation = 'TP' THEN 'certain' ELSE 'uncertain' END AS roi_label_confidence,
   'template_name=' || template_name || '|detection_id=' || detection_id || '|validation=' || validation AS roi_comment, 'A B1' AS roi_user FROM reviewed""")
 def detections_to_rois(spark, d):
-    out = rois.detections_to_rois(st.reviewed(spark, d), "A B_1!", "2024-01-01 00:00:00")
+    found = st.reviewed(spark, d)
+    found = found.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in DETECTIONS.fields if f.name not in found.columns))
+    out = rois.detections_to_rois(found, "A B_1!", "2024-01-01 00:00:00")
     part = lambda k: F.regexp_extract("roi_comment", rf"(?:^|\|)({k}=[^|]*)", 1)
     comment = F.concat_ws("|", part("template_name"), part("detection_id"), part("validation"))
     return out.select(F.regexp_extract("roi_comment", r"detection_id=(\d+)", 1).cast("long").alias("detection_id"), "soundscape_file", "roi_label", "roi_start", "roi_end", "roi_type", "roi_label_confidence", comment.alias("roi_comment"), "roi_user")
 
 
-@query(f"""WITH {st.REVIEWED} SELECT detection_id, soundscape_file, template_name, round(template_min_freq, 1) AS template_min_freq, round(template_max_freq, 1) AS template_max_freq, round(detection_start, 3) AS detection_start, round(detection_end, 3) AS detection_end, round(peak_score, 3) AS peak_score, validation FROM reviewed""")
+@query(f"""WITH {st.REVIEWED} SELECT detection_id, soundscape_file, template_name, round(template_min_freq, 1) AS template_min_freq, round(template_max_freq, 1) AS template_max_freq, round(detection_start, 3) AS detection_start, round(detection_end, 3) AS detection_end, round(peak_score, 3) AS peak_score, validation_user, NULL::VARCHAR AS validation_time, validation, NULL::VARCHAR AS validation_note FROM reviewed""")
 def review_table(spark, d):
     return rois.review_view(st.reviewed(spark, d))
 
 
+@query(f"""WITH {st.ROIS} SELECT roi_label, roi_start, roi_end, roi_min_freq, roi_max_freq, NULL::VARCHAR AS roi_type, NULL::VARCHAR AS roi_label_confidence, NULL::VARCHAR AS roi_is_complete, NULL::VARCHAR AS roi_comment FROM rois""")
+def roi_table_view(spark, d):
+    return rois.roi_view(st.rois(spark, d))
+
+
+@query(f"""WITH {st.REVIEWED} SELECT template_name, min(detection_id) AS detection_id, arg_min(peak_score, detection_id) AS peak_score FROM reviewed GROUP BY 1""")
+def first_per_template(spark, d):
+    return rois.first_per(st.reviewed(spark, d), "template_name", "detection_id").select("template_name", "detection_id", "peak_score")
+
+
 @query(f"""WITH {st.ROIS} SELECT roi_id, greatest(round(roi_min_freq - 1), 0.0::DOUBLE) AS low, least(round(roi_max_freq + 1), 23.0::DOUBLE) AS high FROM rois""")
 def freq_view_limits(spark, d):
     low, high = fm.frequency_view(F.col("roi_min_freq"), F.col("roi_max_freq"))
@@ -168,12 +182,17 @@ def _kernel(spark, d, method):
     return matching.match_scores(frames, pairs, method)
 
 
-@query()
+@query(f"""WITH {st.FRAMES}, s AS (SELECT file, (frame_idx - 1) * 64 + u.i AS n, amp[u.i + 1]::DOUBLE AS x FROM frames, range(0, 64) u(i)), t AS (SELECT file, max(n) + 1 AS total FROM s GROUP BY 1),
+  w AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / 255) AS w FROM range(0, 256) r(i)), f AS (SELECT file, unnest(range(0, (total - 256) // 128 + 1)) AS f FROM t),
+  x AS (SELECT f.file, f.f, w.i, s.x * w.w AS x FROM f JOIN w ON true JOIN s ON s.file = f.file AND s.n = f.f * 128 + w.i),
+  dft AS (SELECT file, f, b, sum(x * cos(2 * pi() * ((b * i) % 256) / 256)) AS re, sum(x * sin(2 * pi() * ((b * i) % 256) / 256)) AS im FROM x, range(0, 128) r(b) GROUP BY 1, 2, 3)
+  SELECT file, (f + 1)::INTEGER AS frame_idx, f * 128 / 8000.0::DOUBLE AS time_vec, (b + 1)::INTEGER AS bin, round(sqrt(re * re + im * im) * 2 / (SELECT sum(w) FROM w), 6) AS amp FROM dft""")
 def spectrogram(spark, d):
     rows = F.sort_array(F.collect_list(F.struct("frame_idx", "amp")))
     recordings = st.frames(spark, d).groupBy("file").agg(F.flatten(F.transform(rows, lambda x: x["amp"])).alias("samples")).withColumn("rate", F.lit(8000))
     out = matching.series_spectrograms(recordings, 256, 50.0)
-    return out.select("file", "frame_idx", "time_vec", F.transform("amp", lambda v: F.round(v, 6)).alias("amp"))
+    cells = out.select("file", "frame_idx", "time_vec", F.posexplode("amp").alias("i", "a"))
+    return cells.select("file", "frame_idx", "time_vec", (F.col("i") + 1).alias("bin"), F.round("a", 6).alias("amp"))
 
 
 @query(f"WITH {_CELLS} SELECT file, frame_idx, time_vec, round(score, 6) AS score FROM padded")
@@ -181,7 +200,14 @@ def correlation_matching(spark, d):
     return _kernel(spark, d, "cor").select("file", "frame_idx", "time_vec", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {st.FRAMES}, cells AS (SELECT file, frame_idx, b, amp[b]::DOUBLE AS x FROM frames, range(8, 40) t(b)), tm AS (SELECT frame_idx - 50 AS j, b, x AS y FROM cells WHERE file = 'f0' AND frame_idx BETWEEN 50 AND 69),
+  cost AS (SELECT file, frame_idx AS f, j, sum(abs(x - y)) AS c FROM cells JOIN tm USING (b) GROUP BY 1, 2, 3), last AS (SELECT file, max(f) AS last FROM cost GROUP BY 1),
+  dp AS (SELECT file, f AS start, 0 AS i, j, sum(c) OVER (PARTITION BY file, f ORDER BY j) AS d FROM cost JOIN last USING (file) WHERE f <= last - 19
+    UNION ALL SELECT file, start, i, j, s + min(m - s + c) OVER (PARTITION BY file, start ORDER BY j) AS d FROM (
+      SELECT p.file, p.start, p.i + 1 AS i, p.j, c, least(p.d, coalesce(lag(p.d) OVER (PARTITION BY p.file, p.start ORDER BY p.j), p.d)) AS m, sum(c) OVER (PARTITION BY p.file, p.start ORDER BY p.j) AS s
+      FROM dp p JOIN cost ON cost.file = p.file AND cost.f = p.start + p.i + 1 AND cost.j = p.j WHERE p.i < 19)),
+  found AS (SELECT file, start, 1 - d / max(d) OVER (PARTITION BY file) AS score FROM dp WHERE i = 19 AND j = 19)
+  SELECT f.file, f.frame_idx, f.time_vec, round(coalesce(score, min(score) OVER (PARTITION BY f.file)), 6) AS score FROM frames f LEFT JOIN found ON found.file = f.file AND found.start + 9 = f.frame_idx""")
 def dtw_matching(spark, d):
     return _kernel(spark, d, "dtw").select("file", "frame_idx", "time_vec", F.round("score", 6).alias("score"))
 
@@ -256,19 +282,15 @@ def spectro_view(spark, d):
 
 @query(f"WITH {st.FRAMES}, c AS (SELECT file, frame_idx, unnest(range(1, 65)) AS bin, abs(unnest(amp)::DOUBLE) AS a FROM frames), t AS (SELECT file, frame_idx, arg_max(bin, a) AS bin FROM c WHERE bin BETWEEN 8 AND 39 GROUP BY 1, 2) SELECT file, round(avg(bin), 6) AS dominant FROM t GROUP BY 1")
 def dominant_frequency(spark, d):
-    c = st.frames(spark, d).select("file", "frame_idx", F.posexplode("amp").alias("i", "a")).filter(F.col("i").between(7, 38))
-    top = c.groupBy("file", "frame_idx").agg(F.max_by(F.col("i") + 1, F.abs(F.col("a").cast("double"))).alias("bin"))
-    return top.groupBy("file").agg(F.round(F.avg("bin"), 6).alias("dominant"))
+    return acoustics.dominant_frequency(st.frames(spark, d), 8, 39).select("file", F.round("dominant", 6).alias("dominant"))
 
 
-@query(f"""WITH {st.FRAMES}, c AS (SELECT file, frame_idx, list_sum(list_transform(amp, lambda v: v::DOUBLE * v::DOUBLE)) AS e FROM frames),
-  s AS (SELECT file, frame_idx, round(sum(e) OVER (PARTITION BY file ORDER BY frame_idx) / sum(e) OVER (PARTITION BY file), 9) AS share FROM c)
-  SELECT file, min(frame_idx) FILTER (WHERE share >= 0.1) AS t10, min(frame_idx) FILTER (WHERE share >= 0.9) AS t90 FROM s GROUP BY 1""")
+@query(f"""WITH {st.FRAMES}, c AS (SELECT file, frame_idx, unnest(range(1, 65)) AS bin, unnest(amp)::DOUBLE AS a FROM frames), e AS (SELECT file, frame_idx, bin, a * a AS e FROM c),
+  t AS (SELECT file, frame_idx AS i, sum(e) AS e FROM e GROUP BY 1, 2), f AS (SELECT file, bin AS i, sum(e) AS e FROM e GROUP BY 1, 2),
+  st AS (SELECT file, i, round(sum(e) OVER (PARTITION BY file ORDER BY i) / sum(e) OVER (PARTITION BY file), 9) AS share FROM t), sf AS (SELECT file, i, round(sum(e) OVER (PARTITION BY file ORDER BY i) / sum(e) OVER (PARTITION BY file), 9) AS share FROM f)
+  SELECT file, t10, t90, f10, f90 FROM (SELECT file, min(i) FILTER (WHERE share >= 0.1) AS t10, min(i) FILTER (WHERE share >= 0.9) AS t90 FROM st GROUP BY 1) JOIN (SELECT file, min(i) FILTER (WHERE share >= 0.1) AS f10, min(i) FILTER (WHERE share >= 0.9) AS f90 FROM sf GROUP BY 1) USING (file)""")
 def energy_quantiles(spark, d):
-    e = F.aggregate(F.transform("amp", lambda v: v.cast("double") * v.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    w = Window.partitionBy("file")
-    s = st.frames(spark, d).select("file", "frame_idx", e.alias("e")).withColumn("share", F.round(F.sum("e").over(w.orderBy("frame_idx")) / F.sum("e").over(w), 9))
-    return s.groupBy("file").agg(F.min(F.when(F.col("share") >= 0.1, F.col("frame_idx"))).alias("t10"), F.min(F.when(F.col("share") >= 0.9, F.col("frame_idx"))).alias("t90"))
+    return acoustics.energy_quantiles(st.frames(spark, d))
 
 
 # ---- validation ----
@@ -337,10 +359,13 @@ def roc_curve(spark, d):
     return _rounded(dg.roc_curve(st.validated(spark, d)))
 
 
-@query(f"""WITH {_TOTALS}, g AS (SELECT template_name, i / 100.0::DOUBLE AS threshold FROM (SELECT template_name, max(peak_score) AS top FROM validated GROUP BY 1), range(0, 101) r(i) WHERE i / 100.0::DOUBLE < top),
+_GRID = f"""g AS (SELECT template_name, i / 100.0::DOUBLE AS threshold FROM (SELECT template_name, max(peak_score) AS top FROM validated GROUP BY 1), range(0, 101) r(i) WHERE i / 100.0::DOUBLE < top),
   c AS (SELECT g.template_name, threshold AS peak_score, count(*) FILTER (WHERE validation = 'TP' AND peak_score >= threshold) AS tp, count(*) FILTER (WHERE validation = 'FP' AND peak_score >= threshold) AS fp,
     count(*) FILTER (WHERE validation = 'FP' AND peak_score < threshold) AS tn, count(*) FILTER (WHERE validation = 'TP' AND peak_score < threshold OR validation = 'FN') AS fn FROM g JOIN validated v USING (template_name) GROUP BY 1, 2),
-  m AS ({_metric_sql('c')}) SELECT template_name, peak_score, tp, fp, tn, fn, {_METRICS} FROM m""")
+  m AS ({_metric_sql('c')})"""
+
+
+@query(f"WITH {_TOTALS}, {_GRID} SELECT template_name, peak_score, tp, fp, tn, fn, {_METRICS} FROM m")
 def confusion_grid(spark, d):
     return _rounded(dg.confusion_grid(st.validated(spark, d)))
 
@@ -377,17 +402,34 @@ def manual_cutpoint(spark, d):
     return dg.manual_cutpoint(st.validated(spark, d), 0.4)
 
 
-@query()
+_NEWTON = f"""{st.VALIDATED}, sums AS (SELECT template_name, peak_score AS x, count(*)::DOUBLE AS n, count(*) FILTER (WHERE validation = 'TP')::DOUBLE AS t FROM validated WHERE validation IN ('TP', 'FP') AND peak_score IS NOT NULL GROUP BY 1, 2),
+  steps(i, template_name, b0, b1, status) AS (SELECT 0, template_name, 0.0::DOUBLE, 0.0::DOUBLE, 'not_converged' FROM (SELECT DISTINCT template_name FROM sums)
+    UNION ALL SELECT i + 1, template_name, CASE WHEN det < 1e-14 OR isnan(det) THEN b0 ELSE b0 + s0 END, CASE WHEN det < 1e-14 OR isnan(det) THEN b1 ELSE b1 + s1 END,
+      CASE WHEN det < 1e-14 OR isnan(det) THEN 'separated' WHEN greatest(abs(s0), abs(s1)) < 1e-10 * (1 + greatest(abs(b0 + s0), abs(b1 + s1))) THEN 'ok' ELSE 'not_converged' END
+    FROM (SELECT *, (g0 * h11 - g1 * h01) / nullif(det, 0) AS s0, (g1 * h00 - g0 * h01) / nullif(det, 0) AS s1 FROM (SELECT *, h00 * h11 - h01 * h01 AS det FROM (
+      SELECT i, template_name, b0, b1, sum(t - n * p) AS g0, sum((t - n * p) * x) AS g1, sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p) * x * x) AS h11
+      FROM (SELECT s.*, sums.x, sums.n, sums.t, 1 / (1 + exp(-(s.b0 + s.b1 * sums.x))) AS p FROM steps s JOIN sums USING (template_name) WHERE s.i < 25 AND s.status = 'not_converged') GROUP BY 1, 2, 3, 4)))),
+  fit AS (SELECT template_name, arg_max(b0, i) AS intercept, arg_max(b1, i) AS slope, arg_max(status, i) AS status FROM steps GROUP BY 1)"""
+_AUTO = f"""{_NEWTON}, auto AS (SELECT template_name, min(s) FILTER (WHERE 1 / (1 + exp(-(intercept + slope * s))) >= 0.9) AS score_cut, any_value(status) AS status FROM fit, (SELECT i / 100.0::DOUBLE AS s FROM range(1, 100) r(i)) GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_NEWTON} SELECT template_name, round(intercept, 6) AS intercept, round(slope, 6) AS slope, status FROM fit")
 def logistic_fit(spark, d):
     return dg.logistic_fit(st.validated(spark, d)).select("template_name", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"), "status")
 
 
-@query()
+@query(f"WITH RECURSIVE {_AUTO} SELECT template_name, score_cut, CASE WHEN score_cut IS NULL THEN 'no_cutpoint' ELSE status END AS status FROM auto")
 def auto_cutpoint(spark, d):
     return dg.auto_cutpoint(dg.logistic_fit(st.validated(spark, d)), 0.9).select("template_name", "score_cut", "status")
 
 
-@query()
+_FILLED = ", ".join(f"coalesce({c}, max({c}) OVER (PARTITION BY template_name)) AS {c}" for c in ("precision", "recall", "specificity"))
+
+
+@query(f"""WITH RECURSIVE {_AUTO}, {_CURVE.removeprefix(st.VALIDATED + ", ")}, {_GRID}, few AS (SELECT template_name FROM totals WHERE n_tp < 4 OR n_fp < 4),
+  points AS (SELECT template_name, peak_score, tp, fp, tn, fn, {_METRICS} FROM curve WHERE template_name NOT IN (FROM few) UNION ALL SELECT template_name, peak_score, tp, fp, tn, fn, {_FILLED}, F1_score FROM m WHERE template_name IN (FROM few)),
+  least AS (SELECT template_name, arg_min(precision, peak_score) AS least FROM points JOIN auto USING (template_name) WHERE peak_score >= score_cut GROUP BY 1),
+  best AS (SELECT points.*, rank() OVER (PARTITION BY template_name ORDER BY recall DESC) AS r FROM points JOIN least USING (template_name) WHERE precision >= least) SELECT template_name, peak_score, tp, fp, tn, fn, {_METRICS} FROM best WHERE r = 1""")
 def diagnostic_validations(spark, d):
     return _rounded(dg.diagnostics(st.validated(spark, d), pos_prob=0.9)[0].filter("selected"))
 
@@ -425,6 +467,19 @@ def review_order(spark, d):
     return review.ordered(st.reviewed(spark, d), ("soundscape_file", False), ("peak_score", True)).select("detection_id", "soundscape_file", "peak_score")
 
 
+def _first_page_sql(name: str, keys: tuple[tuple[str, bool], ...]) -> str:
+    by = ", ".join([*(f"{c} {'ASC' if up else 'DESC'} NULLS LAST" for c, up in keys), "detection_id"])
+    return f"SELECT '{name}' AS review_order, row_number() OVER (ORDER BY {by}) AS place, detection_id FROM reviewed QUALIFY place <= 20"
+
+
+@query(f"WITH {st.REVIEWED} " + " UNION ALL ".join(_first_page_sql(k, v) for k, v in review.ORDERS.items()))
+def review_first_pages(spark, d):
+    """What a reviewer sees first in each order: its 20 first rows."""
+    shown = [review.ordered(st.reviewed(spark, d), *keys).limit(20).select(F.lit(name).alias("review_order"), "detection_id", "soundscape_file", "peak_score") for name, keys in review.ORDERS.items()]
+    pages = [p.withColumn("place", F.row_number().over(Window.partitionBy("review_order").orderBy(*(F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in keys), "detection_id"))) for p, keys in zip(shown, review.ORDERS.values(), strict=True)]
+    return reduce(DataFrame.union, pages).select("review_order", "place", "detection_id")
+
+
 @query()
 def review_order_random(spark, d):
     return review.ordered(st.reviewed(spark, d), seed=7).select("detection_id", "peak_score")
@@ -448,11 +503,11 @@ def review_progress(spark, d):
     return review.progress(st.reviewed(spark, d), F.col("validation").isin("TP", "FP", "UN"), "template_name")
 
 
-_NEW = "n AS (SELECT detection_id, 'TP' AS validation, 'new' AS validation_user FROM reviewed WHERE detection_id % 5 < 2)"
+_NEW = "n AS (SELECT detection_id, 'TP' AS validation, 'new' AS validation_user FROM reviewed WHERE peak_score >= 0.1)"
 
 
 def _new_reviews(spark, d):
-    return st.reviewed(spark, d).filter("detection_id % 5 < 2").select("detection_id", F.lit("TP").alias("validation"), F.lit("new").alias("validation_user"))
+    return st.reviewed(spark, d).filter("peak_score >= 0.1").select("detection_id", F.lit("TP").alias("validation"), F.lit("new").alias("validation_user"))
 
 
 @query(f"WITH {st.REVIEWED}, {_NEW} SELECT r.detection_id, CASE WHEN n.detection_id IS NOT NULL THEN n.validation ELSE r.validation END AS validation, CASE WHEN n.detection_id IS NOT NULL THEN n.validation_user ELSE r.validation_user END AS validation_user FROM reviewed r LEFT JOIN n USING (detection_id)")
@@ -470,13 +525,13 @@ def cell_update(spark, d):
     return review.cell_update(st.rois(spark, d), "roi_id", 101, "roi_label", "edited").select("roi_id", "roi_label")
 
 
-_DIFF = f"{st.ROIS}, old AS (SELECT * FROM rois WHERE roi_id % 10 <> 3), new AS (SELECT * FROM rois WHERE roi_id % 10 <> 4)"
+_DIFF = f"{st.ROIS}, old AS (SELECT * FROM rois WHERE roi_min_freq <> 1.5), new AS (SELECT * FROM rois WHERE roi_min_freq <> 2.0)"
 _SAME = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in review.ROI_KEYS)
 
 
 def _versions(spark, d):
     r = st.rois(spark, d)
-    return r.filter("roi_id % 10 <> 3"), r.filter("roi_id % 10 <> 4")
+    return r.filter("roi_min_freq <> 1.5"), r.filter("roi_min_freq <> 2.0")
 
 
 @query(f"WITH {_DIFF} SELECT roi_id FROM new a WHERE NOT EXISTS (SELECT 1 FROM old b WHERE {_SAME})")
@@ -491,31 +546,31 @@ def roi_diff_deleted(spark, d):
     return review.without(old, new, review.ROI_KEYS).select("roi_id")
 
 
-@query(f"WITH {st.REVIEWED} SELECT detection_id FROM reviewed a WHERE NOT EXISTS (SELECT 1 FROM reviewed b WHERE b.detection_id % 3 = 0 AND b.validation_user IS NOT DISTINCT FROM a.validation_user AND b.validation IS NOT DISTINCT FROM a.validation)")
+@query(f"WITH {st.REVIEWED} SELECT detection_id FROM reviewed a WHERE NOT EXISTS (SELECT 1 FROM reviewed b WHERE b.peak_score < 0.05 AND b.validation_user IS NOT DISTINCT FROM a.validation_user AND b.validation IS NOT DISTINCT FROM a.validation)")
 def unsaved_validations(spark, d):
     v = st.reviewed(spark, d)
-    return review.without(v, v.filter("detection_id % 3 = 0"), ["validation_user", "validation"]).select("detection_id")
+    return review.without(v, v.filter("peak_score < 0.05"), ["validation_user", "validation"]).select("detection_id")
 
 
-@query(f"WITH {st.REVIEWED}, p AS (SELECT 'rec' || c_custkey AS soundscape_file, '/data/rec' || c_custkey AS soundscape_path FROM customer WHERE c_custkey < 60) SELECT detection_id, coalesce(p.soundscape_path, r.soundscape_path) AS soundscape_path FROM reviewed r LEFT JOIN p USING (soundscape_file)")
+@query(f"WITH {st.REVIEWED}, p AS (SELECT 'rec' || c_custkey AS soundscape_file, '/data/rec' || c_custkey AS soundscape_path FROM customer) SELECT detection_id, coalesce(p.soundscape_path, r.soundscape_path) AS soundscape_path FROM reviewed r LEFT JOIN p USING (soundscape_file)")
 def path_lookup(spark, d):
-    p = st.table(spark, d, "customer").filter("c_custkey < 60").select(F.concat(F.lit("rec"), "c_custkey").alias("soundscape_file"), F.concat(F.lit("/data/rec"), "c_custkey").alias("soundscape_path"))
+    p = st.table(spark, d, "customer").select(F.concat(F.lit("rec"), "c_custkey").alias("soundscape_file"), F.concat(F.lit("/data/rec"), "c_custkey").alias("soundscape_path"))
     return review.path_lookup(st.reviewed(spark, d), p, "soundscape_file", "soundscape_path").select("detection_id", "soundscape_path")
 
 
-@query(f"WITH {st.SOUNDSCAPES} SELECT s.soundscape_file FROM soundscapes s WHERE soundscape_file NOT IN (SELECT s_name || '.wav' FROM supplier WHERE s_suppkey % 4 = 0)")
+@query(f"WITH {st.SOUNDSCAPES} SELECT s.soundscape_file FROM soundscapes s WHERE soundscape_file NOT IN (SELECT s_name || '.wav' FROM supplier WHERE s_acctbal < 2000)")
 def skip_processed(spark, d):
-    done = st.table(spark, d, "supplier").filter("s_suppkey % 4 = 0").select(F.concat("s_name", F.lit(".wav")).alias("soundscape_file"))
+    done = st.table(spark, d, "supplier").filter("s_acctbal < 2000").select(F.concat("s_name", F.lit(".wav")).alias("soundscape_file"))
     return st.soundscapes(spark, d).join(done, "soundscape_file", "left_anti").select("soundscape_file")
 
 
 def _roi_tables(spark, d):
-    o = st.table(spark, d, "orders").filter("o_orderkey % 3 = 0")
+    o = st.table(spark, d, "orders").filter("o_orderstatus = 'F'")
     file = F.concat(F.lit("Supplier#"), F.lpad((F.col("o_custkey") % 400).cast("string"), 9, "0"))
     return o.select(names.roi_table_name(F.concat(file, F.lit(".wav")), F.lit("u"), F.col("o_orderdate").cast("timestamp")).alias("roi_file"))
 
 
-_TABLES = "tables AS (SELECT 'Supplier#' || lpad((o_custkey % 400)::VARCHAR, 9, '0') AS recording, 'Supplier#' || lpad((o_custkey % 400)::VARCHAR, 9, '0') || '_roi_u_' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '.csv' AS roi_file FROM orders WHERE o_orderkey % 3 = 0)"
+_TABLES = "tables AS (SELECT 'Supplier#' || lpad((o_custkey % 400)::VARCHAR, 9, '0') AS recording, 'Supplier#' || lpad((o_custkey % 400)::VARCHAR, 9, '0') || '_roi_u_' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '.csv' AS roi_file FROM orders WHERE o_orderstatus = 'F')"
 
 
 @query(f"WITH {_TABLES} SELECT recording, max(roi_file) AS roi_file FROM tables GROUP BY 1")
@@ -545,13 +600,13 @@ def visible_rois(spark, d):
     return rois.visible(st.rois(spark, d), F.lit(1704400000.0), F.lit(1704500000.0)).select("roi_id")
 
 
-_SHIFTED = "old AS (SELECT soundscape_file, roi_label, roi_start + CASE WHEN roi_id % 3 = 0 THEN 0.0005 ELSE 0.01 END AS roi_start, roi_end, roi_min_freq, roi_max_freq FROM rois WHERE roi_id % 2 = 0)"
+_SHIFTED = "old AS (SELECT soundscape_file, roi_label, roi_start + CASE WHEN roi_id % 3 = 0 THEN 0.0005 ELSE 0.01 END AS roi_start, roi_end, roi_min_freq, roi_max_freq FROM rois)"
 
 
 @query(f"WITH {st.ROIS}, {_SHIFTED} SELECT roi_id FROM rois r WHERE EXISTS (SELECT 1 FROM old o WHERE o.soundscape_file = r.soundscape_file AND o.roi_label = r.roi_label AND abs(o.roi_start - r.roi_start) <= 0.001 AND abs(o.roi_end - r.roi_end) <= 0.001 AND abs(o.roi_min_freq - r.roi_min_freq) <= 0.001 AND abs(o.roi_max_freq - r.roi_max_freq) <= 0.001)")
 def roi_near_duplicates(spark, d):
     r = st.rois(spark, d)
-    old = r.filter("roi_id % 2 = 0").withColumn("roi_start", F.col("roi_start") + F.when(F.col("roi_id") % 3 == 0, 0.0005).otherwise(0.01))
+    old = r.withColumn("roi_start", F.col("roi_start") + F.when(F.col("roi_id") % 3 == 0, 0.0005).otherwise(0.01))
     return rois.near_duplicates(r, old).select("roi_id")
 
 
@@ -561,10 +616,10 @@ def no_signal_rows(spark, d):
     return rois.no_signal_rows(s, st.rois(spark, d), "u", "t").select("soundscape_file", "roi_label", "roi_start", "roi_end")
 
 
-@query(f"WITH {st.ROIS} SELECT roi_id FROM rois WHERE roi_id % 4 <> 1")
+@query(f"WITH {st.ROIS} SELECT roi_id FROM rois WHERE roi_user <> 'user1'")
 def roi_row_delete(spark, d):
     r = st.rois(spark, d)
-    return rois.delete_rows(r, r.filter("roi_id % 4 = 1")).select("roi_id")
+    return rois.delete_rows(r, r.filter("roi_user = 'user1'")).select("roi_id")
 
 
 @query(f"WITH {st.VALIDATED}, c AS (SELECT least(count(*) FILTER (WHERE validation = 'TP'), count(*) FILTER (WHERE validation = 'FP')) AS n FROM validated) SELECT k AS validation, n FROM c, (VALUES ('TP'), ('FP')) v(k)")

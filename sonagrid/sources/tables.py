@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import names
+from ..operators.review import ROI_KEYS, without
 from ..operators.rois import coerced
 from ..schemas import DETECTIONS, ROIS, SCORES, SOUNDSCAPES
 
@@ -51,6 +54,36 @@ def append_new(df: DataFrame, done: DataFrame, path: str, keys: list[str]) -> No
     write_csv(df.join(done.select(*keys).distinct(), keys, "left_anti").select(*df.columns), path, append=True)
 
 
+def write_missing_log(metadata: DataFrame, files: DataFrame, path_col: str, output: str, timestamp: str) -> DataFrame:
+    """Metadata rows whose file is still listed; the paths of the others are written beside `output`, in a table named by the time."""
+    gone = missing_files(metadata, files, path_col).select(F.col(path_col).alias("missing_files"))
+    if not gone.isEmpty():
+        write_csv(gone, f"{output.removesuffix('.csv')}_missing_recordings_log_{timestamp}.csv")
+    return metadata.join(files.select(F.col("path").alias(path_col)).distinct(), path_col, "left_semi").select(*metadata.columns)
+
+
+def save_rois(rois: DataFrame, soundscape_file: str, path: str) -> bool:
+    """Writes the active recording's ROIs over its table, if there are differences from what is saved; whether it did.
+
+    Rows are told apart by recording, user, label and time of input. A recording whose ROIs are all gone gets an empty
+    table. The table is replaced by a new folder, never read and written at once.
+    """
+    spark = rois.sparkSession
+    current = rois.filter(F.col("soundscape_file") == soundscape_file)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(fs_path(path)):
+        saved = coerced(spark.read.option("header", True).option("inferSchema", False).option("nullValue", "NA").csv(path, schema=", ".join(f"`{c}` string" for c in rois.columns)))
+        same = lambda a, b: without(a, b, ROI_KEYS).isEmpty()
+        if not current.isEmpty() and same(current, saved) and same(saved, current):
+            return False
+    attempt = f"{path}.{uuid.uuid4().hex}"
+    write_csv(current, attempt)
+    store.delete(fs_path(path), True)
+    store.rename(fs_path(attempt), fs_path(path))
+    return True
+
+
 def missing_files(metadata: DataFrame, files: DataFrame, path_col: str) -> DataFrame:
     """Metadata rows whose file is no longer listed."""
     return metadata.join(files.select(F.col("path").alias(path_col)).distinct(), path_col, "left_anti")

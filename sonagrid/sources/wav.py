@@ -40,27 +40,54 @@ def parse_header(data: bytes) -> dict | None:
     return None
 
 
-def decode(data: bytes, start: float | None = None, end: float | None = None) -> tuple[np.ndarray, dict]:
-    """The left channel's samples as whole numbers, of a range of seconds if given."""
+def decode(data: bytes, start: float | None = None, end: float | None = None, channel: int | None = 0) -> tuple[np.ndarray, dict]:
+    """A channel's samples as whole numbers, the left one by default, of a range of seconds if given; None: (n, channels)."""
     h = parse_header(data)
     if h is None:
         raise ValueError("not a PCM WAV file")
-    a = 0 if start is None else max(0, int(round(start * h["rate"])))
-    b = h["n"] if end is None else min(h["n"], int(round(end * h["rate"])))
-    raw = np.frombuffer(data, np.uint8, max(0, b - a) * h["frame"], h["at"] + a * h["frame"]).reshape(-1, h["channels"], h["bits"] // 8)[:, 0]
+    raw = _frames(data, h, start, end)
+    if channel is not None:
+        raw = raw[:, channel : channel + 1]
     if h["bits"] == 8:
-        return raw[:, 0].astype(np.int32) - 128, h
-    wide = np.zeros((len(raw), 4), np.uint8)
-    wide[:, 4 - raw.shape[1] :] = raw
-    return wide.view("<i4")[:, 0] >> (32 - h["bits"]), h
+        out = raw[:, :, 0].astype(np.int32) - 128
+    else:
+        wide = np.zeros((*raw.shape[:2], 4), np.uint8)
+        wide[:, :, 4 - raw.shape[2] :] = raw
+        out = wide.view("<i4")[:, :, 0] >> (32 - h["bits"])
+    return (out if channel is None else out[:, 0]), h
+
+
+def _frames(data: bytes, h: dict, start: float | None, end: float | None) -> np.ndarray:
+    """The bytes of a range of seconds: (n, channels, bytes of a sample). A file that ends early gives what it has."""
+    n = min(h["n"], (len(data) - h["at"]) // h["frame"])
+    a = 0 if start is None else min(n, max(0, int(round(start * h["rate"]))))
+    b = n if end is None else min(n, int(round(end * h["rate"])))
+    return np.frombuffer(data, np.uint8, max(0, b - a) * h["frame"], h["at"] + a * h["frame"]).reshape(-1, h["channels"], h["bits"] // 8)
+
+
+def _file(body: bytes, rate: int, bits: int, channels: int) -> bytes:
+    frame = channels * bits // 8
+    pad = b"\0" * (len(body) % 2)
+    return b"RIFF" + struct.pack("<I", 36 + len(body) + len(pad)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * frame, frame, bits) + b"data" + struct.pack("<I", len(body)) + body + pad
 
 
 def encode(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
-    """A mono PCM file of 16 bits."""
-    body = np.clip(samples, -(1 << 15), (1 << 15) - 1).astype("<i2").tobytes() if bits == 16 else None
-    if body is None:
-        raise ValueError("16 bits are written")
-    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(body)) + body
+    """A PCM file of whole-number samples, (n,) or (n, channels), cut off at the depth's limits."""
+    if bits not in (8, 16, 24, 32):
+        raise ValueError("8, 16, 24 or 32 bits are written")
+    x = np.atleast_2d(np.asarray(samples).T).T
+    top = (1 << (bits - 1)) - 1
+    whole = np.clip(x, -top - 1, top).astype(np.int64)
+    body = (whole + 128).astype(np.uint8) if bits == 8 else np.ascontiguousarray(whole.astype("<i4")).view(np.uint8).reshape(*x.shape, 4)[:, :, : bits // 8]
+    return _file(body.tobytes(), rate, bits, x.shape[1])
+
+
+def cut(data: bytes, start: float, end: float) -> bytes:
+    """A range of seconds as a file of its own, with the source's channels and depth, byte for byte."""
+    h = parse_header(data)
+    if h is None:
+        raise ValueError("not a PCM WAV file")
+    return _file(_frames(data, h, start, end).tobytes(), h["rate"], h["bits"], h["channels"])
 
 
 def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -68,17 +95,52 @@ def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", "content")
 
 
+#: Chunks that are walked inside Spark before a file goes to Python as a whole.
+CHUNKS = 32
+
+
 def headers(files: DataFrame) -> DataFrame:
-    """(path, samples, rate, bits, channels) of the files that are WAV."""
+    """(path, samples, rate, bits, channels) of the files that are WAV, wherever in them their samples begin.
+
+    Chunks are walked where the content is; of a file only its format and the size of its samples go to Python. Files
+    with more chunks than CHUNKS before their samples go there whole.
+    """
+    content = F.col("content")
+
+    def u32(at):
+        digits = F.hex(F.substring(content, at + 1, F.lit(4)))
+        return F.conv(F.concat(*(F.substring(digits, i, 2) for i in (7, 5, 3, 1))), 16, 10).cast("long")
+
+    def step(s, _):
+        kind, at = F.substring(content, s["at"] + 1, F.lit(4)), s["at"]
+        here = (s["data"] < 0) & (s["at"].cast("long") + 8 <= F.octet_length(content))
+        size = F.when(here, u32(at + 4)).otherwise(F.lit(0).cast("long"))
+        after = F.least(at + 8 + size + size % 2, F.lit((1 << 31) - 1).cast("long")).cast("int")
+        return F.struct(
+            F.when(here, after).otherwise(at).alias("at"),
+            F.when(here & (kind == F.lit(b"fmt ")), at + 8).otherwise(s["fmt"]).cast("int").alias("fmt"),
+            F.when(here & (kind == F.lit(b"data")), at + 8).otherwise(s["data"]).cast("int").alias("data"),
+        )
+
+    start = F.struct(F.lit(12).alias("at"), F.lit(-1).alias("fmt"), F.lit(-1).alias("data"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(CHUNKS)), start, step)
+    is_wav = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WAVE"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(p, h["n"], h["rate"], h["bits"], h["channels"]) for p, c in zip(pdf["path"], pdf["content"], strict=True) if (h := parse_header(bytes(c)))]
+            found = []
+            for r in pdf.itertuples():
+                # what was found is put together as the shortest file that says the same
+                short = None if r.fmt is None else b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<I", 16) + bytes(r.fmt) + b"data" + struct.pack("<I", int(r.size))
+                h = parse_header(short if short is not None else bytes(r.whole))
+                if h:
+                    found.append((r.path, h["n"], h["rate"], h["bits"], h["channels"]))
             yield pd.DataFrame(found, columns=["path", "samples", "rate", "bits", "channels"])
 
-    # of a file's content only the part that can hold the header goes to Python
-    head = files.select("path", F.substring("content", 1, 1 << 16).alias("content"))
-    return head.mapInPandas(run, "path string, samples long, rate int, bits int, channels int")
+    walked = files.filter(is_wav).select("path", "content", walk.alias("w"))
+    ok = (F.col("w.fmt") >= 0) & (F.col("w.data") >= 0)
+    parts = walked.select("path", F.when(ok, F.substring(content, F.col("w.fmt") + 1, F.lit(16))).alias("fmt"), F.when(ok, u32(F.col("w.data") - 4)).otherwise(0).alias("size"), F.when(~ok, content).alias("whole"))
+    return parts.mapInPandas(run, "path string, samples long, rate int, bits int, channels int")
 
 
 def soundscape_metadata(files: DataFrame) -> DataFrame:
@@ -97,8 +159,18 @@ def template_metadata(files: DataFrame) -> DataFrame:
     return h.select(*(v.cast(f.dataType).alias(f.name) for v, f in zip(values, TEMPLATES.fields, strict=True)))
 
 
+def _decibels(content: bytes, wl: int, ovlp: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Times and levels (frames by bins) below the recording's highest; None if it isn't a recording."""
+    try:
+        samples, h = decode(content)
+    except ValueError:
+        return None
+    t, _, amp = stft(samples, h["rate"], wl, ovlp)
+    return t, 20 * np.log10(np.maximum(amp, 1e-12) / max(amp.max(initial=0.0), 1e-12))
+
+
 def spectrograms(files: DataFrame, settings: DataFrame) -> DataFrame:
-    """(file, wl, ovlp, frame_idx, time_vec, amp) in decibels below a recording's highest level.
+    """(path, wl, ovlp, frame_idx, time_vec, amp) in decibels below a recording's highest level.
 
     settings: (path, wl, ovlp), distinct. A recording is read and transformed once for each window setting, however
     many templates use it.
@@ -107,33 +179,57 @@ def spectrograms(files: DataFrame, settings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                try:
-                    samples, h = decode(bytes(r.content))
-                except ValueError:
-                    continue
-                t, _, amp = stft(samples, h["rate"], int(r.wl), float(r.ovlp))
-                db = 20 * np.log10(np.maximum(amp, 1e-12) / max(amp.max(initial=0.0), 1e-12))
-                for at in range(0, len(t), 1024):
+                found = _decibels(bytes(r.content), int(r.wl), float(r.ovlp))
+                for at in range(0, len(found[0]) if found else 0, 1024):
                     part = slice(at, at + 1024)
-                    yield pd.DataFrame({"path": r.path, "wl": int(r.wl), "ovlp": float(r.ovlp), "frame_idx": np.arange(at + 1, at + 1 + len(t[part])), "time_vec": t[part], "amp": list(db[part])})
+                    t, db = found[0][part], found[1][part]
+                    yield pd.DataFrame({"path": r.path, "wl": int(r.wl), "ovlp": float(r.ovlp), "frame_idx": np.arange(at + 1, at + 1 + len(t)), "time_vec": t, "amp": list(db)})
 
     rows = files.join(settings, "path").select("path", "wl", "ovlp", "content")
     return rows.mapInPandas(run, "path string, wl int, ovlp double, frame_idx int, time_vec double, amp array<double>")
 
 
+def spectrogram_blocks(files: DataFrame, settings: DataFrame, block: int, reach: int) -> DataFrame:
+    """(file, template_ids, first, own_first, times, n_bins, amp): spectrograms in blocks of frames, for score_blocks.
+
+    settings: (path, wl, ovlp, file, template_ids). A block has `reach` frames of its neighbours on either side. Blocks
+    are dealt to tasks by themselves, so that a long recording isn't one task's.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                found = _decibels(bytes(r.content), int(r.wl), float(r.ovlp))
+                for at in range(0, len(found[0]) if found else 0, block):
+                    t, low = found[0][at : at + block], max(0, at - reach)
+                    db = np.ascontiguousarray(found[1][low : at + block + reach])
+                    yield pd.DataFrame({"file": [r.file], "template_ids": [list(r.template_ids)], "first": low + 1, "own_first": at + 1, "times": [t], "n_bins": db.shape[1], "amp": [db.tobytes()]})
+
+    rows = files.join(settings, "path").select("path", "wl", "ovlp", "file", "template_ids", "content")
+    blocks = rows.mapInPandas(run, "file string, template_ids array<string>, first int, own_first int, times array<double>, n_bins int, amp binary")
+    return blocks.repartition("file", "own_first")
+
+
+#: Seconds of a recording whose ROIs are cut together.
+CUT_SPAN = 600.0
+
+
 def cuts(files: DataFrame, rois: DataFrame) -> DataFrame:
-    """(cut_name, content): each ROI's range of samples as a file of its own. rois: (soundscape_path, roi_start, roi_end, cut_name)."""
+    """(cut_name, content): each ROI's range as a file of its own, with its recording's channels and depth.
+
+    rois: (soundscape_path, roi_start, roi_end, cut_name). Those of CUT_SPAN seconds share one copy of their recording.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for r in pdf.itertuples():
-                samples, h = decode(bytes(r.content), r.roi_start, r.roi_end)
-                out.append((r.cut_name, encode(samples if h["bits"] == 16 else samples >> max(0, h["bits"] - 16), h["rate"])))
-            yield pd.DataFrame(out, columns=["cut_name", "content"])
+                content = bytes(r.content)
+                yield pd.DataFrame([(x["cut_name"], cut(content, x["roi_start"], x["roi_end"])) for x in r.rois], columns=["cut_name", "content"])
 
-    joined = files.select(F.col("path").alias("soundscape_path"), "content").join(rois, "soundscape_path")
-    return joined.select("cut_name", "roi_start", "roi_end", "content").mapInPandas(run, "cut_name string, content binary")
+    span = F.floor(F.col("roi_start") / CUT_SPAN).alias("span")
+    grouped = rois.groupBy("soundscape_path", span).agg(F.collect_list(F.struct("cut_name", "roi_start", "roi_end")).alias("rois"))
+    joined = files.select(F.col("path").alias("soundscape_path"), "content").join(grouped, "soundscape_path")
+    return joined.select("rois", "content").mapInPandas(run, "cut_name string, content binary")
 
 
 def write_files(cuts: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:

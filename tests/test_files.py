@@ -55,6 +55,80 @@ def test_template_matching_finds_the_call(spark, folder, method):
         assert got["a.wav"]["peak_score"] > 0.8
 
 
+def test_one_scoring_for_all_lengths(spark, folder):
+    """Templates of several lengths are scored in one pass, with the rows that each alone gives."""
+    import shutil
+
+    more = folder / "more"
+    shutil.copytree(folder / "templates", more)
+    (more / "b_001.000-001.250s_00.800-02.000kHz_256wl_50ovlp_half.wav").write_bytes(wav.encode(chirp(0.25, 1000, 1750), RATE))
+    from sonagrid.operators import grid
+    from sonagrid.plans.template_matching import run_matching
+
+    sounds, cuts = wav.listing(spark, str(folder / "soundscapes")), wav.listing(spark, str(more))
+    files = sounds.select("path", "content").union(cuts.select("path", "content"))
+    pairs = grid.match_grid(wav.soundscape_metadata(sounds), wav.template_metadata(cuts))
+    both = run_matching(spark, pairs, files, min_quant=0.5)
+    kernels = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInPandas")
+    assert kernels(both) == kernels(run_matching(spark, pairs.filter("template_label = 'half'"), files, min_quant=0.5))
+    key = lambda df: sorted(map(repr, df.collect()))
+    alone = [r for label in ("call", "half") for r in key(run_matching(spark, pairs.filter(f"template_label = '{label}'"), files, min_quant=0.5))]
+    assert key(both) == sorted(alone) and {r["detection_buffer"] for r in both.collect()} == {int((n - 256) / 128) + 1 for n in (RATE // 2, RATE // 4)}
+
+
+@pytest.mark.parametrize("method", ["cor", "dtw"])
+def test_blocks_give_the_scores_of_whole_recordings(spark, method):
+    from sonagrid.operators import matching
+
+    rng = np.random.default_rng(2)
+    amp = {f: rng.random((n, 6)) for f, n in (("a", 50), ("b", 23), ("c", 4))}
+    amp["a"][30:40] = 0.5  # windows without variance
+    models = {"t3": (rng.random((3, 4)), 2, 5), "t9": (rng.random((9, 6)), 1, 6), "flat": (np.ones((4, 6)), 1, 6)}
+    frames = spark.createDataFrame([(f, i + 1, i / 10, row.tolist()) for f, x in amp.items() for i, row in enumerate(x)], "file string, frame_idx int, time_vec double, amp array<double>")
+    pairs = spark.createDataFrame([(f, t, m.tolist(), lo, hi) for f in amp for t, (m, lo, hi) in models.items()], "file string, template_id string, frames array<array<double>>, lo int, hi int")
+    got = {}
+    for r in matching.match_scores(frames, pairs, method, block=10).collect():
+        got.setdefault((r["file"], r["template_id"]), []).append((r["frame_idx"], r["score"]))
+    kernel = signal.sliding_pearson if method == "cor" else signal.sliding_dtw
+    for f, x in amp.items():
+        for t, (m, lo, hi) in models.items():
+            scores = kernel(x[:, lo - 1 : hi], m)
+            if not len(scores):
+                assert (f, t) not in got
+                continue
+            found = sorted(got[f, t])
+            assert [i for i, _ in found] == list(range(1, len(x) + 1))
+            assert np.allclose([s for _, s in found], signal.aligned(scores, len(x), len(m)), atol=1e-9)
+
+
+def test_headers_of_odd_files(spark, tmp_path):
+    x = np.arange(1000)
+    plain = wav.encode(x, RATE)
+    chunk = lambda kind, size: kind + size.to_bytes(4, "little") + b"data" * (size // 4) + bytes(size % 4 + size % 2)
+    files = {
+        "plain": plain, "list": plain[:36] + chunk(b"LIST", 100_001) + plain[36:], "first": plain[:12] + chunk(b"bext", 70_000) + plain[12:],
+        "many": plain[:36] + chunk(b"junk", 8) * 100 + plain[36:], "stereo": wav.encode(np.stack([x, -x], 1), RATE, 24), "eight": wav.encode(x % 128, RATE, 8),
+        "short": plain[:30], "mp3": b"ID3" + bytes(100), "no_data": plain[:36] + chunk(b"LIST", 400), "empty": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.wav").write_bytes(data)
+    got = {r["soundscape_file"]: (round(r["soundscape_duration"] * RATE), r["soundscape_bitrate"], r["soundscape_layout"]) for r in wav.soundscape_metadata(wav.listing(spark, str(tmp_path))).collect()}
+    mono = (1000, 16, "mono")
+    assert got == {"plain.wav": mono, "list.wav": mono, "first.wav": mono, "many.wav": mono, "stereo.wav": (1000, 24, "stereo"), "eight.wav": (1000, 8, "mono")}
+
+
+@pytest.mark.parametrize("bits", [8, 16, 24, 32])
+def test_cuts_keep_channels_and_depth(bits):
+    rng = np.random.default_rng(bits)
+    x = rng.integers(-(1 << (bits - 1)), 1 << (bits - 1), (800, 2))
+    data = wav.encode(x, RATE, bits)
+    back, h = wav.decode(data, channel=None)
+    assert (back == x).all() and (h["bits"], h["channels"]) == (bits, 2)
+    part, h = wav.decode(wav.cut(data, 0.01, 0.05), channel=None)
+    assert (part == x[80:400]).all() and (h["bits"], h["channels"], h["rate"]) == (bits, 2, RATE)
+    assert (wav.decode(data, channel=1)[0] == x[:, 1]).all() and len(wav.decode(wav.cut(data, 5, 6))[0]) == 0
+
+
 def test_round_trips_and_ranges():
     x = np.arange(-500, 500) * 30
     back, h = wav.decode(wav.encode(x, RATE))
