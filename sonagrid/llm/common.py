@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +40,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but those that are to be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_path(spark, path)
+
+
+def scratched(path: str) -> None:
+    """The table at the path is deleted with others of the scratch around, if there is one."""
+    if _scratch:
+        _scratch[-1].append(path)
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if not keep:
+        scratched(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -98,6 +125,28 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
+_kept: dict[str, dict] = {}
+
+
+def cache_of(operator: str) -> dict:
+    """What a Python worker keeps between tasks of an operator. Spark reuses workers, so others' is dropped."""
+    others = [k for k in _kept if k != operator]
+    for k in others:
+        del _kept[k]
+    if others:
+        release()
+    return _kept.setdefault(operator, {})
+
+
+def release() -> None:
+    """Gives free memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def open_store(uri: str):
     """pyarrow's file system and path for a URI of the shared folder; used inside tasks."""
     from pyarrow import fs

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path, written
+from .common import drop_path, new_path, scratched, written
 
 #: Groups of a shared key up to this size are paired at once. In larger ones members meet two leaders, then, if more than
 #: PAIRS_A_ROW pairs of different components are left for each row, one leader from each of LEADERS hashed parts of the
@@ -51,6 +51,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         path = new
         state = (seen.get["n"], seen.get["h"])
         if state == before or not state[0]:
+            scratched(path)
             return current.select(F.col("a").alias("v"), F.col("b").alias("root"))
         before = state
 

@@ -8,10 +8,13 @@ library, and the ids joined. Every other text goes to the library whole. Results
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
 
+from .common import cache_of
+
 #: White space other than single spaces and line ends, or the mark of a text's first unit: the text goes whole.
 NOT_PLAIN = re.compile(r"[^\S\n ]|\s\s|\x01")
 #: Characters that are encoded in one call when units are new.
@@ -103,14 +106,10 @@ class UnitEncoder:
         return out  # type: ignore[return-value]
 
 
-_encoders: dict[str, UnitEncoder] = {}
-
-
 def encoder(tokenizer_file: str) -> UnitEncoder:
     """This worker's encoder for a file; a reused Python worker keeps its cache."""
-    if tokenizer_file not in _encoders:
-        import os
-
+    kept = cache_of("encoding")
+    if tokenizer_file not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _encoders[tokenizer_file] = UnitEncoder(tokenizer_file)
-    return _encoders[tokenizer_file]
+        kept[tokenizer_file] = UnitEncoder(tokenizer_file)
+    return kept[tokenizer_file]

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, join_hot, let, named, table, whole_text, written
+from .common import fresh, join_hot, let, named, scratch, table, whole_text, written
 from .components import key_groups, similar_components
 
 DEPTH = 3
@@ -106,18 +106,19 @@ def line_templates(cut: DataFrame, lines: DataFrame, similarity: float = 0.8) ->
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 3, long_tokens: int = 8, short_docs: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, rh, drops): for each document with lines to drop their places; rh is the hash of its text. A written table."""
-    cut = exploded(docs, id_col, text_col).filter(F.col("n") >= min_tokens)
-    lines = written(cut.drop("masked"), "lines")
-    general = _small(line_templates(cut, lines, similarity).select("h1", "h2", "template"))
-    t, u = F.coalesce("template", "h1").alias("t"), F.when(F.col("template").isNull(), F.col("h2")).otherwise(0).alias("u")
-    placed = lines.join(general, ["h1", "h2"], "left").select("id", "rh", "pos", "n", t, u)
-    per_doc = placed.groupBy("t", "u", "id", "rh").agg(F.max("n").alias("n"))
-    counted = per_doc.groupBy("t", "u").agg(F.count("*").alias("docs"), F.min(F.struct("id", "rh")).alias("first"), F.max("n").alias("n"))
-    enough = F.when(F.col("n") >= long_tokens, F.col("docs") >= 2).otherwise(F.col("docs") >= short_docs)
-    recurring = written(counted.filter(enough).select("t", "u", "docs", "first"), "recurring-templates")
-    told = join_hot(placed, recurring, ["t", "u"], "docs", lines.count(), HOT_LINES)
-    dropped = told.filter(~F.struct("id", "rh").eqNullSafe(F.col("first")))
-    return written(dropped.groupBy("id", "rh").agg(F.collect_set("pos").alias("drops")), "drops")
+    with scratch(docs.sparkSession):
+        cut = exploded(docs, id_col, text_col).filter(F.col("n") >= min_tokens)
+        lines = written(cut.drop("masked"), "lines")
+        general = _small(line_templates(cut, lines, similarity).select("h1", "h2", "template"))
+        t, u = F.coalesce("template", "h1").alias("t"), F.when(F.col("template").isNull(), F.col("h2")).otherwise(0).alias("u")
+        placed = lines.join(general, ["h1", "h2"], "left").select("id", "rh", "pos", "n", t, u)
+        per_doc = placed.groupBy("t", "u", "id", "rh").agg(F.max("n").alias("n"))
+        counted = per_doc.groupBy("t", "u").agg(F.count("*").alias("docs"), F.min(F.struct("id", "rh")).alias("first"), F.max("n").alias("n"))
+        enough = F.when(F.col("n") >= long_tokens, F.col("docs") >= 2).otherwise(F.col("docs") >= short_docs)
+        recurring = written(counted.filter(enough).select("t", "u", "docs", "first"), "recurring-templates")
+        told = join_hot(placed, recurring, ["t", "u"], "docs", lines.count(), HOT_LINES)
+        dropped = told.filter(~F.struct("id", "rh").eqNullSafe(F.col("first")))
+        return written(dropped.groupBy("id", "rh").agg(F.collect_set("pos").alias("drops")), "drops", keep=True)
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str | None = None, n_dropped: str | None = None, **parameters) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, named, table, whole_text, written
+from .common import fresh, named, scratch, table, whole_text, written
 
 #: The domains that the labelled table tells apart: text of low and of high quality.
 DOMAINS = ("low", "high")
@@ -151,9 +151,10 @@ def draw(rate: Column, *key: str) -> Column:
 def thinned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """docs thinned to the mixture: each row stays with its rate as probability, at rates over 1 always."""
     own_hash, own_id, rh = fresh(docs, "hash", "own_id", "rh")
-    rates = mix(docs, labels, id_col=id_col, text_col=text_col, **parameters)
-    # what is told of rows is which go: a small table, where the mixture leaves most
-    gone = written(rates.filter(~draw(F.col("rate"), "id", "rh")).select(F.col("id").alias(own_id), F.col("rh").alias(rh)).distinct(), "thinned")
+    with scratch(docs.sparkSession):
+        rates = mix(docs, labels, id_col=id_col, text_col=text_col, **parameters)
+        # what is told of rows is which go: a small table, where the mixture leaves most
+        gone = written(rates.filter(~draw(F.col("rate"), "id", "rh")).select(F.col("id").alias(own_id), F.col("rh").alias(rh)).distinct(), "thinned", keep=True)
     own = docs.withColumn(own_hash, F.xxhash64(whole_text(text_col)))
     return own.join(gone, (F.col(own_hash) == F.col(rh)) & named(id_col).eqNullSafe(F.col(own_id)), "left_anti").drop(own_hash)
 

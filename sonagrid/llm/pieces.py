@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import cache_of, table, whole_text
 
 SPACE = "▁"
 UNIT = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
@@ -118,13 +118,11 @@ class Vocabulary:
         return to
 
 
-_vocabularies: dict[tuple[str, float], Vocabulary] = {}
-
-
 def vocabulary(model_file: str, alpha: float) -> Vocabulary:
-    if (model_file, alpha) not in _vocabularies:
-        _vocabularies[model_file, alpha] = Vocabulary(model_file, alpha)
-    return _vocabularies[model_file, alpha]
+    kept = cache_of("pieces")
+    if (model_file, alpha) not in kept:
+        kept[model_file, alpha] = Vocabulary(model_file, alpha)
+    return kept[model_file, alpha]
 
 
 class Lattices:
@@ -272,9 +270,6 @@ class LatticeCache:
         return self.lattices, unit_of
 
 
-_caches: dict[int, LatticeCache] = {}
-
-
 def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) hashed from seeds and counters (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
@@ -355,7 +350,7 @@ def sample_batch(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int,
     """For each text up to k distinct segmentations: ids, log-probability, perturbed value, inclusion score."""
     found = [UNIT.findall(" " + text) if text else [] for text in texts]
     size = np.array([len(u) for u in found], np.int64)
-    lat, unit_of = _caches.setdefault(id(vocab), LatticeCache(vocab)).get(chain.from_iterable(found), int(size.sum()), cached_edges)
+    lat, unit_of = cache_of("pieces").setdefault(id(vocab), LatticeCache(vocab)).get(chain.from_iterable(found), int(size.sum()), cached_edges)
     seeds = seeds.astype(np.uint64)
     token_at = np.concatenate([[0], np.cumsum(size)])
     start = lat.start[unit_of]

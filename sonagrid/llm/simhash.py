@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, let, named, table, whole_text, written
+from .common import cache_of, fresh, let, named, release, scratch, table, whole_text, written
 from .components import SMALL_GROUP, connected_components, key_groups, similar_components
 
 SLICE = 256
@@ -173,10 +173,10 @@ WIDTH = 5
 #: Of documents in the sample that finds common shingles, one in so many; of shingles, one that so many of the sample have
 #: is common, and so many common ones are told to tasks at most.
 SAMPLED, OFTEN, COMMON = 16, 2, 200_000
-#: Bits of a set's parity bitmap.
-PARITY = 512
-#: Distinct words whose hashes a worker keeps.
-KEPT_WORDS = 1_000_000
+#: Bits of a set's parity bitmap; sets of over LONG shingles have one of LONG_PARITY bits too.
+PARITY, LONG, LONG_PARITY = 512, 600, 4096
+#: Distinct words whose hashes a task keeps.
+KEPT_WORDS = 300_000
 
 
 class _WordHashes(dict):
@@ -210,6 +210,7 @@ def common_shingles(rows: DataFrame, width: int, sampled: int = SAMPLED, often:
     They only set the order in which prefixes are taken, so what the sample misses costs pairs, not results.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("shingles")
         hashes = _WordHashes()
         for whole in batches:
             for text in whole.column(0).to_pylist():
@@ -231,7 +232,7 @@ def common_shingles(rows: DataFrame, width: int, sampled: int = SAMPLED, often:
 
 
 def described(rows: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(k, digest, size, segs, parity, keys): a text's number of distinct shingles, their fingerprint and parity bitmap, the first ones in an order.
+    """(k, digest, size, segs, parity, long, keys): a text's number of distinct shingles, their fingerprint and parity bitmaps, the first ones in an order.
 
     The order is by the sampled count, then by hash. Of a set of n, the first n - ceil(similarity * n) + 1 are taken; two
     sets of that Jaccard similarity then have one of these in common, whatever the order.
@@ -240,18 +241,20 @@ def described(rows: DataFrame, width: int, similarity: float, common: tuple[np.n
     power = np.left_shift(np.int64(1), np.arange(32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("shingles")
         hashes = _WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                digests, sizes, segs, parity, keys = [], [], [], [], []
+                digests, sizes, segs, parity, long, keys = [], [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     s = distinct_shingles(text, width, hashes)
                     digests.append(set_digest(s))
                     sizes.append(len(s))
                     segs.append(((2 * ones_of(s) > len(s)).reshape(2, 32) * power).sum(axis=1))
-                    odd = np.bincount((s >> np.uint64(40)).astype(np.intp) % PARITY, minlength=PARITY).astype(np.uint8) & 1
-                    parity.append(np.packbits(odd).view(np.int64))
+                    for into, bits in ((parity, PARITY), (long, LONG_PARITY if len(s) > LONG else 0)):
+                        odd = np.bincount((s >> np.uint64(40)).astype(np.intp) % bits, minlength=bits).astype(np.uint8) & 1 if bits else np.zeros(0, np.uint8)
+                        into.append(np.packbits(odd).view(np.int64))
                     taken = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
                     if len(hs):
                         place = np.minimum(np.searchsorted(hs, s), len(hs) - 1)
@@ -259,10 +262,12 @@ def described(rows: DataFrame, width: int, similarity: float, common: tuple[np.n
                         rare = np.delete(s, often)
                         s = rare[:taken] if len(rare) >= taken else np.concatenate([rare, s[often][np.argsort(ns[place[often]], kind="stable")]])
                     keys.append(s[:taken].view(np.int64))
-                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate([*x, np.zeros(0, np.int64)])).cast(pa.list_(pa.field("element", pa.int64()))) for x in (segs, parity, keys)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists], names=["k", "digest", "size", "segs", "parity", "keys"])
+                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate([*x, np.zeros(0, np.int64)])).cast(pa.list_(pa.field("element", pa.int64()))) for x in (segs, parity, long, keys)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists], names=["k", "digest", "size", "segs", "parity", "long", "keys"])
+        hashes.clear()
+        release()
 
-    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, digest binary, size long, segs array<bigint>, parity array<bigint>, keys array<bigint>")
+    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, digest binary, size long, segs array<bigint>, parity array<bigint>, long array<bigint>, keys array<bigint>")
 
 
 def shingle_set(text: Column, width: int) -> Column:
@@ -288,13 +293,13 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def sieved(edges: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """The edges (a, b) whose sets can have that Jaccard similarity, by their sizes and parity bitmaps."""
-    x, y = (classes.select(F.col("v").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in "ab")
+    x, y = (classes.select(F.col("v").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"), F.col("long").alias(f"l{c}")) for c in "ab")
     most = (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    return edges.join(x, "a").join(y, "b").filter(distance(F.col("pa"), F.col("pb")) <= most).select("a", "b")
+    return edges.join(x, "a").join(y, "b").filter(distance(F.col("pa"), F.col("pb")) <= most).filter((F.size("la") != F.size("lb")) | (distance(F.col("la"), F.col("lb")) <= most)).select("a", "b")
 
 
 def near_components(classes: DataFrame, rows: DataFrame, similarity: float, width: int = WIDTH, small_group: int = SMALL_GROUP) -> DataFrame:
-    """(v, root) of classes (v, k, size, segs, parity, keys) that are linked by that similarity; rows: (k, text).
+    """(v, root) of classes (v, k, size, segs, parity, long, keys) that are linked by that similarity; rows: (k, text).
 
     Candidates are sharers of a variant of their fingerprints (in crowded variants, with two leaders) and of a prefix
     key. Only texts of candidates that pass the sieve are cut into shingles again.
@@ -321,15 +326,16 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
     text, (sha, drop_id, drop_sha, again) = whole_text(text_col), fresh(docs, "sha", "drop_id", "drop_sha", "again")
     own = docs.withColumn(sha, F.unhex(F.sha2(text, 256)))
     rows = own.select(F.struct(named(id_col).alias("id"), F.col(sha).alias("sha")).alias("k"), text.alias("text"))
-    found = written(described(rows, WIDTH, similarity, common_shingles(rows, WIDTH)), "shingles")
-    classes = found.groupBy("digest").agg(F.min("k").alias("k"), *(F.first(c).alias(c) for c in ("size", "segs", "parity", "keys")))
-    classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "shingle-classes")
-    roots = near_components(classes, rows, similarity)
-    rooted = classes.join(roots, "v", "left").select("digest", "k", F.coalesce("root", "v").alias("root"))
-    kept = rooted.join(rooted.groupBy("root").agg(F.min("k").alias("kept")), "root").select("digest", "kept")
-    # what is told of rows is what goes, and which rows that stay are there several times: few rows of many
-    per_row = found.groupBy("k", "digest").agg(F.count("*").alias("n")).join(kept, "digest").withColumn("again", F.col("k") == F.col("kept")).filter("not again or n > 1")
-    marks = written(per_row.select(F.col("k.id").alias(drop_id), F.col("k.sha").alias(drop_sha), F.col("again").alias(again)), "marks")
+    with scratch(docs.sparkSession):
+        found = written(described(rows, WIDTH, similarity, common_shingles(rows, WIDTH)), "shingles")
+        classes = found.groupBy("digest").agg(F.min("k").alias("k"), *(F.first(c).alias(c) for c in ("size", "segs", "parity", "long", "keys")))
+        classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "shingle-classes")
+        roots = near_components(classes, rows, similarity)
+        rooted = classes.join(roots, "v", "left").select("digest", "k", F.coalesce("root", "v").alias("root"))
+        kept = rooted.join(rooted.groupBy("root").agg(F.min("k").alias("kept")), "root").select("digest", "kept")
+        # what is told of rows is what goes, and which rows that stay are there several times: few rows of many
+        per_row = found.groupBy("k", "digest").agg(F.count("*").alias("n")).join(kept, "digest").withColumn("again", F.col("k") == F.col("kept")).filter("not again or n > 1")
+        marks = written(per_row.select(F.col("k.id").alias(drop_id), F.col("k.sha").alias(drop_sha), F.col("again").alias(again)), "marks", keep=True)
     marked = own.join(marks, (F.col(sha) == F.col(drop_sha)) & named(id_col).eqNullSafe(F.col(drop_id)), "left")
     once = marked.filter(F.col(again).isNull()).select(*map(named, docs.columns))
     if marks.filter(F.col(again)).isEmpty():

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, let, named, table, whole_text, written
+from .common import cache_of, fresh, let, named, release, scratch, table, whole_text, written
 
 SLICE = 256
 SEEDS = {
@@ -129,7 +129,7 @@ class Lexicon:
         try:
             return self.seen[word]
         except KeyError:
-            if len(self.seen) > 300_000:
+            if len(self.seen) > 200_000:
                 self.seen.clear()
             found = self.words.get(word)
             if found is None:
@@ -258,7 +258,11 @@ def lexicon_of(counts: list, n_toxic: float, n_clean: float, halves: tuple[int,
 
 def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 30_000, **columns: str) -> Model:
     """The model of a sample bounded by max_train_rows; the driver gets the entries that it makes likely."""
-    rows = written(training_rows(docs, labels, max_train_rows, **columns), "toxic-sample")
+    with scratch(docs.sparkSession):
+        return _fitted(written(training_rows(docs, labels, max_train_rows, **columns), "toxic-sample"))
+
+
+def _fitted(rows: DataFrame) -> Model:
     sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
     toxic, clean = ([sizes.get((y, h), 0) for h in (0, 1)] for y in (1, 0))
     if not sum(toxic) or not sum(clean):
@@ -291,11 +295,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     schema = T.StructType([*kept, T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("toxicity")
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 x = np.array([features(t or "", model.lexicon) for t in batch.column(text_col).to_pylist()]).reshape(-1, len(KINDS))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, score_col])
+        model.lexicon.seen.clear()
+        release()
 
     return docs.select(*(named(f.name) for f in kept)).mapInArrow(run, schema)
 
