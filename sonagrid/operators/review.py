@@ -70,8 +70,8 @@ def rows_patch(df: DataFrame, new: DataFrame, key: str, columns: list[str], empt
 
 def _merged(df: DataFrame, new: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
     # a key that is there twice leaves open which row counts: an error of the run, found where the join has the rows anyway
-    once = F.when(F.count("*") > 1, F.raise_error(F.lit(f"{key} isn't unique in the new rows")).cast("void")).otherwise(F.lit(None))
-    packed = new.groupBy(key).agg(F.any_value(F.struct(*values)).alias("__new"), once.alias("__once"))
+    row = F.when(F.count("*") > 1, F.raise_error(F.lit(f"{key} isn't unique in the new rows"))).otherwise(F.any_value(F.struct(*values)))
+    packed = new.groupBy(key).agg(row.alias("__new"))
     return df.join(packed, key, "left").select(*(values[c].alias(c) if c in values else F.col(c) for c in df.columns))
 
 

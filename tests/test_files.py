@@ -164,6 +164,27 @@ def test_roi_tables(spark, tmp_path):
     assert got == [("x_roi_u_20250101.csv", "b, c", None, 3.0, 'say "hi"'), ("x_roi_u_20250101.csv", "sp a", 1.5, 2.0, None), ("y_roi_u_20250101.csv", "d", None, 9.5, None)]
 
 
+def test_saving_of_changed_rois_only(spark, tmp_path):
+    import os
+
+    path = f"{tmp_path}/a_roi_u.csv"
+    make = lambda *labels: rois.coerced(spark.createDataFrame([(f, x, "u", "2025-01-01 00:00:00", "1.5") for f, x in labels], "soundscape_file string, roi_label string, roi_user string, roi_input_timestamp string, roi_start string"))
+    one = make(("a", "x"), ("a", "y"), ("b", "z"))
+    assert tables.save_rois(one, "a", path) and not tables.save_rois(one, "a", path)
+    assert tables.save_rois(make(("a", "x")), "a", path) and not tables.save_rois(make(("a", "x"), ("b", "q")), "a", path)
+    assert [r["roi_label"] for r in spark.read.option("header", True).csv(path).collect()] == ["x"]
+    assert tables.save_rois(make(("b", "q")), "a", path) and spark.read.option("header", True).csv(path).count() == 0
+    assert os.listdir(tmp_path) == ["a_roi_u.csv"]
+
+
+def test_log_of_missing_files(spark, tmp_path):
+    meta = spark.createDataFrame([("a", 1), ("b", 2)], "soundscape_path string, n int")
+    files = spark.createDataFrame([("a",)], "path string")
+    assert [tuple(r) for r in tables.write_missing_log(meta, files, "soundscape_path", f"{tmp_path}/m.csv", "20250101_000000").collect()] == [("a", 1)]
+    log = f"{tmp_path}/m_missing_recordings_log_20250101_000000.csv"
+    assert [r["missing_files"] for r in spark.read.option("header", True).csv(log).collect()] == ["b"]
+
+
 def test_append_new(spark, tmp_path):
     path = str(tmp_path / "out")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")

@@ -1,12 +1,14 @@
 """Edge cases and invariants of the operators."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sonagrid.functions import signal
 from sonagrid.operators import diagnostics, grid, matching, peaks, review, rois, validation
-from sonagrid.schemas import DETECTIONS, ROIS
+from sonagrid.schemas import DETECTIONS, ROIS, SOUNDSCAPES, TEMPLATES
 
 
 def series(spark, values, pair="p"):
@@ -186,6 +188,54 @@ def test_grid_counts(spark):
     assert dict(grid.grid_rejections(s, t).collect()) == {"sample_rate": 4, "min_freq": 1, "max_freq": 1, "duration": 1}
 
 
+def test_grid_by_salt_and_missing_files(spark):
+    sounds = spark.createDataFrame([(f"s{i}", f"s{i}", 10.0 + i, 24000 if i % 3 else 48000, 16, "mono") for i in range(30)], SOUNDSCAPES)
+    templates = spark.createDataFrame([(f"t{i}", f"t{i}", f"t{i}", "x", 0.0, 5.0 + 2 * i, 24000, 1.0, 5.0 + i, 512.0, 50.0) for i in range(9)], TEMPLATES)
+    pairs = lambda df: sorted((r["soundscape_path"], r["template_path"]) for r in df.collect())
+    plain = pairs(grid.match_grid(sounds, templates))
+    assert plain == pairs(grid.match_grid(sounds, templates, told=3)) and plain
+    files = spark.createDataFrame([(f"s{i}",) for i in range(2, 30)] + [(f"t{i}",) for i in range(8)], "path string")
+    kept = pairs(grid.match_grid(sounds, templates, files))
+    assert kept == [(s, t) for s, t in plain if s not in ("s0", "s1") and t != "t8"]
+    n = {r["reason"]: r["n"] for r in grid.grid_rejections(sounds, templates, files).collect()}
+    assert (n["soundscape_file"], n["template_file"]) == (2 * 9, 28 * 1) and sum(n.values()) + len(kept) == 30 * 9
+
+
+def test_required_columns_and_repeated_keys(spark):
+    with pytest.raises(ValueError, match="template_path, template_file"):
+        rois.detections_to_rois(spark.createDataFrame([], "soundscape_path string, soundscape_file string"), "u", "t")
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    with pytest.raises(Exception, match="isn't unique"):
+        review.rows_update(old, new, "k", ["v"]).collect()
+    assert sorted(map(tuple, review.rows_update(old, new.limit(1), "k", ["v"]).collect()))[1] == (2, "b")
+
+
+def test_balancing_takes_rows_by_their_order(spark):
+    df = spark.createDataFrame([(i, "TP" if i % 5 else "FP", i / 2000) for i in range(2000)], "detection_id long, validation string, peak_score double")
+    rank = {r[0]: r[1] for r in df.select("detection_id", F.xxhash64(F.lit(1), "detection_id")).collect()}
+    tp = sorted((i for i in range(2000) if i % 5), key=lambda i: (rank[i], i))
+    fp = sorted((i for i in range(2000) if not i % 5), key=lambda i: (rank[i], i))
+    down = sorted(r["detection_id"] for r in review.balanced(df, "down").collect())
+    assert down == sorted(fp + tp[:400])
+    up = review.balanced(df.filter("detection_id % 7 <> 0 or detection_id % 5 = 0"), "up")
+    few = [i for i in fp]
+    n = sum(1 for i in tp if i % 7)
+    got = Counter(r["detection_id"] for r in up.filter("validation = 'FP'").collect())
+    assert sum(got.values()) == n and {i for i, c in got.items() if c == n // 400 + 1} == set(few[: n % 400])
+
+
+def test_rose_draws_rows(spark):
+    scores = {"TP": [0.9, 0.5, 0.1], "FP": [0.2] * 50 + [0.8]}
+    df = spark.createDataFrame([(i, k, s) for i, (k, s) in enumerate((k, s) for k, v in scores.items() for s in v)], "detection_id long, validation string, peak_score double")
+    out = {k: np.array([r["peak_score"] for r in review.rose(df, n=6000).filter(F.col("validation") == k).collect()]) for k in scores}
+    for k, v in scores.items():
+        width = np.std(v, ddof=1) * (4 / (3 * len(v))) ** 0.2
+        assert len(out[k]) == 3000 and abs(out[k].mean() - np.mean(v)) < 0.05
+        assert abs(out[k].std() - np.sqrt(np.var(v) + width**2)) < 0.05
+    assert 20 < (out["FP"] > 0.7).sum() < 110  # the rare row, drawn about once in 51
+
+
 def test_coercion_of_missing_and_extra(spark):
     df = spark.createDataFrame([("1", "NA", "x", "0.5")], "_c0 string, roi_label string, ROI_WL string, roi_start string")
     out = rois.coerced(df)
