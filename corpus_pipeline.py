@@ -1,11 +1,15 @@
 """A corpus pipeline of five stages over documents, each written as Parquet and read again as the next one's input.
 
 Each stage works on all that its predecessor kept. All but the last return the columns of documents.
+
+Edge cases, alike in all stages: a null text is the empty one (no words, no lines, no pieces) and is no near-duplicate of
+a text with words; rows that agree in id and text are one document, of which near_dedup keeps one row; a null id is an
+id; an empty table gives an empty one; other columns stay as they are, whatever their names; very long texts are worked
+on whole.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each document, with their ids."""
+    import public_tokenizers
+
     return sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), cached_edges=2_000_000)
 
 
