@@ -68,7 +68,7 @@ def match_scores(frames: DataFrame, pairs: DataFrame, method: str = "cor", block
     near = F.sequence(F.greatest(F.lit(0), F.floor((at - reach) / n)), F.floor((at + reach) / n))
     dealt = frames.select("file", "frame_idx", "time_vec", "amp", F.explode(near).alias("block"))
     last = frames.groupBy("file").agg(F.max("frame_idx").alias("last"))
-    asked = pairs.join(last, "file").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / n))).alias("block"), "template_id", "frames", "lo", "hi")
+    asked = pairs.join(last, "file").select(F.col("file").alias("of_file"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / n))).alias("of_block"), "template_id", "frames", "lo", "hi")
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("frame_idx")
@@ -82,7 +82,7 @@ def match_scores(frames: DataFrame, pairs: DataFrame, method: str = "cor", block
                 out.append((t.template_id, *signal.block_scores(amp[:, t.lo - 1 : t.hi], int(idx[0]), first, len(times), model, method), len(model)))
         return _raw(key[0], out, first, times) if out else _raw("", [("", np.zeros(0), np.zeros(0, bool), 0)], 1, np.zeros(0))
 
-    return finished(dealt.groupBy("file", "block").cogroup(asked.groupBy("file", "block")).applyInPandas(score, RAW_SCHEMA), method)
+    return finished(dealt.groupBy("file", "block").cogroup(asked.groupBy("of_file", "of_block")).applyInPandas(score, RAW_SCHEMA), method)
 
 
 def score_blocks(blocks: DataFrame, templates: dict[str, tuple[np.ndarray, int, int]], method: str) -> DataFrame:
