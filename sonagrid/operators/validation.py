@@ -10,9 +10,32 @@ NOTE_TP, NOTE_FP, NOTE_NO_ROI, NOTE_FN = "instersection with a ROI", "no interse
 TEMPLATE_COLUMNS = ("template_path", "template_file", "template_name", "template_min_freq", "template_max_freq", "template_start", "template_end")
 
 
-def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """Numbers rows from 1 by a unique order. Reads all rows in one sorted pass; use an id that is there if you can."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+#: Rows whose order keys the driver gets, to cut the order into ranges.
+SAMPLE = 5_000
+
+
+def numbered(df: DataFrame, name: str, *order: str, ranges: int = 0) -> DataFrame:
+    """Numbers rows from 1 by a unique order, nulls first.
+
+    The order is cut into ranges at the keys of a bounded sample; rows are counted by range, and numbered inside it
+    from the count of the ranges before. ranges: by default as many as shuffle partitions.
+    """
+    spark = df.sparkSession
+    n, total, key = ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), df.count(), F.struct(*order)
+    share = int(min(1.0, SAMPLE / max(total, 1)) * 1_000_000)
+    sample = df.filter(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < share).select(*order).orderBy(*order).collect()
+    cuts = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
+    types = [df.schema[c].dataType for c in order]
+    bounds = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, types, order, strict=True))) for cut in cuts))
+    part = F.size(F.filter(bounds, lambda b: b < key)) if cuts else F.lit(0)
+    placed = df.withColumn("range_of_row", part)
+    before, starts = 0, []
+    for r in sorted(placed.groupBy("range_of_row").count().collect()):  # a row a range
+        starts += [F.lit(r["range_of_row"]), F.lit(before)]
+        before += r["count"]
+    inside = F.row_number().over(Window.partitionBy("range_of_row").orderBy(*order))
+    start = F.create_map(*starts)[F.col("range_of_row")] if starts else F.lit(0)
+    return placed.withColumn(name, (start + inside).cast("long")).drop("range_of_row")
 
 
 def overlaps(detections: DataFrame, rois: DataFrame) -> DataFrame:

@@ -295,6 +295,11 @@ def energy_quantiles(spark, d):
 
 # ---- validation ----
 
+@query(f"WITH {st.DETECTIONS} SELECT detection_id, row_number() OVER (ORDER BY species, soundscape_file, detection_start, detection_id) AS place FROM detections")
+def detection_numbering(spark, d):
+    return validation.numbered(st.detections(spark, d), "place", "species", "soundscape_file", "detection_start", "detection_id").select("detection_id", "place")
+
+
 _BOTH = f"""{st.DETECTIONS}, {st.ROIS}, hits AS (SELECT d.*, r.roi_id, r.roi_start, r.roi_end FROM detections d JOIN rois r ON d.soundscape_file = r.soundscape_file AND d.species = r.species AND detection_start <= roi_end AND detection_end >= roi_start),
   shared AS (SELECT DISTINCT d.species, d.template_file FROM detections d JOIN rois r ON d.soundscape_file = r.soundscape_file AND d.species = r.species),
   tp AS (SELECT detection_id, min(roi_id) AS roi_id FROM hits GROUP BY 1),

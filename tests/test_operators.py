@@ -188,6 +188,15 @@ def test_grid_counts(spark):
     assert dict(grid.grid_rejections(s, t).collect()) == {"sample_rate": 4, "min_freq": 1, "max_freq": 1, "duration": 1}
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_numbering_by_ranges(spark, ranges):
+    rows = [(i, None if i % 7 == 0 else f"k{i * 37 % 11}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, k string")
+    want = {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0])), 1)}
+    assert {r["id"]: r["n"] for r in validation.numbered(df, "n", "k", "id", ranges=ranges).collect()} == want
+    assert validation.numbered(df.limit(0), "n", "k", "id", ranges=ranges).count() == 0
+
+
 def test_grid_by_salt_and_missing_files(spark):
     sounds = spark.createDataFrame([(f"s{i}", f"s{i}", 10.0 + i, 24000 if i % 3 else 48000, 16, "mono") for i in range(30)], SOUNDSCAPES)
     templates = spark.createDataFrame([(f"t{i}", f"t{i}", f"t{i}", "x", 0.0, 5.0 + 2 * i, 24000, 1.0, 5.0 + i, 512.0, 50.0) for i in range(9)], TEMPLATES)
