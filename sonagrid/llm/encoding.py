@@ -3,6 +3,9 @@
 A byte-level BPE splits a text before it merges, and a space before a visible character always begins a new piece.
 So a text without runs of white space can be cut at its spaces and line ends, each distinct unit encoded once by the
 library, and the ids joined. Every other text goes to the library whole. Results are the library's own.
+
+Edge cases: the empty text has no ids; special strings inside texts are what the library makes of them; repeated texts
+are looked up again; very long texts are encoded whole; no texts give no results.
 """
 
 from __future__ import annotations

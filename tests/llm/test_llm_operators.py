@@ -739,6 +739,25 @@ def test_few_segmentations_and_long_units():
         assert np.isfinite(s[1]) and pieces.decode(s[0], vocab) == long
 
 
+def test_units_behind_a_very_long_one_are_drawn_by_themselves():
+    """A unit of 5,000 characters and the next one: both the shares of a unit's segmentations and their independence."""
+    vocab = pieces.vocabulary(SP, 1.0)
+    n = 400
+    seeds = np.arange(n).astype(np.uint64) * np.uint64(104729)
+    alone = Counter(tuple(x[0][0].tolist()) for x in pieces.sample_batch(["cat"] * 4000, np.arange(4000).astype(np.uint64) * np.uint64(7919), vocab, 1))
+    joined, tails = Counter(), Counter()
+    for x in pieces.sample_batch(["ab" * 2500 + " cat"] * n, seeds, vocab, 1):
+        text = [vocab.surface[i].decode() for i in x[0][0].tolist()]
+        at = max(i for i, t in enumerate(text) if t.startswith(" "))
+        joined[tuple(x[0][0][at:].tolist())] += 1
+        tails[len(text[at - 1]) > 1, len(text[at:]) > 1] += 1
+    top, share = alone.most_common(1)[0]
+    assert abs(joined[top] / n - share / 4000) < 0.1
+    a, b = sum(tails[True, y] for y in (True, False)) / n, sum(tails[x, True] for x in (True, False)) / n
+    assert abs(tails[True, True] / n - a * b) < 0.08
+    assert len(np.unique(pieces.unit_seeds(np.repeat(seeds[:10], 1000), np.tile(np.arange(1000), 10)))) == 10_000
+
+
 def test_segmentations_of_rows(spark, docs, empty):
     out = pieces.sampled_segmentations(docs, SP, k=2).collect()
     assert all(r["round_trip"] for r in out)
