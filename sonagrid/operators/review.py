@@ -121,10 +121,10 @@ def _lowest(df: DataFrame, rank: Column, key: str, n: int) -> DataFrame:
     return ranked.filter(F.col("bucket_of_row") < cut).union(last).select(*df.columns)
 
 
-def balanced(df: DataFrame, method: str, label: str = "validation", key: str = "detection_id", seed: int = 1) -> DataFrame:
+def balanced(df: DataFrame, method: str, label: str = "validation", key: str = "detection_id", seed: int = 1, rank: Column | None = None) -> DataFrame:
     """Equal numbers of both classes: 'down' samples the larger, 'up' repeats the smaller, 'none' leaves them.
 
-    Rows are taken in the order of a hash of their key, which tells rows apart.
+    Rows are taken in the order of `rank`, by default a hash of their key, then of the key, which tells rows apart.
     """
     if method == "none":
         return df
@@ -132,7 +132,7 @@ def balanced(df: DataFrame, method: str, label: str = "validation", key: str = "
     if len(counts) != 2:
         raise ValueError("balancing needs two classes")
     low, high = min(counts, key=counts.get), max(counts, key=counts.get)
-    rank = F.xxhash64(F.lit(seed), key)
+    rank = F.xxhash64(F.lit(seed), key) if rank is None else rank.cast("long")
     if method == "down":
         return df.filter(F.col(label) == low).union(_lowest(df.filter(F.col(label) == high), rank, key, counts[low]))
     if method == "up":

@@ -627,16 +627,23 @@ def roi_row_delete(spark, d):
     return rois.delete_rows(r, r.filter("roi_user = 'user1'")).select("roi_id")
 
 
-@query(f"WITH {st.VALIDATED}, c AS (SELECT least(count(*) FILTER (WHERE validation = 'TP'), count(*) FILTER (WHERE validation = 'FP')) AS n FROM validated) SELECT k AS validation, n FROM c, (VALUES ('TP'), ('FP')) v(k)")
+_RANKED = f"""{st.VALIDATED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY validation ORDER BY ('0x' || substr(md5(detection_id::VARCHAR), 1, 15))::BIGINT, detection_id) AS rn, count(*) OVER (PARTITION BY validation) AS n
+  FROM validated WHERE validation <> 'FN'), sizes AS (SELECT min(n) AS least, max(n) AS most FROM ranked)"""
+
+
+def _balanced(spark, d, method):
+    rank = F.conv(F.substring(F.md5(F.col("detection_id").cast("string")), 1, 15), 16, 10)
+    return review.balanced(st.validated(spark, d).filter("validation <> 'FN'"), method, rank=rank).select("detection_id", "validation")
+
+
+@query(f"WITH {_RANKED} SELECT detection_id, validation FROM ranked, sizes WHERE rn <= least")
 def balance_down(spark, d):
-    v = st.validated(spark, d).filter("validation <> 'FN'")
-    return review.balanced(v, "down").groupBy("validation").agg(F.count("*").alias("n"))
+    return _balanced(spark, d, "down")
 
 
-@query(f"WITH {st.VALIDATED}, c AS (SELECT greatest(count(*) FILTER (WHERE validation = 'TP'), count(*) FILTER (WHERE validation = 'FP')) AS n FROM validated) SELECT k AS validation, n FROM c, (VALUES ('TP'), ('FP')) v(k)")
+@query(f"WITH {_RANKED} SELECT detection_id, validation FROM (SELECT detection_id, validation, unnest(range(most // n + CASE WHEN rn <= most % n THEN 1 ELSE 0 END)) FROM ranked, sizes)")
 def balance_up(spark, d):
-    v = st.validated(spark, d).filter("validation <> 'FN'")
-    return review.balanced(v, "up").groupBy("validation").agg(F.count("*").alias("n"))
+    return _balanced(spark, d, "up")
 
 
 @query()
