@@ -61,11 +61,16 @@ def scratched(path: str) -> None:
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read again: its lineage ends there."""
+    """df, written as a Parquet table in the shared folder and read again: its lineage ends there.
+
+    keep: it outlives the scratch around it, and belongs to the next one if there is one.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     if not keep:
         scratched(path)
+    elif len(_scratch) > 1:
+        _scratch[-2].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, new_path, scratched, written
 
-#: Groups of a shared key up to this size are paired at once. In larger ones members meet two leaders, then, if more than
-#: PAIRS_A_ROW pairs of different components are left for each row, one leader from each of LEADERS hashed parts of the
-#: group; then all pairs that are left follow, dealt to SALTS tasks a group.
-SMALL_GROUP, PAIRS_A_ROW, LEADERS, SALTS = 64, 64, 16, 16
+#: Groups of a shared key up to this size are paired at once. In larger ones members meet two leaders; then, if more than
+#: PAIRS_A_ROW pairs of different components are left for each row, members outside the group's largest component meet
+#: one leader from each of LEADERS hashed parts of the group; then they meet all members of other components.
+SMALL_GROUP, PAIRS_A_ROW, LEADERS = 64, 64, 64
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -79,14 +79,13 @@ def similar_components(members: DataFrame, verify: Callable[[DataFrame], DataFra
     same = F.col("x.key") == F.col("y.key")
     few, many = members.filter(F.col("n") <= small_group).alias("x"), members.filter(F.col("n") > small_group)
 
-    def met(rows: DataFrame, leaders: int, different: bool) -> DataFrame:
-        """The pairs of rows with their groups' leaders."""
+    def met(rows: DataFrame, among: DataFrame, leaders: int, apart) -> DataFrame:
+        """The pairs of rows with the leaders of their groups among others."""
         part = F.pmod(F.xxhash64("v", "key"), F.lit(leaders))
-        led = rows.groupBy("key", part.alias("part")).agg(F.min_by(F.struct(*(c for c in rows.columns if c != "key")), F.xxhash64("v", F.lit("leader"))).alias("l"))
-        apart = (F.col("x.root") != F.col("y.root")) if different else (F.col("x.v") != F.col("y.v"))
+        led = among.groupBy("key", part.alias("part")).agg(F.min_by(F.struct(*(c for c in among.columns if c != "key")), F.xxhash64("v", F.lit("leader"))).alias("l"))
         return rows.alias("x").join(led.select("key", "l.*").alias("y"), same & apart & alike).select(*ordered)
 
-    pairs = few.join(few.alias("y"), same & (F.col("x.v") < F.col("y.v")) & alike).select(*ordered).union(met(many, 2, False))
+    pairs = few.join(few.alias("y"), same & (F.col("x.v") < F.col("y.v")) & alike).select(*ordered).union(met(many, many, 2, F.col("x.v") != F.col("y.v")))
     if candidates is not None:
         pairs = pairs.union(candidates.select("a", "b"))
     roots = connected_components(written(verify(pairs.distinct()), "similar"))
@@ -94,19 +93,20 @@ def similar_components(members: DataFrame, verify: Callable[[DataFrame], DataFra
         return roots
     for last in (False, True):
         placed = written(many.join(roots, "v", "left").select("key", "v", "size", F.coalesce("root", "v").alias("root")), "placed")
-        parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("parts"))
-        mixed = written(parts.filter("parts > 1"), "mixed")
+        parts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+        sums = F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main")
+        mixed = written(parts.groupBy("key").agg(*sums).filter("parts > 1"), "mixed")
         rest, rows = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
         if not rows:
             return roots
         last = last or rest <= PAIRS_A_ROW * rows
-        x = placed.join(mixed.select("key"), "key", "left_semi")
-        if last:  # both sides carry a salt, so that one group's pairs are made in several tasks
-            salted = x.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).alias("x")
-            other = x.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("y")
-            pairs = salted.join(other, same & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.v") < F.col("y.v")) & alike).select(*ordered)
+        x = placed.join(mixed.select("key", "main"), "key")
+        outside, differ = x.filter("root <> main"), F.col("x.root") != F.col("y.root")
+        if last:  # of two members outside the main component each would meet the other: once is enough
+            once = (F.col("x.v") < F.col("y.v")) | (F.col("y.root") == F.col("y.main"))
+            pairs = outside.alias("x").join(x.alias("y"), same & differ & once & alike).select(*ordered)
         else:
-            pairs = met(x, LEADERS, True)
+            pairs = met(outside, x, LEADERS, differ)
         new = written(verify(pairs.distinct()), "similar")
         roots = connected_components(new.union(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))))
         if last:

@@ -446,12 +446,13 @@ def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
     return data[data[:1] == b" " :].decode("utf-8", "replace")
 
 
-def sampled_segmentations(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, seed: int = 42, with_ids: bool = True, cached_edges: int = CACHED_EDGES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sampled_segmentations(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, seed: int = 42, with_ids: bool = True, cached_edges: int = CACHED_EDGES, batch_chars: int = BATCH_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, sample, n_pieces, log_prob, perturbed, inclusion, ids_crc32, round_trip, ids) for each sample.
 
     sample counts from 0 in the order of the perturbed values; ids_crc32 is that of the ids as little-endian unsigned
     32-bit integers; round_trip: decoding gives the text again; ids are null unless asked for. cached_edges bounds the lattices
-    that a worker keeps between batches: more take memory (32 bytes each) and save time; the samples are the same.
+    that a worker keeps between batches, batch_chars the texts whose steps are drawn together: more take memory and save
+    time; the samples are the same.
     """
     fields = [("sample", pa.int32()), ("n_pieces", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.field("element", pa.int32())))]
 
@@ -462,7 +463,7 @@ def sampled_segmentations(docs: DataFrame, model_file: str, k: int = 2, alpha: f
             at = 0
             while at < len(texts):
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= BATCH_CHARS):
+                while end < len(texts) and (end == at or chars + len(texts[end]) <= batch_chars):
                     chars += len(texts[end])
                     end += 1
                 rows, which = [], []

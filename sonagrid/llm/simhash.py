@@ -131,6 +131,7 @@ def variants(vertices: DataFrame, segments: int = 2, bits: int = 32) -> DataFram
     rows = rows.select("v", "w", wild.alias("wild"), value.alias("value")).withColumn("bit", bit)
     masked = F.col("value") - F.expr("shiftleft(bit, wild)")
     keyed = rows.select("v", (F.shiftleft(F.col("w").cast("long"), 40) + masked).alias("key"), F.col("bit").cast("byte").alias("bit"))
+    keyed = keyed.repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # once for the counts and the join
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     return written(keyed.join(shared, "key"), "variants")
 
@@ -327,14 +328,19 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
     own = docs.withColumn(sha, F.unhex(F.sha2(text, 256)))
     rows = own.select(F.struct(named(id_col).alias("id"), F.col(sha).alias("sha")).alias("k"), text.alias("text"))
     with scratch(docs.sparkSession):
-        found = written(described(rows, WIDTH, similarity, common_shingles(rows, WIDTH)), "shingles")
-        classes = found.groupBy("digest").agg(F.min("k").alias("k"), *(F.first(c).alias(c) for c in ("size", "segs", "parity", "long", "keys")))
-        classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "shingle-classes")
+        with scratch(docs.sparkSession):  # what is told of every row goes as soon as classes of equal sets are there
+            found = written(described(rows, WIDTH, similarity, common_shingles(rows, WIDTH)), "shingles")
+            ids = written(found.select("k", "digest"), "digests", keep=True)
+            repeated = written(ids.groupBy("digest").count().filter("count > 1").select("digest"), "repeated")
+            parts = ("size", "segs", "parity", "long", "keys")
+            several = found.join(repeated, "digest", "left_semi").groupBy("digest").agg(F.min("k").alias("k"), *(F.first(c).alias(c) for c in parts))
+            classes = found.join(repeated, "digest", "left_anti").select("digest", "k", *parts).union(several)
+            classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "shingle-classes", keep=True)
         roots = near_components(classes, rows, similarity)
         rooted = classes.join(roots, "v", "left").select("digest", "k", F.coalesce("root", "v").alias("root"))
         kept = rooted.join(rooted.groupBy("root").agg(F.min("k").alias("kept")), "root").select("digest", "kept")
         # what is told of rows is what goes, and which rows that stay are there several times: few rows of many
-        per_row = found.groupBy("k", "digest").agg(F.count("*").alias("n")).join(kept, "digest").withColumn("again", F.col("k") == F.col("kept")).filter("not again or n > 1")
+        per_row = ids.groupBy("k", "digest").agg(F.count("*").alias("n")).join(kept, "digest").withColumn("again", F.col("k") == F.col("kept")).filter("not again or n > 1")
         marks = written(per_row.select(F.col("k.id").alias(drop_id), F.col("k.sha").alias(drop_sha), F.col("again").alias(again)), "marks", keep=True)
     marked = own.join(marks, (F.col(sha) == F.col(drop_sha)) & named(id_col).eqNullSafe(F.col(drop_id)), "left")
     once = marked.filter(F.col(again).isNull()).select(*map(named, docs.columns))
