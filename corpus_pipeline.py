@@ -47,7 +47,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each document, with their ids."""
     import public_tokenizers
 
-    return sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), cached_edges=2_000_000)
+    return sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), cached_edges=1_000_000, batch_chars=100_000)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("pieces", pieces)]
