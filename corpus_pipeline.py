@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.llm.common import bounded_batches, fresh, table, whole_text, written
+from sonagrid.llm.common import fresh, table, whole_text, written
 from sonagrid.llm.line_dedup import without_recurring_lines
 from sonagrid.llm.mixing import domain_labels, thinned
 from sonagrid.llm.pieces import sampled_segmentations
@@ -58,7 +58,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
