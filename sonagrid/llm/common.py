@@ -102,13 +102,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of fewer rows than Spark's 10,000, which are many whole texts to hold; a size set otherwise stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until no column of df has it."""
     taken, out = {c.lower() for c in df.columns}, []
