@@ -5,81 +5,13 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session (tests) that has none gets a temporary folder; on a cluster that would be one machine's own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get().rstrip("/")
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sonagrid-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-_scratch: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are deleted at the end, but those that are to be kept."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for path in _scratch.pop():
-            drop_path(spark, path)
-
-
-def scratched(path: str) -> None:
-    """The table at the path is deleted with others of the scratch around, if there is one."""
-    if _scratch:
-        _scratch[-1].append(path)
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read again: its lineage ends there.
-
-    keep: it outlives the scratch around it, and belongs to the next one if there is one.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    if not keep:
-        scratched(path)
-    elif len(_scratch) > 1:
-        _scratch[-2].append(path)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a written table or file folder of this run."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+from ..shared import drop_path, new_path, scratch, scratched, shared_dir, written  # noqa: F401
 
 #: A key with this share of all rows, and so many at least, is joined by broadcast: 1 / HOT_SHARE keys at most.
 HOT_SHARE, HOT_ROWS = 0.001, 1_000

@@ -2,7 +2,8 @@
 
 A byte-level BPE splits a text before it merges, and a space before a visible character always begins a new piece.
 So a text without runs of white space can be cut at its spaces and line ends, each distinct unit encoded once by the
-library, and the ids joined. Every other text goes to the library whole. Results are the library's own.
+library, and the ids joined. Every other text goes to the library whole. A tokenizer of word ends that drops white space
+splits at every space, so there all texts are cut at spaces and line ends. Results are the library's own.
 
 Edge cases: the empty text has no ids; special strings inside texts are what the library makes of them; repeated texts
 are looked up again; very long texts are encoded whole; no texts give no results.
@@ -44,6 +45,7 @@ class UnitEncoder:
             and not spec["model"].get("dropout") and not any(re.search(r"\s", s) for s in self.special)
             and not any(x.get("lstrip") or x.get("rstrip") for x in spec.get("added_tokens", []))
         )
+        self.pattern = self._word_pattern(spec)
         self.max_units = max_units
         self.known: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -52,6 +54,52 @@ class UnitEncoder:
             self.opens_unit[i] = piece.startswith("Ġ")  # byte-level BPE writes a space so
         for s in self.special:
             self.opens_unit[vocab[s]] = False
+        self.ends_word = np.zeros(len(self.opens_unit), dtype=bool)
+        if self.pattern is not None:
+            for piece, i in vocab.items():
+                self.ends_word[i] = piece.endswith(spec["model"]["end_of_word_suffix"])
+
+    def _word_pattern(self, spec: dict):
+        """The pattern of words, where they never hold white space, are the only thing kept, and end in a suffix of their own; else None."""
+        import regex
+
+        pre, normal, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}, spec["model"]
+        parts, steps = pre.get("pretokenizers", []), normal.get("normalizers", [])
+        if [p["type"] for p in parts] != ["Split", "ByteLevel"] or not model.get("end_of_word_suffix") or model.get("dropout") or spec.get("truncation") or spec.get("padding"):
+            return None
+        split, byte_level = parts
+        if split["behavior"] != "Removed" or not split["invert"] or byte_level.get("use_regex", True) or byte_level.get("add_prefix_space"):
+            return None
+        if any(s["type"] not in ("NFC", "Lowercase") and (s["type"], s.get("pattern"), s.get("content")) != ("Replace", {"Regex": r"\s+"}, " ") for s in steps):
+            return None
+        pattern = split["pattern"].get("Regex", " ")
+        if re.search(r"[ .]|\\s", re.sub(r"\[\^\\s[^\]]*\]", "", pattern)) or any(re.search(r"\s", s) for s in self.special):
+            return None  # it might match white space
+        self.lower = any(s["type"] == "Lowercase" for s in steps)
+        return regex.compile(pattern)
+
+    def _learn_words(self, units: list[str]) -> None:
+        """New units of a tokenizer of word ends: ASCII ones joined and told apart by their numbers of words, others alone."""
+        joined = [u for u in units if u and u.isascii() and not any(s in u for s in self.special)]
+        odd = set(joined)
+        alone = [u for u in units if u not in odd]
+        parts: list[list[str]] = [[]]
+        chars = 0
+        for u in joined:
+            if chars >= JOINED_CHARS:
+                parts.append([])
+                chars = 0
+            parts[-1].append(u)
+            chars += len(u) + 1
+        for part, packed in zip(parts, self._whole([" ".join(p) for p in parts]), strict=True):
+            words = [len(self.pattern.findall(u.lower() if self.lower else u)) for u in part]
+            cuts = np.concatenate([[0], np.flatnonzero(self.ends_word[np.frombuffer(packed, dtype="<u4")]) + 1]) * 4
+            if len(cuts) == sum(words) + 1:
+                at = cuts[np.cumsum([0, *words])].tolist()
+                self.known.update((u, packed[a:b]) for u, a, b in zip(part, at, at[1:], strict=False))
+            else:
+                alone += part
+        self.known.update(zip(alone, self._whole(alone), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,7 +133,9 @@ class UnitEncoder:
         cut: list[tuple[int, list[str]]] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
-            if self.by_units and not NOT_PLAIN.search(text):
+            if self.pattern is not None:
+                cut.append((i, text.replace("\n", " ").split(" ")))
+            elif self.by_units and not NOT_PLAIN.search(text):
                 units = text.replace("\n", " \n").split(" ")
                 if not units[0]:
                     units = units[1:]
@@ -101,7 +151,7 @@ class UnitEncoder:
         for _, units in cut:
             new.update(u for u in units if u not in known)
         if new:
-            self._learn(list(new))
+            (self._learn if self.pattern is None else self._learn_words)(list(new))
         for i, units in cut:
             out[i] = b"".join(map(known.__getitem__, units))
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
