@@ -199,7 +199,7 @@ def test_equal_pieces_and_full_windows():
     for n, size in ((500, 700), (300, 4096), (300, 4095), (100, 9000), (5000, 41), (3, 1)):
         sums = [sum(len(p.ids) for p in s) for s in packing.pack_stream(docs(n, size), 4096, 64, 4, 1024)]
         assert sum(sums) == n * size and max(sums) <= 4096
-        assert 1 - n * size / sum(padded(x, 4096) for x in sums) < 0.01
+        assert sum(padded(x, 4096) for x in sums) <= 1.01 * n * size + 2 * 4096  # a window more in a group at most
 
 
 def test_equal_op13(spark):
