@@ -159,7 +159,7 @@ def pack_stream(documents: Iterator[tuple[object, np.ndarray]], capacity: int, w
     yield from powers(rest[::-1])
 
 
-def packed(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096, windows: int = 256, slack: int = 4, longest: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096, windows: int = 256, slack: int = 8, longest: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids, doc_tokens, sequence_id, offset) of every piece; ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
