@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import numbered, running
 from .common import named, new_path, open_store, publish, table, whole_text, written
 from .encoding import encoder
 
@@ -241,16 +242,27 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-#: Shards whose bounds may be told to every task (16 bytes each).
+#: Shards whose bounds are told to every task (24 bytes each); with more, keys and bounds are sorted together.
 TOLD_SHARDS = 1_000_000
 
 
-def lookup(keys: DataFrame, manifest: DataFrame, folder: str, key_col: str = "key") -> DataFrame:
-    """(key, copy, ids) of the distinct keys: a row for each document of a key, copy numbers them; null ids if there is none."""
+def placed_by_order(keys: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(key, shard, width) of distinct keys: shards' least keys and the keys in one order, each key after its shard's least."""
+    filled = manifest.filter("n_docs > 0")
+    bounds = numbered(filled.filter("greatest is not null").select("shard", "width", "least", "greatest"), "nth", "least", "shard")
+    both = bounds.select(F.col("least").alias("key"), F.lit(1).cast("long").alias("bound")).union(keys.filter("key is not null").select("key", F.lit(0).cast("long")))
+    found = running(written(both, "keys-and-bounds"), [], [F.asc("key"), F.desc("bound")], {"nth": F.col("bound")}).filter("bound = 0")
+    told = found.select("key", "nth").join(bounds, "nth", "left")  # a shard's keys are at most its documents
+    inside = F.col("key") <= F.col("greatest")
+    null = filled.filter("n_null > 0").select("shard", "width").first()
+    nulls = keys.filter("key is null").select("key", *(F.lit(null and null[c]).cast("int").alias(c) for c in ("shard", "width")))
+    return told.select("key", F.when(inside, F.col("shard")).alias("shard"), F.when(inside, F.col("width")).alias("width")).union(nulls.select("key", "shard", "width"))
+
+
+def placed_by_bounds(keys: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(key, shard, width) of distinct keys, by the shards' bounds told to every task."""
     told = manifest.filter("n_docs > 0").select("shard", "n_null", "least", "greatest", "width").orderBy("shard")
-    if manifest.count() > TOLD_SHARDS:
-        raise ValueError("too many shards to tell every task their bounds; look up in parts of the manifest")
-    shards = told.collect()  # a row a shard, bounded above
+    shards = told.collect()  # a row a shard, TOLD_SHARDS at most
     filled = [r for r in shards if r["greatest"] is not None]
     greatest, of = np.array([r["greatest"] for r in filled], np.int64), np.array([r["shard"] for r in filled], np.int32)
     least = np.array([r["least"] for r in filled], np.int64)
@@ -264,7 +276,15 @@ def lookup(keys: DataFrame, manifest: DataFrame, folder: str, key_col: str = "ke
             ok = at < len(greatest)
             ok[ok] = least[at[ok]] <= key[ok]
             shard = [with_null if n else int(of[i]) if k else None for n, i, k in zip(null.tolist(), at.tolist(), ok.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard, pa.int32())], names=["key", "shard"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard, pa.int32()), pa.array([None if x is None else width[x] for x in shard], pa.int32())], names=["key", "shard", "width"])
+
+    return keys.mapInArrow(place, "key long, shard int, width int")
+
+
+def lookup(keys: DataFrame, manifest: DataFrame, folder: str, key_col: str = "key", told_shards: int = TOLD_SHARDS) -> DataFrame:
+    """(key, copy, ids) of the distinct keys: a row for each document of a key, copy numbers them; null ids if there is none."""
+    wanted = keys.select(named(key_col).cast("long").alias("key")).distinct()
+    placed = placed_by_order(wanted, manifest) if manifest.count() > told_shards else placed_by_bounds(wanted, manifest)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, index, payload = None, None, None
@@ -276,13 +296,14 @@ def lookup(keys: DataFrame, manifest: DataFrame, folder: str, key_col: str = "ke
                         store, path = open_store(f"{folder}/{row['shard']:08d}")
                         opened, index, payload = row["shard"], StoredHash(store.open_input_file(path + ".mph")), store.open_input_file(path + ".ids")
                     key, repeat = np.array([row["key"] or 0], np.int64), (row["key"] is None) * (1 << 40)
-                    while (one := next(fetch(index, payload, width[opened], key, np.array([repeat + len(found)])))) is not None:
+                    while (one := next(fetch(index, payload, row["width"], key, np.array([repeat + len(found)])))) is not None:
                         found.append(one[1])
                 n = max(1, len(found))
                 yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * n, pa.int64()), pa.array(range(n) if found else [None], pa.int32()), pa.array(found or [None], pa.list_(pa.field("element", pa.int64())))], names=["key", "copy", "ids"])
 
-    placed = keys.select(named(key_col).cast("long").alias("key")).distinct().mapInArrow(place, "key long, shard int")
-    return placed.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(read, "key long, copy int, ids array<bigint>")
+    # keys without a shard have nothing to open: they are dealt by themselves, not all to one task
+    deal = F.when(F.col("shard").isNull(), F.xxhash64("key"))
+    return placed.repartition("shard", deal).sortWithinPartitions("shard", "key").mapInArrow(read, "key long, copy int, ids array<bigint>")
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
