@@ -226,6 +226,13 @@ def assemble(records: DataFrame) -> DataFrame:
     return responses.join(requests, "capture_id", "left").join(metadata, "capture_id", "left")
 
 
+def lost_pages(pages: DataFrame, captures: DataFrame) -> DataFrame:
+    """(page_id) of the pages whose captures are not among those that were read, as often as they are missing."""
+    counts = pages.select("page_id", F.lit(1).alias("n")).union(captures.select("page_id", F.lit(-1)))
+    missing = counts.groupBy("page_id").agg(F.sum("n").alias("n")).filter("n > 0")
+    return missing.select("page_id", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("page_id")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, read back, assembled into captures; what each record says of its payload."""
     folder = new_path(spark, "warc")
@@ -237,9 +244,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.col(f"response.{c}").alias(c) for c in ("record_type", "refers_to", "payload_digest", "stored_digest", "payload_bytes")),
     ), "captures")
     responses, revisits = captures.filter("record_type = 'response'"), captures.filter("record_type = 'revisit'")
-    # what a revisit says of its payload is held against the response that its archive names
+    # what a revisit says of its payload is held against the response that its archive names; where that was lost, its size and page are null
     named_ids = revisits.groupBy(F.col("refers_to").alias("capture_id")).agg(F.count("*").alias("n"))
-    kept = responses.join(named_ids, "capture_id").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("kept_id"), F.col("payload_bytes").alias("kept_bytes"), "n")
+    kept = named_ids.join(responses, "capture_id", "left").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("kept_id"), F.col("payload_bytes").alias("kept_bytes"), "n")
     found = join_hot(revisits.drop("payload_bytes"), written(kept, "referred"), ["refers_to"], "n", captures.count())
-    return responses.select("page_id", "payload_bytes", F.col("stored_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "url").union(
+    read = responses.select("page_id", "payload_bytes", F.col("stored_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "url").union(
         found.select("page_id", F.col("kept_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("kept_id").alias("refers_to"), "url"))
+    return read.union(lost_pages(table(spark, sf_dir, "pages"), captures).select("page_id", *(F.lit(None).cast(read.schema[c].dataType).alias(c) for c in read.columns[1:])))
