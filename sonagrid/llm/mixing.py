@@ -29,7 +29,7 @@ from .common import fresh, named, scratch, table, whole_text, written
 DOMAINS = ("low", "high")
 TARGETS = {"low": 0.05, "high": 0.95}
 #: The mean rate of the domain with the largest weight where no budget is given: a little over 1, so that documents
-#: that clearly belong to it stay.
+#: that clearly belong to it stay; the rest over 1 is drawn as second copies.
 ANCHOR_RATE = 1.02
 #: The least s.d. of a statistic within a class.
 FLOOR = 0.02
@@ -144,23 +144,28 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = TARGETS,
 
 
 def draw(rate: Column, *key: str) -> Column:
-    """Whether a document stays at its rate: a uniform number hashed from its key is below it."""
-    return F.pmod(F.xxhash64(F.lit("mix"), *key), F.lit(1 << 40)) / float(1 << 40) < rate
+    """How many copies of a document the mixture has at its rate: the whole part, and one more if a uniform number hashed from its key is below the rest."""
+    uniform = F.pmod(F.xxhash64(F.lit("mix"), *key), F.lit(1 << 40)) / float(1 << 40)
+    return (F.floor(rate) + (uniform < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def thinned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """docs thinned to the mixture: each row stays with its rate as probability, at rates over 1 always."""
-    own_hash, own_id, rh = fresh(docs, "hash", "own_id", "rh")
+    """docs in the mixture: each row as often as its rate draws, so that expected totals are the targets at any rate."""
+    own_hash, own_id, rh, copies = fresh(docs, "hash", "own_id", "rh", "copies")
     with scratch(docs.sparkSession):
         rates = mix(docs, labels, id_col=id_col, text_col=text_col, **parameters)
-        # what is told of rows is which go: a small table, where the mixture leaves most
-        gone = written(rates.filter(~draw(F.col("rate"), "id", "rh")).select(F.col("id").alias(own_id), F.col("rh").alias(rh)).distinct(), "thinned", keep=True)
+        # what is told of rows is which go or are repeated: a small table, where the mixture leaves most as they are
+        drawn = rates.select(F.col("id").alias(own_id), F.col("rh").alias(rh), draw(F.col("rate"), "id", "rh").alias(copies))
+        changed = written(drawn.filter(F.col(copies) != 1).distinct(), "thinned", keep=True)
     own = docs.withColumn(own_hash, F.xxhash64(whole_text(text_col)))
-    return own.join(gone, (F.col(own_hash) == F.col(rh)) & named(id_col).eqNullSafe(F.col(own_id)), "left_anti").drop(own_hash)
+    told = own.join(changed, (F.col(own_hash) == F.col(rh)) & named(id_col).eqNullSafe(F.col(own_id)), "left")
+    n = F.coalesce(F.col(copies), F.lit(1)).cast("int")
+    return told.select(*map(named, docs.columns), F.explode(F.array_repeat(F.lit(0), n)).alias(copies)).drop(copies)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's tokens, posteriors, rate and draw."""
+    """Every document's tokens, posteriors, rate and copies."""
     rates = mix(table(spark, sf_dir, "documents"), domain_labels(table(spark, sf_dir, "labels")))
     p = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return rates.select(F.col("id").alias("doc_id"), "n_tokens", *p, "rate", draw(F.col("rate"), "id", "rh").alias("kept"), "residual", "converged")
+    copies = draw(F.col("rate"), "id", "rh")
+    return rates.select(F.col("id").alias("doc_id"), "n_tokens", *p, "rate", (copies > 0).alias("kept"), copies.alias("copies"), "residual", "converged")
