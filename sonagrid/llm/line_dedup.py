@@ -2,9 +2,11 @@
 
 Each line is cut into tokens, tokens with digits become a variable field. A tree of fixed depth sorts lines: first by
 their number of tokens, then by the leading tokens. Inside a leaf two lines that agree in `similarity` of their tokens
-are linked, and linked lines are one template: the places where its lines differ are generalised to variable fields
-(`generalised`). A leaf holds as many templates as its lines make. Lines of fewer than 5 tokens leave no place to differ
-at 0.8; they are templates by their masked text.
+are linked, and linked lines propose a template: the tokens that more than half of them have, and variable fields where
+there is no such token (`generalised`). The lines that agree with its fixed tokens in `similarity` of their places are
+its members; so lines that only a chain links are not. Those left beside a template's members propose again, so a leaf
+holds as many templates as its lines make. Lines of fewer than 5 tokens leave no place to differ at 0.8; they, and lines
+outside all templates, are templates by their masked text.
 
 A template that lines of at least two documents share (short lines: `short_docs` documents; very short lines never
 count) is recurring. Its lines stay in the document of the smallest id, and are dropped from all others.
@@ -29,7 +31,10 @@ from .components import key_groups, similar_components
 
 DEPTH = 3
 FIELD = "<*>"
-
+#: How often the lines beside a template's members propose templates again; what is left then is a template by its text.
+ROUNDS = 8
+#: Up to so many runs of equal tokens are combined to split crowded groups of lines.
+FURTHER = 3
 
 #: Up to so many rows (24 bytes each) of leaves or templates are sent to all executors; beyond, they are joined by shuffles.
 SMALL_ROWS = 1_000_000
@@ -64,34 +69,77 @@ def _differing(n: Column, similarity: float) -> Column:
     return n - F.ceil(similarity * n - 1e-9)
 
 
-def leaf_templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, h1, h2, tokens, template): the lines (leaf, h1, h2, tokens) that are linked with others of their leaf.
+def linked_lines(own: DataFrame, similarity: float) -> DataFrame:
+    """(v, root) of the lines (v, leaf, tokens) that are linked with others of their leaf.
 
-    Two lines that differ in d places at most agree in one of d + 1 runs of places at least, which are the keys.
+    Two lines that differ in d places at most agree in k of d + k runs of places at least: the runs are the keys, and of
+    lines that crowd in one the combinations of k of d + k shorter runs, level by level.
     """
-    own = written(lines.withColumn("v", F.monotonically_increasing_id()), "leaf-lines")
     n = F.size("tokens")
-    runs = _differing(n, similarity) + 1
-    at = lambda i: (DEPTH + F.floor(i * (n - DEPTH) / runs)).cast("int")
-    keys = F.transform(F.sequence(F.lit(0).cast("long"), runs - 1), lambda i: F.xxhash64("leaf", i, F.slice("tokens", at(i) + 1, at(i + 1) - at(i))))
-    keyed = own.filter(runs > 1).select("v", n.alias("size"), F.explode(keys).alias("key"))
+    differ = _differing(n, similarity)
+
+    def runs(size, parts) -> Column:
+        """The hashes of `parts` runs of the tokens behind the leading ones."""
+        at = lambda i: (DEPTH + F.floor(i * (size - DEPTH) / parts)).cast("int")
+        return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda i: F.xxhash64("leaf", parts, i, F.slice("tokens", at(i) + 1, at(i + 1) - at(i))))
+
+    keyed = own.filter(differ > 0).select("v", n.alias("size"), F.explode(runs(n, differ + 1)).alias("key"))
+
+    def split(rows: DataFrame, level: int) -> DataFrame | None:
+        """The crowded lines under combinations of `level` runs.
+
+        Lines with fewer places than runs agree in all but d places once they share a key of fewer runs, so all pairs hold
+        there and no such group has two components.
+        """
+        if level > FURTHER:
+            return None
+        lines = rows.select("v", "root").distinct().join(own, "v").filter(n - DEPTH >= differ + level)
+        chosen = F.transform(runs(n, differ + level), lambda k, i: F.struct(i.alias("i"), k.alias("k")))
+        combined = lines.select("v", "root", n.alias("size"), chosen.alias("runs"), F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64(F.lit("combination"), "leaf", F.lit(level)).alias("k"))).alias("key"))
+        key = F.col("key")
+        for _ in range(level):  # one run more, behind the last one
+            key = F.flatten(F.transform(key, lambda c: F.transform(F.filter(F.col("runs"), lambda r: r["i"] > c["i"]), lambda r: F.struct(r["i"].alias("i"), F.xxhash64(c["k"], r["k"]).alias("k")))))
+        return combined.select("v", "size", "root", F.explode(F.transform(key, lambda c: c["k"])).alias("key"))
 
     def verify(edges: DataFrame) -> DataFrame:
         x, y = (own.select(F.col("v").alias(c), F.col("leaf").alias(f"l{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
         matched = F.aggregate(F.zip_with("ta", "tb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
         return edges.join(x, "a").join(y, "b").filter((F.col("la") == F.col("lb")) & (matched >= similarity * F.size("ta") - 1e-9)).select("a", "b")
 
-    roots = similar_components(key_groups(keyed), verify, similarity)
-    members = roots.union(roots.select("root", "root").distinct()).toDF("v", "root")
-    return own.join(members, "v").select("leaf", "h1", "h2", "tokens", F.xxhash64(F.lit("template"), "root").alias("template"))
+    roots = similar_components(key_groups(keyed), verify, similarity, split=split)
+    return roots.union(roots.select("root", "root").distinct()).toDF("v", "root")
 
 
 def generalised(lines: DataFrame) -> DataFrame:
-    """(template, text) of lines (template, tokens): the tokens that all lines have, a variable field where they differ."""
-    places = lines.select("template", F.posexplode("tokens").alias("place", "token")).groupBy("template", "place").agg(F.min("token").alias("a"), F.max("token").alias("b"))
-    token = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(FIELD)
-    ordered = F.sort_array(F.collect_list(F.struct("place", token.alias("token"))))  # as long as a line
-    return places.groupBy("template").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), " ").alias("text"))
+    """(template, tokens) of lines (template, tokens): the tokens that more than half of the lines have, a variable field elsewhere."""
+    places = lines.select("template", F.posexplode("tokens").alias("place", "token")).groupBy("template", "place", "token").agg(F.count("*").alias("c"))
+    voted = places.groupBy("template", "place").agg(F.max_by("token", "c").alias("token"), F.max("c").alias("c"), F.sum("c").alias("n"))
+    token = F.when(2 * F.col("c") > F.col("n"), F.col("token"))  # null: a variable field
+    ordered = voted.groupBy("template").agg(F.sort_array(F.collect_list(F.struct("place", token.alias("token")))).alias("x"), F.max("n").alias("lines"))  # as long as a line
+    return ordered.select("template", F.transform("x", lambda x: x["token"]).alias("fixed"), "lines")
+
+
+def leaf_templates(lines: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, h1, h2, tokens, template) of lines (leaf, h1, h2, tokens): those that belong to a generalised template.
+
+    Linked lines propose a template, the tokens that more than half of them have. A line belongs to it if it agrees with
+    its fixed tokens in `similarity` of all its places; a chain of lines without so much in common is no template. Lines
+    that are left beside a template's members propose again, until no template finds members; ROUNDS times at most.
+    """
+    spark, left, found = lines.sparkSession, written(lines.withColumn("v", F.monotonically_increasing_id()), "leaf-lines"), None
+    for k in range(ROUNDS):
+        roots = written(linked_lines(left, similarity), "linked")
+        grouped = written(left.join(roots, "v").withColumnRenamed("root", "template"), "proposing")
+        proposed = written(generalised(grouped), "generalised")
+        agreed = F.aggregate(F.zip_with("tokens", "fixed", lambda t, f: F.coalesce(t == f, F.lit(False)).cast("int")), F.lit(0), lambda s, e: s + e)
+        told = written(join_hot(grouped, proposed, ["template"], "lines", grouped.count()).withColumn("member", agreed >= similarity * F.size("tokens") - 1e-9), "told")
+        members = told.filter("member").select("leaf", "h1", "h2", "tokens", F.xxhash64(F.lit("template"), F.lit(k), "template").alias("template"))
+        found = members if found is None else found.unionByName(members)
+        counts = told.groupBy("template").agg(F.count_if("member").alias("n"), F.count("*").alias("lines")).filter("n > 0 and n < lines").select("template", "lines")
+        left = written(join_hot(told.filter("not member").drop("fixed", "member"), counts, ["template"], "lines", told.count()).drop("template"), "left-lines")
+        if left.isEmpty():
+            break
+    return found
 
 
 def line_templates(cut: DataFrame, lines: DataFrame, similarity: float = 0.8) -> DataFrame:
