@@ -131,9 +131,7 @@ def variants(vertices: DataFrame, segments: int = 2, bits: int = 32) -> DataFram
     rows = rows.select("v", "w", wild.alias("wild"), value.alias("value")).withColumn("bit", bit)
     masked = F.col("value") - F.expr("shiftleft(bit, wild)")
     keyed = rows.select("v", (F.shiftleft(F.col("w").cast("long"), 40) + masked).alias("key"), F.col("bit").cast("byte").alias("bit"))
-    keyed = keyed.repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # once for the counts and the join
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return written(keyed.join(shared, "key"), "variants")
+    return key_groups(keyed, once=False)
 
 
 def paired(members: DataFrame, bits: int = 32) -> DataFrame:
@@ -176,6 +174,8 @@ WIDTH = 5
 SAMPLED, OFTEN, COMMON = 16, 2, 200_000
 #: Bits of a set's parity bitmap; sets of over LONG shingles have one of LONG_PARITY bits too.
 PARITY, LONG, LONG_PARITY = 512, 600, 4096
+#: So many shingles beyond its prefix are told of a text, to split crowded groups of texts with one in common.
+FURTHER = 3
 #: Distinct words whose hashes a task keeps.
 KEPT_WORDS = 300_000
 
@@ -235,8 +235,8 @@ def common_shingles(rows: DataFrame, width: int, sampled: int = SAMPLED, often:
 def described(rows: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(k, digest, size, segs, parity, long, keys): a text's number of distinct shingles, their fingerprint and parity bitmaps, the first ones in an order.
 
-    The order is by the sampled count, then by hash. Of a set of n, the first n - ceil(similarity * n) + 1 are taken; two
-    sets of that Jaccard similarity then have one of these in common, whatever the order.
+    The order is by the sampled count, then by hash. Of the first n - ceil(similarity * n) + k of a set of n, two sets of
+    that Jaccard similarity have k in common at least, whatever the order. FURTHER more than for k = 1 are taken.
     """
     hs, ns = common
     power = np.left_shift(np.int64(1), np.arange(32))
@@ -256,7 +256,7 @@ def described(rows: DataFrame, width: int, similarity: float, common: tuple[np.n
                     for into, bits in ((parity, PARITY), (long, LONG_PARITY if len(s) > LONG else 0)):
                         odd = np.bincount((s >> np.uint64(40)).astype(np.intp) % bits, minlength=bits).astype(np.uint8) & 1 if bits else np.zeros(0, np.uint8)
                         into.append(np.packbits(odd).view(np.int64))
-                    taken = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
+                    taken = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 + FURTHER if len(s) else 0
                     if len(hs):
                         place = np.minimum(np.searchsorted(hs, s), len(hs) - 1)
                         often = np.flatnonzero(hs[place] == s)
@@ -310,7 +310,16 @@ def near_components(classes: DataFrame, rows: DataFrame, similarity: float, widt
     led = crowd.groupBy("key").agg(F.array(F.min_by("v", F.xxhash64("v")), F.max_by("v", F.xxhash64("v"))).alias("l"))
     stars = crowd.join(led.select("key", F.explode("l").alias("m")), "key").filter("v <> m").select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b"))
     candidates = paired(shared.filter(F.col("n") <= small_group)).union(stars.distinct())
-    members = key_groups(classes.select("v", F.col("size").cast("int").alias("size"), F.explode("keys").alias("key")))
+    prefix = lambda k: (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + k).cast("int")
+    members = key_groups(classes.select("v", F.col("size").cast("int").alias("size"), F.posexplode(F.slice("keys", 1, F.greatest(F.lit(0), prefix(1)))).alias("at", "key")))
+
+    def split(rows: DataFrame, level: int) -> DataFrame | None:
+        """The key with each later shingle of the prefix for `level` shingles in common."""
+        if level > 1 + FURTHER:
+            return None
+        told = rows.select("v", "size", "key", "at", "root").join(classes.select("v", "keys"), "v")
+        later = told.select("v", "size", "root", F.col("key").alias("first"), "at", F.posexplode(F.slice("keys", 1, F.greatest(F.lit(0), prefix(level)))).alias("next", "key")).filter("next > at")
+        return later.select("v", "size", "root", F.col("next").alias("at"), F.xxhash64("first", "key").alias("key"))
 
     def verify(edges: DataFrame) -> DataFrame:
         left = written(sieved(edges, classes, similarity), "sieved-pairs")
@@ -319,7 +328,7 @@ def near_components(classes: DataFrame, rows: DataFrame, similarity: float, widt
         sets = written(rows.join(wanted, "k").dropDuplicates(["v"]).select("v", shingle_set(F.col("text"), width).alias("s")), "shingle-sets")
         return verified(left, sets, similarity)
 
-    return similar_components(members, verify, similarity, candidates, small_group)
+    return similar_components(members, verify, similarity, candidates, small_group, split)
 
 
 def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

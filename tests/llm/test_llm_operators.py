@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sonagrid.llm import encoding, line_dedup, media, mixing, multiset_hash, pieces, simhash, token_counts, token_shards, toxicity, warc
+from sonagrid.llm import components, encoding, line_dedup, media, mixing, multiset_hash, pieces, simhash, token_counts, token_shards, toxicity, warc
 from sonagrid.llm.common import new_path
 from sonagrid.llm.components import connected_components
 
@@ -110,6 +110,14 @@ def test_shards(spark, docs, empty, n_shards):
         by_key.setdefault(i, []).append([*t.encode(s, add_special_tokens=False).ids, 2])
     assert {(r["key"], r["copy"]): r["ids"] for r in found} == {x: y for k in asked for x, y in ([((k, c), ids) for c, ids in enumerate(by_key[k])] if k in by_key else [((k, None), None)])}
     assert len(found) == sum(len(by_key.get(k, [0])) for k in set(asked))
+    # with more shards than are told to tasks keys find theirs by order; keys that no shard has are dealt to all tasks
+    again = token_shards.lookup(spark.createDataFrame([(k,) for k in asked], "key long"), manifest, folder, told_shards=0)
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, found), key=repr)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would meet in one task
+    missed = token_shards.lookup(spark.range(10**6, 10**6 + 2000).withColumnRenamed("id", "key"), manifest, folder)
+    counts = [r[0] for r in missed.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(counts) == 2000 and max(counts) < 1000
     folder = new_path(spark, "shards")
     assert token_shards.read_shards(token_shards.write_shards(empty, folder, BPE, 2), folder).count() == 0
 
@@ -269,6 +277,32 @@ def test_warc_revisits_name_their_response(spark):
             assert kept["response"]["stored_digest"] == r["response"]["payload_digest"] and page(kept) == (2 if page(r) == 1 else 39)
 
 
+def test_pages_lost_to_damage_keep_their_rows(spark, monkeypatch):
+    """An archive that breaks off after it was written: its pages are rows of nulls, revisits of its responses keep their digest."""
+    sf, wrote = "/root/testdata/sf0.001", warc.write_warc
+
+    def broken(captures, folder):
+        manifest = wrote(captures, folder)
+        store, path = warc.open_store(folder)
+        import pyarrow.fs as fs
+
+        name = max(store.get_file_info(fs.FileSelector(path)), key=lambda f: f.size if f.base_name.endswith(".gz") else 0).path
+        with store.open_input_stream(name, compression=None) as f:
+            data = f.read()
+        store.delete_file(name)
+        with store.open_output_stream(name, compression=None) as f:
+            f.write(data[: len(data) // 2])
+        return manifest
+
+    whole = {r["page_id"]: r for r in warc.op6_warc(spark, sf).collect()}
+    monkeypatch.setattr(warc, "write_warc", broken)
+    rows = warc.op6_warc(spark, sf).collect()
+    assert sorted(r["page_id"] for r in rows if r["page_id"] is not None) == sorted(whole)
+    lost = [r for r in rows if r["record_type"] is None]
+    assert 0 < len(lost) < len(whole) and all(r["payload_digest"] is None for r in lost)
+    assert all(r["payload_digest"] == whole[r["page_id"]]["payload_digest"] for r in rows if r["record_type"] and r["page_id"] is not None)
+
+
 def test_damaged_archives(spark, tmp_path):
     good = [warc.record("response", f"urn:{i}", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * i) for i in range(1, 4)]
     raw = b"".join(zlib.decompress(g, 31) for g in good)
@@ -282,18 +316,38 @@ def test_damaged_archives(spark, tmp_path):
 
 # ---- line dedup ----
 
+def brute_templates(texts, similarity=0.8):
+    """{masked line: template}: components of linked lines propose the tokens of more than half of their lines; rounds until none finds members."""
+    n = lambda m: len(m.split(" ")) if m else 0
+    leaf = lambda m: (n(m), tuple(m.split(" ")[:3]))
+    agree = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True)) >= similarity * len(x) - 1e-9
+    template, left, k = {m: ("text", m) for m in texts}, sorted(set(texts)), 0
+    while left:
+        k, root = k + 1, {m: m for m in left}
+        for a, b in itertools.combinations(left, 2):
+            if leaf(a) == leaf(b) and agree(a.split(" "), b.split(" ")):
+                old, new = root[a], root[b]
+                root = {m: new if t == old else t for m, t in root.items()}
+        groups, left = {}, []
+        for m, t in root.items():
+            groups.setdefault(t, []).append(m)
+        for t, ms in groups.items():
+            if len(ms) > 1:
+                votes = [Counter(x).most_common(1)[0] for x in zip(*(m.split(" ") for m in ms), strict=True)]
+                fixed = [x if 2 * c > len(ms) else None for x, c in votes]
+                members = [m for m in ms if agree(fixed, m.split(" "))]
+                template.update((m, (k, t)) for m in members)
+                left += [m for m in ms if m not in members] if members else []
+    return template
+
+
 def brute_line_dedup(rows, similarity=0.8):
     import re
 
     lines = [(i, p, re.sub(r"[^ ]*[0-9][^ ]*", "<*>", " ".join(re.split(r"[\x20\x09-\x0d]+", ln.strip(" \t\x0b\x0c\r"))))) for i, t in enumerate(t or "" for _, t in rows) for p, ln in enumerate(t.split("\n"))]
     n = lambda m: len(m.split(" ")) if m else 0
     lines = [x for x in lines if n(x[2]) >= 3]
-    leaf = lambda m: (n(m), tuple(m.split(" ")[:3]))
-    template = {m: m for *_, m in lines}
-    for a, b in itertools.combinations(list(template), 2):
-        if leaf(a) == leaf(b) and sum(x == y for x, y in zip(a.split(" "), b.split(" "), strict=True)) >= similarity * n(a) - 1e-9:
-            old, new = template[a], template[b]
-            template = {m: new if t == old else t for m, t in template.items()}
+    template = brute_templates([m for *_, m in lines], similarity)
     docs = {}
     for i, _, m in lines:
         docs.setdefault(template[m], set()).add(i)
@@ -329,7 +383,7 @@ def test_generalised_templates(spark):
     rows = [(1, "the job of ann ended with no error"), (2, "the job of bob ended with no error"), (3, "the job of ann 17 ended well"), (4, "another line that stands all alone here")]
     cut = line_dedup.exploded(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
     found = line_dedup.generalised(line_dedup.line_templates(cut, cut.drop("masked")))
-    assert [r["text"] for r in found.collect()] == ["the job of <*> ended with no error"]
+    assert [["<*>" if t is None else t for t in r["fixed"]] for r in found.collect()] == ["the job of <*> ended with no error".split()]
 
 
 def test_line_dedup_repeats_and_empty(spark, empty):
@@ -356,6 +410,54 @@ def test_line_dedup_of_many_families_in_a_leaf(spark):
     assert by_id(corpus_pipeline.line_dedup(spark, df, ""), "doc_id", "text") == sorted(want, key=repr)
 
 
+def test_lines_that_only_a_chain_links_stay(spark):
+    """Of 25 lines with two varying words none is a repeat, nor are those of a chain; what most of a chain has is a template, and what is left beside it another."""
+    grid = [f"we saw the {a} {b}" for a in ("red", "pink", "blue", "grey", "dark") for b in ("cat", "dog", "fox", "owl", "hen")]
+    abc = "abcdefghij"
+    chain = [" ".join(["it", "goes", "on", *(f"{'x' if j < i else 'y'}{abc[j]}" for j in range(10))]) for i in range(11)]
+    first = [f"one family of lines whose name is {c}{c} and no other" for c in abc]
+    bridge = ["one family of words whose name is aa and no other", "one family of words whose dog is aa and no other"]
+    second = [f"one family of words whose dog was {c}{c} and many other" for c in abc[:4]]
+    rows = [(i, t) for i, t in enumerate([*grid, *chain, *first, *bridge, *second])]
+    want = sorted(brute_line_dedup(rows), key=repr)
+    df = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+    assert by_id(line_dedup.without_recurring_lines(df), "doc_id", "text") == want
+    kept = [t for _, t in want if t]
+    assert set(grid) | set(chain[:1]) <= set(kept) and sum(t in first for t in kept) == 1 and sum(t in second for t in kept) == 1
+
+
+@pytest.mark.parametrize("similar", [0, 40])
+def test_crowded_keys_are_split(spark, monkeypatch, similar):
+    """1,500 lines that share a run of tokens, none alike but for some: pairs stay a bounded multiple of the lines, and no link is lost."""
+    rng, seen = np.random.default_rng(6), []
+    monkeypatch.setattr(line_dedup, "similar_components", lambda members, verify, *a, **k: components.similar_components(members, lambda edges: (seen.append(edges.count()), verify(edges))[1], *a, **k))
+    words = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = []
+    for i in range(1500 - similar):
+        rows.append(["so", "it", "was", *(["same"] * 4), *(str(rng.choice(words)) for _ in range(13))])
+    for i in range(similar):
+        w = list(rows[i % 20])
+        w[9 + i % 11] = "edit"
+        rows.append(w)
+    df = spark.createDataFrame([(i, 7, r) for i, r in enumerate(rows)], "v long, leaf long, tokens array<string>")
+    roots = {r["v"]: r["root"] for r in line_dedup.linked_lines(df, 0.8).collect()}
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    a = np.array([[hash(t) for t in r] for r in rows])
+    for i in range(len(rows)):
+        for j in np.flatnonzero((a[i] == a[i + 1 :]).sum(axis=1) >= 16) + i + 1:
+            x, y = sorted((find(i), find(int(j))))
+            parent[y] = x
+    groups = Counter(map(find, range(len(rows))))
+    assert roots == {i: find(i) for i in range(len(rows)) if groups[find(i)] > 1}
+    assert sum(seen) < 64 * len(rows)
+
+
 # ---- SimHash ----
 
 def brute_fingerprint(text):
@@ -668,6 +770,17 @@ def test_mixing_meets_targets(spark):
     kept = mixing.thinned(docs, mixing.domain_labels(labels), weights={"low": 0.1, "high": 0.9})
     ids = {x[0] for x in kept.select("doc_id").collect()}
     assert all(i in ids for i, _ in rows if i % 4) and len(ids) < len(rows)
+    # what is kept has the totals that were wanted, also with rates far over 1
+    for budget in (None, 2.6):
+        rates = mixing.mix(docs, mixing.domain_labels(labels), {"low": 0.1, "high": 0.9}, budget).collect()
+        rate, p, t, ids = ({r["id"]: r[c] for r in rates} for c in ("rate", "p", "n_tokens", "id"))
+        copies = Counter(x[0] for x in mixing.thinned(docs, mixing.domain_labels(labels), weights={"low": 0.1, "high": 0.9}, budget=budget).select("doc_id").collect())
+        assert all(int(rate[i]) <= copies[i] <= int(rate[i]) + 1 for i in ids)
+        for k in range(2):
+            want, got = (sum(n[i] * t[i] * p[i][k] for i in ids) for n in (rate, copies))
+            chance = sum((rate[i] % 1) * (1 - rate[i] % 1) * (t[i] * p[i][k]) ** 2 for i in ids) ** 0.5
+            assert abs(got - want) <= 4 * chance + 1e-6
+            assert budget is None or abs(want / sum(t.values()) - budget * (0.1, 0.9)[k]) < 1e-3
 
 
 def test_mixing_counts_words_and_tells_of_convergence(spark):
@@ -690,7 +803,7 @@ def test_mixing_edges(spark, docs, empty):
     assert mixing.mix(docs, mixing.domain_labels(labels.limit(0))).count() == len(ROWS)
     assert mixing.mix(empty, mixing.domain_labels(labels)).count() == 0
     kept = mixing.thinned(docs, mixing.domain_labels(labels))
-    assert kept.columns == docs.columns and kept.count() <= len(ROWS)
+    assert kept.columns == docs.columns and set(map(tuple, kept.collect())) <= set(map(tuple, docs.collect()))
 
 
 # ---- pieces ----
