@@ -1,8 +1,8 @@
 """Scoring templates against recordings.
 
-A spectrogram is made once a recording and window setting, not once a pair, and cut into blocks of frames with as many
-frames of their neighbours as the longest template needs. A task scores a block against each template of its grid in
-NumPy, so a long recording is many tasks. What depends on a whole series, its lowest score or longest distance, follows
+A spectrogram is made once a recording and window setting, not once a pair, block by block: a task reads the samples of a
+block of frames and of as many of its neighbours as the longest template needs, and scores it against each template of
+its grid in NumPy, so a long recording is many tasks of bounded memory. What depends on a whole series, its lowest score or longest distance, follows
 as a window over the pair. The DataFrame form of the correlation shares its results and serves where Python isn't wanted.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal
+from ..sources import wav
 
 RAW_SCHEMA = "file string, template_id string, frame_idx int, time_vec double, score double, has_window boolean, score_sliding_window int"
 #: Frames of a block.
@@ -77,33 +78,44 @@ def match_scores(frames: DataFrame, pairs: DataFrame, method: str = "cor", block
         out = []
         if own.any():
             amp, times, first = np.stack(left["amp"].to_numpy()).astype(float), left["time_vec"].to_numpy()[own], int(idx[own][0])
+            block_of = signal.Windows(amp)
             for t in right.itertuples():
                 model = np.stack(t.frames).astype(float)
-                out.append((t.template_id, *signal.block_scores(amp[:, t.lo - 1 : t.hi], int(idx[0]), first, len(times), model, method), len(model)))
+                out.append((t.template_id, *signal.block_scores(block_of, int(idx[0]), first, len(times), model, t.lo, t.hi, method), len(model)))
         return _raw(key[0], out, first, times) if out else _raw("", [("", np.zeros(0), np.zeros(0, bool), 0)], 1, np.zeros(0))
 
     return finished(dealt.groupBy("file", "block").cogroup(asked.groupBy("of_file", "of_block")).applyInPandas(score, RAW_SCHEMA), method)
 
 
-def score_blocks(blocks: DataFrame, templates: dict[str, tuple[np.ndarray, int, int]], method: str) -> DataFrame:
-    """Block scores of blocks (file, template_ids, first, own_first, times, n_bins, amp) with templates {id: (frames, lo, hi)}.
+def score_blocks(blocks: DataFrame, templates: dict[str, tuple[np.ndarray, int, int]], method: str, block: int = BLOCK) -> DataFrame:
+    """Block scores of wav.frame_blocks (path, wl, ovlp, block, n_frames, file, template_ids, and top for dtw) with templates {id: (frames, lo, hi)}.
 
-    amp: the frames' bins as the bytes of 64-bit floats. The templates are sent to the executors once.
+    A task reads the samples of its block's frames and of as many neighbours as its longest template needs, transforms
+    them, and scores all templates of the block: samples and spectrograms are never shuffled. Correlations don't depend
+    on a recording's level, so they need no pass that finds it. The templates are sent to the executors once.
     """
     _check(method, min((len(m) for m, _, _ in templates.values()), default=2))
     told = blocks.sparkSession.sparkContext.broadcast(templates)
 
     def run(batches):
+        readers = wav.Readers()
         for pdf in batches:
             for r in pdf.itertuples():
-                amp = np.frombuffer(r.amp).reshape(-1, r.n_bins)
-                for name in r.template_ids:
-                    if name in told.value:
-                        model, lo, hi = told.value[name]
-                        scores, window = signal.block_scores(amp[:, lo - 1 : hi], r.first, r.own_first, len(r.times), model, method)
-                        yield _raw(r.file, [(name, scores, window, len(model))], r.own_first, np.asarray(r.times))
-
-    return blocks.mapInPandas(run, RAW_SCHEMA)
+                own = [(name, *told.value[name]) for name in r.template_ids if name in told.value]
+                if not own:
+                    continue
+                reach = max(len(m) for _, m, _, _ in own)
+                first, end = int(r.block), int(min(r.block + block, r.n_frames))
+                low = max(0, first - reach)
+                reader, h = readers(r.path)
+                times, amp = wav.block_amplitudes(reader, h, low, int(min(end + reach, r.n_frames)), int(r.wl), float(r.ovlp))
+                windows = signal.Windows(signal.levels(amp, 1.0 if method == "cor" else r.top))
+                times = times[first - low : end - low]
+                for name, model, lo, hi in own:
+                    scores, there = signal.block_scores(windows, low + 1, first + 1, len(times), model, lo, hi, method)
+                    yield _raw(r.file, [(name, scores, there, len(model))], first + 1, times)
+
+    return wav.dealt(blocks).mapInPandas(run, RAW_SCHEMA)
 
 
 def sliding_correlation(frames: DataFrame, template: list[list[float]], lo: int, hi: int) -> DataFrame:

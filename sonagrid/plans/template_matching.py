@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid, matching, peaks
 from ..schemas import DETECTIONS
+from ..shared import written
 from ..sources import wav
 
 
@@ -23,11 +26,12 @@ def template_models(pairs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def run_matching(spark: SparkSession, pairs: DataFrame, files: DataFrame, score_method: str = "cor", buffer_size: int | str = "template", min_score: float | None = None, min_quant: float | None = None, top_n: int | None = None, output: str = "detections") -> DataFrame:
-    """Detections (or scores) of the grid's pairs. files: (path, content) of recordings and templates.
+    """Detections (or scores) of the grid's pairs. files: (path) of recordings and templates.
 
     A recording's spectrogram is made once for each window setting in its pairs, in blocks of frames; the templates,
     cropped to their band, are sent to the executors (TOLD_BYTES of them a pass; usually there is one pass), and every
-    pair is scored once, whatever the templates' lengths. Templates of fewer than two frames have no scores.
+    pair is scored once, whatever the templates' lengths. Templates of fewer than two frames have no scores. The shuffle
+    that scoring needs has a row a block.
     """
     peaks.check_parameters(min_score, min_quant, top_n, buffer_size)
     wl, ovlp = F.col("template_wl").cast("int"), F.col("template_ovlp").cast("double")
@@ -37,8 +41,11 @@ def run_matching(spark: SparkSession, pairs: DataFrame, files: DataFrame, score_
     part: dict[str, tuple[np.ndarray, int, int]] = {}
     size = 0
 
+    blocks = written(wav.frame_blocks(files.select("path").join(asked, "path")), "frame-blocks")
+    if score_method == "dtw":
+        blocks = written(blocks.join(wav.tops(blocks), ["path", "wl", "ovlp"]), "frame-blocks")
+
     def scored() -> DataFrame:
-        blocks = wav.spectrogram_blocks(files, asked, matching.BLOCK, max(len(m) for m, _, _ in part.values()))
         return matching.score_blocks(blocks, dict(part), score_method)
 
     for r in template_models(pairs, files).toLocalIterator():  # a template at a time
@@ -67,6 +74,9 @@ def run_matching(spark: SparkSession, pairs: DataFrame, files: DataFrame, score_
 
 def template_matching(spark: SparkSession, soundscapes_path: str, templates_path: str, recursive_soundscapes: bool = True, recursive_templates: bool = False, **parameters) -> DataFrame:
     """Everything from two folders: metadata of both, the grid, and its detections."""
-    sounds, cuts = wav.listing(spark, soundscapes_path, recursive_soundscapes), wav.listing(spark, templates_path, recursive_templates)
-    pairs = grid.match_grid(wav.soundscape_metadata(sounds), wav.template_metadata(cuts))
-    return run_matching(spark, pairs, sounds.select("path", "content").union(cuts.select("path", "content")), **parameters)
+    sounds, cuts = wav.listing(spark, soundscapes_path, recursive_soundscapes, needed=True), wav.listing(spark, templates_path, recursive_templates, needed=True)
+    known, shapes = written(wav.soundscape_metadata(sounds), "soundscapes"), written(wav.template_metadata(cuts), "templates")
+    dropped = sounds.count() - known.count()
+    if dropped:
+        warnings.warn(f"{dropped} files under {soundscapes_path} can't be read as WAV; sources.wav.unreadable lists them", stacklevel=2)
+    return run_matching(spark, written(grid.match_grid(known, shapes), "grid"), sounds.select("path").union(cuts.select("path")), **parameters)

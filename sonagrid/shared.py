@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -85,3 +86,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a written table or file folder of this run."""
     p, fs = path_of(spark, path)
     fs.delete(p, True)
+
+
+def open_store(uri: str):
+    """pyarrow's file system and path for a URI as Spark writes it (not encoded), for use inside tasks."""
+    from pyarrow import fs
+
+    scheme, there, rest = uri.partition("://")
+    if not there or scheme == "file":
+        return fs.LocalFileSystem(), os.path.abspath(rest if there else uri.removeprefix("file:"))
+    authority, _, path = rest.partition("/")
+    store, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return store, f"{root.rstrip('/')}/{path}"

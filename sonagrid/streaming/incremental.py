@@ -11,7 +11,7 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def recordings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.[wW][aA][vV]").load(path).select("path", "length", "content")
+    return spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.[wW][aA][vV]").load(path).select("path", "length")
 
 
 def append_metadata(spark: SparkSession, path: str, output: str, checkpoint: str) -> StreamingQuery:

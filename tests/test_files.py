@@ -1,18 +1,41 @@
 """Files in and out: WAV, ROI tables, whole runs over synthetic recordings, streams."""
 
+import io
+import os
+import struct
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sonagrid.functions import signal
 from sonagrid.operators import rois
 from sonagrid.plans.template_matching import template_matching
 from sonagrid.schemas import ROIS
-from sonagrid.sources import tables, wav
+from sonagrid.sources import tables, wav, wav_format
 from sonagrid.streaming import incremental
 
 RATE = 8000
 
 
+def cut_of(data, start, end):
+    reader = wav.RangeReader(io.BytesIO(data), len(data))
+    return wav.cut(reader, wav.read_header(reader), start, end)
+
+
+def aligned(scores, n_frames, sw):
+    """Scores of windows brought to frames, others at the lowest: the score of the window whose middle is frame c (from 1) stands at c - 1."""
+    low = np.nanmin(scores) if len(scores) and not np.isnan(scores).all() else 0.0
+    return np.concatenate([np.full(sw // 2 - 1, low), np.nan_to_num(scores, nan=low), np.full(sw - sw // 2, low)])[:n_frames]
+
+
+def sliding_dtw(x, template):
+    d = signal.warping_distances(x, template)
+    return 1 - d / d.max() if len(d) and d.max() > 0 else np.ones(len(d))
+
+
 def chirp(seconds, low, high):
     t = np.arange(int(seconds * RATE)) / RATE
     return 8000 * np.sin(2 * np.pi * (low * t + (high - low) * t * t / (2 * seconds)))
@@ -66,7 +89,7 @@ def test_one_scoring_for_all_lengths(spark, folder):
     from sonagrid.plans.template_matching import run_matching
 
     sounds, cuts = wav.listing(spark, str(folder / "soundscapes")), wav.listing(spark, str(more))
-    files = sounds.select("path", "content").union(cuts.select("path", "content"))
+    files = sounds.select("path").union(cuts.select("path"))
     pairs = grid.match_grid(wav.soundscape_metadata(sounds), wav.template_metadata(cuts))
     both = run_matching(spark, pairs, files, min_quant=0.5)
     kernels = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInPandas")
@@ -89,7 +112,7 @@ def test_blocks_give_the_scores_of_whole_recordings(spark, method):
     got = {}
     for r in matching.match_scores(frames, pairs, method, block=10).collect():
         got.setdefault((r["file"], r["template_id"]), []).append((r["frame_idx"], r["score"]))
-    kernel = signal.sliding_pearson if method == "cor" else signal.sliding_dtw
+    kernel = signal.sliding_pearson if method == "cor" else sliding_dtw
     for f, x in amp.items():
         for t, (m, lo, hi) in models.items():
             scores = kernel(x[:, lo - 1 : hi], m)
@@ -98,7 +121,7 @@ def test_blocks_give_the_scores_of_whole_recordings(spark, method):
                 continue
             found = sorted(got[f, t])
             assert [i for i, _ in found] == list(range(1, len(x) + 1))
-            assert np.allclose([s for _, s in found], signal.aligned(scores, len(x), len(m)), atol=1e-9)
+            assert np.allclose([s for _, s in found], aligned(scores, len(x), len(m)), atol=1e-9)
 
 
 def test_headers_of_odd_files(spark, tmp_path):
@@ -124,9 +147,9 @@ def test_cuts_keep_channels_and_depth(bits):
     data = wav.encode(x, RATE, bits)
     back, h = wav.decode(data, channel=None)
     assert (back == x).all() and (h["bits"], h["channels"]) == (bits, 2)
-    part, h = wav.decode(wav.cut(data, 0.01, 0.05), channel=None)
+    part, h = wav.decode(cut_of(data, 0.01, 0.05), channel=None)
     assert (part == x[80:400]).all() and (h["bits"], h["channels"], h["rate"]) == (bits, 2, RATE)
-    assert (wav.decode(data, channel=1)[0] == x[:, 1]).all() and len(wav.decode(wav.cut(data, 5, 6))[0]) == 0
+    assert (wav.decode(data, channel=1)[0] == x[:, 1]).all() and len(wav.decode(cut_of(data, 5, 6))[0]) == 0
 
 
 def test_round_trips_and_ranges():
@@ -154,6 +177,171 @@ def test_cuts(spark, folder, tmp_path):
     assert len(wav.decode(data)[0]) == RATE // 2
 
 
+def rf64(samples):
+    """A file whose sizes stand in a ds64 chunk."""
+    body = np.asarray(samples).astype("<i2").tobytes()
+    return b"RF64\xff\xff\xff\xffWAVEds64" + struct.pack("<IQQQI", 28, 72 + len(body), len(body), len(samples), 0) + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE * 2, 2, 16) + b"data\xff\xff\xff\xff" + body
+
+
+def extensible(code, data, bits):
+    fmt = struct.pack("<HHIIHHHHIH", 0xFFFE, 1, RATE, RATE * bits // 8, bits // 8, bits, 22, bits, 4, code) + bytes.fromhex("000000001000800000aa00389b71")
+    return b"RIFF" + struct.pack("<I", 60 + len(data)) + b"WAVEfmt " + struct.pack("<I", 40) + fmt + b"data" + struct.pack("<I", len(data)) + data
+
+
+def test_formats(spark, tmp_path):
+    x = np.arange(-400, 400) / 500
+    whole = np.arange(-400, 400)
+    files = {
+        "float32": wav.encode_float(x, RATE), "float64": wav.encode_float(x, RATE, 64), "ext_float": extensible(3, x.astype("<f4").tobytes(), 32), "ext_pcm": extensible(1, whole.astype("<i2").tobytes(), 16),
+        "rf64": rf64(whole), "stream": wav.encode(whole, RATE)[:40] + b"\xff\xff\xff\xff" + whole.astype("<i2").tobytes(), "bad_ext": extensible(7, bytes(800), 16), "mu_law": wav.encode(whole, RATE).replace(struct.pack("<HH", 1, 1), struct.pack("<HH", 7, 1), 1),
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name} å.wav").write_bytes(data)
+        if name in ("bad_ext", "mu_law"):
+            with pytest.raises(ValueError):
+                wav.decode(data)
+            continue
+        got, h = wav.decode(data)
+        assert np.allclose(got, whole if h["bits"] == 16 else x, atol=1e-7) and h["n"] == 800
+        back, g = wav.decode(cut_of(data, 0.01, 0.05))
+        assert (back == got[80:400]).all() and g["float"] == h["float"] and g["bits"] == h["bits"]
+    listed = wav.listing(spark, str(tmp_path))
+    assert sorted(r["soundscape_file"].split()[0] for r in wav.soundscape_metadata(listed).collect()) == sorted(set(files) - {"bad_ext", "mu_law"})
+    assert sorted(r["path"].split("/")[-1].split()[0] for r in wav.unreadable(listed).collect()) == ["bad_ext", "mu_law"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        wav.listing(spark, str(tmp_path / "none"), needed=True)
+
+
+def test_source_reads_ranges_only(spark, tmp_path):
+    x = np.arange(-30_000, 30_000)
+    (tmp_path / "a.wav").write_bytes(wav.encode(x, RATE))
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "b.WAV").write_bytes(wav.encode_float(x[:9000] / 70_000, RATE))
+    (tmp_path / "c.wav").write_bytes(b"RIFF0000")
+    wav_format.register(spark)
+    heads = {r["path"].rpartition("/")[2]: tuple(r)[2:] for r in spark.read.format("wav").load(str(tmp_path)).collect()}
+    assert heads == {"a.wav": (60_000, RATE, 16, 1, False), "b.WAV": (9000, RATE, 32, 1, True)}
+    assert {r["path"] for r in spark.read.format("wav").load(str(tmp_path)).collect()} <= {r["path"] for r in wav.listing(spark, str(tmp_path)).collect()}
+    for size in (5_000, 64 << 20):  # byte ranges that cut blocks, and one for all
+        blocks = spark.read.format("wav").options(read="samples", block=1000, range=size).load(str(tmp_path)).filter("path like '%a.wav'").orderBy("first").collect()
+        assert np.array_equal(np.concatenate([r["samples"] for r in blocks]), x) and [r["first"] for r in blocks] == list(range(0, 60_000, 1000))
+    some = spark.read.format("wav").options(read="samples", block=1000).load(str(tmp_path)).filter("start_time < 1.0 and end_time > 0.5 and path like '%a.wav'")
+    assert sorted(r["first"] for r in some.select("first").collect()) == [4000, 5000, 6000, 7000]
+    # what is read: a page for a header, a window of time for its blocks
+    big = tmp_path / "big.wav"
+    with open(big, "wb") as f:
+        f.write(wav.encode(np.zeros(0), RATE)[:40] + struct.pack("<I", 3 << 30))
+        f.truncate(44 + (3 << 30))  # over 2 GB, sparse
+    reader = wav_format.WavReader({"path": str(big.parent)})
+    list(reader.pushFilters([wav_format.EqualTo(("path",), f"file:{big}")]))
+    part, = reader.partitions()
+    assert [r[2] for r in reader.read(part)] == [3 << 29] and reader.n_bytes <= 4096
+    reader = wav_format.WavReader({"path": str(big.parent), "read": "samples", "block": "8000"})
+    list(reader.pushFilters([wav_format.EqualTo(("path",), f"file:{big}"), wav_format.GreaterThan(("end_time",), 100_000.5), wav_format.LessThan(("start_time",), 100_001.5)]))
+    found = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[2] for r in found] == [100_000 * RATE, 100_001 * RATE] and reader.n_bytes < 300_000  # 48 ranges' headers and two seconds
+    metadata = wav.soundscape_metadata(wav.listing(spark, str(tmp_path))).filter("soundscape_file = 'big.wav'").collect()
+    assert metadata[0]["soundscape_duration"] == (3 << 29) / RATE
+
+
+@pytest.mark.parametrize("method", ["cor", "dtw"])
+def test_blocks_of_files_give_whole_scores(spark, folder, tmp_path, monkeypatch, method):
+    """Small blocks of a recording score as the whole one, also in the transform domain."""
+    from sonagrid.operators import grid, matching
+    from sonagrid.plans.template_matching import run_matching
+
+    sounds, cuts = wav.listing(spark, str(folder / "soundscapes")), wav.listing(spark, str(folder / "templates"))
+    pairs = grid.match_grid(wav.soundscape_metadata(sounds), wav.template_metadata(cuts))
+    files = sounds.select("path").union(cuts.select("path"))
+    got = {}
+    for r in run_matching(spark, pairs, files, method, output="scores").collect():
+        got.setdefault(r["file"].split("|")[0], []).append((r["frame_idx"], r["time_vec"], r["score"]))
+    t = (folder / "templates" / "a_001.000-001.500s_00.800-02.700kHz_256wl_50ovlp_call.wav").read_bytes()
+    db = lambda data: (lambda a: signal.levels(a, a.max()))(signal.spectrogram(wav.decode(data)[0], RATE, 256, 50)[2])
+    lo, hi = int(np.ceil(0.8 / (RATE / 256 / 1000))), int(np.floor(2.7 / (RATE / 256 / 1000))) + 1
+    model = db(t)[:, lo:hi]
+    for path, rows in got.items():
+        amp = db(open(path.removeprefix("file:"), "rb").read())[:, lo:hi]
+        scores = aligned((signal.sliding_pearson if method == "cor" else sliding_dtw)(amp, model), len(amp), len(model))
+        assert np.allclose([s for *_, s in sorted(rows)], scores, atol=1e-9) and len(rows) == len(amp)
+    blocks = wav.frame_blocks(sounds.select("path", F.lit(256).alias("wl"), F.lit(50.0).alias("ovlp"), F.col("path").alias("file"), F.array(F.lit("t")).alias("template_ids")), 40)
+    if method == "dtw":
+        blocks = blocks.join(wav.tops(blocks, 40), ["path", "wl", "ovlp"])
+    small = {}
+    for r in matching.finished(matching.score_blocks(blocks, {"t": (model, lo + 1, hi)}, method, 40), method).collect():
+        small.setdefault(r["file"], []).append((r["frame_idx"], r["time_vec"], r["score"]))
+    assert set(small) == set(got)
+    for path, rows in small.items():
+        assert np.allclose(sorted(rows), sorted(got[path]), atol=1e-9)
+
+
+def test_transform_domain_equals_sums():
+    rng = np.random.default_rng(3)
+    x = -60 + 10 * rng.standard_normal((700, 40))
+    x[300:420] = -80.0  # windows without variance
+    for sw in (2, 63, 64, 65, 100, 128, 333, 700):
+        model = rng.random((sw, 11)) * 30 - 50
+        block, direct = signal.Windows(x), signal.Windows(x)
+        want = np.array([np.corrcoef(x[i : i + sw, 7:18].ravel(), model.ravel())[0, 1] if x[i : i + sw, 7:18].std() > 1e-9 else np.nan for i in range(700 - sw + 1)])
+        signal_frames, signal.FFT_FRAMES = signal.FFT_FRAMES, 2
+        try:
+            found = block.pearson(model, 7, 18)
+        finally:
+            signal.FFT_FRAMES = 10**9
+        try:
+            summed = direct.pearson(model, 7, 18)
+        finally:
+            signal.FFT_FRAMES = signal_frames
+        assert np.allclose(found, want, atol=1e-9, equal_nan=True) and np.allclose(summed, want, atol=1e-9, equal_nan=True)
+
+
+def test_an_hour_takes_little_memory(tmp_path):
+    """A worker that scores all blocks of an hour at 24 kHz against a template stays under 500 MB."""
+    path = tmp_path / "hour.wav"
+    with open(path, "wb") as f:
+        f.write(wav.encode(np.zeros(0), 24_000)[:40] + struct.pack("<I", 2 * 24_000 * 3600))
+        f.truncate(44 + 2 * 24_000 * 3600)
+    code = f"""
+import resource, numpy as np
+from sonagrid.sources import wav
+from sonagrid.functions import signal
+reader = wav.opened({str(path)!r}); h = wav.read_header(reader)
+n = signal.frame_count(h["n"], 1024, 70.0)
+for at in range(0, n, wav.BLOCK * 8):
+    t, amp = wav.block_amplitudes(reader, h, at, min(at + wav.BLOCK + 200, n), 1024, 70.0)
+    signal.Windows(signal.levels(amp, 1.0)).pearson(np.random.default_rng(1).random((100, 200)), 20, 220)
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(__file__))).stdout.split()[-2:])
+    assert n > 280_000 and mb < 500
+
+
+def test_sink_commits_once(spark, tmp_path):
+    """Two attempts of a task, and one that fails: one whole file a name, none of the failed."""
+    path = str(tmp_path / "out")
+    w = wav_format.WavWriter(path, overwrite=False)
+    rows = [{"cut_name": "a.wav", "content": b"abc"}, {"cut_name": "b.wav", "content": b"def"}]
+    w.write(iter(rows))  # an attempt whose executor was lost after writing
+
+    def breaks():
+        yield {"cut_name": "a.wav", "content": b"a"}
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        w.write(breaks())
+    assert [f for f in os.listdir(path) if f.endswith(".wav")] == []
+    w.commit([w.write(iter(rows)), None])
+    assert sorted(os.listdir(path)) == ["a.wav", "b.wav"] and (tmp_path / "out" / "a.wav").read_bytes() == b"abc"
+    again = wav_format.WavWriter(path, overwrite=False)
+    again.commit([again.write(iter([{"cut_name": "a.wav", "content": b"new"}]))])
+    assert (tmp_path / "out" / "a.wav").read_bytes() == b"abc" and sorted(os.listdir(path)) == ["a.wav", "b.wav"]
+    failed = wav_format.WavWriter(path, overwrite=True)
+    failed.write(iter([{"cut_name": "c.wav", "content": b"new"}]))
+    failed.abort([])
+    assert sorted(os.listdir(path)) == ["a.wav", "b.wav"]
+
+
 def test_roi_tables(spark, tmp_path):
     (tmp_path / "x_roi_u_20250101.csv").write_text('"roi_label","roi_start","roi_end","roi_comment"\n"sp a",1.5,2,"NA"\n"b, c",NA,3,"say ""hi"""\n')
     (tmp_path / "y_roi_u_20250101.csv").write_text('"","roi_end","roi_label"\n"1",9.5,"d"\n')
