@@ -1,7 +1,7 @@
 """Threshold diagnostics of validated detections, for all templates at once.
 
-Rows: (template_name, peak_score, validation in TP, FP, FN). Curves are grouped counts and running sums; a template's
-distinct scores, not its detections, are what a window sorts.
+Rows: (template_name, peak_score, validation in TP, FP, FN). Curves are grouped counts and running sums over a template's
+distinct scores, in two levels (prefix), so that a template with any share of the rows is many tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import metrics
+from . import prefix
 
 KEY = "template_name"
 
@@ -27,8 +28,7 @@ def roc_curve(validated: DataFrame) -> DataFrame:
     """tp, fp, tn, fn at each distinct score as threshold; missed ROIs count as fn everywhere."""
     scored = validated.filter(F.col("validation").isin("TP", "FP") & F.col("peak_score").isNotNull())
     at = scored.groupBy(KEY, "peak_score").agg(F.count_if(F.col("validation") == "TP").alias("t"), F.count_if(F.col("validation") == "FP").alias("f"))
-    run = Window.partitionBy(KEY).orderBy(F.desc("peak_score")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = at.withColumn("tp", F.sum("t").over(run)).withColumn("fp", F.sum("f").over(run)).join(totals(validated), KEY)
+    curve = prefix.running(at, [KEY], [F.desc("peak_score")], {"tp": F.col("t"), "fp": F.col("f")}).join(totals(validated), KEY)
     counts = curve.select(KEY, "peak_score", "tp", "fp", (F.col("n_fp") - F.col("fp")).alias("tn"), (F.col("n_tp") - F.col("tp") + F.col("n_fn")).alias("fn"))
     return with_metrics(counts)
 
@@ -67,8 +67,8 @@ def curves(validated: DataFrame, least: int = 4) -> DataFrame:
 
 def area(curve: DataFrame, x: Column, y: Column, name: str) -> DataFrame:
     """The trapezoidal area under y over x of each template in descending order of thresholds, 3 decimals."""
-    order = Window.partitionBy(KEY).orderBy(F.desc("peak_score"))
-    steps = curve.select(KEY, x.alias("x"), y.alias("y"), F.lead(x).over(order).alias("x2"), F.lead(y).over(order).alias("y2"))
+    points = curve.select(KEY, "peak_score", x.alias("x"), y.alias("y"))
+    steps = prefix.running(points, [KEY], [F.desc("peak_score")], leads={"x2": F.col("x"), "y2": F.col("y")})
     return steps.groupBy(KEY).agg(F.round(F.sum((F.col("x2") - F.col("x")) * (F.col("y") + F.col("y2")) / 2), 3).alias(name))
 
 
@@ -161,3 +161,33 @@ def score_histogram(validated: DataFrame, n_bins: int = 20) -> DataFrame:
     """Counts of density_rows in equal bins of the scores from 0 to 1; scores outside fall into the ends."""
     i = F.least(F.greatest(F.floor(F.col("peak_score") * n_bins), F.lit(0)), F.lit(n_bins - 1)).cast("int")
     return density_rows(validated).groupBy(KEY, "class", i.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def score_density(validated: DataFrame, n_grid: int = 512, n_bins: int = 1024) -> DataFrame:
+    """(template_name, class, i, score, density) of density_rows: Gaussian kernel densities on n_grid points.
+
+    The bandwidth is the rule of thumb: 0.9 times the smaller of the standard deviation and the interquartile range over
+    1.34, times n to the power -1/5; where the smaller is 0 the other, else the size of the first score, else 1 stands
+    for it. Points go from three bandwidths below the least score to three above the greatest. Scores are binned
+    linearly first: each gives its weight to the two nearest of n_bins points, so the kernel is summed over points, not
+    over rows. Everything is grouped sums; a class is n_bins rows at most, whatever its scores. Quartiles are those of
+    Spark's percentile. A class of fewer than two scores has no density.
+    """
+    rows = density_rows(validated).filter(F.col("peak_score").isNotNull())
+    keys = [KEY, "class"]
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp("peak_score").alias("sd"), F.percentile("peak_score", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min("peak_score").alias("low"), F.max("peak_score").alias("high"))
+    iqr = (F.col("q")[1] - F.col("q")[0]) / 1.34
+    least = F.least("sd", iqr)
+    scale = F.when(least > 0, least).when(F.col("sd") > 0, F.col("sd")).when(F.col("low") != 0, F.abs("low")).otherwise(1.0)
+    grid = stats.filter("n > 1").withColumn("bw", 0.9 * scale * F.pow(F.col("n"), F.lit(-0.2))).select(*keys, "n", "bw", (F.col("low") - 3 * F.col("bw")).alias("left"), (F.col("high") + 3 * F.col("bw")).alias("right"))
+    step = (F.col("right") - F.col("left")) / (n_bins - 1)
+    place = (F.col("peak_score") - F.col("left")) / step
+    at = F.least(F.floor(place), F.lit(n_bins - 2))
+    near = rows.join(F.broadcast(grid), keys).select(*keys, F.explode(F.array(F.struct(at.alias("j"), (at + 1 - place).alias("w")), F.struct((at + 1).alias("j"), (place - at).alias("w")))).alias("x"))
+    binned = near.groupBy(*keys, "x.j").agg(F.sum("x.w").alias("w")).join(F.broadcast(grid), keys)
+    points = binned.withColumn("x", F.col("left") + F.col("j") * step).groupBy(*keys).agg(F.collect_list(F.struct("x", "w")).alias("points"))  # n_bins at most
+    spread = grid.join(points, keys).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i"))
+    score = F.col("left") + F.col("i") * (F.col("right") - F.col("left")) / (n_grid - 1)
+    kernel = lambda p: p["w"] * F.exp(-F.pow((F.col("score") - p["x"]) / F.col("bw"), 2) / 2)
+    total = F.aggregate(F.transform("points", kernel), F.lit(0.0), lambda s, v: s + v)
+    return spread.withColumn("score", score).select(*keys, "i", "score", (total / (F.col("n") * F.col("bw") * (2 * np.pi) ** 0.5)).alias("density"))

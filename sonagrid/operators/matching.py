@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal
+from ..shared import join_hot, written
 from ..sources import wav
 
 RAW_SCHEMA = "file string, template_id string, frame_idx int, time_vec double, score double, has_window boolean, score_sliding_window int"
@@ -37,16 +38,19 @@ def finished(raw: DataFrame, method: str) -> DataFrame:
     """(file, template_id, frame_idx, time_vec, score, score_sliding_window) of block scores, by their pairs' series.
 
     Distances become 1 - d / the longest. Frames without a score get the series' lowest (0 without any); a series
-    without a window has no rows.
+    without a window has no rows. raw is read twice: give a table. What holds for a series is a grouped aggregate, so
+    a long series is not one task's.
     """
-    pair = Window.partitionBy("file", "template_id")
-    score = F.col("score")
+    keys = ["file", "template_id"]
+    stats = raw.groupBy(*keys).agg(F.count("*").alias("n"), F.max("has_window").alias("some"), F.min("score").alias("low"), F.max("score").alias("top"))
+    stats = written(stats, "series")  # a row a pair
+    total = stats.agg(F.sum("n")).first()[0] or 0
+    out = join_hot(raw, stats, keys, "n", total).filter("some")
+    score, low = F.col("score"), F.col("low")
     if method == "dtw":
-        top = F.max("score").over(pair)
-        score = F.when(score.isNotNull(), F.when(top > 0, 1 - score / top).otherwise(1.0))
-    out = raw.withColumn("some", F.max("has_window").over(pair)).withColumn("score", score).filter("some")
-    low = F.coalesce(F.min("score").over(pair), F.lit(0.0))
-    return out.withColumn("score", F.coalesce("score", low)).select("file", "template_id", "frame_idx", "time_vec", "score", "score_sliding_window")
+        scaled = lambda d: F.when(F.col("top") > 0, 1 - d / F.col("top")).otherwise(1.0)
+        score, low = F.when(score.isNotNull(), scaled(score)), F.when(F.col("top").isNotNull(), scaled(F.col("top")))
+    return out.withColumn("score", F.coalesce(score, low, F.lit(0.0))).select(*keys, "frame_idx", "time_vec", "score", "score_sliding_window")
 
 
 def _check(method: str, sw: int) -> None:
@@ -84,7 +88,7 @@ def match_scores(frames: DataFrame, pairs: DataFrame, method: str = "cor", block
                 out.append((t.template_id, *signal.block_scores(block_of, int(idx[0]), first, len(times), model, t.lo, t.hi, method), len(model)))
         return _raw(key[0], out, first, times) if out else _raw("", [("", np.zeros(0), np.zeros(0, bool), 0)], 1, np.zeros(0))
 
-    return finished(dealt.groupBy("file", "block").cogroup(asked.groupBy("of_file", "of_block")).applyInPandas(score, RAW_SCHEMA), method)
+    return finished(written(dealt.groupBy("file", "block").cogroup(asked.groupBy("of_file", "of_block")).applyInPandas(score, RAW_SCHEMA), "block-scores"), method)
 
 
 def score_blocks(blocks: DataFrame, templates: dict[str, tuple[np.ndarray, int, int]], method: str, block: int = BLOCK) -> DataFrame:

@@ -2,52 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+from . import prefix
+
 #: The notes of the output contract, spelled as existing tables have them.
 NOTE_TP, NOTE_FP, NOTE_NO_ROI, NOTE_FN = "instersection with a ROI", "no intersection with a ROI", "no ROIs to intersect with", "no detections to intersect with"
 TEMPLATE_COLUMNS = ("template_path", "template_file", "template_name", "template_min_freq", "template_max_freq", "template_start", "template_end")
 
 
-#: Rows whose order keys the driver gets, to cut the order into ranges.
-SAMPLE = 5_000
+def numbered(df: DataFrame, name: str, *order: str, ranges: int = 0) -> DataFrame:
+    """Numbers rows from 1 by an order, nulls first. ranges: tasks that the order is cut into, by default as many as shuffle partitions."""
+    return prefix.numbered(df, name, *order, n=ranges)
 
 
-def numbered(df: DataFrame, name: str, *order: str, ranges: int = 0) -> DataFrame:
-    """Numbers rows from 1 by a unique order, nulls first.
+def overlap_pairs(detections: DataFrame, rois: DataFrame) -> DataFrame:
+    """(detection_id, template_file, species, roi_id): pairs of the same recording and species whose times meet, ends included.
 
-    The order is cut into ranges at the keys of a bounded sample; rows are counted by range, and numbered inside it
-    from the count of the ranges before. ranges: by default as many as shuffle partitions.
+    Times are cut into bins of the mean length of the longer side's intervals, so that all intervals together cover
+    twice their number of bins at most. Each interval is a row in each bin that it covers; recording, species and bin
+    are the join's keys, and a pair is made once, in the bin where the later of the two begins. So a recording of many
+    intervals isn't compared with itself as a whole.
     """
-    spark = df.sparkSession
-    n, total, key = ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), df.count(), F.struct(*order)
-    share = int(min(1.0, SAMPLE / max(total, 1)) * 1_000_000)
-    sample = df.filter(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < share).select(*order).orderBy(*order).collect()
-    cuts = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
-    types = [df.schema[c].dataType for c in order]
-    bounds = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, types, order, strict=True))) for cut in cuts))
-    part = F.size(F.filter(bounds, lambda b: b < key)) if cuts else F.lit(0)
-    placed = df.withColumn("range_of_row", part)
-    before, starts = 0, []
-    for r in sorted(placed.groupBy("range_of_row").count().collect()):  # a row a range
-        starts += [F.lit(r["range_of_row"]), F.lit(before)]
-        before += r["count"]
-    inside = F.row_number().over(Window.partitionBy("range_of_row").orderBy(*order))
-    start = F.create_map(*starts)[F.col("range_of_row")] if starts else F.lit(0)
-    return placed.withColumn(name, (start + inside).cast("long")).drop("range_of_row")
-
-
-def overlaps(detections: DataFrame, rois: DataFrame) -> DataFrame:
-    """Pairs of the same recording and species whose times meet, ends included.
-
-    The keys are equal columns, so pairs are made within a recording's species only.
-    """
-    d, r = detections.alias("d"), rois.alias("r")
-    same = (F.col("d.soundscape_file") == F.col("r.soundscape_file")) & (F.col("d.species") == F.col("r.species"))
-    meet = (F.col("d.detection_start") <= F.col("r.roi_end")) & (F.col("d.detection_end") >= F.col("r.roi_start"))
-    roi_columns = [F.col(f"r.{c}") for c in rois.columns if c.startswith("roi_")]
-    return d.join(r, same & meet).select("d.*", *roi_columns)
+    length = lambda df, a, b: df.agg(F.avg(F.abs(F.col(b) - F.col(a)))).first()[0] or 0.0
+    width = max(length(detections, "detection_start", "detection_end"), length(rois, "roi_start", "roi_end"), 1e-6)
+    at = lambda c: F.floor(F.col(c) / width)
+
+    def binned(df: DataFrame, a: str, b: str, *columns: str) -> DataFrame:
+        covered = F.sequence(F.least(at(a), at(b)), F.greatest(at(a), at(b)))
+        return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select("soundscape_file", "species", a, b, *columns, F.explode(covered).alias("bin"))
+
+    template = F.col("template_file") if "template_file" in detections.columns else F.lit(None).cast("string")
+    d = binned(detections.withColumn("template_file", template), "detection_start", "detection_end", "detection_id", "template_file")
+    r = binned(rois, "roi_start", "roi_end", "roi_id")
+    meet = (F.col("detection_start") <= F.col("roi_end")) & (F.col("detection_end") >= F.col("roi_start"))
+    once = F.col("bin") == F.floor(F.greatest("detection_start", "roi_start") / width)
+    return d.join(r, ["soundscape_file", "species", "bin"]).filter(meet & once).select("detection_id", "template_file", "species", "roi_id")
+
+
+def overlaps(detections: DataFrame, rois: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """overlap_pairs with the detections' and ROIs' columns. Ids tell rows apart."""
+    roi_columns = [c for c in rois.columns if c.startswith("roi_")]
+    pairs = (overlap_pairs(detections, rois) if pairs is None else pairs).select("detection_id", "roi_id")
+    return pairs.join(detections, "detection_id").join(rois.select(*roi_columns), "roi_id").select(*detections.columns, *roi_columns)
 
 
 def missing_species(detections: DataFrame, rois: DataFrame) -> DataFrame:
@@ -55,17 +54,17 @@ def missing_species(detections: DataFrame, rois: DataFrame) -> DataFrame:
     return detections.select("species").distinct().join(rois.select("species").distinct(), "species", "left_anti")
 
 
-def true_positives(detections: DataFrame, rois: DataFrame) -> DataFrame:
+def true_positives(detections: DataFrame, rois: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """One row a detection that meets a ROI; of several ROIs that of the smallest id."""
-    least = F.min(F.struct("roi_id", *[F.col(c) for c in rois.columns if c.startswith("roi_") and c != "roi_id"])).alias("roi")
-    keys = [c for c in detections.columns]
-    return overlaps(detections, rois).groupBy(*keys).agg(least).select(*keys, "roi.*")
+    pairs = overlap_pairs(detections, rois) if pairs is None else pairs
+    return overlaps(detections, rois, pairs.groupBy("detection_id").agg(F.min("roi_id").alias("roi_id")))
 
 
-def false_positives(detections: DataFrame, rois: DataFrame) -> DataFrame:
+def false_positives(detections: DataFrame, rois: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Detections of known species that meet no ROI, with validation_note."""
+    pairs = overlap_pairs(detections, rois) if pairs is None else pairs
     known = detections.join(rois.select("species").distinct(), "species", "left_semi")
-    free = known.join(overlaps(detections, rois).select("detection_id").distinct(), "detection_id", "left_anti")
+    free = known.join(pairs.select("detection_id").distinct(), "detection_id", "left_anti")
     files = rois.select("soundscape_file", "species").distinct().withColumn("__file", F.lit(True))
     shared = detections.join(files, ["soundscape_file", "species"], "left_semi").select("species", "template_file").distinct().withColumn("__group", F.lit(True))
     noted = free.join(files, ["soundscape_file", "species"], "left").join(shared, ["species", "template_file"], "left")
@@ -74,27 +73,32 @@ def false_positives(detections: DataFrame, rois: DataFrame) -> DataFrame:
     return noted.select(*detections.columns, note.alias("validation_note"))
 
 
-def false_negatives(detections: DataFrame, rois: DataFrame, restrict_to_scanned: bool = False) -> DataFrame:
+def false_negatives(detections: DataFrame, rois: DataFrame, restrict_to_scanned: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """ROIs that no detection of a template meets, for each template of the species.
 
     A template without any recording in common with its species' ROIs has none. By default ROIs of recordings that were
     never scanned count as missed; restrict_to_scanned leaves them out.
     """
+    pairs = overlap_pairs(detections, rois) if pairs is None else pairs
     files = rois.select("soundscape_file", "species").distinct()
     templates = detections.join(files, ["soundscape_file", "species"], "left_semi")
     columns = [c for c in TEMPLATE_COLUMNS if c in detections.columns]
     per_template = templates.groupBy("species", "template_file").agg(F.count("*").alias("__n"), *(F.min(c).alias(c) for c in columns if c != "template_file")).drop("__n")
-    hits = overlaps(detections, rois).select("species", "template_file", "roi_id").distinct()
+    hits = pairs.select("species", "template_file", "roi_id").distinct()
     missed = rois.join(per_template, "species").join(hits, ["species", "template_file", "roi_id"], "left_anti")
     return missed.join(detections.select("soundscape_file").distinct(), "soundscape_file", "left_semi") if restrict_to_scanned else missed
 
 
 def validate_by_overlap(detections: DataFrame, rois: DataFrame, validation_user: str, validation_time: str | None = None, restrict_to_scanned: bool = False) -> DataFrame:
-    """TP, FP and FN rows. detections need detection_id and species, rois roi_id and species; missing columns are null."""
+    """TP, FP and FN rows. detections need detection_id and species, rois roi_id and species; missing columns are null.
+
+    The pairs that meet are found once, as a written table, from which all three kinds of rows follow.
+    """
     if not validation_user:
         raise ValueError("validation_user is needed")
-    tp = true_positives(detections, rois).withColumn("validation", F.lit("TP")).withColumn("validation_note", F.lit(NOTE_TP))
-    fp = false_positives(detections, rois).withColumn("validation", F.lit("FP"))
-    fn = false_negatives(detections, rois, restrict_to_scanned).withColumn("validation", F.lit("FN")).withColumn("validation_note", F.lit(NOTE_FN))
+    pairs = written(overlap_pairs(detections, rois), "overlaps")
+    tp = true_positives(detections, rois, pairs).withColumn("validation", F.lit("TP")).withColumn("validation_note", F.lit(NOTE_TP))
+    fp = false_positives(detections, rois, pairs).withColumn("validation", F.lit("FP"))
+    fn = false_negatives(detections, rois, restrict_to_scanned, pairs).withColumn("validation", F.lit("FN")).withColumn("validation_note", F.lit(NOTE_FN))
     out = tp.unionByName(fp, allowMissingColumns=True).unionByName(fn, allowMissingColumns=True)
     return out.withColumn("validation_user", F.lit(validation_user)).withColumn("validation_time", F.lit(validation_time).cast("string"))

@@ -13,6 +13,7 @@ from ..functions import names
 from ..operators import diagnostics as dg
 from ..operators import acoustics, grid, matching, peaks, review, rois, validation, views
 from ..schemas import DETECTIONS
+from ..shared import written
 from . import standins as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,7 +229,7 @@ def _peaks(spark, d, **k):
 @query(f"WITH {_CELLS}, {_peaks_sql('padded', 'file', 20, 20, 10)} SELECT file, detection_start, detection_end, frame_idx AS peak_index, round(score, 6) AS peak_score, peak_quant FROM peaks WHERE peak_quant >= 0.5")
 def template_detections(spark, d):
     """The flagship: correlation of a template with every recording, aligned to frames, and its peaks."""
-    series = matching.padded(*_correlation(spark, d), st.TEMPLATE["n"])
+    series = written(_kernel(spark, d, "cor").select("file", "frame_idx", "time_vec", F.round("score", 9).alias("score")), "scores")
     return peaks.score_peaks(series, ["file"], sw=st.TEMPLATE["n"], min_quant=0.5).select("file", "detection_start", "detection_end", "peak_index", F.round("peak_score", 6).alias("peak_score"), "peak_quant")
 
 
@@ -249,7 +250,8 @@ def peak_bounds(spark, d):
 
 @query(f"WITH {st.SCORES} SELECT pair_id, frame_idx, round(cume_dist() OVER (PARTITION BY pair_id ORDER BY score), 3) AS quant FROM scores")
 def score_ecdf(spark, d):
-    return peaks.marked(st.scores(spark, d), ["pair_id"], 10).select("pair_id", "frame_idx", F.col("peak_quant").alias("quant"))
+    scores = st.scores(spark, d)
+    return peaks.with_quantiles(scores, scores, ["pair_id"]).select("pair_id", "frame_idx", F.col("peak_quant").alias("quant"))
 
 
 @query(f"WITH {_PEAKS} SELECT pair_id, frame_idx AS peak_index, score AS peak_score, 0.25::DOUBLE AS detection_min_score FROM peaks WHERE score >= 0.25")

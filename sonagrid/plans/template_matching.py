@@ -62,7 +62,7 @@ def run_matching(spark: SparkSession, pairs: DataFrame, files: DataFrame, score_
     raw = found[0] if found else spark.createDataFrame([], matching.RAW_SCHEMA)
     for more in found[1:]:
         raw = raw.union(more)
-    scores = matching.finished(raw, score_method)
+    scores = matching.finished(written(raw, "block-scores"), score_method)
     if output == "scores":
         return scores
     hits = peaks.score_peaks(scores, ["file", "template_id"], "score_sliding_window", buffer_size, min_score, min_quant, top_n)
