@@ -18,6 +18,11 @@ def decibels(amplitude: Column) -> Column:
     return F.when(amplitude > 0, 20 * F.log10(amplitude)).when(amplitude == 0, F.lit(float("-inf")))
 
 
+def full_scale(amplitude: Column, bits: Column) -> Column:
+    """Decibels below the loudest that samples of that depth can be: amplitudes of whole-number samples, over 2 ** (bits - 1)."""
+    return decibels(amplitude / F.pow(F.lit(2.0), bits - 1))
+
+
 def quantised(db: Column, low: float, high: float, n_colors: int) -> Column:
     """The colour of a level, 1 to n_colors: equal steps over [low, high], levels outside at the ends."""
     clamped = F.least(F.greatest(db, F.lit(low)), F.lit(high))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefix
 
 
 def review_subset(df: DataFrame, template: str, low: float, high: float, kinds: tuple[str, ...]) -> DataFrame:
@@ -28,10 +28,20 @@ def top_with_ties(df: DataFrame, n: int, by: list[str] | None = None, score: str
     return df.join(F.broadcast(nth), F.col(score) >= F.col("__nth")).drop("__nth")
 
 
+def shuffled(key: str, seed: int, *more: str) -> Column:
+    """A hash, as text, by which rows are put in a random order."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *map(F.lit, more), F.col(key).cast("string")).cast("binary"))
+
+
+def uniform(key: str, seed: int, *more: str) -> Column:
+    """A number from 0 up to 1, hashed from the key."""
+    return F.conv(F.substring(shuffled(key, seed, *more), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def ordered(df: DataFrame, *keys: tuple[str, bool], seed: int | None = None) -> DataFrame:
-    """Sorted by (column, ascending) keys, detection_id last; with a seed in a random order of its own."""
+    """Sorted by (column, ascending) keys, detection_id last; with a seed in a random order of its own, that of a hash of seed and id."""
     if seed is not None:
-        return df.orderBy(F.xxhash64(F.lit(seed), "detection_id"), "detection_id")
+        return df.orderBy(shuffled("detection_id", seed), "detection_id")
     return df.orderBy(*(F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in keys), "detection_id")
 
 
@@ -88,6 +98,11 @@ def without(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 ROI_KEYS = ["soundscape_file", "roi_user", "roi_label", "roi_input_timestamp"]
 
 
+def unsaved(current: DataFrame, saved: DataFrame) -> DataFrame:
+    """Reviews whose user, time and state the saved table doesn't have together."""
+    return without(current, saved, ["validation_user", "validation_time", "validation"])
+
+
 def path_lookup(df: DataFrame, paths: DataFrame, key: str, column: str) -> DataFrame:
     return rows_update(df, paths.dropDuplicates([key]), key, [column])
 
@@ -144,34 +159,21 @@ def balanced(df: DataFrame, method: str, label: str = "validation", key: str = "
 
 
 def rose(df: DataFrame, label: str = "validation", score: str = "peak_score", n: int | None = None, seed: int = 1, key: str = "detection_id") -> DataFrame:
-    """(label, score) by smoothed bootstrap: each class in equal numbers, drawn rows with normal noise of Silverman's width.
+    """(draw, label, score) by smoothed bootstrap: each class in equal numbers, drawn rows with normal noise of Silverman's width.
 
-    A row has a place in its class by the order of a hash: that of its bucket, which counts tell, and that inside it.
-    Draws are numbers of places, and meet their rows by a join.
+    Rows have a place in their class by the order of a hash, numbered in two levels. A draw names a class and a place,
+    hashed from its number, and meets its row by a join.
     """
-    rows = df.filter(F.col(score).isNotNull()).withColumn("rank", F.xxhash64(F.lit(seed), key)).select(F.col(label).alias("label"), F.col(score).alias("score"), key, "rank", _bucket(F.col("rank")).alias("bucket"))
+    rows = df.filter(F.col(score).isNotNull()).select(F.col(label).alias("label"), F.col(score).alias("score"), F.col(key).alias("key"))
     stats = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.stddev("score").alias("sd")).collect()}
     if len(stats) != 2 or min(r["n"] for r in stats.values()) < 2:
         raise ValueError("ROSE needs two classes of two rows at least")
-    total = n or sum(r["n"] for r in stats.values())
-    by_class: dict[str, list] = {name: [] for name in sorted(stats)}
-    for r in sorted(rows.groupBy("label", "bucket").count().collect()):
-        by_class[r["label"]].append((r["bucket"], r["count"]))
-    buckets = {name: (np.array([b for b, _ in x], np.int64), np.cumsum([0, *(c for _, c in x)])) for name, x in by_class.items()}
-    width = {name: float((r["sd"] or 0.0) * (4 / (3 * r["n"])) ** 0.2) for name, r in stats.items()}
-
-    def draw(batches):
-        for pdf in batches:
-            # numbers are hashed from the draw's own, so a draw is the same in every task
-            z = [pd.util.hash_array(pdf["id"].to_numpy() * 3 + i + (seed << 40)).astype(float) / 2**64 for i in range(3)]
-            names = np.array(list(buckets))[pdf["id"].to_numpy() % 2]
-            noise = np.sqrt(-2 * np.log(np.maximum(z[1], 1e-300))) * np.cos(2 * np.pi * z[2])
-            for name, (ids, starts) in buckets.items():
-                own = names == name
-                place = np.minimum((z[0][own] * starts[-1]).astype(np.int64), starts[-1] - 1)
-                at = np.searchsorted(starts, place, side="right") - 1
-                yield pd.DataFrame({"label": name, "bucket": ids[at], "place": place - starts[at] + 1, "noise": noise[own] * width[name]})
-
-    draws = df.sparkSession.range(total // 2 * 2).mapInPandas(draw, "label string, bucket long, place long, noise double")
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("label", "bucket").orderBy("rank", key)).cast("long"))
-    return draws.join(placed, ["label", "bucket", "place"]).select(F.col("label").alias(label), (F.col("score") + F.col("noise")).alias(score))
+    total = (n or sum(r["n"] for r in stats.values())) // 2 * 2
+    placed = prefix.running(rows, ["label"], [shuffled("key", seed).asc(), F.col("key").asc()], {"place": F.lit(1).cast("long")})
+    draws = df.sparkSession.range(total)
+    of = lambda f: F.when(F.col("id") % 2 == 0, F.lit(f(min(stats)))).otherwise(F.lit(f(max(stats))))
+    place = (F.floor(uniform("id", seed, "place") * of(lambda name: float(stats[name]["n"]))) + 1).cast("long")
+    width = of(lambda name: float((stats[name]["sd"] or 0.0) * (4 / (3 * stats[name]["n"])) ** 0.2))
+    noise = F.sqrt(-2 * F.log(F.greatest(uniform("id", seed, "radius"), F.lit(1e-300)))) * F.cos(2 * np.pi * uniform("id", seed, "angle")) * width
+    drawn = draws.select(F.col("id").alias("draw"), of(str).alias("label"), place.alias("place"), noise.alias("noise"))
+    return drawn.join(placed, ["label", "place"]).select("draw", F.col("label").alias(label), (F.col("score") + F.col("noise")).alias(score))

@@ -5,9 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import quantised
+from ..functions.metrics import decibels, full_scale, quantised
 from .peaks import marked
 
+#: Files whose largest amplitudes are told to every task; more are joined by a shuffle.
+TOLD_FILES = 1_000_000
+
+
+def spectro_levels(frames: DataFrame, norm: bool = True, bits: int = 16) -> DataFrame:
+    """frames (file, ..., amp) of raw amplitudes with amp in decibels: below the file's largest amplitude (norm) or below full scale.
+
+    A file's largest amplitude is a grouped maximum; an amplitude of 0 stands at minus infinity.
+    """
+    if not norm:
+        return frames.withColumn("amp", F.transform("amp", lambda v: full_scale(v.cast("double"), F.lit(bits))))
+    tops = frames.groupBy("file").agg(F.max(F.array_max("amp")).cast("double").alias("top_of_file"))
+    joined = frames.join(F.broadcast(tops) if tops.count() <= TOLD_FILES else tops, "file", "left")
+    level = lambda v: decibels(F.when(F.col("top_of_file") > 0, v.cast("double") / F.col("top_of_file")).otherwise(v.cast("double")))
+    return joined.withColumn("amp", F.transform("amp", level)).select(*frames.columns)
+
 
 def spectro_view(frames: DataFrame, rate: int, wl: int, tlim: tuple[float, float] | None = None, flim: tuple[float, float] | None = None, dyn_range: tuple[float, float] = (-80.0, 0.0), n_colors: int = 124, pitch_shift: float = 1.0) -> DataFrame:
     """(file, time, freq, level, color) of frames whose amp is in decibels.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as fm
 from ..functions import names
 from ..operators import diagnostics as dg
-from ..operators import acoustics, grid, matching, peaks, review, rois, validation, views
+from ..operators import acoustics, grid, matching, peaks, prefix, review, rois, validation, views
 from ..schemas import DETECTIONS
 from ..shared import written
 from . import standins as st
@@ -126,6 +126,17 @@ def dynamic_range_quantise(spark, d):
     return cells.select("file", "frame_idx", (F.col("i") + 1).alias("bin"), fm.quantised(fm.decibels(F.abs(F.col("a").cast("double"))), -80.0, 0.0, 124).alias("color"))
 
 
+@query(f"""WITH {st.FRAMES}, cells AS (SELECT file, frame_idx, unnest(range(1, 65))::INTEGER AS bin, abs(unnest(amp)::DOUBLE) * 20000 AS a FROM frames), tops AS (SELECT file, max(a) AS top FROM cells GROUP BY 1)
+  SELECT file, frame_idx, bin, round(20 * log10(a / 32768), 6) AS full_scale, round(20 * log10(a / top), 6) AS relative FROM cells JOIN tops USING (file)""")
+def spectrogram_decibels(spark, d):
+    """Levels of raw amplitudes, below full scale and below each recording's largest."""
+    raw = st.frames(spark, d).select("file", "frame_idx", F.transform("amp", lambda v: F.abs(v.cast("double")) * 20000).alias("amp"))
+    both = views.spectro_levels(raw.withColumn("raw", F.col("amp"))).withColumnRenamed("amp", "relative")
+    both = views.spectro_levels(both.withColumnRenamed("raw", "amp"), norm=False)
+    cells = both.select("file", "frame_idx", F.posexplode(F.arrays_zip("amp", "relative")).alias("i", "x"))
+    return cells.select("file", "frame_idx", (F.col("i") + 1).alias("bin"), F.round("x.amp", 6).alias("full_scale"), F.round("x.relative", 6).alias("relative"))
+
+
 # ---- grid ----
 
 @query(f"""WITH {st.SOUNDSCAPES}, {st.TEMPLATES} SELECT soundscape_file, template_name, soundscape_sample_rate AS sample_rate, soundscape_duration, template_end FROM soundscapes JOIN templates ON soundscape_sample_rate = template_sample_rate
@@ -452,6 +463,19 @@ def score_histogram(spark, d):
     return dg.score_histogram(st.validated(spark, d))
 
 
+@query(f"""WITH {st.VALIDATED}, r AS (SELECT template_name, peak_score, validation AS class FROM validated WHERE validation <> 'FN'), a AS (SELECT * FROM r UNION ALL SELECT template_name, peak_score, 'All' FROM r),
+  s AS (SELECT template_name, class, count(*) AS n, stddev_samp(peak_score) AS sd, (quantile_cont(peak_score, 0.75) - quantile_cont(peak_score, 0.25)) / 1.34::DOUBLE AS iqr, min(peak_score) AS low, max(peak_score) AS high FROM a WHERE peak_score IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
+  w AS (SELECT *, 0.9::DOUBLE * pow(n, -0.2::DOUBLE) * CASE WHEN least(sd, iqr) > 0 THEN least(sd, iqr) WHEN sd > 0 THEN sd WHEN low <> 0 THEN abs(low) ELSE 1 END AS bw FROM s),
+  g AS (SELECT *, low - 3 * bw AS l, (high - low + 6 * bw) / 1023 AS step FROM w), p AS (SELECT template_name, class, (peak_score - l) / step AS place FROM a JOIN g USING (template_name, class)),
+  b AS (SELECT template_name, class, least(floor(place), 1022) + u.k AS j, CASE u.k WHEN 0 THEN least(floor(place), 1022) + 1 - place ELSE place - least(floor(place), 1022) END AS x FROM p, (VALUES (0), (1)) u(k)),
+  m AS (SELECT template_name, class, j, sum(x) AS x FROM b GROUP BY ALL)
+  SELECT template_name, class, i::INTEGER AS i, round(any_value(l) + i * any_value(step) * 1023 / 63, 6) AS score, round(sum(m.x * exp(-pow((l + i * step * 1023 / 63 - (l + j * step)) / bw, 2) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 6) AS density
+  FROM g JOIN m USING (template_name, class), range(64) t(i) GROUP BY template_name, class, i""")
+def score_density(spark, d):
+    out = dg.score_density(st.validated(spark, d), 64)
+    return out.select("template_name", "class", "i", F.round("score", 6).alias("score"), F.round("density", 6).alias("density"))
+
+
 # ---- review ----
 
 @query(f"WITH {st.REVIEWED} SELECT detection_id, peak_score, validation FROM reviewed WHERE template_name = 'T1_sp1' AND peak_score BETWEEN 0.01 AND 0.5 AND validation IN ('NV', 'UN')")
@@ -487,9 +511,11 @@ def review_first_pages(spark, d):
     return reduce(DataFrame.union, pages).select("review_order", "place", "detection_id")
 
 
-@query()
+@query(f"WITH {st.REVIEWED} SELECT detection_id, row_number() OVER (ORDER BY md5('7:' || detection_id), detection_id) AS place FROM reviewed")
 def review_order_random(spark, d):
-    return review.ordered(st.reviewed(spark, d), seed=7).select("detection_id", "peak_score")
+    """A random order: each detection with its place in it."""
+    rows = st.reviewed(spark, d).select("detection_id", review.shuffled("detection_id", 7).alias("rank"))
+    return prefix.numbered(rows, "place", "rank", "detection_id").select("detection_id", "place")
 
 
 _PIVOT = ", ".join(f"CASE WHEN count(*) FILTER (WHERE validation = '{k}') > 0 THEN count(*) FILTER (WHERE validation = '{k}') END AS {k}" for k in ("TP", "FP", "UN", "NV"))
@@ -553,15 +579,22 @@ def roi_diff_deleted(spark, d):
     return review.without(old, new, review.ROI_KEYS).select("roi_id")
 
 
-@query(f"WITH {st.REVIEWED} SELECT detection_id FROM reviewed a WHERE NOT EXISTS (SELECT 1 FROM reviewed b WHERE b.peak_score < 0.05 AND b.validation_user IS NOT DISTINCT FROM a.validation_user AND b.validation IS NOT DISTINCT FROM a.validation)")
+_SAVED = "CASE WHEN detection_id % 7 = 0 THEN time + 60 ELSE time END"
+
+
+@query(f"""WITH {st.REVIEWED}, v AS (SELECT *, CASE WHEN validation <> 'NV' THEN detection_id % 500 END AS time FROM reviewed), saved AS (SELECT validation_user, validation, {_SAVED} AS time FROM v)
+  SELECT detection_id FROM v a WHERE NOT EXISTS (SELECT 1 FROM saved b WHERE b.validation_user IS NOT DISTINCT FROM a.validation_user AND b.validation IS NOT DISTINCT FROM a.validation AND b.time IS NOT DISTINCT FROM a.time)""")
 def unsaved_validations(spark, d):
-    v = st.reviewed(spark, d)
-    return review.without(v, v.filter("peak_score < 0.05"), ["validation_user", "validation"]).select("detection_id")
+    """Reviews that the saved table lacks, by user, time and state; a seventh of them was saved at another time."""
+    v = st.reviewed(spark, d).withColumn("time", F.when(F.col("validation") != "NV", F.col("detection_id") % 500))
+    saved = v.withColumn("time", F.when(F.col("detection_id") % 7 == 0, F.col("time") + 60).otherwise(F.col("time")))
+    return review.unsaved(v.withColumnRenamed("time", "validation_time"), saved.withColumnRenamed("time", "validation_time")).select("detection_id")
 
 
-@query(f"WITH {st.REVIEWED}, p AS (SELECT 'rec' || c_custkey AS soundscape_file, '/data/rec' || c_custkey AS soundscape_path FROM customer) SELECT detection_id, coalesce(p.soundscape_path, r.soundscape_path) AS soundscape_path FROM reviewed r LEFT JOIN p USING (soundscape_file)")
+@query(f"WITH {st.REVIEWED}, p AS (SELECT 'rec' || c_custkey AS soundscape_file, CASE WHEN c_custkey % 3 > 0 THEN '/data/rec' || c_custkey END AS soundscape_path FROM customer) SELECT detection_id, coalesce(p.soundscape_path, r.soundscape_path) AS soundscape_path FROM reviewed r LEFT JOIN p USING (soundscape_file)")
 def path_lookup(spark, d):
-    p = st.table(spark, d, "customer").select(F.concat(F.lit("rec"), "c_custkey").alias("soundscape_file"), F.concat(F.lit("/data/rec"), "c_custkey").alias("soundscape_path"))
+    path = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("/data/rec"), "c_custkey"))  # a third has none: those keep theirs
+    p = st.table(spark, d, "customer").select(F.concat(F.lit("rec"), "c_custkey").alias("soundscape_file"), path.alias("soundscape_path")).filter("soundscape_path is not null")
     return review.path_lookup(st.reviewed(spark, d), p, "soundscape_file", "soundscape_path").select("detection_id", "soundscape_path")
 
 
@@ -572,12 +605,13 @@ def skip_processed(spark, d):
 
 
 def _roi_tables(spark, d):
-    o = st.table(spark, d, "orders").filter("o_orderstatus = 'F'")
-    file = F.concat(F.lit("Supplier#"), F.lpad((F.col("o_custkey") % 400).cast("string"), 9, "0"))
+    """A table an order; recordings of odd numbers have none."""
+    o = st.table(spark, d, "orders")
+    file = F.concat(F.lit("Supplier#"), F.lpad((F.col("o_custkey") % 200 * 2).cast("string"), 9, "0"))
     return o.select(names.roi_table_name(F.concat(file, F.lit(".wav")), F.lit("u"), F.col("o_orderdate").cast("timestamp")).alias("roi_file"))
 
 
-_TABLES = "tables AS (SELECT 'Supplier#' || lpad((o_custkey % 400)::VARCHAR, 9, '0') AS recording, 'Supplier#' || lpad((o_custkey % 400)::VARCHAR, 9, '0') || '_roi_u_' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '.csv' AS roi_file FROM orders WHERE o_orderstatus = 'F')"
+_TABLES = "tables AS (SELECT 'Supplier#' || lpad((o_custkey % 200 * 2)::VARCHAR, 9, '0') AS recording, 'Supplier#' || lpad((o_custkey % 200 * 2)::VARCHAR, 9, '0') || '_roi_u_' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '.csv' AS roi_file FROM orders)"
 
 
 @query(f"WITH {_TABLES} SELECT recording, max(roi_file) AS roi_file FROM tables GROUP BY 1")
@@ -595,10 +629,11 @@ def segmentation_progress(spark, d):
     return review.progress(rois.with_table_flag(st.soundscapes(spark, d), _roi_tables(spark, d)), F.col("has_table"), "soundscape_layout")
 
 
-@query(f"""WITH {_TABLES}, {st.SOUNDSCAPES}, l AS (SELECT *, CASE WHEN soundscape_file < 'Supplier#000000050' THEN 0 ELSE 1 END AS part FROM soundscapes WHERE soundscape_duration > 12)
+@query(f"""WITH {_TABLES}, {st.SOUNDSCAPES}, l AS (SELECT * FROM soundscapes WHERE replace(soundscape_file, '.wav', '') NOT IN (SELECT recording FROM tables))
   SELECT soundscape_file, coalesce(lag(soundscape_file) OVER w, soundscape_file) AS previous, coalesce(lead(soundscape_file) OVER w, soundscape_file) AS next FROM l WINDOW w AS (PARTITION BY soundscape_sample_rate ORDER BY soundscape_file)""")
 def next_unsegmented(spark, d):
-    s = st.soundscapes(spark, d).filter("soundscape_duration > 12")
+    """The neighbours of each recording among those without a ROI table."""
+    s = rois.with_table_flag(st.soundscapes(spark, d), _roi_tables(spark, d)).filter("not has_table")
     return review.neighbours(s, ["soundscape_sample_rate"], "soundscape_file", "soundscape_file").select("soundscape_file", "previous", "next")
 
 
@@ -648,6 +683,12 @@ def balance_up(spark, d):
     return _balanced(spark, d, "up")
 
 
-@query()
+_ROSE_U = "(('0x' || substr(md5('1:{0}:' || id), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
+@query(f"""WITH {st.VALIDATED}, scored AS (SELECT validation, peak_score, row_number() OVER (PARTITION BY validation ORDER BY md5('1:' || detection_id), detection_id) AS place FROM validated WHERE validation <> 'FN' AND peak_score IS NOT NULL),
+  sizes AS (SELECT validation, count(*) AS n, stddev_samp(peak_score) AS sd FROM scored GROUP BY 1), draws AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'FP' ELSE 'TP' END AS validation FROM range((SELECT sum(n)::BIGINT // 2 * 2 FROM sizes)) t(id))
+  SELECT id AS draw, validation, round(peak_score + sqrt(-2 * ln(greatest({_ROSE_U.format('radius')}, 1e-300::DOUBLE))) * cos(2 * pi() * {_ROSE_U.format('angle')}) * sd * pow(4 / (3 * n)::DOUBLE, 0.2::DOUBLE), 6) AS peak_score
+  FROM draws JOIN sizes USING (validation) JOIN scored s USING (validation) WHERE s.place = floor({_ROSE_U.format('place')} * n)::BIGINT + 1""")
 def balance_rose(spark, d):
-    return review.rose(st.validated(spark, d).filter("validation <> 'FN'"))
+    return review.rose(st.validated(spark, d).filter("validation <> 'FN'")).withColumn("peak_score", F.round("peak_score", 6))
