@@ -11,23 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import drop_path, new_path, scratch, scratched, shared_dir, written  # noqa: F401
+from ..shared import HOT_ROWS, HOT_SHARE, drop_path, join_hot, new_path, scratch, scratched, shared_dir, written  # noqa: F401
 
-#: A key with this share of all rows, and so many at least, is joined by broadcast: 1 / HOT_SHARE keys at most.
-HOT_SHARE, HOT_ROWS = 0.001, 1_000
+#: Up to so many rows (of some bytes each) are sent to all executors; beyond, they are joined by shuffles.
+SMALL_ROWS = 1_000_000
 
 
-def join_hot(rows: DataFrame, other: DataFrame, keys: list[str], n: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """rows with other's columns by keys, an inner join without hot keys.
-
-    other has distinct keys and in column n how many of all `total` rows have each. The few keys that many rows have
-    are broadcast; their number is bounded by HOT_SHARE. The rest is joined as Spark likes.
-    """
-    hot = F.col(n) >= max(hot_rows, int(HOT_SHARE * total))
-    told = rows.join(F.broadcast(other.filter(hot).select(*keys, F.struct(*(c for c in other.columns if c not in (*keys, n))).alias("hot_row"))), keys, "left")
-    often = told.filter("hot_row is not null").select(*rows.columns, "hot_row.*")
-    seldom = told.filter("hot_row is null").drop("hot_row").join(other.filter(~hot).drop(n), keys)
-    return often.union(seldom.select(*often.columns))
+def small(df: DataFrame) -> DataFrame:
+    """df, a written table of short rows, marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, join_hot, let, named, scratch, table, whole_text, written
+from .common import fresh, join_hot, let, named, scratch, small, table, whole_text, written
 from .components import key_groups, similar_components
 
 DEPTH = 3
@@ -36,8 +36,6 @@ ROUNDS = 8
 #: Up to so many runs of equal tokens are combined to split crowded groups of lines.
 FURTHER = 3
 
-#: Up to so many rows (24 bytes each) of leaves or templates are sent to all executors; beyond, they are joined by shuffles.
-SMALL_ROWS = 1_000_000
 #: A template that so many documents have may be joined by broadcast.
 HOT_LINES = 1_000
 
@@ -59,11 +57,6 @@ def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("id", "rh", "pos", F.inline(F.array(found)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
-
-
 def _differing(n: Column, similarity: float) -> Column:
     """In how many of n places two lines of that similarity may differ."""
     return n - F.ceil(similarity * n - 1e-9)
@@ -147,7 +140,7 @@ def line_templates(cut: DataFrame, lines: DataFrame, similarity: float = 0.8) ->
     wide = _differing(F.col("n"), similarity) > 0
     ends = [f(F.struct("h1", "h2")).alias(c) for f, c in ((F.min, "a"), (F.max, "b"))]
     leaves = written(lines.filter(wide).groupBy("leaf").agg(*ends).filter("a <> b").select("leaf"), "leaves")
-    inside = cut.join(_small(leaves), "leaf", "left_semi").filter(wide)
+    inside = cut.join(small(leaves), "leaf", "left_semi").filter(wide)
     distinct = inside.groupBy("leaf", "h1", "h2").agg(F.first("masked").alias("masked")).select("leaf", "h1", "h2", F.split("masked", " ").alias("tokens"))
     return written(leaf_templates(distinct, similarity), "templates")
 
@@ -157,7 +150,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with scratch(docs.sparkSession):
         cut = exploded(docs, id_col, text_col).filter(F.col("n") >= min_tokens)
         lines = written(cut.drop("masked"), "lines")
-        general = _small(line_templates(cut, lines, similarity).select("h1", "h2", "template"))
+        general = small(line_templates(cut, lines, similarity).select("h1", "h2", "template"))
         t, u = F.coalesce("template", "h1").alias("t"), F.when(F.col("template").isNull(), F.col("h2")).otherwise(0).alias("u")
         placed = lines.join(general, ["h1", "h2"], "left").select("id", "rh", "pos", "n", t, u)
         per_doc = placed.groupBy("t", "u", "id", "rh").agg(F.max("n").alias("n"))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, named, scratch, table, whole_text, written
+from .common import fresh, named, scratch, small, table, whole_text, written
 
 #: The domains that the labelled table tells apart: text of low and of high quality.
 DOMAINS = ("low", "high")
@@ -158,7 +158,7 @@ def thinned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         drawn = rates.select(F.col("id").alias(own_id), F.col("rh").alias(rh), draw(F.col("rate"), "id", "rh").alias(copies))
         changed = written(drawn.filter(F.col(copies) != 1).distinct(), "thinned", keep=True)
     own = docs.withColumn(own_hash, F.xxhash64(whole_text(text_col)))
-    told = own.join(changed, (F.col(own_hash) == F.col(rh)) & named(id_col).eqNullSafe(F.col(own_id)), "left")
+    told = own.join(small(changed), (F.col(own_hash) == F.col(rh)) & named(id_col).eqNullSafe(F.col(own_id)), "left")
     n = F.coalesce(F.col(copies), F.lit(1)).cast("int")
     return told.select(*map(named, docs.columns), F.explode(F.array_repeat(F.lit(0), n)).alias(copies)).drop(copies)
 

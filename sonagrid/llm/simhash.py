@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cache_of, fresh, let, named, release, scratch, table, whole_text, written
+from .common import cache_of, fresh, let, named, release, scratch, small, table, whole_text, written
 from .components import SMALL_GROUP, connected_components, key_groups, similar_components
 
 SLICE = 256
@@ -351,7 +351,7 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
         # what is told of rows is what goes, and which rows that stay are there several times: few rows of many
         per_row = ids.groupBy("k", "digest").agg(F.count("*").alias("n")).join(kept, "digest").withColumn("again", F.col("k") == F.col("kept")).filter("not again or n > 1")
         marks = written(per_row.select(F.col("k.id").alias(drop_id), F.col("k.sha").alias(drop_sha), F.col("again").alias(again)), "marks", keep=True)
-    marked = own.join(marks, (F.col(sha) == F.col(drop_sha)) & named(id_col).eqNullSafe(F.col(drop_id)), "left")
+    marked = own.join(small(marks), (F.col(sha) == F.col(drop_sha)) & named(id_col).eqNullSafe(F.col(drop_id)), "left")
     once = marked.filter(F.col(again).isNull()).select(*map(named, docs.columns))
     if marks.filter(F.col(again)).isEmpty():
         return once
