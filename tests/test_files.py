@@ -352,6 +352,31 @@ def test_roi_tables(spark, tmp_path):
     assert got == [("x_roi_u_20250101.csv", "b, c", None, 3.0, 'say "hi"'), ("x_roi_u_20250101.csv", "sp a", 1.5, 2.0, None), ("y_roi_u_20250101.csv", "d", None, 9.5, None)]
 
 
+def test_roi_tables_with_quoted_line_ends(spark, tmp_path):
+    (tmp_path / "q_roi_u.csv").write_bytes(b'"soundscape_file","roi_label","roi_comment","roi_start","roi_end"\r\n"a.wav","x","two\r\nlines",1.5,2.5\r\n"b.wav","y, z","say ""hi""\n\nthere",3,4\r\n')
+    long = "word, ""\n" * 20_000
+    (tmp_path / "r_roi_u.csv").write_text('roi_comment,roi_label,roi_start\n"' + long.replace('"', '""') + '",l,1\n5" wide,m,2\n,,\n"",n,3')
+    (tmp_path / "e_roi_u.csv").write_text("")
+    got = sorted(((r["roi_file"][0], r["soundscape_file"], r["roi_label"], r["roi_comment"], r["roi_start"]) for r in tables.read_rois(spark, str(tmp_path)).collect()), key=repr)
+    want = [("q", "a.wav", "x", "two\nlines", 1.5), ("q", "b.wav", "y, z", 'say "hi"\n\nthere', 3.0), ("r", None, "l", long, 1.0), ("r", None, "m", '5" wide', 2.0), ("r", None, None, None, None), ("r", None, "n", None, 3.0)]
+    assert got == sorted(want, key=repr)
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        tables.read_rois(spark, str(tmp_path / "none"))
+
+
+def test_a_stopped_save_loses_no_rois(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/a_roi_u.csv"
+    make = lambda *labels: rois.coerced(spark.createDataFrame([("a", x, "u", "2025-01-01 00:00:00", "1.5") for x in labels], "soundscape_file string, roi_label string, roi_user string, roi_input_timestamp string, roi_start string"))
+    read = lambda: sorted(r["roi_label"] for r in spark.read.option("header", True).csv(path).collect())
+    assert tables.save_rois(make("x", "y"), "a", path)
+    os.rename(path, path + tables.BEFORE)  # stopped after the old table was put away
+    assert tables.recovered(spark, path) and read() == ["x", "y"]
+    os.rename(path, path + tables.BEFORE)
+    assert not tables.save_rois(make("x", "y"), "a", path) and read() == ["x", "y"]
+    assert tables.save_rois(make("z"), "a", path) and read() == ["z"] and os.listdir(tmp_path) == ["a_roi_u.csv"]
+
+
 def test_saving_of_changed_rois_only(spark, tmp_path):
     import os
 
@@ -382,6 +407,94 @@ def test_append_new(spark, tmp_path):
     assert sorted(map(tuple, tables.read_csv(spark, path, df.schema).collect())) == [("a", 1), ("b", 2)]
 
 
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
+def matched(spark, folder):
+    from sonagrid.operators import grid
+
+    sounds, cuts = wav.listing(spark, str(folder / "soundscapes")), wav.listing(spark, str(folder / "templates"))
+    return grid.match_grid(wav.soundscape_metadata(sounds), wav.template_metadata(cuts)), sounds.select("path").union(cuts.select("path"))
+
+
+def test_stopped_matching_goes_on(spark, folder, tmp_path, monkeypatch):
+    """Stopped in its second batch, then run again: the same rows, and scored pairs aren't scored again."""
+    from sonagrid.plans import resumable
+    from sonagrid.plans.template_matching import run_matching
+
+    pairs, files = matched(spark, folder)
+    out, scored = f"file://{tmp_path}/out", []
+
+    def once_stopped(spark, batch, files, **k):
+        paths = [r["soundscape_path"] for r in batch.collect()]
+        if len(scored) == 1 and not (tmp_path / "stopped").exists():
+            (tmp_path / "stopped").touch()
+            raise KeyboardInterrupt
+        scored.append(paths)
+        return run_matching(spark, batch, files, **k)
+
+    monkeypatch.setattr(resumable, "run_matching", once_stopped)
+    with pytest.raises(KeyboardInterrupt):
+        resumable.resume_matching(spark, pairs, files, out, pairs_a_batch=1, min_quant=0.9)
+    first = rows_of(resumable.detections_of(spark, out))
+    assert 0 < len(first) and resumable.scored_pairs(spark, out).count() == 1
+    assert resumable.resume_matching(spark, pairs, files, out, pairs_a_batch=1, min_quant=0.9) == 1
+    assert resumable.resume_matching(spark, pairs, files, out, pairs_a_batch=1, min_quant=0.9) == 0
+    whole = rows_of(run_matching(spark, pairs, files, min_quant=0.9))
+    assert rows_of(resumable.detections_of(spark, out)) == whole and len(whole) > len(first)
+    assert sorted(p for ps in scored for p in ps) == sorted(r["soundscape_path"] for r in pairs.collect())
+    with pytest.raises(ValueError):
+        resumable.resume_matching(spark, pairs, files, out, min_quant=0.5)
+
+
+def test_streamed_detections_are_there_once(spark, folder, tmp_path):
+    """A file's detections once, also when the stream lost its checkpoint of the last batch."""
+    from sonagrid.plans import resumable
+    from sonagrid.plans.template_matching import run_matching
+
+    source, out, check = tmp_path / "in", f"file://{tmp_path}/out", tmp_path / "check"
+    source.mkdir()
+    run = lambda: incremental.append_detections(spark, str(source), str(folder / "templates"), out, str(check), min_quant=0.9).awaitTermination()
+    for name in ("a", "b"):
+        (source / f"{name}.wav").write_bytes((folder / "soundscapes" / f"{name}.wav").read_bytes())
+        run()
+    pairs, files = matched(spark, folder)
+    plain = lambda df: sorted((r["soundscape_file"], r["peak_index"], round(r["peak_score"], 9)) for r in df.collect())
+    want = plain(run_matching(spark, pairs, files, min_quant=0.9))
+    assert plain(resumable.detections_of(spark, out)) == want and sorted(os.listdir(tmp_path / "out")) == ["batch-00000000", "batch-00000001"]
+    commits = check / "commits"
+    for f in commits.iterdir():
+        if f.name.strip(".").startswith("1"):
+            f.unlink()  # stopped between the batch's commit and the stream's
+    run()
+    assert plain(resumable.detections_of(spark, out)) == want
+
+
+def test_review_journal(spark, tmp_path):
+    from sonagrid.plans.review_journal import ReviewJournal
+
+    path = f"file://{tmp_path}/log"
+    table = spark.createDataFrame([(i, "NV" if i % 2 else "FP", None) for i in range(6)], "detection_id long, validation string, validation_user string")
+    j = ReviewJournal(spark, path)
+    state = lambda **k: {r["detection_id"]: (r["validation"], r["validation_user"], r["validation_note"]) for r in j.merged(table, **k).collect()}
+    assert state()[1] == ("NV", None, None)
+    j.compact()
+    j.save_one(1, validation="TP", validation_user="u", validation_time="2025-01-01 10:00:00")
+    assert spark.read.parquet(path).count() == 1  # one review, one row
+    j.save_one(1, validation="FP", validation_user="u", validation_time="2025-01-01 11:00:00", validation_note="again")
+    j.save_one(1, validation="UN", validation_user="late", validation_time="2025-01-01 09:00:00")
+    j.save(spark.createDataFrame([(2, "TP", "w"), (3, "TP", "w")], "detection_id long, validation string, validation_user string"))
+    j.save_one(3, validation="UN", validation_user="v")
+    want = {0: ("FP", None, None), 1: ("FP", "u", "again"), 2: ("TP", "w", None), 3: ("UN", "v", None), 4: ("FP", None, None), 5: ("NV", None, None)}
+    assert state() == want
+    assert state(allowed=F.col("validation_user") != "v")[3] == ("TP", "w", None) and state(only_empty=True)[2] == ("FP", "w", None)
+    j.compact()
+    assert state() == want and spark.read.parquet(path).count() == 3 and not [f for f in os.listdir(tmp_path / "log") if f.startswith("_compact")]
+    j.save_one(2, validation="FP", validation_user="x")
+    assert state()[2] == ("FP", "x", None)
+
+
 def test_stream_sees_each_file_once(spark, folder, tmp_path):
     source, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
     source.mkdir()
