@@ -107,24 +107,26 @@ def with_next(docs: DataFrame, n_ranges: int) -> DataFrame:
     takes the first text of the following range. No task holds more than its ranges: several small ones, so that tasks
     are even. A row finds its range in two steps, among every m-th bound and then among m. Null ids come last.
     """
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / n_ranges for i in range(1, n_ranges)], 10_000)).first()[0] or []
+    shares = [i / n_ranges for i in range(1, n_ranges)]
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * n_ranges))).first()[0] or []
     bounds = sorted(set(bounds))
     m = max(1, round(len(bounds) ** 0.5))
-    parts = [bounds[i : i + m] for i in range(0, len(bounds), m)]
+    # one constant each in the plan, however many bounds there are: texts that are split and folded
+    told = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
     above = F.lit(0)
-    if parts:  # the bounds below the first one that isn't, counted by whole parts and inside one
+    if bounds:  # the bounds below the first one that isn't, counted by whole parts and inside one
         below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("doc_id")))
-        part = below(F.lit([p[-1] for p in parts]).cast("array<bigint>"))
-        inner = F.get(F.lit([[*p, *[p[-1]] * (m - len(p))] for p in parts]).cast("array<array<bigint>>"), part)
-        above = len(bounds) - F.coalesce(part * m + below(inner), F.lit(len(bounds)))
-    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(above).cast("long"))
+        tops = bounds[m - 1 :: m] + ([bounds[-1]] if len(bounds) % m else [])
+        part = below(told(tops))
+        above = len(bounds) - F.when(part < len(tops), part * m + below(F.slice(told(bounds), part * m + 1, m))).otherwise(len(bounds))
+    n = len(bounds)
+    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(n + 1)).otherwise(above).cast("long"))
     inside = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").asc())
     led = ranged.select("*", F.lead("text").over(inside).alias("led"), F.lead(F.lit(True)).over(inside).alias("inner"), F.row_number().over(inside).cast("long").alias("n"))
     firsts = ranged.groupBy("range").agg(F.min_by("text", F.struct(F.coalesce(-F.col("doc_id"), F.lit(0)), F.col("text"))).alias("first_text"))
-    filled = sorted(r[0] for r in ranged.select("range").distinct().collect())  # n_ranges + 1 numbers at most
-    before = dict(zip(filled[1:] + filled[:1], filled, strict=True))
-    to_before = F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    following = firsts.select(to_before[F.col("range")].alias("range"), F.col("range").alias("next_range"), "first_text")
+    order = Window.orderBy("range")  # a row a range
+    before = ranged.select("range").distinct().select("range", F.coalesce(F.lag("range").over(order), F.max("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    following = firsts.join(F.broadcast(before), "range").select(F.col("before").alias("range"), F.col("range").alias("next_range"), "first_text")
     joined = led.join(following, "range", "left")
     start = lambda c: F.shiftleft(c, RANGE_BIT)
     return joined.select(

@@ -187,6 +187,23 @@ def test_multiset_hash_is_homomorphic(spark):
     assert df.filter(same("ea", "eb", "eab", 1) & same("sa", "sb", "sab", 1) & same("eab", "eb", "ea", -1) & same("sab", "sb", "sa", -1)).count() == 1
 
 
+@pytest.mark.parametrize("n_ranges", [2, 3, 40])
+def test_next_rows(spark, n_ranges):
+    rng = np.random.default_rng(n_ranges)
+    rows = [(None if i % 40 == 7 else int(i % 23 if i < 60 else i * 3), f"t{rng.integers(0, 9)} {i}") for i in rng.permutation(300)]
+    for part in (rows, rows[:1], [(None, "x"), (None, "y")], []):
+        df = spark.createDataFrame(part, "doc_id long, text string")
+        got = multiset_hash.with_next(df, n_ranges)
+        order = sorted(part, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        want = sorted(((*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order)), key=repr)
+        found = got.collect()
+        assert sorted(((r["doc_id"], r["text"], r["next_text"]) for r in found), key=repr) == want
+        pos = {r["pos"]: r["text"] for r in found}
+        assert len(pos) == len(part) and all(pos[r["next_pos"]] == r["next_text"] for r in found)
+    expressions = lambda n: len(multiset_hash.with_next(spark.createDataFrame(rows, "doc_id long, text string"), n)._jdf.queryExecution().analyzed().toString().replace(",", " ").split("(")) if n else 0
+    assert expressions(200) == expressions(20)  # the plan has no more expressions for more ranges
+
+
 def brute_multiset_hash(text):
     """(equal, signs) by loops; XXH64 of several columns takes the hash before as seed."""
     import xxhash
