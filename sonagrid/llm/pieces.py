@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cache_of, table, whole_text
+from .common import cache_of, named, table, whole_text
 
 SPACE = "▁"
 UNIT = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
@@ -452,7 +452,7 @@ def sampled_segmentations(docs: DataFrame, model_file: str, k: int = 2, alpha: f
     sample counts from 0 in the order of the perturbed values; ids_crc32 is that of the ids as little-endian unsigned
     32-bit integers; round_trip: decoding gives the text again; ids are null unless asked for. cached_edges bounds the lattices
     that a worker keeps between batches, batch_chars the texts whose steps are drawn together: more take memory and save
-    time; the samples are the same.
+    time; the samples are the same. An id column of the name of another result column is an error.
     """
     fields = [("sample", pa.int32()), ("n_pieces", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.field("element", pa.int32())))]
 
@@ -476,9 +476,12 @@ def sampled_segmentations(docs: DataFrame, model_file: str, k: int = 2, alpha: f
                 yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(which)), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], names=[id_col, *(n for n, _ in fields)])
                 at = end
 
+    if id_col.lower() in {n for n, _ in fields}:
+        raise ValueError(f"the result has a column {id_col} of its own; rename the id column")
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean, ids array<int>"
-    return docs.select(F.col(id_col), F.xxhash64(F.lit(seed), F.col(id_col)).alias("seed"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
+    quoted = id_col.replace("`", "``")
+    schema = f"`{quoted}` {id_type}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean, ids array<int>"
+    return docs.select(named(id_col), F.xxhash64(F.lit(seed), named(id_col)).alias("seed"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

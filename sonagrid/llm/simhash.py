@@ -108,8 +108,9 @@ def segment_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     if 64 % segments or bits > 40:
         raise ValueError("segments must divide the fingerprint, into 40 bits at most")
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, segs array<bigint>"
-    return docs.select(F.col(id_col), whole_text(text_col).alias("text")).mapInArrow(run, schema)
+    quoted = id_col.replace("`", "``")
+    schema = f"`{quoted}` {docs.schema[id_col].dataType.simpleString()}, segs array<bigint>"
+    return docs.select(named(id_col), whole_text(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -157,7 +158,7 @@ def links(vertices: DataFrame, segments: int, bits: int, max_distance: int, smal
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) by 3-word shingles and two bits, as the module says."""
-    found = written(segment_fingerprints(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("segs")[0].bitwiseOR(F.shiftleft(F.col("segs")[1], 32)).alias("v")), "simhash")
+    found = written(segment_fingerprints(docs, id_col, text_col).select(named(id_col).alias("id"), F.col("segs")[0].bitwiseOR(F.shiftleft(F.col("segs")[1], 32)).alias("v")), "simhash")
     classes = found.groupBy("v").agg(F.min("id").alias("first"))
     vertices = classes.select("v", F.array(F.col("v").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("v", 32)).alias("segs"))
     roots = connected_components(links(vertices, 2, 32, 2))
