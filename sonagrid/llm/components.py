@@ -96,8 +96,8 @@ def key_groups(keyed: DataFrame, once: bool = True) -> DataFrame:
 
 
 def similar_components(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, candidates: DataFrame | None = None, small_group: int = SMALL_GROUP,
-    split: Callable[[DataFrame, int], DataFrame | None] | None = None,
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, split: Callable[[DataFrame, int], DataFrame | None],
+    candidates: DataFrame | None = None, small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """(v, root) of the graph of all pairs that share a key, or are candidates (a, b), and pass.
 
@@ -132,7 +132,7 @@ def similar_components(
         if mixed.isEmpty():
             return roots
         x = written(join_hot(placed, mixed, ["key"], "n", placed.count()), "mixed-members")
-        further = split(x.filter("not whole").drop("main", "whole"), level) if split else None
+        further = split(x.filter("not whole").drop("main", "whole"), level)
         whole = x if further is None else x.filter("whole")
         # of two members outside the main component each would meet the other: once is enough
         outside, differ = whole.filter("root <> main"), F.col("x.root") != F.col("y.root")

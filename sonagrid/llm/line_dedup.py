@@ -99,7 +99,7 @@ def linked_lines(own: DataFrame, similarity: float) -> DataFrame:
         matched = F.aggregate(F.zip_with("ta", "tb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
         return edges.join(x, "a").join(y, "b").filter((F.col("la") == F.col("lb")) & (matched >= similarity * F.size("ta") - 1e-9)).select("a", "b")
 
-    roots = similar_components(key_groups(keyed), verify, similarity, split=split)
+    roots = similar_components(key_groups(keyed), verify, similarity, split)
     return roots.union(roots.select("root", "root").distinct()).toDF("v", "root")
 
 

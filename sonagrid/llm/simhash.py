@@ -329,7 +329,7 @@ def near_components(classes: DataFrame, rows: DataFrame, similarity: float, widt
         sets = written(rows.join(wanted, "k").dropDuplicates(["v"]).select("v", shingle_set(F.col("text"), width).alias("s")), "shingle-sets")
         return verified(left, sets, similarity)
 
-    return similar_components(members, verify, similarity, candidates, small_group, split)
+    return similar_components(members, verify, similarity, split, candidates, small_group)
 
 
 def one_of_each_group(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
