@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DETECTIONS
-from ..shared import drop_path, exists, path_of, written
+from ..shared import drop_path, exists, path_of, scratch, written
 from .template_matching import run_matching
 
 #: What tells pairs apart.
@@ -74,10 +74,11 @@ def resume_matching(spark: SparkSession, pairs: DataFrame, files: DataFrame, fol
     n = -(-total // pairs_a_batch)
     first = 1 + max([int(r[0]) for r in done.select(F.regexp_extract(F.input_file_name(), r"/batch-(\d+)/", 1)).distinct().collect() if r[0]], default=-1)
     for k in range(n):
-        batch = written(left.filter(F.pmod(F.xxhash64("soundscape_path"), F.lit(n)) == k), "batch-pairs")
-        if batch.isEmpty():
-            continue
-        found = run_matching(spark, batch, files, **parameters)
-        ledger = batch.select(*(F.col(c).cast("string" if c.endswith("path") else "double") for c in PAIR), F.lit(told).alias("parameters"))
-        commit_batch(folder, f"batch-{first + k:08d}", {"detections": found, "ledger": ledger})
+        with scratch(spark):  # a batch's scores go when its detections are committed
+            batch = written(left.filter(F.pmod(F.xxhash64("soundscape_path"), F.lit(n)) == k), "batch-pairs")
+            if batch.isEmpty():
+                continue
+            found = run_matching(spark, batch, files, **parameters)
+            ledger = batch.select(*(F.col(c).cast("string" if c.endswith("path") else "double") for c in PAIR), F.lit(told).alias("parameters"))
+            commit_batch(folder, f"batch-{first + k:08d}", {"detections": found, "ledger": ledger})
     return total

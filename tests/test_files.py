@@ -418,6 +418,30 @@ def matched(spark, folder):
     return grid.match_grid(wav.soundscape_metadata(sounds), wav.template_metadata(cuts)), sounds.select("path").union(cuts.select("path"))
 
 
+def test_project_run(spark, folder, tmp_path):
+    """A project from its folders to cuts, twice: the second run scores nothing and leaves the same tables."""
+    import shutil
+
+    from sonagrid.plans.workspace import Workspace, run_project
+
+    w = Workspace(f"file://{tmp_path}")
+    for name in ("soundscapes", "templates"):
+        shutil.copytree(folder / name, tmp_path / name)
+    assert run_project(spark, w, "me", min_quant=0.98) == 2
+    assert not (tmp_path / "validation_outputs").exists()
+    (tmp_path / "roi_tables").mkdir()
+    (tmp_path / "roi_tables" / "a_roi_u.csv").write_text("soundscape_file,roi_user,roi_label,roi_start,roi_end,roi_min_freq,roi_max_freq,roi_wl,roi_ovlp\na.wav,u,call,1.0,1.5,0.8,2.7,256,50\nb.wav,u,call,3.5,3.9,0.8,2.7,256,50\n")
+    for _ in range(2):
+        assert run_project(spark, w, "me", min_quant=0.98) == 0
+        checked = spark.read.option("header", True).csv(str(tmp_path / "validation_outputs")).collect()
+        kinds = [r["validation"] for r in checked]
+        assert kinds.count("FN") == 1 and "TP" in kinds and "FP" in kinds and {r["validation_user"] for r in checked} == {"me"}
+        assert spark.read.option("header", True).csv(str(tmp_path / "validation_diagnostics")).filter("tp > 0").count() > 0
+        assert sorted(os.listdir(tmp_path / "roi_cuts")) == ["a_001.000-001.500s_00.800-02.700kHz_256wl_50ovlp_call.wav", "b_003.500-003.900s_00.800-02.700kHz_256wl_50ovlp_call.wav"]
+    with pytest.raises(ValueError):
+        w.path("nowhere")
+
+
 def test_stopped_matching_goes_on(spark, folder, tmp_path, monkeypatch):
     """Stopped in its second batch, then run again: the same rows, and scored pairs aren't scored again."""
     from sonagrid.plans import resumable
