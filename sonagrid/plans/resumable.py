@@ -13,6 +13,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import prefix
 from ..schemas import DETECTIONS
 from ..shared import drop_path, exists, path_of, scratch, written
 from .template_matching import run_matching
@@ -71,11 +72,15 @@ def resume_matching(spark: SparkSession, pairs: DataFrame, files: DataFrame, fol
         raise ValueError(f"the folder holds a run with other parameters: {other[0]}")
     left = written(remaining_pairs(pairs, done), "remaining-pairs")
     total = left.count()
+    # recordings in order, cut where a batch is full
+    sizes = prefix.running(left.groupBy("soundscape_path").agg(F.count("*").alias("n_pairs")), [], [F.asc("soundscape_path")], {"upto": F.col("n_pairs")})
+    batch_of = F.floor((F.col("upto") - F.col("n_pairs")) / pairs_a_batch).alias("batch_of_pair")
+    left = written(left.join(sizes.select("soundscape_path", batch_of), "soundscape_path"), "remaining-pairs")
     n = -(-total // pairs_a_batch)
     first = 1 + max([int(r[0]) for r in done.select(F.regexp_extract(F.input_file_name(), r"/batch-(\d+)/", 1)).distinct().collect() if r[0]], default=-1)
     for k in range(n):
         with scratch(spark):  # a batch's scores go when its detections are committed
-            batch = written(left.filter(F.pmod(F.xxhash64("soundscape_path"), F.lit(n)) == k), "batch-pairs")
+            batch = written(left.filter(F.col("batch_of_pair") == k).drop("batch_of_pair"), "batch-pairs")
             if batch.isEmpty():
                 continue
             found = run_matching(spark, batch, files, **parameters)
