@@ -111,6 +111,8 @@ def join_hot(rows: DataFrame, other: DataFrame, keys: list[str], n: str, total:
     other has distinct keys and in column n how many of all `total` rows have each. The few keys that many rows have
     are broadcast; their number is bounded by HOT_SHARE. The rest is joined as Spark likes.
     """
+    if total < hot_rows:  # no key can have so many
+        return rows.join(other.drop(n), keys).select(*rows.columns, *(c for c in other.columns if c not in (*keys, n)))
     hot = F.col(n) >= max(hot_rows, int(HOT_SHARE * total))
     told = rows.join(F.broadcast(other.filter(hot).select(*keys, F.struct(*(c for c in other.columns if c not in (*keys, n))).alias("hot_row"))), keys, "left")
     often = told.filter("hot_row is not null").select(*rows.columns, "hot_row.*")
