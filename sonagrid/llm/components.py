@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, drop_path, join_hot, new_path, scratched, written
+from .common import HOT_ROWS, HOT_SHARE, drop_path, join_hot, new_path, scratched, written
 
 #: Groups of a shared key up to SMALL_GROUP are paired at once; crowded ones whose pairs of different components are
 #: PAIRS_A_ROW at most for each row are compared as a whole, others are split.
@@ -58,10 +58,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     current, path, before = put(current)
     while before[0]:
-        starred, between, state = put(_large_star(current, before[0]))
-        drop_path(spark, path)
-        current, path, state = put(_small_star(starred, state[0]))
-        drop_path(spark, between)
+        starred, between, n = _large_star(current, before[0]), "", 2 * before[0]
+        if n >= HOT_ROWS:  # written, so that its joins aren't made again for the next ones; a smaller graph has no hot vertex
+            starred, between, (n, _) = put(starred)
+        last, (current, path, state) = path, put(_small_star(starred, n))
+        for done in filter(None, (last, between)):
+            drop_path(spark, done)
         if state == before:
             break
         before = state
