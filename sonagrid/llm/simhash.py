@@ -164,8 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(vertices, 2, 32, 2))
     rooted = classes.join(roots, "v", "left").select("v", "first", F.coalesce("root", "v").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("v", "component_id")
-    return found.join(named, "v").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("v"), 16, "0")).alias("fingerprint"), "component_id")
+    told = rooted.join(least, "root").select("v", "component_id")
+    return found.join(told, "v").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("v"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Shingles of so many words make the pipeline's near-duplicates.
