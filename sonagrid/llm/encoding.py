@@ -48,6 +48,7 @@ class UnitEncoder:
         self.pattern = self._word_pattern(spec)
         self.max_units = max_units
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens_unit = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for piece, i in vocab.items():
@@ -79,27 +80,23 @@ class UnitEncoder:
         return regex.compile(pattern)
 
     def _learn_words(self, units: list[str]) -> None:
-        """New units of a tokenizer of word ends: ASCII ones joined and told apart by their numbers of words, others alone."""
-        joined = [u for u in units if u and u.isascii() and not any(s in u for s in self.special)]
-        odd = set(joined)
-        alone = [u for u in units if u not in odd]
-        parts: list[list[str]] = [[]]
-        chars = 0
-        for u in joined:
-            if chars >= JOINED_CHARS:
-                parts.append([])
-                chars = 0
-            parts[-1].append(u)
-            chars += len(u) + 1
-        for part, packed in zip(parts, self._whole([" ".join(p) for p in parts]), strict=True):
-            words = [len(self.pattern.findall(u.lower() if self.lower else u)) for u in part]
-            cuts = np.concatenate([[0], np.flatnonzero(self.ends_word[np.frombuffer(packed, dtype="<u4")]) + 1]) * 4
-            if len(cuts) == sum(words) + 1:
-                at = cuts[np.cumsum([0, *words])].tolist()
-                self.known.update((u, packed[a:b]) for u, a, b in zip(part, at, at[1:], strict=False))
+        """New units of a tokenizer of word ends: the words of ASCII ones are joined and cut at their ends, units joined from their words; others go alone."""
+        odd = [u for u in units if not u.isascii() or any(s in u for s in self.special)]
+        alone, words = set(odd), self.words
+        cut = {u: self.pattern.findall(u.lower() if self.lower else u) for u in units if u not in alone}
+        new = list({w for ws in cut.values() for w in ws if w not in words})
+        for at in range(0, len(new), JOINED_CHARS // 8):
+            part = new[at : at + JOINED_CHARS // 8]
+            packed = self._whole([" ".join(part)])[0]
+            ends = [0, *((np.flatnonzero(self.ends_word[np.frombuffer(packed, dtype="<u4")]) + 1) * 4).tolist()]
+            if len(ends) == len(part) + 1:
+                words.update((w, packed[a:b]) for w, a, b in zip(part, ends, ends[1:], strict=False))
             else:
-                alone += part
-        self.known.update(zip(alone, self._whole(alone), strict=True))
+                words.update(zip(part, self._whole(part), strict=True))
+        self.known.update((u, words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))) for u, ws in cut.items())
+        self.known.update(zip(odd, self._whole(odd), strict=True))
+        if len(words) > self.max_units // 2:
+            self.words = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
