@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonagrid.functions import signal
+from sonagrid.functions import names, signal
 from sonagrid.operators import diagnostics, grid, matching, peaks, review, rois, validation
 from sonagrid.schemas import DETECTIONS, ROIS, SOUNDSCAPES, TEMPLATES
 
@@ -188,6 +188,14 @@ def test_grid_counts(spark):
     assert dict(grid.grid_rejections(s, t).collect()) == {"sample_rate": 4, "min_freq": 1, "max_freq": 1, "duration": 1}
 
 
+def test_names_round_binary_numbers_as_c_does(spark):
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, 0.0625, 0.1875, 0.0005, 0.0015, 1.0005, 2.0015, 0.9995, 0.99951, 999.9995, -0.0001, -1.0625, -0.9999, 1e-12, 5e-324, 1234567.0625, 123456789012.0625, 1e15]
+    values += [float(x) for x in np.round(rng.random(500) * 2000, 4)] + [float(x) / 16 for x in rng.integers(0, 1 << 30, 500)] + [float(x) for x in np.round(rng.random(200), 4)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").select("v", names.fixed(F.col("v"), 7).alias("text"))
+    assert [r["text"] for r in df.collect()] == [f"{v:.3f}".rjust(7, "0") for v in values] + [None]
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 40])
 def test_numbering_by_ranges(spark, ranges):
     rows = [(i, None if i % 7 == 0 else f"k{i * 37 % 11}") for i in range(200)]
