@@ -218,6 +218,18 @@ def test_grid_by_salt_and_missing_files(spark):
     assert (n["soundscape_file"], n["template_file"]) == (2 * 9, 28 * 1) and sum(n.values()) + len(kept) == 30 * 9
 
 
+def test_grid_of_many_templates_sends_the_recordings(spark):
+    """With more templates than can be told and few recordings no template is multiplied; frequencies are tested before."""
+    sounds = spark.createDataFrame([(f"s{i}", f"s{i}", 10.0 + i, 24000 if i % 3 else 48000, 16, "mono") for i in range(30)], SOUNDSCAPES)
+    templates = spark.createDataFrame([(f"t{i}", f"t{i}", f"t{i}", "x", 0.0, 5.0 + 2 * i, 24000 if i % 2 else 48000, 1.0, 5.0 + 2 * i, 512.0, 50.0) for i in range(12)], TEMPLATES)
+    grids = [grid.match_grid(sounds, templates), grid.match_grid(sounds, templates, told=3), grid.match_grid(sounds, templates, told=3, told_recordings=3)]
+    assert len({tuple(g.columns) for g in grids}) == 1
+    rows = [sorted(map(repr, g.collect())) for g in grids]
+    assert rows[0] == rows[1] == rows[2] and rows[0]
+    plans = [g._jdf.queryExecution().optimizedPlan().toString() for g in grids]
+    assert ["Generate" in p for p in plans] == [False, False, True] and all("Repartition" in p for p in plans[:2])
+
+
 def test_required_columns_and_repeated_keys(spark):
     with pytest.raises(ValueError, match="template_path, template_file"):
         rois.detections_to_rois(spark.createDataFrame([], "soundscape_path string, soundscape_file string"), "u", "t")
