@@ -32,6 +32,7 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ SPACE = "▁"
 UNIT = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 #: Characters of documents whose steps are drawn together.
 BATCH_CHARS = 250_000
-#: Edges of lattices that a worker keeps (32 bytes each); one batch more may stand above.
+#: Edges of lattices that a worker keeps (24 bytes each); one batch more may stand above.
 CACHED_EDGES = 12_000_000
 #: Character classes with a column in the trie's table.
 COMMON = 128
@@ -209,14 +210,18 @@ class Lattices:
             on = e < until
             e, until = e[on] + 1, until[on]
         self.cum[last[counts > 0]] = np.inf
-        self.log_p = np.log(edge_p)
-        self.log_rest = np.full(total, -np.inf)
-        several = np.repeat(counts, counts) > 1
-        with np.errstate(divide="ignore"):
-            self.log_rest[several] = np.log(np.maximum(1 - edge_p[several], 0.0))
+        self.p = edge_p
+
+    #: What there is of each edge. Logarithms are taken of the edges of paths only.
+    EDGE_COLUMNS = ("id", "next", "cum", "p")
 
-    #: What there is of each edge.
-    EDGE_COLUMNS = ("id", "next", "cum", "log_p", "log_rest")
+    def log_p(self, edges: np.ndarray) -> np.ndarray:
+        return np.log(self.p[edges])
+
+    def log_rest(self, edges: np.ndarray) -> np.ndarray:
+        """Of the other edges of the edges' places; an only edge has the probability 1."""
+        with np.errstate(divide="ignore"):
+            return np.log(np.maximum(1 - self.p[edges], 0.0))
 
     def append(self, other: "Lattices") -> None:
         """Takes the other's units in behind the own ones."""
@@ -333,12 +338,12 @@ def _descend(lat: Lattices, places: np.ndarray, seeds: np.ndarray, counters: np.
 
 def _path(lat: Lattices, prefix: np.ndarray, rest: np.ndarray, value: float, seed: np.uint64, number: int) -> Path:
     edges = np.concatenate([prefix, rest])
-    lp = lat.log_p[edges]
+    lp = lat.log_p(edges)
     done = np.cumsum(lp)
     before = done - lp
     own = len(prefix)  # regions up to here belong to the path that this one left
     region = np.full(len(edges), -np.inf)
-    rest_mass = lat.log_rest[edges[own:]]
+    rest_mass = lat.log_rest(edges[own:])
     open_at = np.flatnonzero(rest_mass > -np.inf)  # steps that other edges leave
     if len(open_at):
         counter = (open_at + own).astype(np.uint64) + np.uint64(((number << 1) | 1) << 40)
@@ -389,7 +394,7 @@ def sample_batch(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int,
             options = np.arange(lat.first[place], lat.first[place + 1])
             gone = path.taken.setdefault(i, [e0])
             options = np.array([e for e in options.tolist() if e not in gone], np.int64)
-            p = np.exp(lat.log_p[options])
+            p = np.exp(lat.log_p(options))
             u2 = uniform(np.broadcast_to(seeds[d], 2), np.array([0, 1], np.uint64) + np.uint64((number << 42) | (1 << 61)))
             e = int(options[min(len(options) - 1, int(np.searchsorted(np.cumsum(p), u2[0] * p.sum(), side="right")))])
             gone.append(e)
@@ -459,15 +464,16 @@ def sampled_segmentations(docs: DataFrame, model_file: str, k: int = 2, alpha: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_file, alpha)
         for whole in batches:
-            texts, row_seeds = whole.column(2).to_pylist(), whole.column(1).to_numpy()
+            lengths, row_seeds = pc.utf8_length(whole.column(2)).to_pylist(), whole.column(1).to_numpy()
             at = 0
-            while at < len(texts):
+            while at < len(lengths):
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= batch_chars):
-                    chars += len(texts[end])
+                while end < len(lengths) and (end == at or chars + lengths[end] <= batch_chars):
+                    chars += lengths[end]
                     end += 1
                 rows, which = [], []
-                for d, (text, samples) in enumerate(zip(texts[at:end], sample_batch(texts[at:end], row_seeds[at:end], vocab, k, cached_edges), strict=True)):
+                texts = whole.column(2).slice(at, end - at).to_pylist()  # the others stay bytes
+                for d, (text, samples) in enumerate(zip(texts, sample_batch(texts, row_seeds[at:end], vocab, k, cached_edges), strict=True)):
                     for s, (ids, log_p, value, inclusion) in enumerate(samples):
                         which.append(at + d)
                         back = decode(ids, vocab) == text.replace(SPACE, " ")

@@ -902,3 +902,11 @@ def test_segmentations_of_rows(spark, docs, empty):
     assert pieces.sampled_segmentations(empty, SP).count() == 0
 
 
+def test_an_edge_of_the_cache_has_24_bytes():
+    """Each worker of an executor holds 12 million edges; logarithms are those of the whole table, taken of paths only."""
+    vocab = pieces.Vocabulary(SP, 1.0)
+    lat = pieces.Lattices([" cat", " x", "☃☃"], vocab)
+    assert sum(getattr(lat, c).itemsize for c in lat.EDGE_COLUMNS) <= 24
+    e = np.arange(len(lat.id))
+    only = np.repeat(np.diff(lat.first), np.diff(lat.first)) == 1
+    assert np.isneginf(lat.log_rest(e)[only]).all() and np.isfinite(lat.log_p(e)).all() and (lat.log_rest(e)[~only] < 0).all()
