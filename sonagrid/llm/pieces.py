@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cache_of, named, table, whole_text
+from .common import cache_of, named, release, table, whole_text
 
 SPACE = "▁"
 UNIT = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
@@ -268,6 +268,7 @@ class LatticeCache:
         """Lattices with n units in them, and the units' numbers there."""
         if len(self.lattices.id) > cached_edges:
             self._begin()
+            release()
         known = len(self.index)
         unit_of = np.fromiter(map(self.index.__getitem__, units), np.int64, n)
         if len(self.index) > known:
@@ -481,6 +482,7 @@ def sampled_segmentations(docs: DataFrame, model_file: str, k: int = 2, alpha: f
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(which)), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], names=[id_col, *(n for n, _ in fields)])
                 at = end
+        release()  # a worker without a task holds its lattices, but not what batches left free between them
 
     if id_col.lower() in {n for n, _ in fields}:
         raise ValueError(f"the result has a column {id_col} of its own; rename the id column")
