@@ -43,7 +43,11 @@ UNIT = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 #: Characters of documents whose steps are drawn together.
 BATCH_CHARS = 250_000
 #: Edges of lattices that a worker keeps (24 bytes each); one batch more may stand above.
-CACHED_EDGES = 12_000_000
+CACHED_EDGES = 4_000_000
+#: Of these, the share that the most used units take with them when the others go.
+STAYING = 0.5
+#: Characters of new units whose lattices are made together.
+BUILD_CHARS = 30_000
 #: Character classes with a column in the trie's table.
 COMMON = 128
 
@@ -234,12 +238,26 @@ class Lattices:
         for name in self.EDGE_COLUMNS:
             self._extend(name, getattr(other, name))
 
+    def keep(self, units: np.ndarray) -> None:
+        """Leaves these units only, numbered as they come."""
+        a, b = self.start[units], np.append(self.start[1:], len(self.first) - 1)[units]
+        places, edges, n_edges = ranges(a, b - a), ranges(self.first[a], self.first[b] - self.first[a]), self.first[b] - self.first[a]
+        start = np.cumsum(b - a) - (b - a)
+        self.first = np.concatenate([[0], np.cumsum(self.first[places + 1] - self.first[places])])
+        for name in self.EDGE_COLUMNS:
+            setattr(self, name, getattr(self, name)[edges])
+        self.next[self.next >= 0] += np.repeat(start - a, n_edges).astype(np.int32)[self.next >= 0]
+        bare, new = np.unique(self.id[self.id >= self.size], return_inverse=True)
+        self.id[self.id >= self.size] = self.size + new
+        self.extra = [self.extra[i] for i in (bare - self.size).tolist()]
+        self.start = start
+
     def _extend(self, name: str, new: np.ndarray) -> None:
         """Puts new entries behind an array, in a buffer with room for more (pages without entries take no memory)."""
         own = getattr(self, name)
         n, buffer = len(own), own if own.base is None else own.base
         if n + len(new) > len(buffer):
-            buffer = np.empty(max(2 * len(buffer), CACHED_EDGES // 8, n + len(new)), own.dtype)
+            buffer = np.empty(max(len(buffer) * 3 // 2, n + len(new)), own.dtype)
             buffer[:n] = own
         buffer[n : n + len(new)] = new
         setattr(self, name, buffer[: n + len(new)])
@@ -254,41 +272,84 @@ class Lattices:
         return e
 
 
-class LatticeCache:
-    """The lattices of the units that a worker met, so that later batches find them. Begun anew once they are many."""
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, n of them, one range behind the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self._begin()
 
-    def _begin(self) -> None:
-        self.index, self.lattices = defaultdict(count().__next__), Lattices([], self.vocab)
+def units_of(text: str) -> list[str]:
+    """The keys of a text's units: one of a space and a word is called by the word, others by their text."""
+    if not text:
+        return []
+    if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return [u[1:] if u[0] == " " and u[1:2] not in ("", " ", SPACE) else u for u in UNIT.findall(" " + text)]
+
 
-    def get(self, units: Iterable[str], n: int, cached_edges: int) -> tuple[Lattices, np.ndarray]:
-        """Lattices with n units in them, and the units' numbers there."""
+class LatticeCache:
+    """The lattices of the units that a worker met, so that later batches find them.
+
+    Once they are many, those used most often since the last time stay and the others go: most units are met once.
+    """
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.lattices = vocab, Lattices([], vocab)
+        self._index([])
+
+    def _index(self, keys: list[str]) -> None:
+        self.index, self.uses = defaultdict(count(len(keys)).__next__, zip(keys, range(len(keys)), strict=True)), np.zeros(len(keys), np.int64)
+
+    def shrink(self, edges: int) -> None:
+        """Leaves the units that were used more than once, the most used ones, with so many edges at most."""
+        lat, order = self.lattices, np.argsort(-self.uses, kind="stable")
+        n_edges = np.diff(np.append(lat.first[lat.start], lat.first[-1]))[order]
+        staying = order[(self.uses[order] > 1) & (np.cumsum(n_edges) <= edges)]
+        keys = list(self.index)
+        lat.keep(staying)
+        self._index([keys[i] for i in staying.tolist()])
+
+    def get(self, keys: Iterable[str], n: int, cached_edges: int) -> tuple[Lattices, np.ndarray]:
+        """Lattices with the n units of these keys in them, and the units' numbers there."""
         if len(self.lattices.id) > cached_edges:
-            self._begin()
+            self.shrink(int(STAYING * cached_edges))
             release()
         known = len(self.index)
-        unit_of = np.fromiter(map(self.index.__getitem__, units), np.int64, n)
-        if len(self.index) > known:
-            self.lattices.append(Lattices(list(islice(self.index, known, None)), self.vocab))
+        unit_of = np.fromiter(map(self.index.__getitem__, keys), np.int64, n)
+        some, chars = [], 0
+        for key in islice(self.index, known, None):
+            some.append(key if key[0] in (" ", SPACE) else " " + key)
+            chars += len(key) + 1
+            if chars >= BUILD_CHARS:
+                self.lattices.append(Lattices(some, self.vocab))
+                some, chars = [], 0
+        if some:
+            self.lattices.append(Lattices(some, self.vocab))
+        uses = np.bincount(unit_of, minlength=len(self.index))
+        uses[:known] += self.uses
+        self.uses = uses
         return self.lattices, unit_of
 
 
-def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
+def uniform(seed: np.ndarray, counter: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) hashed from seeds and counters (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
-        z = counter.astype(np.uint64)
-        z += np.uint64(1)
-        z *= np.uint64(0x9E3779B97F4A7C15)
-        z += seed
-        z ^= z >> np.uint64(30)
+        if isinstance(counter, int):  # one for all
+            z = seed + np.uint64((counter + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        else:
+            z = counter.astype(np.uint64)
+            z += np.uint64(1)
+            z *= np.uint64(0x9E3779B97F4A7C15)
+            z += seed
+        t = z >> np.uint64(30)
+        z ^= t
         z *= np.uint64(0xBF58476D1CE4E5B9)
-        z ^= z >> np.uint64(27)
+        z ^= np.right_shift(z, np.uint64(27), out=t)
         z *= np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+        z ^= np.right_shift(z, np.uint64(31), out=t)
+    x = np.right_shift(z, np.uint64(11), out=t).astype(np.float64)
+    x += 0.5
+    x *= 1 / (1 << 53)
+    return x
 
 
 def unit_seeds(seeds: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -300,7 +361,7 @@ def unit_seeds(seeds: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(29))
 
 
-def truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def truncated(mass: np.ndarray, bound: np.ndarray | float, u: np.ndarray) -> np.ndarray:
     """Gumbel variables with these log masses, given that they are below the bound."""
     with np.errstate(over="ignore", invalid="ignore"):
         return np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(np.minimum(mass - bound, 700.0)) - np.log(u)))
@@ -318,18 +379,18 @@ class Path:
     taken: dict[int, list[int]]  # edges of a step that other paths have taken
 
 
-def _descend(lat: Lattices, places: np.ndarray, seeds: np.ndarray, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The edges drawn from each place to its unit's end, unit after unit, and how many each unit has."""
+def _descend(lat: Lattices, places: np.ndarray, seeds: np.ndarray, counter: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edges drawn from each place to its unit's end, unit after unit, and how many each unit has. Steps count from counter."""
     rounds: list[tuple[np.ndarray, np.ndarray]] = []
     active, at = np.arange(len(places)), places
     n = np.zeros(len(places), np.int64)
     while len(active):
-        e = lat.draw(at, uniform(seeds[active], counters[active] + np.uint64(len(rounds))))
+        e = lat.draw(at, uniform(seeds, counter + len(rounds)))
         rounds.append((active, e))
         n[active] += 1
         at = lat.next[e].astype(np.int64)
-        more = at >= 0
-        active, at = active[more], at[more]
+        more = np.flatnonzero(at >= 0)
+        active, at, seeds = active[more], at[more], seeds[more]
     offset = np.cumsum(n) - n
     out = np.empty(int(n.sum()), np.int64)
     for r, (which, e) in enumerate(rounds):
@@ -337,24 +398,32 @@ def _descend(lat: Lattices, places: np.ndarray, seeds: np.ndarray, counters: np.
     return out, n
 
 
-def _path(lat: Lattices, prefix: np.ndarray, rest: np.ndarray, value: float, seed: np.uint64, number: int) -> Path:
-    edges = np.concatenate([prefix, rest])
-    lp = lat.log_p(edges)
-    done = np.cumsum(lp)
-    before = done - lp
-    own = len(prefix)  # regions up to here belong to the path that this one left
+def _paths(lat: Lattices, parts: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray, seeds: np.ndarray, number: int) -> list[Path]:
+    """The paths (prefix, rest) of these perturbed values. Regions in a prefix belong to the path that this one left."""
+    if not parts:
+        return []
+    edges = np.concatenate([x for part in parts for x in part])
+    size = np.array([len(p) + len(r) for p, r in parts], np.int64)
+    own = np.array([len(p) for p, _ in parts], np.int64)
+    end = np.cumsum(size)
+    lp, before, log_p = lat.log_p(edges), np.empty(len(edges)), []
+    for a, b in zip((end - size).tolist(), end.tolist(), strict=True):
+        done = np.cumsum(lp[a:b])
+        before[a:b] = done - lp[a:b]
+        log_p.append(float(done[-1]) if b > a else 0.0)
+    rest_mass = lat.log_rest(edges)
+    step, path = ranges(np.zeros(len(size), np.int64), size), np.repeat(np.arange(len(size)), size)
+    open_at = np.flatnonzero((rest_mass > -np.inf) & (step >= own[path]))  # steps that other edges leave
+    path = path[open_at]
     region = np.full(len(edges), -np.inf)
-    rest_mass = lat.log_rest(edges[own:])
-    open_at = np.flatnonzero(rest_mass > -np.inf)  # steps that other edges leave
-    if len(open_at):
-        counter = (open_at + own).astype(np.uint64) + np.uint64(((number << 1) | 1) << 40)
-        region[own + open_at] = truncated(before[own + open_at] + rest_mass[open_at], value, uniform(seed, counter))
-    return Path(edges, value, before, float(done[-1]) if len(done) else 0.0, region, {})
+    counter = step[open_at].astype(np.uint64) + np.uint64(((number << 1) | 1) << 40)
+    region[open_at] = truncated(before[open_at] + rest_mass[open_at], values[path], uniform(seeds[path], counter))
+    return [Path(edges[a:b], value, before[a:b], x, region[a:b], {}) for a, b, value, x in zip((end - size).tolist(), end.tolist(), values.tolist(), log_p, strict=True)]
 
 
 def sample_batch(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int, cached_edges: int = CACHED_EDGES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k distinct segmentations: ids, log-probability, perturbed value, inclusion score."""
-    found = [UNIT.findall(" " + text) if text else [] for text in texts]
+    found = list(map(units_of, texts))
     size = np.array([len(u) for u in found], np.int64)
     lat, unit_of = cache_of("pieces").setdefault(id(vocab), LatticeCache(vocab)).get(chain.from_iterable(found), int(size.sum()), cached_edges)
     seeds = seeds.astype(np.uint64)
@@ -363,15 +432,12 @@ def sample_batch(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int,
     number_in_doc = np.arange(len(unit_of)) - np.repeat(token_at[:-1], size)
     unit_seed = unit_seeds(np.repeat(seeds, size), number_in_doc)
 
-    edges, n = _descend(lat, start, unit_seed, np.zeros(len(start), np.uint64))
+    edges, n = _descend(lat, start, unit_seed, 0)
     end_of = np.concatenate([[0], np.cumsum(n)])
-    paths: list[list[Path]] = []
-    unit_ends: list[list[np.ndarray]] = []  # of each path: the steps before each unit
-    for d in range(len(texts)):
-        a, b = token_at[d], token_at[d + 1]
-        first = -np.log(-np.log(uniform(seeds[d : d + 1], np.array([1 << 62], np.uint64))))[0]
-        paths.append([_path(lat, np.zeros(0, np.int64), edges[end_of[a] : end_of[b]], float(first), seeds[d], 0)])
-        unit_ends.append([end_of[a : b + 1] - end_of[a]])
+    none, bounds = np.zeros(0, np.int64), list(zip(token_at[:-1].tolist(), token_at[1:].tolist(), strict=True))
+    firsts = -np.log(-np.log(uniform(seeds, 1 << 62)))
+    paths = [[p] for p in _paths(lat, [(none, edges[end_of[a] : end_of[b]]) for a, b in bounds], firsts, seeds, 0)]
+    unit_ends = [[end_of[a : b + 1] - end_of[a]] for a, b in bounds]  # of each path: the steps before each unit
     kappa = [-np.inf] * len(texts)
 
     for number in range(1, k + 1):
@@ -386,7 +452,7 @@ def sample_batch(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int,
                 chosen.append((d, j, int(own[j].region.argmax())))
         if not chosen or number == k:
             break
-        at, seed, counter, span, heads = [], [], [], [], []
+        at, seed, span, heads = [], [], [], []
         for d, j, i in chosen:
             path = paths[d][j]
             # the region: the same steps before i, and none of the edges taken there
@@ -410,23 +476,24 @@ def sample_batch(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int,
             places = ([follow] if follow >= 0 else []) + [start[a:b]]
             places = np.concatenate([np.atleast_1d(x) for x in places]).astype(np.int64)
             at.append(places)
-            counter.append(np.full(len(places), (number + 1) << 42, np.uint64))
             seed.append(unit_seed[a - (follow >= 0) : b])
             span.append(len(places))
             heads.append((e, value, t, follow >= 0))
-        drawn, n = _descend(lat, np.concatenate(at), np.concatenate(seed), np.concatenate(counter).astype(np.uint64))
+        drawn, n = _descend(lat, np.concatenate(at), np.concatenate(seed), (number + 1) << 42)
         end = np.concatenate([[0], np.cumsum(n)])
-        token = 0
+        token, parts = 0, []
         for (d, j, i), (e, value, t, inside), m in zip(chosen, heads, span, strict=True):
             rest = drawn[end[token] : end[token + m]]
             counts = n[token : token + m]
             token += m
             parent = paths[d][j]
-            new = _path(lat, np.concatenate([parent.edges[:i], [e]]), rest, value, seeds[d], number)
+            parts.append((np.append(parent.edges[:i], e), rest))
             ends = unit_ends[d][j][: t + 1]
             stops = i + 1 + np.cumsum(counts) if inside else i + 1 + np.concatenate([[0], np.cumsum(counts)])
             unit_ends[d].append(np.concatenate([ends, stops]))
-            paths[d].append(new)
+        new = _paths(lat, parts, np.array([value for _, value, *_ in heads]), seeds[[d for d, *_ in chosen]], number)
+        for (d, *_), path in zip(chosen, new, strict=True):
+            paths[d].append(path)
 
     out = []
     for d, own in enumerate(paths):

@@ -888,6 +888,31 @@ def test_units_behind_a_very_long_one_are_drawn_by_themselves():
     assert len(np.unique(pieces.unit_seeds(np.repeat(seeds[:10], 1000), np.tile(np.arange(1000), 10)))) == 10_000
 
 
+def test_frequent_units_stay_cached():
+    """Units that texts share outlive those met once, when a worker's lattices are too many; samples don't depend on it."""
+    vocab, seeds = pieces.Vocabulary(SP, 1.0), np.arange(60).astype(np.uint64)
+    texts = [f"the cat ☃ sat {'x' * (i % 3)}zq{i}w{i * i} on the mat  ▁ {chr(0x2603 + i)}" for i in range(60)]
+    whole = pieces.sample_batch(texts, seeds, vocab, 2)
+    cache = pieces.cache_of("pieces")[id(vocab)] = pieces.LatticeCache(vocab)
+    parts, most = [], 0
+    for i in range(0, 60, 4):
+        parts += pieces.sample_batch(texts[i : i + 4], seeds[i : i + 4], vocab, 2, cached_edges=300)
+        most = max(most, len(cache.lattices.id))
+    same = lambda x, y: x[0].tolist() == y[0].tolist() and x[1:] == y[1:]
+    assert all(same(x, y) for a, b in zip(whole, parts, strict=True) for x, y in zip(a, b, strict=True))
+    assert most < 700
+    cache.shrink(150)
+    assert {"the", "cat", "☃"} <= set(cache.index) and len(cache.lattices.id) <= 150 and len(cache.lattices.extra) < 20
+    again = pieces.sample_batch(texts, seeds, vocab, 2, cached_edges=300)
+    assert all(same(x, y) for a, b in zip(whole, again, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_keys_of_units():
+    for text in ("a b", " a", "a ", "a  b", "▁a b", "a ▁ b", " ", "  ", "▁", "a\n b\tc", "", "  a   b ", "a▁b"):
+        keys = pieces.units_of(text)
+        assert [k if k[0] in (" ", pieces.SPACE) else " " + k for k in keys] == (pieces.UNIT.findall(" " + text) if text else [])
+
+
 def test_segmentations_of_rows(spark, docs, empty):
     out = pieces.sampled_segmentations(docs, SP, k=2).collect()
     assert all(r["round_trip"] for r in out)
