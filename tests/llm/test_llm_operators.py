@@ -403,6 +403,23 @@ def test_generalised_templates(spark):
     assert [["<*>" if t is None else t for t in r["fixed"]] for r in found.collect()] == ["the job of <*> ended with no error".split()]
 
 
+def test_documents_are_cut_once(spark, monkeypatch):
+    """Lines of crowded leaves are read from the written table, not cut from the documents again."""
+    rows = [(i, f"we saw the {x} cat {i} today\nown {i}") for i, x in enumerate(["red", "blue", "pink"])]
+    plans, found = [], line_dedup.leaf_templates
+    monkeypatch.setattr(line_dedup, "leaf_templates", lambda lines, s: plans.append(lines._jdf.queryExecution().optimizedPlan().toString()) or found(lines, s))
+    assert line_dedup.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert len(plans) == 1 and "Generate" not in plans[0]
+
+
+def test_masked_lines(spark):
+    lines = ["", " ", "a b", "a  b", " a b", "a b ", "a\tb", "\x0ba\x0c\rb", "a 1 b", "  x2  y\t", "a1", "\t", "7", "é ☃", "a\x1cb", "a\x85 b"]
+    got = line_dedup.exploded(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string"), "doc_id", "text").collect()
+    words = [[w for w in __import__("re").split(r"[\x20\x09-\x0D]+", x) if w] for x in lines]
+    want = [[line_dedup.FIELD if any(c in "0123456789" for c in w) else w for w in x] for x in words]
+    assert [(r["masked"], r["n"]) for r in sorted(got)] == [(" ".join(x), len(x)) for x in want]
+
+
 def test_line_dedup_repeats_and_empty(spark, empty):
     line = "one two three four five six seven eight nine"
     rows = [(1, line), (1, line), (2, line + "\nkept"), (3, f"{line}\n{line}")]
