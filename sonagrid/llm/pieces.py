@@ -49,7 +49,7 @@ STAYING = 0.5
 #: Characters of new units whose lattices are made together.
 BUILD_CHARS = 30_000
 #: Character classes with a column in the trie's table.
-COMMON = 128
+COMMON = 64
 
 
 class Vocabulary:
@@ -88,7 +88,7 @@ class Vocabulary:
         """A trie of the pieces as sorted arrays: a node and a character's class to the next node."""
         often = Counter(c for p in self.weight for c in p)
         classes = {c: i for i, c in enumerate(sorted(often, key=lambda c: (-often[c], c)))}
-        self.class_of = np.full(0x110001, -1, np.int64)
+        self.class_of = np.full(0x110001, -1, np.int16 if len(classes) < 1 << 15 else np.int32)
         self.class_of[[ord(c) for c in classes]] = list(classes.values())
         self.class_of[ord(" ")] = classes[SPACE]
         self.n_classes = len(classes)

@@ -924,6 +924,12 @@ def test_frequent_units_stay_cached():
     assert all(same(x, y) for a, b in zip(whole, again, strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_vocabulary_takes_little_memory():
+    """Every worker of every executor has one beside the JVM."""
+    vocab = pieces.vocabulary(SP, 1.0)
+    assert sum(x.nbytes for x in vars(vocab).values() if isinstance(x, np.ndarray)) < 20_000_000
+
+
 def test_keys_of_units():
     for text in ("a b", " a", "a ", "a  b", "▁a b", "a ▁ b", " ", "  ", "▁", "a\n b\tc", "", "  a   b ", "a▁b"):
         keys = pieces.units_of(text)
