@@ -230,6 +230,22 @@ def test_grid_of_many_templates_sends_the_recordings(spark):
     assert ["Generate" in p for p in plans] == [False, False, True] and all("Repartition" in p for p in plans[:2])
 
 
+@pytest.mark.parametrize("told", [3, 100])
+def test_grid_tasks_pair_rows_of_a_rate(spark, told):
+    """Each side in turn is dealt in the order of rates, so that a file of a written grid has the names of few of them."""
+    rates = [24000, 44100, 48000, 96000]
+    sounds = spark.createDataFrame([(f"s{i}", f"s{i}", 10.0 + i % 9, rates[i % 4], 16, "mono") for i in range(80)], SOUNDSCAPES).repartition(3)
+    templates = spark.createDataFrame([(f"t{i}", f"t{i}", f"t{i}", "x", 0.0, 5.0 + i % 9, rates[i % 4], 1.0, 5.0, 512.0, 50.0) for i in range(80)], TEMPLATES).repartition(3)
+    df = grid.match_grid(sounds, templates, told=told)
+    rows = df.select("soundscape_path", "template_path", F.spark_partition_id().alias("task"), F.col("soundscape_sample_rate").alias("rate")).collect()
+    want = sorted((f"s{i}", f"t{j}") for i in range(80) for j in range(80) if i % 4 == j % 4 and 5 + j % 9 < 10 + i % 9)
+    assert sorted((r["soundscape_path"], r["template_path"]) for r in rows) == want
+    dealt = {r["template_path" if told == 3 else "soundscape_path"]: r["task"] for r in rows}
+    tasks = {r["task"] for r in rows}
+    assert len(tasks) >= 4 and max(list(dealt.values()).count(t) for t in tasks) <= 80 // len(tasks) + 4
+    assert len({(r["task"], r["rate"]) for r in rows}) <= len(tasks) + len(rates) - 1
+
+
 def test_required_columns_and_repeated_keys(spark):
     with pytest.raises(ValueError, match="template_path, template_file"):
         rois.detections_to_rois(spark.createDataFrame([], "soundscape_path string, soundscape_file string"), "u", "t")
